@@ -64,14 +64,13 @@ def scan_secrets(df: DataFrame, text_col: str, patterns: list[str] = SECRET_PATT
 
 def all_secrets(df: DataFrame, key: str, text_col: str, patterns: list[str] = SECRET_PATTERNS) -> DataFrame:
     """Every match of every pattern as a row."""
-    per_pattern = [
-        F.transform(
-            F.regexp_extract_all(F.col(text_col), F.lit(p), F.lit(0)),
-            lambda m, i=i: F.struct(F.lit(i).alias("pattern_no"), m.alias("secret")),
-        )
-        for i, p in enumerate(patterns)
-    ]
-    return df.select(key, F.explode(F.concat(*per_pattern)).alias("m")).select(key, "m.*")
+
+    def matches(number: int, pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(number).alias("pattern_no"), m.alias("secret")))
+
+    rows = F.concat(*[matches(i, p) for i, p in enumerate(patterns)])
+    return df.select(key, F.explode(rows).alias("m")).select(key, "m.*")
 
 
 def _message(fact: Column) -> Column:

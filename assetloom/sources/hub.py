@@ -33,7 +33,9 @@ def split_records(raw: DataFrame) -> HubScan:
 
 def _reader(source, one_per_file: bool):
     options = {"multiLine": one_per_file, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return source.schema(HUB_LINES).options(**options, pathGlobFilter="*.json", recursiveFileLookup=True)
+    if one_per_file:
+        options["pathGlobFilter"] = "*.json"
+    return source.schema(HUB_LINES).options(**options, recursiveFileLookup=True)
 
 
 def read_hub_records(spark: SparkSession, folder: str, one_per_file: bool = True) -> HubScan:
@@ -64,13 +66,15 @@ def export_hub_records(functions: DataFrame, as_of: str) -> DataFrame:
 
 
 def write_hub_records(records: DataFrame, folder: str, shards: int = 64) -> None:
-    """JSON lines in ``shards`` folders by name hash; one pass and no shuffle.
+    """One JSON line per record in ``shards`` folders by name hash; one pass and no shuffle.
 
-    Test cases go out as nested JSON, whatever their shape.
+    Test cases are spliced in as nested JSON, in their own key order.
     """
     shard = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
-    nested = records.withColumn("test_cases", F.try_parse_json("test_cases"))
-    nested.withColumn("shard", shard).write.partitionBy("shard").json(folder)
+    plain = F.to_json(F.struct(*[c for c in records.columns if c != "test_cases"]))
+    cases = F.when(F.try_parse_json("test_cases").isNotNull(), F.col("test_cases")).otherwise(F.lit("[]"))
+    line = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"test_cases":'), cases, F.lit("}"))
+    records.select(line.alias("value"), shard.alias("shard")).write.partitionBy("shard").text(folder)
 
 
 def build_hub_index(records: DataFrame) -> DataFrame:
