@@ -14,29 +14,41 @@ EMOJI_RANGES = [
     (0x2300, 0x23FF),
 ]
 EMOJI_PATTERN = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI_RANGES) + "]+"
-WIDE_SPACE = "　"
-# All Unicode white space plus the four separator controls, at either end.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The outer range lets the matcher dismiss common characters in one comparison.
+_FAST_EMOJI = f"[\\x{{{min(EMOJI_RANGES)[0]:X}}}-\\x{{{max(EMOJI_RANGES)[1]:X}}}&&{EMOJI_PATTERN[:-1]}]+"
+WIDE_SPACE = chr(0x3000)
+# White space removed at either end of a text.
+STRIP_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP_PATTERN, "")
+    return F.btrim(text, F.lit(STRIP_CHARS))
+
+
+def _beyond_ascii(text: Column, change) -> Column:
+    """``change(text)``, skipped for pure ASCII text, where it would do nothing."""
+    return F.when(F.octet_length(text) > F.length(text), change(text)).otherwise(text)
 
 
 def _narrow_spaces(text: Column) -> Column:
     return F.replace(text, F.lit(WIDE_SPACE), F.lit(" "))
 
 
+def _without_emoji(text: Column) -> Column:
+    return F.regexp_replace(text, _FAST_EMOJI, "")
+
+
 def clean_text(text: Column) -> Column:
     """Plain spaces, no emoji, single spaces and underscores, stripped; NULL gives ''."""
-    without_emoji = F.regexp_replace(_narrow_spaces(F.coalesce(text, F.lit(""))), EMOJI_PATTERN, "")
-    single = F.regexp_replace(F.regexp_replace(without_emoji, " +", " "), "_+", "_")
-    return strip(single)
+    plain = _beyond_ascii(F.coalesce(text, F.lit("")), lambda t: _without_emoji(_narrow_spaces(t)))
+    return strip(F.regexp_replace(plain, r"([ _])\1+", "$1"))
 
 
 def clean_code(code: Column) -> Column:
     """Emoji removed and wide spaces narrowed; layout untouched."""
-    return _narrow_spaces(F.regexp_replace(F.coalesce(code, F.lit("")), EMOJI_PATTERN, ""))
+    return _beyond_ascii(F.coalesce(code, F.lit("")), lambda t: _narrow_spaces(_without_emoji(t)))
 
 
 def clean_tags(tags: Column) -> Column:

@@ -12,6 +12,7 @@ from assetloom import schemas
 from assetloom.functions import dates, json
 from assetloom.functions.text import list_literal
 from assetloom.operators.ranking import latest
+from assetloom.session import cut_lineage
 
 # Fixed value: how much of the code goes into the text to embed.
 CODE_CHARS = 500
@@ -104,7 +105,8 @@ def refresh_embeddings(
     """Re-embed what is stale and return the whole new embeddings table."""
     stale = stale_embeddings(functions, embeddings, model, dimension)
     texts = embedding_text(functions.join(stale.select("name"), "name", "left_semi"))
-    fresh = as_embedding_rows(embed(texts, provider), model, as_of)
+    # Written once: the upsert reads the new rows twice, and embedding is the costly part.
+    fresh = cut_lineage(as_embedding_rows(embed(texts, provider), model, as_of), "embedded")
     return upsert_embeddings(embeddings, fresh, one_per_asset)
 
 

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from assetloom import schemas
 
-_ARROW_FACT = pa.struct(
-    [("pos", pa.int32()), ("alias_idx", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("root", pa.string())]
-)
-_ARROW_TYPE = pa.struct([("error", pa.string()), ("facts", pa.list_(_ARROW_FACT))])
+_FACT_FIELDS = [
+    pa.field("pos", pa.int32()),
+    pa.field("alias_idx", pa.int32()),
+    pa.field("kind", pa.string()),
+    pa.field("value", pa.string()),
+    pa.field("root", pa.string()),
+]
 
 
 def _node_facts(pos: int, node: ast.AST):
@@ -33,23 +36,32 @@ def _node_facts(pos: int, node: ast.AST):
             yield pos, 0, "dunder", attr, attr
 
 
-def parse_one(code: str | None) -> dict:
+def parse_one(code: str | None) -> tuple[str | None, list[tuple]]:
     """Error text (or None) and the facts of one source text, breadth first."""
-    names = _ARROW_FACT.names
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(code or "")
-        found = [dict(zip(names, f)) for pos, node in enumerate(ast.walk(tree)) for f in _node_facts(pos, node)]
-        return {"error": None, "facts": found}
+        tree = ast.parse(code or "")
+        return None, [f for pos, node in enumerate(ast.walk(tree)) for f in _node_facts(pos, node)]
     except SyntaxError as e:
-        return {"error": f"Syntax Error: {e}", "facts": []}
+        return f"Syntax Error: {e}", []
     except Exception as e:  # e.g. nesting too deep for the parser
-        return {"error": f"Analysis Error: {e}", "facts": []}
+        return f"Analysis Error: {e}", []
 
 
 def _parse_batch(code: pa.Array) -> pa.Array:
-    return pa.array([parse_one(c) for c in code.to_pylist()], type=_ARROW_TYPE)
+    errors, rows, offsets = [], [], [0]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for text in code.to_pylist():
+            error, found = parse_one(text)
+            errors.append(error)
+            rows.extend(found)
+            offsets.append(len(rows))
+    columns = list(zip(*rows)) or [[]] * len(_FACT_FIELDS)
+    structs = pa.StructArray.from_arrays(
+        [pa.array(c, type=f.type) for c, f in zip(columns, _FACT_FIELDS)], fields=_FACT_FIELDS
+    )
+    facts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+    return pa.StructArray.from_arrays([pa.array(errors, pa.string()), facts], names=["error", "facts"])
 
 
 def parsed(code: Column) -> Column:

@@ -17,6 +17,7 @@ from assetloom.operators.cleaning import default_description, sanitize
 from assetloom.operators.facts import with_facts
 from assetloom.operators.ranking import latest
 from assetloom.operators.security import SecurityRules, first_secret, verdict_message
+from assetloom.session import cut_lineage
 
 COLUMNS = schemas.FUNCTIONS.names
 
@@ -38,7 +39,7 @@ def _metadata_text(**fields: Column) -> Column:
 
 
 def replace_rows(functions: DataFrame, changed: DataFrame) -> DataFrame:
-    """Stored rows other than the changed ones, plus the changed ones."""
+    """Stored rows other than the changed ones, plus the changed ones (read twice)."""
     kept = functions.select(*COLUMNS).join(changed.select("name"), "name", "left_anti")
     return kept.select(*COLUMNS).unionByName(changed.select(*COLUMNS))
 
@@ -81,9 +82,13 @@ def saved_rows(functions: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def save_assets(functions: DataFrame, batch: DataFrame, as_of: str, gate: str = "draft") -> SaveResult:
-    """``accepted`` is the whole new functions table here."""
+    """``accepted`` is the whole new functions table here.
+
+    The accepted rows are used twice, so they are written once, batch-sized.
+    """
     prepared = prepare_saves(batch, as_of, gate)
-    return SaveResult(replace_rows(functions, saved_rows(functions, prepared.accepted)), prepared.rejected)
+    changed = cut_lineage(saved_rows(functions, prepared.accepted), "saved")
+    return SaveResult(replace_rows(functions, changed), prepared.rejected)
 
 
 def delete_assets(functions: DataFrame, embeddings: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +166,8 @@ def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
 
 def merge_hub(functions: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
     """The functions table after taking in a record folder; applying it twice changes nothing more."""
-    return replace_rows(functions, hub_rows(functions, hub_actions(functions, records), as_of))
+    changed = cut_lineage(hub_rows(functions, hub_actions(functions, records), as_of), "merged")
+    return replace_rows(functions, changed)
 
 
 def apply_status(functions: DataFrame, verdicts: DataFrame, as_of: str) -> DataFrame:
