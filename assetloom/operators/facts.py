@@ -20,6 +20,9 @@ _FACT_FIELDS = [
 ]
 
 
+_FACT_NODES = (ast.Import, ast.ImportFrom, ast.Call, ast.Attribute)
+
+
 def _node_facts(pos: int, node: ast.AST):
     """Facts of one syntax node, in the order its names are written."""
     match node:
@@ -40,7 +43,8 @@ def parse_one(code: str | None) -> tuple[str | None, list[tuple]]:
     """Error text (or None) and the facts of one source text, breadth first."""
     try:
         tree = ast.parse(code or "")
-        return None, [f for pos, node in enumerate(ast.walk(tree)) for f in _node_facts(pos, node)]
+        nodes = [(pos, node) for pos, node in enumerate(ast.walk(tree)) if isinstance(node, _FACT_NODES)]
+        return None, [fact for pos, node in nodes for fact in _node_facts(pos, node)]
     except SyntaxError as e:
         return f"Syntax Error: {e}", []
     except Exception as e:  # e.g. nesting too deep for the parser
