@@ -73,7 +73,7 @@ def query_keys(log: DataFrame) -> DataFrame:
 
 
 def activity_sessions(events: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """Runs of a user's events with less than ``gap_seconds`` between neighbours.
+    """Runs of a user's events with at most ``gap_seconds`` between neighbours.
 
     Events in one slot of that length always share a session, so they fold to
     one row per user and slot before the shuffle. A user's rows are then bounded
@@ -85,7 +85,7 @@ def activity_sessions(events: DataFrame, gap_seconds: int = IDLE_SECONDS) -> Dat
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("events")
     )
     by_user = Window.partitionBy("user_id").orderBy("slot")
-    starts = F.coalesce(F.col("first") >= F.lag("last").over(by_user) + gap, F.lit(True))
+    starts = F.coalesce(F.col("first") > F.lag("last").over(by_user) + gap, F.lit(True))
     numbered = slots.withColumn("starts", starts.cast("int")).withColumn("session", F.sum("starts").over(by_user))
     return numbered.groupBy("user_id", "session").agg(
         F.min("first").alias("session_start"), (F.max("last") + gap).alias("session_end"), F.sum("events").alias("events")

@@ -65,7 +65,7 @@ def query_keys(t):
 SESSIONS = """
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1800 SECOND AS session_end, count(*) AS events
 FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
-  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh
+  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh
   FROM events)) GROUP BY user_id, session"""
 
 
