@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.hashing import normalised_query, query_key
+from assetloom.functions.hashing import normalised_query, query_key, secret_key
 
 # When a query counts as popular, how many are kept, idle gap.
 POPULAR_FROM, POPULAR_KEPT = 3, 500
@@ -44,19 +44,24 @@ def cached_from(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
     return after.groupBy("query").agg(F.min("at").alias("cached_at"))
 
 
+def _served(log: DataFrame, threshold: int) -> DataFrame:
+    joined = log.select("req_id", "ts", "query").join(cached_from(log, threshold), "query", "left")
+    hit = F.coalesce(F.struct("ts", "req_id") > F.col("cached_at"), F.lit(False))
+    return joined.select("req_id", "query", hit.alias("hit"), F.col("cached_at").isNotNull().alias("cached"))
+
+
 def cache_hits(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
     """Would each request have been served from an unbounded popular-query cache?"""
-    joined = log.join(cached_from(log, threshold), "query", "left")
-    hit = F.coalesce(F.struct("ts", "req_id") > F.col("cached_at"), F.lit(False))
-    return joined.select("req_id", "query", hit.alias("hit"))
+    return _served(log, threshold).drop("cached")
 
 
 def cache_stats(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
     """Size, hits, misses, hit rate and distinct queries."""
-    hits = cache_hits(log, threshold).groupBy("query").agg(F.count_if("hit").alias("hits"), F.count("*").alias("requests"))
-    per_text = hits.join(cached_from(log, threshold), "query", "left")
+    per_text = _served(log, threshold).groupBy("query").agg(
+        F.count_if("hit").alias("hits"), F.count("*").alias("requests"), F.bool_or("cached").alias("cached")
+    )
     totals = per_text.agg(
-        F.count("cached_at").alias("cache_size"),
+        F.count_if("cached").alias("cache_size"),
         F.coalesce(F.sum("hits"), F.lit(0)).alias("hit_count"),
         F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
         F.count_distinct(normalised_query(F.col("query"))).alias("total_queries"),
@@ -69,7 +74,9 @@ def cache_stats(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
 
 
 def query_keys(log: DataFrame) -> DataFrame:
-    return log.select("req_id", query_key(F.col("query")).alias("query_key"))
+    """Stable short and long hashes of each query text."""
+    query = F.col("query")
+    return log.select("req_id", query_key(query).alias("query_key"), secret_key(query).alias("secret_key"))
 
 
 def activity_sessions(events: DataFrame, gap_seconds: int = IDLE_SECONDS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assetloom import schemas
 from assetloom.functions import dates, json
 from assetloom.functions.text import list_literal
+from assetloom.operators.lookup import matching
 from assetloom.operators.ranking import latest
 from assetloom.session import cut_lineage
 
@@ -103,8 +104,8 @@ def refresh_embeddings(
     one_per_asset: bool = False,
 ) -> DataFrame:
     """Re-embed what is stale and return the whole new embeddings table."""
-    stale = stale_embeddings(functions, embeddings, model, dimension)
-    texts = embedding_text(functions.join(stale.select("name"), "name", "left_semi"))
+    stale = cut_lineage(stale_embeddings(functions, embeddings, model, dimension), "stale")
+    texts = embedding_text(matching(functions, stale))
     # Written once: the upsert reads the new rows twice, and embedding is the costly part.
     fresh = cut_lineage(as_embedding_rows(embed(texts, provider), model, as_of), "embedded")
     return upsert_embeddings(embeddings, fresh, one_per_asset)

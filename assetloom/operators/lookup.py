@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from assetloom.functions import json
 
 
+def matching(stored: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """Stored rows whose key is among ``names``.
+
+    An outer join from a small batch to a large table cannot copy the batch, as
+    the batch is the side to keep; this semi-join can, so the large table stays
+    where it is and only matching rows go on to the outer join.
+    """
+    wanted = names.select(F.col("name").alias(key)) if key != "name" else names.select("name")
+    return stored.join(wanted, key, "left_semi")
+
+
 def list_assets(functions: DataFrame, limit: int = 100) -> DataFrame:
     """The first assets by name; only three columns are scanned."""
     return functions.select("name", "status", "description").orderBy("name").limit(limit)
 
 
 def get_code(functions: DataFrame, names: DataFrame) -> DataFrame:
-    stored = functions.select("name", "code", F.lit(True).alias("found"))
+    stored = matching(functions.select("name", "code"), names).withColumn("found", F.lit(True))
     message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' not found."))
     return names.select("name").join(stored, "name", "left").select(
         "name",
@@ -24,7 +35,7 @@ def get_code(functions: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def get_details(functions: DataFrame, names: DataFrame) -> DataFrame:
-    stored = functions.select(
+    stored = matching(functions, names).select(
         "name",
         F.lit(True).alias("found"),
         "status",

@@ -15,6 +15,7 @@ from assetloom import schemas
 from assetloom.functions import dates, json
 from assetloom.operators.cleaning import default_description, sanitize
 from assetloom.operators.facts import with_facts
+from assetloom.operators.lookup import matching
 from assetloom.operators.ranking import latest
 from assetloom.operators.security import SecurityRules, first_secret, verdict_message
 from assetloom.session import cut_lineage
@@ -38,9 +39,13 @@ def _metadata_text(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
-def replace_rows(functions: DataFrame, changed: DataFrame) -> DataFrame:
-    """Stored rows other than the changed ones, plus the changed ones (read twice)."""
-    kept = functions.select(*COLUMNS).join(changed.select("name"), "name", "left_anti")
+def replace_rows(functions: DataFrame, changed: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Stored rows other than the changed ones, plus the changed ones.
+
+    ``names`` may give the changed names where they are cheaper to read.
+    """
+    gone = (changed if names is None else names).select("name")
+    kept = functions.select(*COLUMNS).join(gone, "name", "left_anti")
     return kept.select(*COLUMNS).unionByName(changed.select(*COLUMNS))
 
 
@@ -76,7 +81,7 @@ def prepare_saves(batch: DataFrame, as_of: str, gate: str = "draft", rules: Secu
 
 def saved_rows(functions: DataFrame, accepted: DataFrame) -> DataFrame:
     """Full rows to store; a replaced asset keeps its use counter, not its age."""
-    kept = functions.select("name", "call_count", "last_called_at")
+    kept = matching(functions.select("name", "call_count", "last_called_at"), accepted)
     joined = accepted.drop("seq").join(kept, "name", "left")
     return joined.withColumn("call_count", F.coalesce("call_count", F.lit(schemas.DEFAULT_CALL_COUNT))).select(*COLUMNS)
 
@@ -84,11 +89,12 @@ def saved_rows(functions: DataFrame, accepted: DataFrame) -> DataFrame:
 def save_assets(functions: DataFrame, batch: DataFrame, as_of: str, gate: str = "draft") -> SaveResult:
     """``accepted`` is the whole new functions table here.
 
-    The accepted rows are used twice, so they are written once, batch-sized.
+    The accepted requests are used three times, so they are written once. Their
+    true size then decides how the stored table is met.
     """
     prepared = prepare_saves(batch, as_of, gate)
-    changed = cut_lineage(saved_rows(functions, prepared.accepted), "saved")
-    return SaveResult(replace_rows(functions, changed), prepared.rejected)
+    accepted = cut_lineage(prepared.accepted, "accepted")
+    return SaveResult(replace_rows(functions, saved_rows(functions, accepted), accepted), prepared.rejected)
 
 
 def delete_assets(functions: DataFrame, embeddings: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +106,12 @@ def delete_assets(functions: DataFrame, embeddings: DataFrame, names: DataFrame)
 
 
 def apply_usage(functions: DataFrame, delta: DataFrame) -> DataFrame:
-    """Add ``delta(name, calls, last_ts)``; unknown names fall away."""
+    """Add ``delta(name, calls, last_ts)``; unknown names fall away.
+
+    The delta is written first: a roll-up is far smaller than its log, and only
+    its true size lets the planner copy it instead of moving the functions.
+    """
+    delta = cut_lineage(delta, "usage")
     joined = functions.select(*COLUMNS).join(delta.select("name", "calls", "last_ts"), "name", "left")
     stamp = dates.iso_text(F.col("last_ts"))
     used = F.col("calls").isNotNull()
@@ -113,15 +124,21 @@ def apply_usage(functions: DataFrame, delta: DataFrame) -> DataFrame:
     ).select(*COLUMNS)
 
 
+def last_records(records: DataFrame) -> DataFrame:
+    """One record per name: the last updated, then the last file path."""
+    order = [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))]
+    with_path = records if "file_path" in records.columns else records.withColumn("file_path", F.lit(""))
+    last = latest(with_path, "name", order).withColumn("description", F.coalesce("description", F.lit("")))
+    return cut_lineage(last.drop("file_path"), "records")
+
+
 def hub_actions(functions: DataFrame, records: DataFrame) -> DataFrame:
     """The last record per name and what a merge does with it.
 
     Only a different code or description counts as a change.
     """
-    order = [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))]
-    with_path = records if "file_path" in records.columns else records.withColumn("file_path", F.lit(""))
-    last = latest(with_path, "name", order).withColumn("description", F.coalesce("description", F.lit("")))
-    stored = functions.select(
+    last = last_records(records)
+    stored = matching(functions, last).select(
         "name", F.lit(True).alias("stored"), F.col("code").alias("old_code"), F.col("description").alias("old_description")
     )
     joined = last.join(stored, "name", "left")
@@ -132,7 +149,7 @@ def hub_actions(functions: DataFrame, records: DataFrame) -> DataFrame:
         .when(F.col("stored"), "update")
         .otherwise("insert")
     )
-    return joined.withColumn("action", action).drop("stored", "old_code", "old_description", "file_path")
+    return joined.withColumn("action", action).drop("stored", "old_code", "old_description")
 
 
 def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
@@ -150,7 +167,9 @@ def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
         "name", "code", "description", F.to_json(F.coalesce("tags", none)).alias("tags"), meta.alias("metadata"),
         now.alias("now"),
     )
-    kept = functions.select("name", "status", "test_cases", "call_count", "last_called_at", "created_at", F.lit(1).alias("stored"))
+    kept = matching(functions, fresh).select(
+        "name", "status", "test_cases", "call_count", "last_called_at", "created_at", F.lit(1).alias("stored")
+    )
     joined = fresh.join(kept, "name", "left")
     is_new = F.col("stored").isNull()
     return joined.select(
@@ -166,8 +185,8 @@ def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
 
 def merge_hub(functions: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
     """The functions table after taking in a record folder; applying it twice changes nothing more."""
-    changed = cut_lineage(hub_rows(functions, hub_actions(functions, records), as_of), "merged")
-    return replace_rows(functions, changed)
+    actions = cut_lineage(hub_actions(functions, records).filter("action IN ('insert', 'update')"), "actions")
+    return replace_rows(functions, hub_rows(functions, actions, as_of), actions)
 
 
 def apply_status(functions: DataFrame, verdicts: DataFrame, as_of: str) -> DataFrame:
@@ -183,4 +202,6 @@ def apply_status(functions: DataFrame, verdicts: DataFrame, as_of: str) -> DataF
 
 
 def archive_assets(functions: DataFrame, candidates: DataFrame, as_of: str) -> DataFrame:
-    return apply_status(functions, candidates.select("name", F.lit("archived").alias("status")), as_of)
+    """Set candidates to ``archived``; their names are written first, for their true size."""
+    names = cut_lineage(candidates.select("name", F.lit("archived").alias("status")), "archived")
+    return apply_status(functions, names, as_of)

@@ -22,9 +22,12 @@ POPULARITY_WEIGHT = 0.1
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix held at once inside a task.
 SCORE_CELLS = 4_000_000
-# Size of either side of one block pair when queries are too many to copy.
+# Size of the vectors a task scores together, and of either side of a block pair.
 BLOCK_BYTES = 64 * 1024 * 1024
 
+_SCALE = 10**vectors.SCORE_DIGITS
+_SCORES = "function_name string, score double"
+_ARROW_SCORES = pa.schema([("function_name", pa.string()), ("score", pa.float64())])
 _HITS = "query_id bigint, function_name string, score double"
 _ARROW_HITS = pa.schema([("query_id", pa.int64()), ("function_name", pa.string()), ("score", pa.float64())])
 
@@ -59,18 +62,29 @@ def _with_payload(hits: DataFrame, functions: DataFrame) -> DataFrame:
     return hits.join(payload, "function_name")
 
 
+def _scores(embeddings: DataFrame, query: list[float]) -> DataFrame:
+    """Name and cosine of every vector that has one, computed where it is read."""
+    vector = np.asarray(query, dtype=np.float64)
+    length = np.linalg.norm(vector)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = _unit_rows(batch.column("vector"), len(vector))
+            if length > 0 and len(kept):
+                values = pa.array(rows @ (vector / length))
+                yield pa.RecordBatch.from_arrays([batch.column("function_name").take(pa.array(kept)), values], schema=_ARROW_SCORES)
+
+    return embeddings.select("function_name", "vector").mapInArrow(score, _SCORES)
+
+
 def cosine_topk(embeddings: DataFrame, functions: DataFrame, query: list[float], k: int = SEARCH_LIMIT) -> DataFrame:
     """Best ``k`` assets for one query vector.
 
-    Vectors are scored where they are read; only name and score go on to the
-    check that the asset exists, and the payload is joined to ``k`` rows.
+    Only name and score go on to the check that the asset exists, and the
+    payload is joined to ``k`` rows.
     """
-    score = vectors.cosine(F.col("vector"), vectors.literal_vector(query))
-    scored = (
-        embeddings.filter(F.size("vector") == len(query)).select("function_name", score.alias("score")).filter("score IS NOT NULL")
-    )
     names = functions.select(F.col("name").alias("function_name"))
-    top = scored.join(names, "function_name", "left_semi").orderBy(*_order()).limit(k)
+    top = _scores(embeddings, query).join(names, "function_name", "left_semi").orderBy(*_order()).limit(k)
     # k rows by construction, so copying them to the scan of the payload is safe.
     return _with_payload(F.broadcast(top), functions)
 
@@ -105,26 +119,71 @@ def _unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return matrix[keep] / norms[keep, None], fit[keep]
 
 
-def _best_rows(query_ids: np.ndarray, queries: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
-    """Best ``k`` names per query among these rows.
-
-    Rows are put in name order and the rounded score is packed above the row
-    position into one exact integer, so that a partial sort settles ties by name.
-    """
-    by_name = np.argsort(names, kind="stable")
-    names, matrix = names[by_name], matrix[by_name]
-    take = min(k, len(names))
-    scale = 10**vectors.SCORE_DIGITS
-    chosen, scores = [], []
-    for start in range(0, len(queries), max(1, SCORE_CELLS // max(1, len(names)))):
-        block = queries[start : start + max(1, SCORE_CELLS // max(1, len(names)))] @ matrix.T
-        packed = np.rint(block * scale).astype(np.int64) * (1 << 32) - np.arange(len(names))
-        best = np.argpartition(packed, len(names) - take, axis=1)[:, len(names) - take :]
-        chosen.append(best)
-        scores.append(np.take_along_axis(block, best, axis=1))
-    picked = np.concatenate(chosen).ravel()
-    columns = [np.repeat(query_ids, take), names[picked], np.concatenate(scores).ravel()]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW_HITS)], schema=_ARROW_HITS)
+def _first_k(order: np.ndarray, query_no: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` rows of each query in an ordering that has the query first."""
+    sorted_queries = query_no[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_queries, sorted_queries, side="left")
+    return order[place < k]
+
+
+class _BestHits:
+    """The best ``k`` rows per query seen so far in one task."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.query_no, self.scores = np.empty(0, np.int64), np.empty(0)
+        self.names = np.empty(0, "U1")
+        # A row below a query's floor cannot be among its best.
+        self.floors = np.full(len(queries), -np.inf)
+
+    def add(self, names: np.ndarray, rows: np.ndarray) -> None:
+        by_name = np.argsort(names, kind="stable")
+        names, rows = names[by_name], rows[by_name]
+        query_no, row_no, scores = self._candidates(rows)
+        query_no, scores = np.append(self.query_no, query_no), np.append(self.scores, scores)
+        names = np.append(self.names, names[row_no])
+        best = _first_k(np.lexsort((names, -np.rint(scores * _SCALE), query_no)), query_no, self.k)
+        self.query_no, self.scores, self.names = query_no[best], scores[best], names[best]
+        full = np.flatnonzero(np.bincount(self.query_no, minlength=len(self.queries)) == self.k)
+        last = np.searchsorted(self.query_no, full, side="right") - 1
+        self.floors[full] = self.scores[last] - 2 / _SCALE
+
+    def _candidates(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At most ``k`` rows per query that may enter its best; rows come in name order."""
+        parts = []
+        step = max(1, SCORE_CELLS // len(rows))
+        for start in range(0, len(self.queries), step):
+            block = self.queries[start : start + step] @ rows.T
+            floors = self.floors[start : start + step].copy()
+            open_ended = np.isneginf(floors)
+            if open_ended.any() and len(rows) > self.k:
+                kth = np.partition(block[open_ended], len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+                floors[open_ended] = kth - 2 / _SCALE
+            query_no, row_no = np.nonzero(block >= floors[:, None])
+            scores = block[query_no, row_no]
+            kept = _first_k(np.lexsort((row_no, -np.rint(scores * _SCALE), query_no)), query_no, self.k)
+            parts.append((query_no[kept] + start, row_no[kept], scores[kept]))
+        return tuple(np.concatenate(column) for column in zip(*parts))
+
+    def to_arrow(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        columns = [query_ids[self.query_no], self.names, self.scores]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW_HITS)], schema=_ARROW_HITS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and unit vectors in pieces of up to ``BLOCK_BYTES``, so that each product is worth its overhead."""
+    names, rows, held = [], [], 0
+    for batch in batches:
+        unit, kept = _unit_rows(batch.column("vector"), dim)
+        if len(kept):
+            names.append(np.asarray(batch.column("function_name").take(pa.array(kept)).to_pylist()))
+            rows.append(unit)
+            held += unit.nbytes
+        if held >= BLOCK_BYTES:
+            yield np.concatenate(names), np.concatenate(rows)
+            names, rows, held = [], [], 0
+    if rows:
+        yield np.concatenate(names), np.concatenate(rows)
 
 
 def _topk(hits: DataFrame, k: int) -> DataFrame:
@@ -138,11 +197,10 @@ def _copied_queries(known: DataFrame, query_ids: np.ndarray, queries: np.ndarray
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        for batch in batches:
-            rows, kept = _unit_rows(batch.column("vector"), matrix.shape[1])
-            if len(kept):
-                names = np.asarray(batch.column("function_name").to_pylist(), dtype=object)[kept]
-                yield _best_rows(ids, matrix, names, rows, k)
+        best = _BestHits(matrix, k)
+        for names, rows in _gathered(batches, matrix.shape[1]):
+            best.add(names, rows)
+        yield best.to_arrow(ids)
 
     return known.select("function_name", "vector").mapInArrow(score, _HITS)
 
@@ -162,13 +220,11 @@ def _blocked_queries(known: DataFrame, queries: DataFrame, dim: int, k: int, que
     right = spread(known, "rb", row_blocks, "qb", query_blocks, "row_id")
 
     def score(block: pa.Table, rows: pa.Table) -> pa.Table:
-        matrix, kept_q = _unit_rows(block.column("vector").combine_chunks(), dim)
-        others, kept_r = _unit_rows(rows.column("vector").combine_chunks(), dim)
-        if not len(kept_q) or not len(kept_r):
-            return _ARROW_HITS.empty_table()
-        ids = block.column("query_id").to_numpy()[kept_q]
-        names = np.asarray(rows.column("function_name").to_pylist(), dtype=object)[kept_r]
-        return pa.Table.from_batches([_best_rows(ids, matrix, names, others, k)])
+        matrix, kept = _unit_rows(block.column("vector").combine_chunks(), dim)
+        best = _BestHits(matrix, k)
+        for names, unit in _gathered(iter(rows.combine_chunks().to_batches()), dim):
+            best.add(names, unit)
+        return pa.Table.from_batches([best.to_arrow(block.column("query_id").to_numpy()[kept])])
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(score, _HITS)
 
@@ -185,7 +241,7 @@ def batch_topk(
     """Best ``k`` assets per row of ``queries(query_id, vector)``: ``query_id, function_name, score, rank``.
 
     A query table proven to fit ``broadcast_bytes`` is copied to the executors,
-    which scan the embeddings once and keep ``k`` rows per query and batch. A
+    which scan the embeddings once and keep ``k`` rows per query and task. A
     larger one is met in hash blocks. Both are exact.
     """
     known = _known_embeddings(embeddings, functions)

@@ -57,7 +57,7 @@ def cache_stats(t):
     return activity.cache_stats(t.fx_query_log)
 
 
-@query("query_keys", "SELECT req_id, md5(query) AS query_key FROM fx_query_log")
+@query("query_keys", "SELECT req_id, md5(query) AS query_key, sha256(query) AS secret_key FROM fx_query_log")
 def query_keys(t):
     return activity.query_keys(t.fx_query_log)
 
