@@ -76,19 +76,23 @@ def advisory_penalty(functions: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def finding_lines(lint: DataFrame, static: DataFrame, functions: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Every finding as printed text, equal copies folded with their count."""
-    lint_text = F.format_string("Line %s [%s]: %s", F.col("row_no").cast("string"), "code_id", "message")
-    static_text = F.format_string("Line %s [%s]: %s", F.col("line_no").cast("string"), "severity", "message")
-    advisory_text = F.format_string("Dependency [%s] (ID: %s): %s", "package", "advisory_id", "advisory")
-    parts = [
-        lint.select("name", F.lit("lint").alias("tool"), F.col("row_no").alias("line_no"), lint_text.alias("text")),
-        static.select("name", F.lit("static").alias("tool"), "line_no", static_text.alias("text")),
-        advisory_hits(functions, advisories).select(
-            "name", F.lit("advisory").alias("tool"), F.lit(None).cast("int").alias("line_no"), advisory_text.alias("text")
-        ),
+    """Every finding as printed text, equal copies folded (before they are printed) with their count."""
+
+    def folded(findings: DataFrame, tool: str, line_no: Column, *parts: str | Column) -> DataFrame:
+        keys = [c for c in ("name", "row_no", "line_no", "code_id", "severity", "message", "package", "advisory_id", "advisory")
+                if c in findings.columns]
+        counted = findings.groupBy(*keys).agg(F.count("*").alias("copies"))
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        return counted.select("name", F.lit(tool).alias("tool"), line_no.alias("line_no"), text.alias("text"), "copies")
+
+    col = F.col
+    hits = advisory_hits(functions, advisories)
+    tables = [
+        folded(lint, "lint", col("row_no"), "Line ", col("row_no"), " [", col("code_id"), "]: ", col("message")),
+        folded(static, "static", col("line_no"), "Line ", col("line_no"), " [", col("severity"), "]: ", col("message")),
+        folded(hits, "advisory", F.lit(None).cast("int"), "Dependency [", col("package"), "] (ID: ", col("advisory_id"), "): ", col("advisory")),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("name", "tool", "line_no", "text").agg(F.count("*").alias("copies"))
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
 def quality_report(
