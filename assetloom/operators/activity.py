@@ -57,13 +57,10 @@ def cache_hits(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
 
 def cache_stats(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
     """Size, hits, misses, hit rate and distinct queries."""
-    per_text = _served(log, threshold).groupBy("query").agg(
-        F.count_if("hit").alias("hits"), F.count("*").alias("requests"), F.bool_or("cached").alias("cached")
-    )
-    totals = per_text.agg(
-        F.count_if("cached").alias("cache_size"),
-        F.coalesce(F.sum("hits"), F.lit(0)).alias("hit_count"),
-        F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
+    totals = _served(log, threshold).agg(
+        F.count_distinct(F.when(F.col("cached"), F.col("query"))).alias("cache_size"),
+        F.count_if("hit").alias("hit_count"),
+        F.count("*").alias("requests"),
         F.count_distinct(normalised_query(F.col("query"))).alias("total_queries"),
     )
     rate = F.coalesce(F.try_divide(F.col("hit_count"), F.col("requests")) * 100, F.lit(0.0))

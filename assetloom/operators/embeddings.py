@@ -95,8 +95,10 @@ def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool
     """
     columns = schemas.EMBEDDINGS.names
     fresh = latest_embeddings(new.select(*columns))
-    kept = embeddings.select(*columns).join(fresh.select("function_name"), "function_name", "left_anti").select(*columns)
-    return (kept if one_per_asset else latest_embeddings(kept)).unionByName(fresh)
+    # Folding before the join: an asset with very many rows is one row by then.
+    held = embeddings.select(*columns) if one_per_asset else latest_embeddings(embeddings.select(*columns))
+    kept = held.join(fresh.select("function_name"), "function_name", "left_anti")
+    return kept.select(*columns).unionByName(fresh)
 
 
 def refresh_embeddings(

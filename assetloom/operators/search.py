@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions import vectors
+from assetloom.session import cut_lineage
 
 # Boost of verified assets and default hit counts.
 VERIFIED_BOOST = 1.2
@@ -33,13 +34,17 @@ _ARROW_HITS = pa.schema([("query_id", pa.int64()), ("function_name", pa.string()
 
 
 def _known_embeddings(embeddings: DataFrame, functions: DataFrame) -> DataFrame:
-    """Embeddings of existing assets; shuffle-free when both are bucketed on the name.
+    """Embeddings of existing assets.
 
+    Names alone are compared first. The names without an asset are written, so
+    that, being few, they are copied to the scan and no vector is shuffled.
     Rows are numbered where they are scanned, to spread equal copies later.
     """
-    names = functions.select(F.col("name").alias("function_name"))
-    numbered = embeddings.select("function_name", "vector", F.monotonically_increasing_id().alias("row_id"))
-    return numbered.join(names, "function_name", "left_semi")
+    named = embeddings.filter("function_name IS NOT NULL")
+    known_names = functions.select(F.col("name").alias("function_name"))
+    orphans = named.select("function_name").join(known_names, "function_name", "left_anti").distinct()
+    numbered = named.select("function_name", "vector", F.monotonically_increasing_id().alias("row_id"))
+    return numbered.join(cut_lineage(orphans, "orphans"), "function_name", "left_anti")
 
 
 def unscorable(embeddings: DataFrame, dimension: int) -> DataFrame:

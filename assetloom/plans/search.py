@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetloom.operators import search
 from assetloom.plans.registry import DIMENSION, Tables, query
+from assetloom.session import cut_lineage
 
 _SCORE = "list_cosine_similarity(CAST(e.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[]))"
 
@@ -21,7 +22,8 @@ QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round({_SCORE}, 9) DESC, e
 _FIRST = "(SELECT * FROM fx_embeddings WHERE id = 0)"
 _BOOSTED = "CASE WHEN status = 'verified' THEN raw * 1.2 ELSE raw END"
 _RANKED = f"""
-SELECT *, {_BOOSTED} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({_BOOSTED}, 9) DESC, function_name) AS rank
+SELECT *, {_BOOSTED} AS score,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round({_BOOSTED}, 9) DESC, function_name) AS INTEGER) AS rank
 FROM ({_best('fx_embeddings', 5)})"""
 
 
@@ -76,7 +78,7 @@ WHERE query_id NOT IN (SELECT query_id FROM r WHERE status = 'verified')"""
 
 
 def hybrid(t: Tables) -> DataFrame:
-    local = batch(t)
+    local = cut_lineage(batch(t), "hits")  # used as both stores' answers
     hits = local.select("query_id", "function_name", "score", "rank")
     shared = local.filter("status = 'verified'").select(*hits.columns)
     return search.hybrid_candidates(shared, hits)
@@ -116,7 +118,7 @@ _POPULAR = "raw * (1 + 0.1 * ln(1 + call_count))"
 
 @query("search_popularity", f"""
 SELECT query_id, function_name, round({_POPULAR}, 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round({_POPULAR}, 9) DESC, function_name) AS rank
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY round({_POPULAR}, 9) DESC, function_name) AS INTEGER) AS rank
 FROM ({_best('fx_embeddings', 10)}) QUALIFY rank <= 5""")
 def search_popularity(t):
     hits = search.batch_topk(t.fx_embeddings, t.fx_functions, query_table(t), DIMENSION)

@@ -74,10 +74,22 @@ def test_single_search_ships_scores_not_vectors(spark, stored):
     assert "TakeOrderedAndProject" in text
 
 
-def test_batch_search_prunes_before_the_shuffle(spark, stored):
+def test_batch_search_prunes_before_the_shuffle_and_moves_no_vectors(spark, stored):
     t = Tables(spark, SF_DIR)
     queries = t.fx_embeddings.selectExpr("id AS query_id", "vector")
-    assert "WindowGroupLimit" in plan(search.batch_topk(t.fx_embeddings, stored, queries, 64))
+    text = plan(search.batch_topk(t.fx_embeddings, stored, queries, 64))
+    assert "WindowGroupLimit" in text
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", text)
+    assert exchanges and all("vector" not in e for e in exchanges)
+
+
+def test_small_batch_leaves_the_stored_table_in_place(spark, stored):
+    t = Tables(spark, SF_DIR)
+    names = t.fx_names.limit(20)
+    path = work_path(spark, "few-names")
+    names.write.parquet(path)
+    text = plan(lookup.get_details(stored, spark.read.parquet(path)))
+    assert not re.findall(r"\(\d+\) Exchange\n", text)
 
 
 def test_bucketed_tables_join_without_an_exchange(spark, stored):
