@@ -33,10 +33,10 @@ def stored(spark):
 
 
 PYTHON = {"ArrowEvalPython", "MapInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas"}
+# In the final plan; a query that writes an intermediate table may have used Python before.
 USES_PYTHON = {
     "code_facts", "security_verdict", "security_violations", "syntax_status", "required_packages", "internal_edges",
-    "internal_dependencies", "search_topk", "search_boosted", "search_batch", "search_batch_blocks", "search_hybrid", "search_select",
-    "search_attach_code", "search_popularity",
+    "internal_dependencies", "search_topk", "search_boosted", "search_batch", "search_batch_blocks", "search_popularity",
 }
 
 
