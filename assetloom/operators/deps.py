@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import json
 from assetloom.functions.text import strip
 from assetloom.operators.ranking import ranked
-from assetloom.session import cut_lineage
+from assetloom.session import cut_counted, cut_lineage
 
 # Import roots that need no package.
 STDLIB_ROOTS = (
@@ -95,14 +95,14 @@ def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) ->
     spark = roots.sparkSession
     edges = cut_lineage(_known(edges.select("src", "dst").distinct(), "dst", functions), "edges")
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
-    frontier = cut_lineage(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "closure")
+    frontier, new = cut_counted(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "closure")
     written = [frontier]
-    while not frontier.isEmpty():
+    while new:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")
         )
         seen = _rounds(spark, written).select("root", "node")
-        frontier = cut_lineage(step.distinct().join(seen, ["root", "node"], "left_anti"), "closure")
+        frontier, new = cut_counted(step.distinct().join(seen, ["root", "node"], "left_anti"), "closure")
         written.append(frontier)
     return _rounds(spark, written)
 
@@ -122,16 +122,18 @@ def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> Da
     edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "edges")
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
     start = start.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("label"))
-    frontier = cut_lineage(start, "labels")
+    frontier, new = cut_counted(start, "labels")
     written = [frontier]
-    while not frontier.isEmpty():
+    while new:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), F.array_append("label", F.col("ord")).alias("label")
         )
         step = step.groupBy("root", "node").agg(F.min("label").alias("label"))
-        best = _least_labels(spark, written).withColumnRenamed("label", "held")
-        better = F.col("held").isNull() | (F.col("label") < F.col("held"))
-        frontier = cut_lineage(step.join(best, ["root", "node"], "left").filter(better).drop("held"), "labels")
+        held = _rounds(spark, written).select(
+            F.col("root").alias("r"), F.col("node").alias("n"), F.col("label").alias("held")
+        )
+        no_better = (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")) & (F.col("held") <= F.col("label"))
+        frontier, new = cut_counted(step.join(held, no_better, "left_anti"), "labels")
         written.append(frontier)
     closed = _least_labels(spark, written).withColumn("label", F.array_append("label", F.lit(2**31 - 1)))
     return ranked(closed, ["root"], ["label"], "bundles").select("root", "node", F.col("rank").alias("position"))

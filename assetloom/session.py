@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Only settings that differ from Spark's defaults.
 SESSION_CONF = {
@@ -51,6 +52,13 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/assetloom/{label}-{uuid.uuid4().hex}"
 
 
+def cut_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and how many rows the write saw, without another job."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return written, seen.get["rows"]
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -13,7 +13,7 @@ from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, e
 from assetloom.operators.maintenance import apply_status, hub_actions, hub_rows, prepare_saves, saved_rows
 from assetloom.operators.quality import verification_status
 from assetloom.session import cut_lineage
-from assetloom.sources.hub import split_records
+from assetloom.sources.hub import split_records, sync_counts
 from assetloom.streaming.changelog import ChangeLog
 
 
@@ -44,13 +44,21 @@ def usage_totals(spark: SparkSession, deltas: str) -> DataFrame:
     return rows.groupBy("name").agg(F.sum("calls").alias("calls"), F.max("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
-def hub_stream(records: DataFrame, log: ChangeLog, as_of: str, checkpoint: str) -> StreamingQuery:
-    """Merge record files as they appear."""
+def hub_stream(
+    records: DataFrame, log: ChangeLog, as_of: str, checkpoint: str, counts: str | None = None
+) -> StreamingQuery:
+    """Merge record files as they appear; ``counts`` is a folder for one row of totals per micro-batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         current = log.current(before=batch_id)
-        actions = hub_actions(current, split_records(batch).records)
+        scan = split_records(batch)
+        actions = cut_lineage(hub_actions(current, scan.records), "actions")
         log.write(batch_id, hub_rows(current, actions, as_of))
+        if counts:
+            rejected = scan.rejected.agg(F.count("*").alias("rejected"))
+            totals = sync_counts(actions).withColumn("batch_id", F.lit(batch_id))
+            totals = totals.join(rejected.withColumn("batch_id", F.lit(batch_id)), "batch_id")
+            totals.write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
     return start(records, handle, checkpoint)
 

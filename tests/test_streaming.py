@@ -82,6 +82,7 @@ def base(spark):
 
 def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
     log = ChangeLog(folders["changes"], base)
+    (tmp_path / "bad.json").write_text("{")
     files = [
         {"name": "a", "code": "x = 2", "description": "one"},
         {"name": "n", "code": "z = 1", "tags": ["t"], "quality_score": 12.5},
@@ -90,11 +91,13 @@ def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
     expected = base
     for i, record in enumerate(files):
         (tmp_path / f"r{i}.json").write_text(json.dumps(record, indent=1))
-        jobs.hub_stream(hub.stream_hub_records(spark, str(tmp_path)), log, AS_OF, folders["checkpoint"]).awaitTermination()
+        jobs.hub_stream(hub.stream_hub_records(spark, str(tmp_path)), log, AS_OF, folders["checkpoint"], folders["out"]).awaitTermination()
         one = spark.read.schema(schemas.HUB_RECORD).option("multiLine", True).json(str(tmp_path / f"r{i}.json"))
         expected = maintenance.merge_hub(expected, one, AS_OF)
     assert by_name(log.current()) == by_name(expected)
     assert json.loads(by_name(log.current())["n"]["metadata"])["quality_score"] == 12.5
+    totals = spark.read.parquet(folders["out"]).agg(F.sum("insert"), F.sum("update"), F.sum("rejected")).first()
+    assert tuple(totals) == (1, 2, 1)
 
 
 def test_replayed_batch_changes_nothing(spark, folders, base):
