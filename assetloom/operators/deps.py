@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assetloom.functions import json
 from assetloom.functions.text import strip
 from assetloom.operators.ranking import ranked
-from assetloom.session import cut_counted, cut_lineage
+from assetloom.session import Rounds, cut_lineage
 
 # Import roots that need no package.
 STDLIB_ROOTS = (
@@ -80,11 +80,6 @@ def _known(df: DataFrame, column: str, functions: DataFrame) -> DataFrame:
     return df.join(functions.select(F.col("name").alias(column)), column, "left_semi")
 
 
-def _rounds(spark, paths: list[DataFrame]) -> DataFrame:
-    files = [f for df in paths for f in df.inputFiles()]
-    return spark.read.schema(paths[0].schema).parquet(*files)
-
-
 def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
     """``(root, node, depth)`` for everything reachable from each known root.
 
@@ -95,16 +90,15 @@ def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) ->
     spark = roots.sparkSession
     edges = cut_lineage(_known(edges.select("src", "dst").distinct(), "dst", functions), "edges")
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
-    frontier, new = cut_counted(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "closure")
-    written = [frontier]
+    rounds = Rounds(spark, "closure")
+    frontier, new = rounds.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     while new:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")
         )
-        seen = _rounds(spark, written).select("root", "node")
-        frontier, new = cut_counted(step.distinct().join(seen, ["root", "node"], "left_anti"), "closure")
-        written.append(frontier)
-    return _rounds(spark, written)
+        seen = rounds.all().select("root", "node")
+        frontier, new = rounds.add(step.distinct().join(seen, ["root", "node"], "left_anti"))
+    return rounds.all()
 
 
 def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
@@ -122,27 +116,21 @@ def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> Da
     edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "edges")
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
     start = start.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("label"))
-    frontier, new = cut_counted(start, "labels")
-    written = [frontier]
+    rounds = Rounds(spark, "labels")
+    frontier, new = rounds.add(start)
     while new:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), F.array_append("label", F.col("ord")).alias("label")
         )
         step = step.groupBy("root", "node").agg(F.min("label").alias("label"))
-        held = _rounds(spark, written).select(
-            F.col("root").alias("r"), F.col("node").alias("n"), F.col("label").alias("held")
-        )
+        held = rounds.all().select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("label").alias("held"))
         no_better = (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")) & (F.col("held") <= F.col("label"))
-        frontier, new = cut_counted(step.join(held, no_better, "left_anti"), "labels")
-        written.append(frontier)
-    closed = _least_labels(spark, written).withColumn("label", F.array_append("label", F.lit(2**31 - 1)))
+        frontier, new = rounds.add(step.join(held, no_better, "left_anti"))
+    least = rounds.all().groupBy("root", "node").agg(F.min("label").alias("label"))
+    closed = least.withColumn("label", F.array_append("label", F.lit(2**31 - 1)))
     return ranked(closed, ["root"], ["label"], "bundles").select("root", "node", F.col("rank").alias("position"))
 
 
-def _least_labels(spark, written: list[DataFrame]) -> DataFrame:
-    return _rounds(spark, written).groupBy("root", "node").agg(F.min("label").alias("label"))
-
-
 def bundle_rows(order: DataFrame, functions: DataFrame) -> DataFrame:
     """One row per asset of a bundle, with its printed section."""
     code = functions.select(F.col("name").alias("node"), "code")

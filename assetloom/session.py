@@ -52,13 +52,6 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/assetloom/{label}-{uuid.uuid4().hex}"
 
 
-def cut_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """``cut_lineage`` and how many rows the write saw, without another job."""
-    seen = Observation()
-    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
-    return written, seen.get["rows"]
-
-
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -68,3 +61,21 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The written rounds of an iteration, one folder each below a common one."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path, self.number, self.schema = spark, work_path(spark, label), 0, None
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write the next round; give it back with the row count the write saw."""
+        seen = Observation()
+        target = f"{self.path}/round={self.number}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+        self.number, self.schema = self.number + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(target), seen.get["rows"]
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
