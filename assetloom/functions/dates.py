@@ -38,3 +38,21 @@ def days_since(text: Column, as_of: str) -> Column:
     """Whole days from a stored date to ``as_of``; unreadable or future dates give 0."""
     days = F.extract(F.lit("DAY"), instant(as_of) - parse_naive(text))
     return F.greatest(F.lit(0), F.coalesce(days, F.lit(0))).cast("int")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc_instant(naive: Column) -> Column:
+    """The instant a naive UTC time names, whatever the session's time zone."""
+    span = naive - _epoch()
+    days, hours, minutes, seconds = (F.extract(F.lit(f), span) for f in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    whole = ((days.cast("bigint") * 24 + hours) * 60 + minutes) * 60_000_000
+    return F.timestamp_micros(whole + (seconds * 1_000_000).cast("bigint"))
+
+
+def utc_naive(instant_: Column) -> Column:
+    """The naive UTC time of an instant."""
+    seconds = (F.unix_micros(instant_) / 1_000_000).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetloom.functions import dates
 from assetloom.operators import maintenance
 from assetloom.operators.activity import IDLE_SECONDS
 from assetloom.plans import activity as batch
@@ -32,7 +33,7 @@ def _complete(t: Tables, stream: DataFrame, label: str) -> DataFrame:
 
     jobs.start(stream, handle, work_path(t.spark, "checkpoint"), "complete").awaitTermination()
     rows = t.spark.read.parquet(out)
-    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"})
+    return rows.withColumns({c: dates.utc_naive(F.col(c)) for c, kind in rows.dtypes if kind == "timestamp"})
 
 
 @query("stream_usage", batch.APPLIED)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from assetloom.functions import dates
 from assetloom.operators.activity import IDLE_SECONDS, usage_delta
 from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, embedding_text
 from assetloom.operators.maintenance import apply_status, hub_actions, hub_rows, prepare_saves, saved_rows
@@ -20,7 +21,8 @@ from assetloom.streaming.changelog import ChangeLog
 def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
     """Parquet files appearing in a folder, with event times watermarks accept."""
     raw = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in raw.columns else raw
+    naive = dict(raw.dtypes).get("ts") == "timestamp_ntz"
+    return raw.withColumn("ts", dates.utc_instant(F.col("ts"))) if naive else raw
 
 
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -41,7 +43,7 @@ def usage_stream(events: DataFrame, deltas: str, checkpoint: str, watermark: str
 
 def usage_totals(spark: SparkSession, deltas: str) -> DataFrame:
     rows = spark.read.option("basePath", deltas).parquet(deltas)
-    return rows.groupBy("name").agg(F.sum("calls").alias("calls"), F.max("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    return rows.groupBy("name").agg(F.sum("calls").alias("calls"), dates.utc_naive(F.max("last_ts")).alias("last_ts"))
 
 
 def hub_stream(
