@@ -114,7 +114,7 @@ def test_internal_edges_ignore_attribute_calls(spark):
 
 
 def _depth_first(children: dict[str, list[str]], root: str) -> list[str]:
-    """Post-order by plain recursion, as the reference behaviour is described."""
+    """Post-order by plain recursion."""
     seen, order = set(), []
 
     def visit(node: str) -> None:
