@@ -165,9 +165,10 @@ def blend_review(report: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def _same_value(a: Column, b: Column) -> Column:
-    """Equal as JSON text, or as numbers when both are."""
+    """Equal as JSON text, as numbers when both are, or as JSON values whatever their key order."""
     as_numbers = a.try_cast("double") == b.try_cast("double")
-    return a.eqNullSafe(b) | F.coalesce(as_numbers, F.lit(False))
+    as_values = F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
+    return a.eqNullSafe(b) | F.coalesce(as_numbers, F.lit(False)) | F.coalesce(as_values, F.lit(False))
 
 
 def failed_cases(results: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.functions import dates, text
+from assetloom.functions import text
 from assetloom.operators import cleaning, embeddings, lookup, maintenance, retention, triage
 from assetloom.plans import duck
 from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
@@ -219,9 +219,12 @@ SELECT seq, {duck.clean_text('name')} AS name, {duck.clean_code('code')} AS code
 FROM fx_save_requests"""
 
 
-@query("save_assets", f"""
+LAST_SAVES = f"""
 WITH s AS ({_SAVES}),
-last AS (SELECT * FROM s WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)
+last AS (SELECT * FROM s WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)"""
+
+
+@query("save_assets", f"""{LAST_SAVES}
 SELECT l.name, l.code, l.description, l.tags,
   concat('{{"dependencies":["numpy"],"saved_at":"{AS_OF_ISO}","quality_score":', CASE WHEN parses THEN '50' ELSE '0' END, '}}')
     AS metadata,

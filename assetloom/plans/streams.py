@@ -12,8 +12,8 @@ from assetloom.functions import dates
 from assetloom.operators import maintenance
 from assetloom.operators.activity import IDLE_SECONDS
 from assetloom.plans import activity as batch
-from assetloom.plans.catalog import HUB_MERGE_SQL, digest_vectors, hub_records, save_batch
-from assetloom.plans.registry import AS_OF, Tables, query
+from assetloom.plans.catalog import HUB_MERGE_SQL, LAST_SAVES, PROVIDER_DIM, digest_vectors, hub_records, save_batch
+from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
 from assetloom.session import cut_lineage, work_path
 from assetloom.sources.hub import stream_hub_records, write_hub_records
 from assetloom.streaming import jobs
@@ -55,9 +55,14 @@ def stream_hub(t):
     return log.current()
 
 
-@query("stream_saves")
+@query("stream_saves", f"""{LAST_SAVES}
+SELECT l.name, CASE WHEN NOT parses THEN 'broken' WHEN test_cases = '[]' THEN 'pending_tests' WHEN v.name IS NULL THEN 'error_internal'
+  ELSE v.status END AS status, '{AS_OF_ISO}' AS updated_at, {PROVIDER_DIM} AS dimension
+FROM last l LEFT JOIN fx_verdicts v ON v.name = l.name
+UNION ALL
+SELECT name, status, updated_at, CAST(NULL AS INTEGER) AS dimension FROM fx_functions WHERE name NOT IN (SELECT name FROM last)""")
 def stream_saves(t):
-    """Rows-only: statuses and vectors of saved requests, batch by batch."""
+    """Statuses and vectors of saved requests, batch by batch."""
     requests = work_path(t.spark, "requests")
     save_batch(t).write.parquet(requests)
     log = ChangeLog(work_path(t.spark, "changes"), cut_lineage(t.fx_functions, "base"))

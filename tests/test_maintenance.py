@@ -219,7 +219,8 @@ def test_quality_scores(spark):
 
 
 def test_case_verdicts(spark):
-    rows = [("a", 0, "5", "5.0", None), ("a", 1, '{"k":1}', '{"k":2}', None), ("a", 2, "1", None, "boom"), ("b", 0, None, None, None)]
+    rows = [("a", 0, "5", "5.0", None), ("a", 1, '{"k":1}', '{"k":2}', None), ("a", 2, "1", None, "boom"), ("b", 0, None, None, None),
+            ("b", 1, '{"x": 1, "y": [2]}', '{"y":[2],"x":1}', None)]
     results = spark.createDataFrame(rows, "name string, case_no long, expected string, actual string, trace string")
     got = {r["name"]: (r["failures"], r["status"]) for r in quality.evaluate_test_results(results).collect()}
     assert got == {"a": (2, "error"), "b": (0, "success")}
