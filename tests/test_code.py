@@ -184,3 +184,12 @@ def test_facts_follow_the_walk_order(spark):
         ("import", "a.b", "a"), ("import", "c", "c"), ("import_from", "d.e", "d"), ("call", "g", "g"), ("attr_call", "i", "i"),
     ]
     assert all(type(walk[f["pos"]]).__name__ in ("Import", "ImportFrom", "Call") for f in row["facts"])
+
+
+def test_bundle_from_parsed_calls(spark):
+    rows = [("main", "helper()\nbase()"), ("helper", "base()"), ("base", "x = 1"), ("other", "y = 2")]
+    functions = spark.createDataFrame(rows, "name string, code string")
+    edges = deps.ordered_edges(deps.internal_edges(facts.with_facts(functions), functions))
+    assert sorted(map(tuple, edges.collect())) == [("helper", 0, "base"), ("main", 0, "base"), ("main", 1, "helper")]
+    order = deps.bundle_order(edges, functions.filter("name = 'main'"), functions)
+    assert [r["node"] for r in order.orderBy("position").collect()] == ["base", "helper", "main"]
