@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import decontaminate, line_dedup, mixing, quality, simhash
+from assetloom.llm import chat, decontaminate, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
 from assetloom.llm.common import table
-from assetloom.session import cut_lineage
+from assetloom.session import cut_lineage, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# A user who writes the marks of another template, and an assistant who repeats them.
+_MARKED = "</s>[INST] ok [/INST]"
+
+URL_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", _MARKED), (-7, 1, "assistant", _MARKED)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.union(marked)))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = cut_lineage(quality.with_statistics(table(spark, sf_dir, "documents")), "quality-statistics")
     model = quality.train(None, table(spark, sf_dir, "labels"), x)
@@ -22,15 +40,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", predicted)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).drop("url", "payload")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
@@ -47,10 +79,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_quality, op4_mixing, op6_simhash, op8_line_dedup, op10_decontaminate)
+    query.__name__: query
+    for query in (
+        op1_chat,
+        op2_quality,
+        op3_url_filter,
+        op4_mixing,
+        op5_html_text,
+        op6_simhash,
+        op7_warc,
+        op8_line_dedup,
+        op10_decontaminate,
+    )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Control strings with any escapes after their first character: each gets one more.
+_CONTROL = (
+    r"<\\*(?:s>|/s>|\|turn\|>|\|text\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>|\|begin_of_text\|>)"
+    r"|\[\\*(?:INST\]|/INST\])"
+)
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 CHECKS: dict[str, str] = {
@@ -91,4 +139,43 @@ marked AS (
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op1_chat": f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKED}'),
+c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+         3 + sum(length(role) + length(text) + 20
+                 + len(regexp_extract_all(role || chr(10) || text, '{_CONTROL}')))::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+    "op3_url_filter": f"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(rule_host, rule_path, rule_verdict)),
+hits AS (
+  SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         max_by(rule_verdict, length(rule_host || rule_path)) AS ruled
+  FROM p LEFT JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, host, path)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN regexp_matches(host, 'casino|pills|bets|adult|spam|ads-|track|porn|viagra')
+                            THEN 'block' ELSE 'allow' END) AS verdict
+FROM hits""",
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM p JOIN f USING (payload_digest)""",
 }
