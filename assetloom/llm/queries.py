@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import chat, decontaminate, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
+from assetloom.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
 from assetloom.llm.common import table
 from assetloom.session import cut_lineage, work_path
 
@@ -74,6 +74,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op6_simhash,
         op7_warc,
         op8_line_dedup,
+        op9_embedding_dedup,
         op10_decontaminate,
     )
 }
