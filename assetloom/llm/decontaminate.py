@@ -107,21 +107,22 @@ class Probe:
         return [
             (self.items[i][0], int(mask.sum()), len(mask), first)
             for i, (mask, first) in sorted(covered.items())
-            if mask.sum() >= min(LONG_OVERLAP, LEAST_SHARE * len(mask))
+            if mask.sum() >= min(LONG_OVERLAP, LEAST_SHARE * len(mask) - 1e-9)
         ]
 
 
 def _runs_of(same: np.ndarray) -> np.ndarray:
     """Equal words of stretches in which at most every fifth word differs and ``LEAST_RUN`` are equal.
 
-    Around an equal word, the share is taken over the nine words nearest to it;
-    this lets single changed words pass and cuts stretches of chance equality.
+    Around an equal word, equal ones are counted among the nine words nearest to
+    it, or the fewer that there are at an end; this lets single changed words
+    pass and cuts stretches of chance equality.
     """
     least = min(LEAST_RUN, len(same))
     sums = np.concatenate([[0], np.cumsum(same)])
     at = np.arange(len(same))
     low, high = np.maximum(0, at - 4), np.minimum(len(same), at + 5)
-    dense = (sums[high] - sums[low]) >= np.minimum(least, high - low)
+    dense = (sums[high] - sums[low]) >= np.minimum(least, 4 * (high - low) // 5)
     return same & dense
 
 
