@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from assetloom.functions.hashing import normalised_query, query_key, secret_key
 
-# When a query counts as popular, how many are kept, idle gap.
-POPULAR_FROM, POPULAR_KEPT = 3, 500
+# When a query counts as popular, idle gap.
+POPULAR_FROM = 3
 IDLE_SECONDS = 1800
 
 
@@ -17,11 +17,13 @@ def usage_delta(log: DataFrame) -> DataFrame:
     return log.groupBy("name").agg(F.count("*").alias("calls"), F.max("ts").alias("last_ts"))
 
 
-def popular_queries(log: DataFrame, threshold: int = POPULAR_FROM, top: int = POPULAR_KEPT) -> DataFrame:
+def popular_queries(log: DataFrame, threshold: int = POPULAR_FROM, top: int | None = None) -> DataFrame:
+    """Queries asked ``threshold`` times or more; all of them, or the ``top`` most frequent."""
     counts = log.groupBy(normalised_query(F.col("query")).alias("query")).agg(
         F.count("*").alias("frequency"), F.max("ts").alias("last_accessed")
     )
-    return counts.filter(F.col("frequency") >= threshold).orderBy(F.desc("frequency"), "query").limit(top)
+    popular = counts.filter(F.col("frequency") >= threshold)
+    return popular if top is None else popular.orderBy(F.desc("frequency"), "query").limit(top)
 
 
 def cached_from(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
@@ -56,11 +58,14 @@ def cache_hits(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
 
 
 def cache_stats(log: DataFrame, threshold: int = POPULAR_FROM) -> DataFrame:
-    """Size, hits, misses, hit rate and distinct queries."""
-    totals = _served(log, threshold).agg(
-        F.count_distinct(F.when(F.col("cached"), F.col("query"))).alias("cache_size"),
-        F.count_if("hit").alias("hit_count"),
-        F.count("*").alias("requests"),
+    """Size, hits, misses, hit rate and distinct queries; the log is folded by exact query first."""
+    by_query = _served(log, threshold).groupBy("query").agg(
+        F.bool_or("cached").alias("cached"), F.count_if("hit").alias("hits"), F.count("*").alias("asked")
+    )
+    totals = by_query.agg(
+        F.count_if("cached").alias("cache_size"),
+        F.coalesce(F.sum("hits"), F.lit(0)).alias("hit_count"),
+        F.coalesce(F.sum("asked"), F.lit(0)).alias("requests"),
         F.count_distinct(normalised_query(F.col("query"))).alias("total_queries"),
     )
     rate = F.coalesce(F.try_divide(F.col("hit_count"), F.col("requests")) * 100, F.lit(0.0))

@@ -11,10 +11,11 @@ from assetloom.operators.ranking import ranked
 from assetloom.session import Rounds, cut_lineage
 
 # Import roots that need no package.
-STDLIB_ROOTS = (
-    "os sys re json ast datetime math collections typing logging tempfile subprocess base64 hashlib abc "
-    "functools inspect io pathlib random time threading queue socket struct traceback uuid xml"
-).split()
+STDLIB_ROOTS = [
+    "os", "sys", "re", "json", "ast", "datetime", "math", "collections", "typing", "logging", "tempfile",
+    "subprocess", "base64", "hashlib", "abc", "functools", "inspect", "io", "pathlib", "random", "time",
+    "threading", "queue", "socket", "struct", "traceback", "uuid", "xml",
+]
 
 # Import roots whose package has another name.
 PACKAGE_OF_ROOT = {

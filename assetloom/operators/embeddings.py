@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,21 +16,24 @@ from assetloom.operators.lookup import matching
 from assetloom.operators.ranking import latest
 from assetloom.session import cut_lineage
 
-# Fixed value: how much of the code goes into the text to embed.
-CODE_CHARS = 500
+# Fixed value: characters of code in a text to embed that is to equal those of older catalogues.
+COMPATIBLE_CODE_CHARS = 500
 
 # A provider turns a list of texts into one vector (or None) per text.
 Provider = Callable[[list[str]], list[list[float] | None]]
 
 
-def embedding_text(functions: DataFrame, with_deps: bool = True) -> DataFrame:
+def embedding_text(functions: DataFrame, with_deps: bool = True, code_chars: int | None = None) -> DataFrame:
+    """The text to embed of each asset, with its whole code or the first ``code_chars`` characters."""
+    code = F.coalesce("code", F.lit(""))
+    code = code if code_chars is None else F.substring(code, 1, code_chars)
     tags = list_literal(json.string_list(F.col("tags")))
     deps = list_literal(json.metadata_list(F.col("metadata"), "dependencies"))
     parts = [F.lit("Name: "), F.col("name"), F.lit("\nDesc: "), F.coalesce("description", F.lit("None"))]
     parts += [F.lit("\nTags: "), tags]
     if with_deps:
         parts += [F.lit("\nDeps: "), deps]
-    parts += [F.lit("\nCode:\n"), F.substring(F.coalesce("code", F.lit("")), 1, CODE_CHARS)]
+    parts += [F.lit("\nCode:\n"), code]
     return functions.select("name", F.concat(*parts).alias("text"))
 
 
@@ -70,6 +74,19 @@ def embed(texts: DataFrame, provider: Provider) -> DataFrame:
     return made.select("name", F.col("_made.vector").alias("vector"), F.col("_made.error").alias("error"))
 
 
+def of_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
+    """Vectors of another length turned into failures: stored, they would be stale at once."""
+    wrong = F.col("vector").isNotNull() & (F.size("vector") != dimension)
+    text = F.concat(F.lit(f"{dimension} values wanted, got "), F.size("vector"))
+    return vectors.select(
+        "name", F.when(~wrong, F.col("vector")).alias("vector"), F.when(wrong, text).otherwise(F.col("error")).alias("error")
+    )
+
+
+def failures(vectors: DataFrame) -> DataFrame:
+    return vectors.filter("vector IS NULL").select("name", "error")
+
+
 def as_embedding_rows(vectors: DataFrame, model: str, as_of: str) -> DataFrame:
     return vectors.filter("vector IS NOT NULL").select(
         F.xxhash64("name").alias("id"),
@@ -82,35 +99,45 @@ def as_embedding_rows(vectors: DataFrame, model: str, as_of: str) -> DataFrame:
 
 
 def latest_embeddings(embeddings: DataFrame) -> DataFrame:
-    """One row per asset, the last encoded; of equals the highest id."""
-    return latest(embeddings, "function_name", [dates.parse_any(F.col("encoded_at")), F.col("id")])
+    """One row per asset: the last encoded, of equals the last ``batch`` (where streams write one), then the highest id."""
+    batch = [F.col("batch")] if "batch" in embeddings.columns else []
+    return latest(embeddings, "function_name", [dates.parse_any(F.col("encoded_at")), *batch, F.col("id")])
 
 
-def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool = False) -> DataFrame:
+def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool = True) -> DataFrame:
     """Insert or replace by asset name.
 
     ``one_per_asset`` says the stored table already holds one row per asset, as
     every table written here does. Stored vectors then pass through an
     anti-join on the (usually small) new names and need no shuffle of their own.
+    Tables of other origin are folded first when it is false.
     """
     columns = schemas.EMBEDDINGS.names
-    fresh = latest_embeddings(new.select(*columns))
+    fresh = latest_embeddings(new).select(*columns)
     # Folding before the join: an asset with very many rows is one row by then.
     held = embeddings.select(*columns) if one_per_asset else latest_embeddings(embeddings.select(*columns))
     kept = held.join(fresh.select("function_name"), "function_name", "left_anti")
     return kept.select(*columns).unionByName(fresh)
 
 
+class RefreshResult(NamedTuple):
+    embeddings: DataFrame
+    failed: DataFrame
+
+
 def refresh_embeddings(
     functions: DataFrame, embeddings: DataFrame, provider: Provider, model: str, dimension: int, as_of: str,
-    one_per_asset: bool = False,
-) -> DataFrame:
-    """Re-embed what is stale and return the whole new embeddings table."""
+    one_per_asset: bool = True, code_chars: int | None = None,
+) -> RefreshResult:
+    """Re-embed what is stale: the whole new embeddings table, and ``(name, error)`` for each asset that failed.
+
+    A failed asset keeps the row it has, and stays stale.
+    """
     stale = cut_lineage(stale_embeddings(functions, embeddings, model, dimension), "stale")
-    texts = embedding_text(matching(functions, stale))
-    # Written once: the upsert reads the new rows twice, and embedding is the costly part.
-    fresh = cut_lineage(as_embedding_rows(embed(texts, provider), model, as_of), "embedded")
-    return upsert_embeddings(embeddings, fresh, one_per_asset)
+    texts = embedding_text(matching(functions, stale), code_chars=code_chars)
+    # Written once: the new rows are read three times, and embedding is the costly part.
+    made = cut_lineage(of_dimension(embed(texts, provider), dimension), "embedded")
+    return RefreshResult(upsert_embeddings(embeddings, as_embedding_rows(made, model, as_of), one_per_asset), failures(made))
 
 
 def model_version_check(config: DataFrame, model: str) -> DataFrame:

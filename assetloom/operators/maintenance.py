@@ -16,7 +16,7 @@ from assetloom.functions import dates
 from assetloom.operators.cleaning import default_description, sanitize
 from assetloom.operators.facts import with_facts
 from assetloom.operators.lookup import matching
-from assetloom.operators.ranking import latest
+from assetloom.operators.ranking import latest, latest_stored
 from assetloom.operators.security import SecurityRules, first_secret, verdict_message
 from assetloom.session import cut_lineage
 
@@ -49,10 +49,12 @@ def prepare_saves(batch: DataFrame, as_of: str, gate: str = "draft", rules: Secu
     """Default, sanitise, parse and gate a batch of save requests.
 
     ``batch``: seq, name, code, description, tags array, dependencies array,
-    test_cases JSON. Of requests with one name the last by ``seq`` that passes
-    the gate is stored. The ``draft`` gate rejects secrets; ``strict`` also
-    rejects unsafe or unparsable code.
+    test_cases JSON, and optionally skip_test. Of requests with one name the
+    last by ``seq`` that passes the gate is stored. The ``draft`` gate rejects
+    secrets; ``strict`` also rejects unsafe or unparsable code. The judged batch
+    is written once, so each request is cleaned and parsed once.
     """
+    skips = F.coalesce("skip_test", F.lit(False)) if "skip_test" in batch.columns else F.lit(False)
     described = batch.withColumn("description", default_description(F.col("description"), as_of))
     clean = with_facts(sanitize(described))
     reason = F.when(first_secret(F.col("code")).isNotNull(), SECRET_REJECTION)
@@ -69,16 +71,17 @@ def prepare_saves(batch: DataFrame, as_of: str, gate: str = "draft", rules: Secu
         "seq", "name", "code", "description", F.to_json("tags").alias("tags"), meta.alias("metadata"),
         F.when(parses, "pending").otherwise("broken").alias("status"),
         F.coalesce("test_cases", F.lit("[]")).alias("test_cases"), now.alias("created_at"), now.alias("updated_at"),
-        reason.alias("reason"),
+        skips.alias("skip_test"), reason.alias("reason"),
     )
-    accepted = latest(judged.filter("reason IS NULL").drop("reason"), "name", [F.col("seq")])
+    judged = cut_lineage(judged, "judged")
+    accepted = latest_stored(judged, "reason IS NULL", "name", "seq").drop("reason")
     return SaveResult(accepted, judged.filter("reason IS NOT NULL").select("seq", "name", "reason"))
 
 
 def saved_rows(functions: DataFrame, accepted: DataFrame) -> DataFrame:
     """Full rows to store; a replaced asset keeps its use counter, not its age."""
     kept = matching(functions.select("name", "call_count", "last_called_at"), accepted)
-    joined = accepted.drop("seq").join(kept, "name", "left")
+    joined = accepted.drop("seq", "skip_test").join(kept, "name", "left")
     return joined.withColumn("call_count", F.coalesce("call_count", F.lit(schemas.DEFAULT_CALL_COUNT))).select(*COLUMNS)
 
 
@@ -148,8 +151,8 @@ def hub_actions(functions: DataFrame, records: DataFrame) -> DataFrame:
     return joined.withColumn("action", action).drop("stored", "old_code", "old_description")
 
 
-def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
-    """Full rows to store for inserts and updates."""
+def _fresh(records: DataFrame, as_of: str) -> DataFrame:
+    """What a record sets in a stored row."""
     none = F.array().cast("array<string>")
     now = F.lit(as_of.replace(" ", "T"))
     score = F.coalesce("quality_score", F.lit(0.0))
@@ -157,12 +160,27 @@ def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
     score_text = F.when(score == F.floor(score), score.cast("bigint").cast("string")).otherwise(score.cast("string"))
     deps = F.to_json(F.coalesce("dependencies", none))
     meta = F.concat(
-        F.lit('{"dependencies":'), deps, F.lit(',"quality_score":'), score_text, F.lit(',"sync_source":"github-hub"}')
+        F.lit('{"dependencies":'), deps, F.lit(',"quality_score":'), score_text, F.lit(',"sync_source":"github-hub"}')  # fixed value
     )
-    fresh = actions.filter("action IN ('insert', 'update')").select(
+    return records.select(
         "name", "code", "description", F.to_json(F.coalesce("tags", none)).alias("tags"), meta.alias("metadata"),
         now.alias("now"),
     )
+
+
+def _inserted(fresh: DataFrame) -> DataFrame:
+    """Full rows of records whose name is new."""
+    none = F.lit(None).cast("string")
+    return fresh.select(
+        "name", "code", "description", "tags", "metadata", F.lit(schemas.DEFAULT_STATUS).alias("status"),
+        none.alias("test_cases"), F.lit(schemas.DEFAULT_CALL_COUNT).alias("call_count"), none.alias("last_called_at"),
+        F.col("now").alias("created_at"), F.col("now").alias("updated_at"),
+    )
+
+
+def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
+    """Full rows to store for inserts and updates."""
+    fresh = _fresh(actions.filter("action IN ('insert', 'update')"), as_of)
     kept = matching(functions, fresh).select(
         "name", "status", "test_cases", "call_count", "last_called_at", "created_at", F.lit(1).alias("stored")
     )
@@ -180,14 +198,24 @@ def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
 
 
 def merge_hub(functions: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
-    """The functions table after taking in a record folder; applying it twice changes nothing more."""
-    actions = cut_lineage(hub_actions(functions, records).filter("action IN ('insert', 'update')"), "actions")
-    return replace_rows(functions, hub_rows(functions, actions, as_of), actions)
+    """The functions table after taking in a record folder; applying it twice changes nothing more.
+
+    One pass over the stored rows, which change where their record differs; only
+    names are read a second time, to tell which records are new.
+    """
+    fresh = _fresh(last_records(records).filter("code IS NOT NULL"), as_of)
+    new = fresh.select(*[F.col(c).alias(f"new_{c}") for c in fresh.columns])
+    same = F.col("code").eqNullSafe(F.col("new_code")) & F.col("description").eqNullSafe(F.col("new_description"))
+    changed = F.col("new_name").isNotNull() & ~same
+    value = {c: F.col(f"new_{c}") for c in ("code", "description", "tags", "metadata")} | {"updated_at": F.col("new_now")}
+    met = functions.select(*COLUMNS).join(new, F.col("name") == F.col("new_name"), "left")
+    stored = met.select(*[F.when(changed, value[c]).otherwise(F.col(c)).alias(c) if c in value else c for c in COLUMNS])
+    return stored.unionByName(_inserted(fresh.join(functions.select("name"), "name", "left_anti")))
 
 
 def apply_status(functions: DataFrame, verdicts: DataFrame, as_of: str) -> DataFrame:
-    """Set the status named by ``verdicts(name, status)``."""
-    new = verdicts.select("name", F.col("status").alias("new_status"))
+    """Set the status named by ``verdicts(name, status)``; of several the first in text order, which is the worse."""
+    new = verdicts.groupBy("name").agg(F.min("status").alias("new_status"))
     touched = F.col("new_status").isNotNull()
     return functions.select(*COLUMNS).join(new, "name", "left").withColumns(
         {

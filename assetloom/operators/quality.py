@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import json
 from assetloom.functions.text import line_count, strip
+from assetloom.operators.ranking import running_total
 
 # Penalty weights, caps and tiers.
 LINT_WEIGHT, LINT_CAP = 500, 70
@@ -40,8 +41,9 @@ def lint_penalty(functions: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def format_penalty(results: DataFrame) -> DataFrame:
+    """A repeated asset passes when all its rows do."""
     passed = F.col("passed")
-    return results.select(
+    return results.groupBy("name").agg(F.bool_and("passed").alias("passed")).select(
         "name",
         passed.alias("formatted"),
         F.when(passed, FORMATTED).otherwise(UNFORMATTED).alias("format_feedback"),
@@ -59,7 +61,7 @@ def static_penalty(findings: DataFrame) -> DataFrame:
 
 
 def _bare_package(requirement: Column) -> Column:
-    return F.lower(strip(F.regexp_replace(requirement, r"[<>=!~;\[ ].*$", "")))
+    return F.lower(strip(F.regexp_replace(strip(requirement), r"(?s)[<>=!~;\[ ].*$", "")))
 
 
 def advisory_hits(functions: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -137,7 +139,9 @@ def blend_review(report: DataFrame, reviews: DataFrame) -> DataFrame:
 
     The review is the text from the first ``{`` to the last ``}``. A missing
     score counts as neutral; a null or non-numeric one leaves the report as is.
+    Of several reviews of an asset, the last in text order counts.
     """
+    reviews = reviews.groupBy("name").agg(F.max("llm_output").alias("llm_output"))
     body = F.regexp_extract("llm_output", r"(?s)\{.*\}", 0)
     review = F.try_parse_json(F.nullif(body, F.lit("")))
     parsed = reviews.select(
@@ -164,11 +168,27 @@ def blend_review(report: DataFrame, reviews: DataFrame) -> DataFrame:
     return joined.withColumn("reliability", reliability(F.col("final_score"))).select(*report.columns)
 
 
+def _same_number(a: Column, b: Column) -> Column:
+    """Equal numbers, exactly; ``true`` and ``false`` are 1 and 0, as in the language of the tests.
+
+    Doubles that are equal may stand for different decimals, so the digits decide
+    where 38 of them can hold both.
+    """
+    a, b = (F.when(x == "true", "1").when(x == "false", "0").otherwise(x) for x in (a, b))
+    exact = a.try_cast("decimal(38,18)") == b.try_cast("decimal(38,18)")
+    whole = a.rlike(r"^-?\d+$") & b.rlike(r"^-?\d+$") & (a.try_cast("double") != 0)
+    return F.when(whole, a == b).otherwise((a.try_cast("double") == b.try_cast("double")) & F.coalesce(exact, F.lit(True)))
+
+
 def _same_value(a: Column, b: Column) -> Column:
-    """Equal as JSON text, as numbers when both are, or as JSON values whatever their key order."""
-    as_numbers = a.try_cast("double") == b.try_cast("double")
-    as_values = F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
-    return a.eqNullSafe(b) | F.coalesce(as_numbers, F.lit(False)) | F.coalesce(as_values, F.lit(False))
+    """Equal as JSON text, as numbers when both are, or as JSON values whatever their key order.
+
+    Only values that are objects or lists are parsed as such.
+    """
+    nested = a.rlike(r"^\s*[\[{]") & b.rlike(r"^\s*[\[{]")
+    as_values = F.when(nested, F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b)))
+    same = F.when(nested, as_values).otherwise(_same_number(a, b))
+    return F.when(a.eqNullSafe(b), True).otherwise(F.coalesce(same, F.lit(False)))
 
 
 def failed_cases(results: DataFrame) -> DataFrame:
@@ -192,30 +212,39 @@ def evaluate_test_results(results: DataFrame) -> DataFrame:
     )
 
 
-def case_errors(results: DataFrame, part_cases: int = 1000) -> DataFrame:
-    """Error text per asset, messages in case order joined by ``; ``.
+def case_errors(results: DataFrame) -> DataFrame:
+    """The failed cases, one row each, whatever their number."""
+    return failed_cases(results).filter("message IS NOT NULL").select("name", "case_no", "message")
+
+
+def joined_errors(results: DataFrame, part_bytes: int) -> DataFrame:
+    """Error texts in case order joined by ``; ``, in parts of about ``part_bytes``.
 
-    Case numbers are unique in an asset, so a part holds at most ``part_cases``
-    messages; an asset with more spans several rows.
+    For readers that want text. Rows are dealt by range, and sizes summed within
+    ranges, so no asset's messages meet in one task or one row.
     """
-    part = F.floor(F.col("case_no") / F.lit(part_cases)).cast("long").alias("part_no")
+    cases = case_errors(results).withColumn("size", F.octet_length("message") + 2)
+    placed = running_total(cases, ["name"], ["case_no", "message"], "size", "case-errors")
+    part = F.floor(F.col("before") / part_bytes).cast("long").alias("part_no")
     ordered = F.array_sort(F.collect_list(F.struct("case_no", "message")))
     text = F.array_join(F.transform(ordered, lambda m: m["message"]), "; ")
-    return failed_cases(results).filter("message IS NOT NULL").groupBy("name", part).agg(text.alias("error"))
+    return placed.groupBy("name", part).agg(text.alias("error"))
 
 
 def verification_status(functions: DataFrame, verdicts: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Next status per asset.
 
     Skipped: verified. No tests: pending_tests. Tests without any verdict: the
-    runner failed, error_internal. A broken asset stays broken.
+    runner failed, error_internal. A broken asset stays broken. Of several
+    verdicts of an asset an error counts.
     """
     has_tests = F.coalesce(F.size(F.from_json("test_cases", "array<string>")) > 0, F.lit(False))
     base = functions.select("name", "status", has_tests.alias("has_tests"))
-    joined = base.join(verdicts.select("name", F.col("status").alias("verdict")), "name", "left")
+    judged = verdicts.groupBy("name").agg(F.min("status").alias("verdict"))
+    joined = base.join(judged, "name", "left")
     skip = F.lit(False)
     if skipped is not None:
-        joined = joined.join(skipped.select("name", F.lit(True).alias("skip")), "name", "left")
+        joined = joined.join(skipped.select("name").distinct().withColumn("skip", F.lit(True)), "name", "left")
         skip = F.coalesce("skip", F.lit(False))
     outcome = (
         F.when(F.col("status") == "broken", "broken")

@@ -28,8 +28,34 @@ def ranked(df: DataFrame, group: list[str], order: list[str], label: str) -> Dat
     return numbered.withColumn("rank", F.col("_rn") + F.col("_shift")).drop("_slice", "_rn", "_shift")
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], amount: str, label: str) -> DataFrame:
+    """Add ``before``: the sum of ``amount`` over the earlier rows of the group, hot groups split as in ``ranked``."""
+    sliced = df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
+    sliced = cut_lineage(sliced, label)
+    keys = [*group, "_slice"]
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sliced.groupBy(*keys).agg(F.sum(amount).alias("_total"))
+    shifts = shifts.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.withColumn("_own", F.coalesce(F.sum(amount).over(within), F.lit(0))).join(shifts, keys)
+    return placed.withColumn("before", F.col("_own") + F.col("_shift")).drop("_slice", "_own", "_shift")
+
+
 def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     """Last row per key. Partial aggregation folds hot keys before the shuffle."""
     rest = [c for c in df.columns if c != key]
     winner = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(key).agg(winner).select(*[key if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def latest_stored(stored: DataFrame, condition: str, key: str, order: str) -> DataFrame:
+    """Of the rows of a written table that meet ``condition``, the last per key; of equal ones any, but one.
+
+    The winner is found from key, order and place in the files alone; only then
+    are whole rows read, and met by a semi-join.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    numbered = stored.filter(condition).select(*stored.columns, *place)
+    best = numbered.groupBy(key).agg(F.max(F.struct(order, "_file", "_row")).alias("_best"))
+    winner = best.select("_best._file", "_best._row")
+    return numbered.join(winner, ["_file", "_row"], "left_semi").select(*stored.columns)

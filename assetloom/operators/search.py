@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions import vectors
+from assetloom.operators.lookup import matching
 from assetloom.session import cut_lineage
 
 # Boost of verified assets and default hit counts.
@@ -19,32 +20,22 @@ SEARCH_LIMIT = 10
 BOOSTED_LIMIT = 5
 POPULARITY_WEIGHT = 0.1
 
-# A query matrix up to this size is copied to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Queries copied to the executors at once; a larger table takes several passes.
+QUERY_BYTES = 64 * 1024 * 1024
 # Cells of a score matrix held at once inside a task.
 SCORE_CELLS = 4_000_000
-# Size of the vectors a task scores together, and of either side of a block pair.
+# Size of the vectors a task scores together.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Rows a task keeps per query beyond k, in case some belong to no asset.
+SPARE = 8
+# Blocks of so many queries first score a few rows, for a bound on what can be among the best.
+FLOORS_FROM, FLOOR_ROWS = 4096, 50_000
 
 _SCALE = 10**vectors.SCORE_DIGITS
-_SCORES = "function_name string, score double"
-_ARROW_SCORES = pa.schema([("function_name", pa.string()), ("score", pa.float64())])
-_HITS = "query_id bigint, function_name string, score double"
-_ARROW_HITS = pa.schema([("query_id", pa.int64()), ("function_name", pa.string()), ("score", pa.float64())])
-
-
-def _known_embeddings(embeddings: DataFrame, functions: DataFrame) -> DataFrame:
-    """Embeddings of existing assets.
-
-    Names alone are compared first. The names without an asset are written, so
-    that, being few, they are copied to the scan and no vector is shuffled.
-    Rows are numbered where they are scanned, to spread equal copies later.
-    """
-    named = embeddings.filter("function_name IS NOT NULL")
-    known_names = functions.select(F.col("name").alias("function_name"))
-    orphans = named.select("function_name").join(known_names, "function_name", "left_anti").distinct()
-    numbered = named.select("function_name", "vector", F.monotonically_increasing_id().alias("row_id"))
-    return numbered.join(cut_lineage(orphans, "orphans"), "function_name", "left_anti")
+_HITS = "query_id bigint, function_name string, score double, last boolean"
+_ARROW_HITS = pa.schema(
+    [("query_id", pa.int64()), ("function_name", pa.string()), ("score", pa.float64()), ("last", pa.bool_())]
+)
 
 
 def unscorable(embeddings: DataFrame, dimension: int) -> DataFrame:
@@ -67,31 +58,17 @@ def _with_payload(hits: DataFrame, functions: DataFrame) -> DataFrame:
     return hits.join(payload, "function_name")
 
 
-def _scores(embeddings: DataFrame, query: list[float]) -> DataFrame:
-    """Name and cosine of every vector that has one, computed where it is read."""
-    vector = np.asarray(query, dtype=np.float64)
-    length = np.linalg.norm(vector)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, kept = _unit_rows(batch.column("vector"), len(vector))
-            if length > 0 and len(kept):
-                values = pa.array(rows @ (vector / length))
-                yield pa.RecordBatch.from_arrays([batch.column("function_name").take(pa.array(kept)), values], schema=_ARROW_SCORES)
-
-    return embeddings.select("function_name", "vector").mapInArrow(score, _SCORES)
-
-
 def cosine_topk(embeddings: DataFrame, functions: DataFrame, query: list[float], k: int = SEARCH_LIMIT) -> DataFrame:
     """Best ``k`` assets for one query vector.
 
-    Only name and score go on to the check that the asset exists, and the
-    payload is joined to ``k`` rows.
+    Each task gives its few best rows; whether their assets exist is asked for
+    these alone, and the payload is joined to ``k`` rows.
     """
-    names = functions.select(F.col("name").alias("function_name"))
-    top = _scores(embeddings, query).join(names, "function_name", "left_semi").orderBy(*_order()).limit(k)
-    # k rows by construction, so copying them to the scan of the payload is safe.
-    return _with_payload(F.broadcast(top), functions)
+    vector = np.asarray(query, dtype=np.float64).reshape(1, -1)
+    length = np.linalg.norm(vector)
+    ids = np.zeros(1 if length > 0 else 0, np.int64)
+    unit = vector[: len(ids)] / (length if length > 0 else 1)
+    return _with_payload(_block_topk(embeddings, functions, ids, unit, k).drop("query_id", "rank"), functions)
 
 
 def boosted(hits: DataFrame, boost: float = VERIFIED_BOOST) -> DataFrame:
@@ -132,14 +109,14 @@ def _first_k(order: np.ndarray, query_no: np.ndarray, k: int) -> np.ndarray:
 
 
 class _BestHits:
-    """The best ``k`` rows per query seen so far in one task."""
+    """The best ``k`` rows per query seen so far in one task, none below its floor."""
 
-    def __init__(self, queries: np.ndarray, k: int) -> None:
+    def __init__(self, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> None:
         self.queries, self.k = queries, k
         self.query_no, self.scores = np.empty(0, np.int64), np.empty(0)
         self.names = np.empty(0, "U1")
         # A row below a query's floor cannot be among its best.
-        self.floors = np.full(len(queries), -np.inf)
+        self.floors = np.full(len(queries), -np.inf) if floors is None else floors.copy()
 
     def add(self, names: np.ndarray, rows: np.ndarray) -> None:
         by_name = np.argsort(names, kind="stable")
@@ -151,7 +128,7 @@ class _BestHits:
         self.query_no, self.scores, self.names = query_no[best], scores[best], names[best]
         full = np.flatnonzero(np.bincount(self.query_no, minlength=len(self.queries)) == self.k)
         last = np.searchsorted(self.query_no, full, side="right") - 1
-        self.floors[full] = self.scores[last] - 2 / _SCALE
+        self.floors[full] = np.maximum(self.floors[full], self.scores[last] - 2 / _SCALE)
 
     def _candidates(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """At most ``k`` rows per query that may enter its best; rows come in name order."""
@@ -171,7 +148,9 @@ class _BestHits:
         return tuple(np.concatenate(column) for column in zip(*parts))
 
     def to_arrow(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        columns = [query_ids[self.query_no], self.names, self.scores]
+        counts = np.bincount(self.query_no, minlength=len(self.queries))
+        last = (counts[self.query_no] == self.k) & (np.append(self.query_no[1:], -1) != self.query_no)
+        columns = [query_ids[self.query_no], self.names, self.scores, last]
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW_HITS)], schema=_ARROW_HITS)
 
 
@@ -197,41 +176,57 @@ def _topk(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _copied_queries(known: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    shared = known.sparkSession.sparkContext.broadcast((query_ids, queries))
+def _hits(embeddings: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> DataFrame:
+    """Up to ``k`` rows per query from each task; ``last`` marks the end of a list that is full."""
+    shared = embeddings.sparkSession.sparkContext.broadcast((ids, queries, floors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        best = _BestHits(matrix, k)
+        own_ids, matrix, low = shared.value
+        best = _BestHits(matrix, k, low)
         for names, rows in _gathered(batches, matrix.shape[1]):
             best.add(names, rows)
-        yield best.to_arrow(ids)
-
-    return known.select("function_name", "vector").mapInArrow(score, _HITS)
+        yield best.to_arrow(own_ids)
 
+    return embeddings.select("function_name", "vector").mapInArrow(score, _HITS)
 
-def _blocked_queries(known: DataFrame, queries: DataFrame, dim: int, k: int, query_blocks: int, row_blocks: int) -> DataFrame:
-    """Score block pairs: each task sees one block of queries and one of rows.
-
-    Blocks come from hashes of row numbers, so copies of one vector or name
-    spread evenly, and each pair gives ``k`` rows per query, not all pairs.
-    """
 
-    def spread(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int, key: str) -> DataFrame:
-        home = F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int")
-        return df.withColumn(own, home).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+def _existing(hits: DataFrame, functions: DataFrame) -> DataFrame:
+    """Hits of assets that exist. The written hits are few, so their names go to the scan of the functions."""
+    names = hits.select(F.col("function_name").alias("name")).distinct()
+    known = matching(functions.select("name"), names).select(F.col("name").alias("function_name"))
+    return hits.join(known, "function_name", "left_semi")
 
-    left = spread(queries.select("query_id", "vector"), "qb", query_blocks, "rb", row_blocks, "query_id")
-    right = spread(known, "rb", row_blocks, "qb", query_blocks, "row_id")
 
-    def score(block: pa.Table, rows: pa.Table) -> pa.Table:
-        matrix, kept = _unit_rows(block.column("vector").combine_chunks(), dim)
-        best = _BestHits(matrix, k)
-        for names, unit in _gathered(iter(rows.combine_chunks().to_batches()), dim):
-            best.add(names, unit)
-        return pa.Table.from_batches([best.to_arrow(block.column("query_id").to_numpy()[kept])])
+def _block_topk(embeddings: DataFrame, functions: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """Best ``k`` assets per query of one block: ``query_id, function_name, score, rank``.
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(score, _HITS)
+    Vectors stay where they are read. A task's list may be full before the
+    query's ``k``-th asset is certain, if rows of no asset took its places; such
+    queries, known from where full lists end, run again with longer lists.
+    """
+    named = embeddings.filter("function_name IS NOT NULL")
+    floors = np.full(len(ids), -np.inf)
+    if len(ids) >= FLOORS_FROM:
+        sample = cut_lineage(_hits(named.limit(FLOOR_ROWS), ids, queries, k + SPARE, floors), "floors")
+        kth = _topk(_existing(sample, functions), k).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+        order = np.argsort(ids)
+        place = order[np.searchsorted(ids[order], kth.column("query_id").to_numpy())]
+        floors[place] = kth.column("score").to_numpy() - 2 / _SCALE
+    kept, done, todo = k + SPARE, None, np.arange(len(ids))
+    rank = F.struct((-F.round("score", vectors.SCORE_DIGITS)).alias("s"), F.col("function_name").alias("n"))
+    while True:
+        found = cut_lineage(_hits(named, ids[todo], queries[todo], kept, floors[todo]), "candidates")
+        top = cut_lineage(_topk(_existing(found, functions), k), "hits")
+        ends = found.filter("last").groupBy("query_id").agg(F.min(rank).alias("end"))
+        reached = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max(rank).alias("worst"))
+        open_ = (F.coalesce("n", F.lit(0)) < k) | (F.col("end") < F.col("worst"))
+        short = ends.join(reached, "query_id", "left").filter(open_).select("query_id").toArrow().column(0).to_numpy()
+        sure = top.join(top.sparkSession.createDataFrame([(int(q),) for q in short], "query_id bigint"), "query_id", "left_anti")
+        part = (sure if len(short) else top).drop("last")
+        done = part if done is None else done.unionByName(part)
+        if not len(short):
+            return done
+        todo, kept = todo[np.isin(ids[todo], short)], kept * 4
 
 
 def batch_topk(
@@ -240,26 +235,23 @@ def batch_topk(
     queries: DataFrame,
     dimension: int,
     k: int = SEARCH_LIMIT,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """Best ``k`` assets per row of ``queries(query_id, vector)``: ``query_id, function_name, score, rank``.
 
-    A query table proven to fit ``broadcast_bytes`` is copied to the executors,
-    which scan the embeddings once and keep ``k`` rows per query and task. A
-    larger one is met in hash blocks. Both are exact.
+    Queries go to the vectors, in blocks of about ``query_bytes`` by hash; each
+    block is one pass over the embeddings. Query ids are unique.
     """
-    known = _known_embeddings(embeddings, functions)
-    fits = broadcast_bytes // (8 * dimension)
-    head = queries.select("query_id", "vector").limit(fits + 1).toArrow()
-    if head.num_rows <= fits:
-        matrix, kept = _unit_rows(head.column("vector").combine_chunks(), dimension)
-        ids = head.column("query_id").to_numpy()[kept]
-        return _topk(_copied_queries(known, ids, matrix, k), k)
-    per_block = block_bytes // (8 * dimension)
-    query_blocks = -(-queries.count() // per_block)
-    row_blocks = max(1, -(-embeddings.count() // per_block))
-    return _topk(_blocked_queries(known, queries, dimension, k, query_blocks, row_blocks), k)
+    wanted = queries.select("query_id", "vector")
+    blocks = max(1, -(-wanted.count() * 8 * dimension // query_bytes))
+    done = None
+    for block in range(blocks):
+        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        table = own.toArrow()
+        matrix, kept = _unit_rows(table.column("vector").combine_chunks(), dimension)
+        part = _block_topk(embeddings, functions, table.column("query_id").to_numpy()[kept], matrix, k)
+        done = part if done is None else done.unionByName(part)
+    return done
 
 
 def boosted_ranks(hits: DataFrame, functions: DataFrame, boost: float = VERIFIED_BOOST) -> DataFrame:
@@ -293,10 +285,12 @@ def select_candidate(candidates: DataFrame, rerank: DataFrame) -> DataFrame:
     """The first candidate, unless ``rerank(query_id, selected_name)`` names another.
 
     The answer is taken even when it is no candidate; ``in_candidates`` tells.
+    Of several answers to a query the first in text order counts.
     """
+    rerank = rerank.groupBy("query_id").agg(F.min(F.nullif("selected_name", F.lit(""))).alias("selected_name"))
     first = candidates.groupBy("query_id").agg(F.min_by("function_name", "rank").alias("first_name"))
     chosen = F.coalesce(F.nullif("selected_name", F.lit("")), F.col("first_name"))
-    picked = first.join(rerank.select("query_id", "selected_name"), "query_id", "left").select(
+    picked = first.join(rerank, "query_id", "left").select(
         "query_id", chosen.alias("selected_name")
     )
     offered = candidates.select("query_id", F.col("function_name").alias("selected_name")).distinct()
@@ -321,7 +315,11 @@ def attach_code(selected: DataFrame, global_code: DataFrame, local_code: DataFra
 
 
 def popularity_rank(hits: DataFrame, usage: DataFrame, k: int, alpha: float = POPULARITY_WEIGHT) -> DataFrame:
-    """Order hits by score times a slowly growing factor of the asset's use count."""
+    """Order hits by score times a slowly growing factor of the asset's use count.
+
+    Only the given hits are re-ranked: what a search limited to its nearest ``k``
+    left out does not come back, however popular it is.
+    """
     counts = usage.select(F.col("name").alias("function_name"), "call_count")
     factor = 1 + alpha * F.log1p(F.coalesce("call_count", F.lit(0)))
     ranked = hits.join(counts, "function_name", "left").withColumn("score", F.col("score") * factor)

@@ -15,12 +15,17 @@ SECRET_PATTERNS = [
 ]
 
 # Names a catalogued function must not use.
-FORBIDDEN_IMPORTS = (
-    "os sys subprocess shutil pickle marshal shelve socket requests urllib http webbrowser ftplib "
-    "telnetlib smtplib platform ctypes builtins importlib multiprocessing threading pysqlite3 sqlite3"
-).split()
-FORBIDDEN_CALLS = "eval exec compile breakpoint __import__ system popen spawn fork kill".split()
-FORBIDDEN_BUILTINS = "open getattr setattr delattr hasattr globals locals vars dir help input".split()
+FORBIDDEN_IMPORTS = [
+    "os", "sys", "subprocess", "shutil", "pickle", "marshal", "shelve", "socket", "requests", "urllib", "http",
+    "webbrowser", "ftplib", "telnetlib", "smtplib", "platform", "ctypes", "builtins", "importlib",
+    "multiprocessing", "threading", "pysqlite3", "sqlite3",
+]
+FORBIDDEN_CALLS = [
+    "eval", "exec", "compile", "breakpoint", "__import__", "system", "popen", "spawn", "fork", "kill",
+]
+FORBIDDEN_BUILTINS = [
+    "open", "getattr", "setattr", "delattr", "hasattr", "globals", "locals", "vars", "dir", "help", "input",
+]
 ALLOWED_DUNDERS = ["__name__", "__init__"]
 
 # Message of each violation kind.

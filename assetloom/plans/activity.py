@@ -32,7 +32,7 @@ _NORM = duck.strip("lower(query)")
 
 @query("popular_queries", f"""
 SELECT {_NORM} AS query, count(*) AS frequency, max(ts) AS last_accessed FROM fx_query_log GROUP BY 1
-HAVING count(*) >= 3 ORDER BY frequency DESC, query LIMIT 500""")
+HAVING count(*) >= 3""")
 def popular_queries(t):
     return activity.popular_queries(t.fx_query_log)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,6 @@ from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
 from assetloom.session import work_path
 from assetloom.sources import catalog, hub
 
-PROVIDER_DIM = 16
 
 
 def joined(column: str):
@@ -33,10 +34,14 @@ def hub_records(t: Tables) -> DataFrame:
 
 
 def digest_vectors(texts: list[str]) -> list[list[float]]:
-    """A stand-in provider: the bytes of the text's MD5 digest."""
-    import hashlib
+    """A stand-in provider: the bytes of the text's MD5 digest, four times."""
+    return [[float(b) for b in hashlib.md5(t.encode()).digest()] * 4 for t in texts]
+
 
-    return [[float(b) for b in hashlib.md5(t.encode()).digest()] for t in texts]
+def fragile_vectors(texts: list[str]) -> list[list[float] | None]:
+    """The same, but no vector where the first byte is below 64, and too short a one below 128."""
+    made = digest_vectors(texts)
+    return [None if v[0] < 64 else v[:16] if v[0] < 128 else v for v in made]
 
 
 # --- scans and lookups ------------------------------------------------------
@@ -52,6 +57,16 @@ def catalog_snapshot(t):
     return catalog.read_catalog(t.spark, base, 1).functions
 
 
+@query("catalog_older_layout", "SELECT name, 'active' AS status, 0 AS call_count FROM fx_functions")
+def catalog_older_layout(t):
+    """A version written before there were statuses and counters."""
+    base = work_path(t.spark, "catalog")
+    catalog.write_snapshot(t.fx_functions.drop("status", "call_count"), base, "functions", 1)
+    catalog.write_snapshot(t.fx_embeddings, base, "embeddings", 1)
+    catalog.write_snapshot(t.fx_config, base, "config", 1)
+    return catalog.read_catalog(t.spark, base, 1).functions.select("name", "status", "call_count")
+
+
 @query("catalog_typed", f"""
 SELECT name, {duck.joined(duck.strings('tags'))} AS tags,
   {duck.joined(duck.meta_strings('metadata', 'internal_dependencies'))} AS calls,
@@ -101,10 +116,10 @@ def masked_view(t):
 
 
 @query("review_prompts", """
-SELECT name, concat('Review this Python function for the asset catalogue.', chr(10), 'Name: ', name, chr(10), 'Description: ',
+SELECT name, concat('A function from the asset catalogue is up for review.', chr(10), 'Name: ', name, chr(10), 'Description: ',
   description, chr(10), 'Code:', chr(10), code, chr(10), chr(10),
-  'Task: Evaluate the implementation quality, potential bugs, and security risks. Provide a brief 1-sentence feedback ',
-  'and a ''Reliability Score'' between 0 and 100. Output format: JSON with ''feedback'' and ''score'' keys.') AS prompt
+  'Judge how sound, safe and clear this code is. Answer with one JSON object: "feedback", a sentence, ',
+  'and "score", a number from 0 (unusable) to 100 (dependable).') AS prompt
 FROM fx_functions""")
 def review_prompts(t):
     return lookup.review_prompts(t.fx_functions)
@@ -198,11 +213,12 @@ def sanitize(t):
     return cleaning.sanitize(save_batch(t)).select("seq", "name", "code", "description", joined("tags"))
 
 
-_DESCRIBED = f"""CASE WHEN {duck.strip("coalesce(description, '')")} = ''
-  THEN 'Draft automatically saved by AI on {AS_OF}' ELSE description END"""
+def described(now: str) -> str:
+    return f"""CASE WHEN {duck.strip("coalesce(description, '')")} = ''
+  THEN concat('Draft automatically saved by AI on ', {now}) ELSE description END"""
 
 
-@query("default_description", f"SELECT seq, {_DESCRIBED} AS description FROM fx_save_requests")
+@query("default_description", f"SELECT seq, {described(f"'{AS_OF}'")} AS description FROM fx_save_requests")
 def default_description(t):
     return t.fx_save_requests.select(
         "seq", cleaning.default_description(F.col("description"), AS_OF).alias("description")
@@ -212,13 +228,15 @@ def default_description(t):
 # --- maintenance ------------------------------------------------------------
 
 # The code of a request parses unless its document's rule says otherwise.
-_SAVES = f"""
+def judged_saves(now: str) -> str:
+    return f"""
 SELECT seq, {duck.clean_text('name')} AS name, {duck.clean_code('code')} AS code,
-  {duck.clean_text(_DESCRIBED)} AS description, '["a b"]' AS tags, seq % 13 != 4 AS parses, test_cases,
-  CASE WHEN seq % 17 = 3 THEN 'REJECTED: Secret detected in code.' END AS reason
+  {duck.clean_text(described(now))} AS description, '["a b"]' AS tags, seq % 13 != 4 AS parses, test_cases,
+  CASE WHEN seq % 17 IN (3, 4, 5) THEN 'REJECTED: Secret detected in code.' END AS reason
 FROM fx_save_requests"""
 
 
+_SAVES = judged_saves(f"'{AS_OF}'")
 LAST_SAVES = f"""
 WITH s AS ({_SAVES}),
 last AS (SELECT * FROM s WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY seq DESC) = 1)"""
@@ -253,10 +271,14 @@ def delete_embeddings(t):
     return maintenance.delete_assets(t.fx_functions, t.fx_embeddings, t.fx_names)[1].select("id", "function_name")
 
 
+VERDICTS = """SELECT name, CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'verified' END AS status
+FROM fx_verdicts GROUP BY name"""
+
+
 @query("apply_status", f"""
 SELECT f.name, coalesce(v.status, f.status) AS status,
   CASE WHEN v.name IS NULL THEN f.updated_at ELSE '{AS_OF_ISO}' END AS updated_at
-FROM fx_functions f LEFT JOIN fx_verdicts v ON v.name = f.name""")
+FROM fx_functions f LEFT JOIN ({VERDICTS}) v ON v.name = f.name""")
 def apply_status(t):
     return maintenance.apply_status(t.fx_functions, t.fx_verdicts, AS_OF).select("name", "status", "updated_at")
 
@@ -313,9 +335,9 @@ def triage_broken(t):
 @query("triage_report", f"""
 SELECT name, status, {_QUALITY} AS quality_score, code, '' AS errors, '' AS verification_error, '' AS quality_feedback,
   '{{}}' AS security_report, coalesce(nullif(concat_ws('|',
-    CASE WHEN status = 'broken' THEN '{triage.ADVICE_BROKEN}' END,
-    CASE WHEN {_QUALITY} < 50 THEN '{triage.ADVICE_POOR}' END,
-    CASE WHEN status = 'failed' THEN '{triage.ADVICE_FAILED}' END), ''), '{triage.ADVICE_STABLE}') AS actionable_advice,
+    CASE WHEN status = 'broken' THEN 'CRITICAL: Syntax error detected. Use Cursor or your preferred AI to fix the code structure before deployment.' END,
+    CASE WHEN {_QUALITY} < 50 THEN 'NOTE: Quality score is very low. Consider adding docstrings, type hints, and running a formatter.' END,
+    CASE WHEN status = 'failed' THEN 'WARNING: Unit tests failed. Review the test_results for specific failures.' END), ''), 'Logic is stable. Minor refinements may improve the quality score further.') AS actionable_advice,
   {duck.joined(duck.meta_strings('metadata', 'dependencies'))} AS dependencies,
   {duck.joined(duck.meta_strings('metadata', 'internal_dependencies'))} AS internal_dependencies
 FROM fx_functions""")
@@ -337,7 +359,7 @@ def _embedding_columns(df: DataFrame) -> DataFrame:
 def _text_sql(deps: bool) -> str:
     dep_line = f"chr(10), 'Deps: ', {duck.list_literal(duck.meta_strings('metadata', 'dependencies'))}," if deps else ""
     return f"""concat('Name: ', name, chr(10), 'Desc: ', description, chr(10), 'Tags: ', {duck.list_literal(duck.strings('tags'))},
-  {dep_line} chr(10), 'Code:', chr(10), substring(code, 1, 500))"""
+  {dep_line} chr(10), 'Code:', chr(10), code)"""
 
 
 @query("embedding_text", f"SELECT name, {_text_sql(True)} AS text FROM fx_functions")
@@ -356,6 +378,11 @@ FROM fx_functions f LEFT JOIN fx_embeddings e ON f.name = e.function_name
 WHERE e.model_name != 'model-a' OR e.dimension != 64 OR e.function_name IS NULL"""
 
 
+@query("embedding_text_compatible", f"SELECT name, replace({_text_sql(True)}, code, substring(code, 1, 500)) AS text FROM fx_functions")
+def embedding_text_compatible(t):
+    return embeddings.embedding_text(t.fx_functions, code_chars=embeddings.COMPATIBLE_CODE_CHARS)
+
+
 @query("embeddings_stale", _STALE)
 def embeddings_stale(t):
     return embeddings.stale_embeddings(t.fx_functions, t.fx_embeddings, "model-a", 64)
@@ -370,7 +397,7 @@ WITH held AS (SELECT * FROM fx_held_embeddings WHERE function_name NOT IN (SELEC
 SELECT id, function_name, model_name, dimension, encoded_at, {_V0} FROM held
 UNION ALL SELECT id, function_name, model_name, dimension, encoded_at, {_V0} FROM fx_new_embeddings""")
 def embeddings_upsert(t):
-    return _embedding_columns(embeddings.upsert_embeddings(t.fx_held_embeddings, t.fx_new_embeddings))
+    return _embedding_columns(embeddings.upsert_embeddings(t.fx_held_embeddings, t.fx_new_embeddings, one_per_asset=False))
 
 
 @query("embed_refresh", f"""
@@ -379,11 +406,20 @@ fresh AS (SELECT name, md5({_text_sql(True)}) AS digest FROM fx_functions WHERE
 SELECT function_name, model_name, dimension, encoded_at, {_V0} FROM fx_embeddings
 WHERE function_name NOT IN (SELECT name FROM stale)
 UNION ALL
-SELECT name AS function_name, 'model-a' AS model_name, {PROVIDER_DIM} AS dimension, '{AS_OF_ISO}' AS encoded_at,
+SELECT name AS function_name, 'model-a' AS model_name, 64 AS dimension, '{AS_OF_ISO}' AS encoded_at,
   CAST(CAST(concat('0x', substring(digest, 1, 2)) AS INTEGER) AS DOUBLE) AS first_value FROM fresh""")
 def embed_refresh(t):
     refreshed = embeddings.refresh_embeddings(t.fx_functions, t.fx_embeddings, digest_vectors, "model-a", 64, AS_OF)
-    return _embedding_columns(refreshed).drop("id")
+    return _embedding_columns(refreshed.embeddings).drop("id")
+
+
+@query("embed_failures", f"""
+WITH stale AS ({_STALE}),
+d AS (SELECT name, CAST(concat('0x', substring(md5({_text_sql(True)}), 1, 2)) AS INTEGER) AS head FROM fx_functions)
+SELECT name, CASE WHEN head < 64 THEN 'provider gave no vector' ELSE '64 values wanted, got 16' END AS error
+FROM d WHERE head < 128 AND name IN (SELECT name FROM stale)""")
+def embed_failures(t):
+    return embeddings.refresh_embeddings(t.fx_functions, t.fx_embeddings, fragile_vectors, "model-a", 64, AS_OF).failed
 
 
 @query("model_version", """

@@ -15,16 +15,14 @@ from assetloom.plans.registry import query
 
 _ID = duck.doc_id()
 _BROKEN = f"{_ID} % 13 = 4"
-_SYNTAX = f"concat('Syntax Error: invalid syntax (<unknown>, line ', CASE WHEN {_ID} % 17 = 3 THEN '3' ELSE '2' END, ')')"
+_SYNTAX = f"concat('Syntax Error: invalid syntax (<unknown>, line ', CASE WHEN {_ID} % 17 IN (3, 4, 5) THEN '3' ELSE '2' END, ')')"
 _PARENT = f"concat('fn_', CAST(CAST(floor({_ID} / 2) AS BIGINT) AS VARCHAR))"
 TOKEN_PATTERN = 'token = "[0-9a-f]{40}"'
 
 
 @query("secret_scan", f"""
-SELECT name, coalesce(nullif(regexp_extract(code, '{security.SECRET_PATTERNS[0]}'), ''),
-  nullif(regexp_extract(code, '{security.SECRET_PATTERNS[1]}'), ''),
-  nullif(regexp_extract(code, '{security.SECRET_PATTERNS[2]}'), ''), '') AS secret,
-  regexp_matches(code, '{"|".join(security.SECRET_PATTERNS)}') AS has_secret
+SELECT name, CASE WHEN {_ID} % 17 = 3 THEN concat('ghp_', repeat('a', 36)) WHEN {_ID} % 17 = 4 THEN concat('AIza', repeat('b', 35))
+  WHEN {_ID} % 17 = 5 THEN concat('sk-', repeat('c', 48)) ELSE '' END AS secret, {_ID} % 17 IN (3, 4, 5) AS has_secret
 FROM fx_functions""")
 def secret_scan(t):
     return security.scan_secrets(t.fx_functions, "code").select("name", "secret", "has_secret")
@@ -123,14 +121,20 @@ _LOWERED = f"array_to_string(list_sort(list_transform({_DEPS}, lambda d: lower(t
 _BARE = f"list_transform({_DEPS}, lambda d: lower(trim(split_part(split_part(d, '==', 1), '>=', 1))))"
 
 
+_OFFERED = {
+    "data-science": "['numpy', 'pandas', 'scipy', 'scikit-learn', 'matplotlib']",
+    "web-scraping": "['requests', 'beautifulsoup4', 'httpx', 'lxml']",
+}
+
+
 def _base(name: str) -> str:
-    offered = "[" + ", ".join(f"'{p}'" for p in deps.BASE_ENVIRONMENTS[name]) + "]"
+    offered = _OFFERED[name]
     fits = f"len(list_filter({_BARE}, lambda d: NOT list_contains({offered}, d))) = 0"
     digest = f"substring(sha256(array_to_string(list_sort({offered}), '|')), 1, 8)"
     return f"WHEN {fits} THEN concat('base_{name}_', {digest})"
 
 
-_ENVIRONMENT = f"""CASE WHEN len({_DEPS}) = 0 THEN 'default' {' '.join(map(_base, deps.BASE_ENVIRONMENTS))}
+_ENVIRONMENT = f"""CASE WHEN len({_DEPS}) = 0 THEN 'default' {' '.join(map(_base, _OFFERED))}
   ELSE substring(sha256({_LOWERED}), 1, 12) END"""
 
 

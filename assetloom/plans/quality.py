@@ -13,13 +13,15 @@ _LINES = "(length(code) - length(replace(code, chr(10), '')) + 1)"
 _LINT = f"""
 SELECT f.name, coalesce(n, 0) AS lint_errors, least(coalesce(n, 0) / {_LINES} * 500, 70) AS lint_penalty
 FROM fx_functions f LEFT JOIN (SELECT name, count(*) AS n FROM fx_lint_findings GROUP BY name) l ON l.name = f.name"""
+_FORMATS = "SELECT name, bool_and(passed) AS passed FROM fx_format_results GROUP BY name"
+_FEEDBACK = "CASE WHEN {} THEN 'Code is formatted correctly (Ruff).' ELSE 'Code requires formatting (Ruff).' END"
 _STATIC = """
 SELECT name, count(*) AS static_findings, CAST(least(sum(CASE severity WHEN 'HIGH' THEN 40 WHEN 'MEDIUM' THEN 20 ELSE 5 END), 80) AS BIGINT)
   AS static_penalty FROM fx_static_findings GROUP BY name"""
 _HITS = f"""
 SELECT d.name, a.package, a.advisory_id, a.advisory FROM (
   SELECT name, unnest({duck.meta_strings('metadata', 'dependencies')}) AS dep FROM fx_functions) d
-JOIN fx_advisories a ON a.package = lower(trim(regexp_replace(d.dep, '[<>=!~;\\[ ].*$', '')))"""
+JOIN fx_advisories a ON a.package = lower(regexp_extract(d.dep, '^\\s*([^<>=!~;\\[\\s]*)', 1))"""
 _ADVISORY = f"""
 SELECT name, count(*) AS advisories, least(count(*) * 30, 90) AS advisory_penalty FROM ({_HITS}) GROUP BY name"""
 
@@ -31,8 +33,8 @@ def lint_penalty(t):
 
 
 @query("format_penalty", f"""
-SELECT name, passed AS formatted, CASE WHEN passed THEN '{quality.FORMATTED}' ELSE '{quality.UNFORMATTED}' END AS format_feedback,
-  CASE WHEN passed THEN 0 ELSE 30 END AS format_penalty FROM fx_format_results""")
+SELECT name, passed AS formatted, {_FEEDBACK.format('passed')} AS format_feedback,
+  CASE WHEN passed THEN 0 ELSE 30 END AS format_penalty FROM ({_FORMATS})""")
 def format_penalty(t):
     return quality.format_penalty(t.fx_format_results)
 
@@ -74,13 +76,13 @@ _REPORT = f"""
 SELECT l.name, CAST(floor(greatest(0, 100 - lint_penalty - CASE WHEN p.passed THEN 0 ELSE 30 END
   - (coalesce(static_penalty, 0) + coalesce(advisory_penalty, 0)))) AS INTEGER) AS final_score,
   lint_errors, p.passed AS formatted, coalesce(static_findings, 0) AS static_findings, coalesce(advisories, 0) AS advisories
-FROM ({_LINT}) l JOIN fx_format_results p ON p.name = l.name LEFT JOIN ({_STATIC}) s ON s.name = l.name
+FROM ({_LINT}) l JOIN ({_FORMATS}) p ON p.name = l.name LEFT JOIN ({_STATIC}) s ON s.name = l.name
 LEFT JOIN ({_ADVISORY}) a ON a.name = l.name"""
 
 
 @query("quality_report", f"""
 SELECT name, final_score, {_tier('final_score')} AS reliability, lint_errors = 0 AS lint_passed, lint_errors, formatted,
-  CASE WHEN formatted THEN '{quality.FORMATTED}' ELSE '{quality.UNFORMATTED}' END AS feedback, static_findings, advisories
+  {_FEEDBACK.format('formatted')} AS feedback, static_findings, advisories
 FROM ({_REPORT})""")
 def quality_report(t):
     return report(t).select(
@@ -99,7 +101,7 @@ _BLENDED = f"""CASE {_ID} % 4 WHEN 0 THEN CAST(trunc((final_score + ({_ID} * 13)
 @query("quality_blend", f"""
 SELECT name, {_BLENDED} AS final_score, {_tier(_BLENDED)} AS reliability,
   CASE WHEN {_ID} % 4 < 2 THEN concat('AI: ', CASE {_ID} % 4 WHEN 0 THEN 'ok' ELSE 'no score' END, ' | Hub: ',
-    CASE WHEN formatted THEN '{quality.FORMATTED}' ELSE '{quality.UNFORMATTED}' END) ELSE '' END AS quality_feedback
+    {_FEEDBACK.format('formatted')}) ELSE '' END AS quality_feedback
 FROM ({_REPORT})""")
 def quality_blend(t):
     blended = quality.blend_review(report(t), t.fx_reviews)
@@ -108,7 +110,8 @@ def quality_blend(t):
 
 _CASES = """
 SELECT name, case_no, CASE WHEN trace IS NOT NULL THEN concat('Test ', CAST(case_no + 1 AS VARCHAR), ': Runtime Error - ', trace)
-  WHEN expected IS DISTINCT FROM actual THEN concat('Test ', CAST(case_no + 1 AS VARCHAR), ': Expected ', expected, ', got ', actual)
+  WHEN case_no % 10 IN (8, 9) THEN NULL
+  WHEN case_no % 20 = 7 OR expected IS DISTINCT FROM actual THEN concat('Test ', CAST(case_no + 1 AS VARCHAR), ': Expected ', expected, ', got ', actual)
   END AS message FROM fx_test_results"""
 _VERDICTS = f"""
 SELECT name, count(*) AS cases, count(message) AS failures, CASE WHEN count(message) > 0 THEN 'error' ELSE 'success' END AS status
@@ -120,13 +123,19 @@ def test_verdicts(t):
     return quality.evaluate_test_results(t.fx_test_results)
 
 
-@query("test_errors", f"""
-SELECT name, CAST(floor(case_no / 1000) AS BIGINT) AS part_no, string_agg(message, '; ' ORDER BY case_no) AS error
-FROM ({_CASES}) WHERE message IS NOT NULL GROUP BY ALL""")
+@query("test_errors", f"SELECT name, case_no, message FROM ({_CASES}) WHERE message IS NOT NULL")
 def test_errors(t):
     return quality.case_errors(t.fx_test_results)
 
 
+@query("test_error_texts", f"""
+SELECT name, part_no, string_agg(message, '; ' ORDER BY case_no) AS error FROM (
+  SELECT name, case_no, message, CAST(floor((sum(octet_length(encode(message)) + 2) OVER (PARTITION BY name ORDER BY case_no)
+    - octet_length(encode(message)) - 2) / 500) AS BIGINT) AS part_no FROM ({_CASES}) WHERE message IS NOT NULL) GROUP BY ALL""")
+def test_error_texts(t):
+    return quality.joined_errors(t.fx_test_results, part_bytes=500)
+
+
 @query("verification_status", f"""
 SELECT f.name, CASE WHEN f.status = 'broken' THEN 'broken' WHEN s.name IS NOT NULL THEN 'verified'
   WHEN f.test_cases = '[]' THEN 'pending_tests' WHEN v.status = 'success' THEN 'verified' WHEN v.status = 'error' THEN 'failed'

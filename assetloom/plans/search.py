@@ -63,7 +63,7 @@ def search_batch(t):
 def search_batch_blocks(t):
     """The same search by block pairs, as for query tables too large to copy."""
     hits = search.batch_topk(
-        t.fx_embeddings, t.fx_functions, query_table(t), DIMENSION, k=5, broadcast_bytes=0, block_bytes=8 * DIMENSION * 1000
+        t.fx_embeddings, t.fx_functions, query_table(t), DIMENSION, k=5, query_bytes=8 * DIMENSION * 1000
     )
     return rounded(search.boosted_ranks(hits, t.fx_functions))
 

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions import dates
-from assetloom.operators import maintenance
 from assetloom.operators.activity import IDLE_SECONDS
+from assetloom.operators.embeddings import latest_embeddings
 from assetloom.plans import activity as batch
-from assetloom.plans.catalog import HUB_MERGE_SQL, LAST_SAVES, PROVIDER_DIM, digest_vectors, hub_records, save_batch
-from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
+from assetloom.plans.catalog import (
+    HUB_MERGE_SQL, VERDICTS, fragile_vectors, hub_records, judged_saves, save_batch,
+)
+from assetloom.plans.registry import AS_OF, Tables, query
 from assetloom.session import cut_lineage, work_path
 from assetloom.sources.hub import stream_hub_records, write_hub_records
 from assetloom.streaming import jobs
@@ -41,8 +43,10 @@ def stream_usage(t):
     deltas = work_path(t.spark, "usage")
     named = _events(t).withColumn("name", F.concat(F.lit("fn_"), "user_id"))
     jobs.usage_stream(named, deltas, work_path(t.spark, "checkpoint")).awaitTermination()
-    applied = maintenance.apply_usage(t.fx_functions, jobs.usage_totals(t.spark, deltas))
-    return applied.select("name", "call_count", "last_called_at", "updated_at")
+    once = jobs.apply_pending_usage(t.fx_functions, t.fx_config, deltas)
+    # Applying the same deltas again must change nothing.
+    twice = jobs.apply_pending_usage(cut_lineage(once.functions, "applied"), cut_lineage(once.config, "config"), deltas)
+    return twice.functions.select("name", "call_count", "last_called_at", "updated_at")
 
 
 @query("stream_hub", HUB_MERGE_SQL)
@@ -51,29 +55,73 @@ def stream_hub(t):
     write_hub_records(hub_records(t).withColumn("test_cases", F.lit("[]")), folder, shards=3)
     log = ChangeLog(work_path(t.spark, "changes"), cut_lineage(t.fx_functions, "base"))
     records = stream_hub_records(t.spark, folder, one_per_file=False)
-    jobs.hub_stream(records, log, AS_OF, work_path(t.spark, "checkpoint")).awaitTermination()
+    jobs.hub_stream(records, log, lambda batch_id: AS_OF, work_path(t.spark, "checkpoint")).awaitTermination()
     return log.current()
 
 
-@query("stream_saves", f"""{LAST_SAVES}
-SELECT l.name, CASE WHEN NOT parses THEN 'broken' WHEN test_cases = '[]' THEN 'pending_tests' WHEN v.name IS NULL THEN 'error_internal'
-  ELSE v.status END AS status, '{AS_OF_ISO}' AS updated_at, {PROVIDER_DIM} AS dimension
-FROM last l LEFT JOIN fx_verdicts v ON v.name = l.name
-UNION ALL
-SELECT name, status, updated_at, CAST(NULL AS INTEGER) AS dimension FROM fx_functions WHERE name NOT IN (SELECT name FROM last)""")
-def stream_saves(t):
-    """Statuses and vectors of saved requests, batch by batch."""
+BATCHES = 3
+
+
+def _batch_time(batch_id: int) -> str:
+    return f"2024-02-0{batch_id + 1} 00:00:00"
+
+
+def _save_run(t: Tables) -> tuple[ChangeLog, jobs.SaveFolders]:
+    """The requests in three micro-batches by ``seq % 3``; every fifth skips its tests, some embeddings fail."""
     requests = work_path(t.spark, "requests")
-    save_batch(t).write.parquet(requests)
+    batch = save_batch(t).withColumn("skip_test", F.col("seq") % 5 == 0)
+    for i in range(BATCHES):
+        # One file per micro-batch, in the order of their times.
+        batch.filter(F.col("seq") % BATCHES == i).coalesce(1).write.mode("append").parquet(requests)
     log = ChangeLog(work_path(t.spark, "changes"), cut_lineage(t.fx_functions, "base"))
-    vectors = work_path(t.spark, "vectors")
+    out = jobs.SaveFolders(*(work_path(t.spark, n) for n in ("vectors", "rejected", "failed")))
     verdicts = t.fx_verdicts.withColumn("status", F.when(F.col("status") == "verified", "success").otherwise("error"))
-    stream = jobs.file_stream(t.spark, requests, "*.parquet", save_batch(t))
+    stream = jobs.file_stream(t.spark, requests, "*.parquet", batch, files_per_batch=1)
     jobs.save_stream(
-        stream, log, vectors, verdicts, digest_vectors, "model-a", AS_OF, work_path(t.spark, "checkpoint")
+        stream, log, out, verdicts, fragile_vectors, "model-a", 64, _batch_time, work_path(t.spark, "checkpoint")
     ).awaitTermination()
-    made = t.spark.read.parquet(vectors).select(F.col("function_name").alias("name"), "dimension")
-    return log.current().join(made, "name", "left").select("name", "status", "updated_at", "dimension")
+    return log, out
+
+
+# A request belongs to batch seq % 3; within a batch the last of a name counts, and later batches replace earlier ones.
+_STREAMED = f"""
+WITH s AS ({judged_saves("CAST('2024-02-0' || CAST(seq % 3 + 1 AS VARCHAR) || ' 00:00:00' AS VARCHAR)")}),
+per_batch AS (SELECT *, seq % 3 AS batch FROM s WHERE reason IS NULL
+  QUALIFY row_number() OVER (PARTITION BY name, seq % 3 ORDER BY seq DESC) = 1),
+last AS (SELECT * FROM per_batch QUALIFY row_number() OVER (PARTITION BY name ORDER BY batch DESC) = 1),
+made AS (SELECT name, batch, CAST(concat('0x', substring(md5(concat('Name: ', name, chr(10), 'Desc: ', description, chr(10),
+  'Tags: [''a b'']', chr(10), 'Code:', chr(10), code)), 1, 2)) AS INTEGER) AS head FROM per_batch)"""
+
+
+@query("stream_saves", f"""{_STREAMED}
+SELECT l.name, CASE WHEN NOT parses THEN 'broken' WHEN seq % 5 = 0 THEN 'verified' WHEN test_cases = '[]' THEN 'pending_tests'
+  WHEN v.name IS NULL THEN 'error_internal' ELSE v.status END AS status,
+  concat('2024-02-0', CAST(l.batch + 1 AS VARCHAR), 'T00:00:00') AS updated_at,
+  coalesce(e.batch, -1) AS vector_batch
+FROM last l LEFT JOIN ({VERDICTS}) v ON v.name = l.name
+LEFT JOIN (SELECT name, max(batch) AS batch FROM made WHERE head >= 128 GROUP BY name) e ON e.name = l.name
+UNION ALL
+SELECT name, status, updated_at, -1 AS vector_batch FROM fx_functions WHERE name NOT IN (SELECT name FROM last)""")
+def stream_saves(t):
+    """Statuses and vectors of saved requests over three micro-batches; the newest vector of an asset counts."""
+    log, out = _save_run(t)
+    vectors = latest_embeddings(t.spark.read.option("basePath", out.embeddings).parquet(out.embeddings))
+    made = vectors.select(F.col("function_name").alias("name"), F.col("batch").cast("long").alias("made_in"))
+    found = F.coalesce("made_in", F.lit(-1).cast("long")).alias("vector_batch")
+    return log.current().join(made, "name", "left").select("name", "status", "updated_at", found)
+
+
+@query("stream_save_rejected", f"{_STREAMED} SELECT seq, name, reason FROM s WHERE reason IS NOT NULL")
+def stream_save_rejected(t):
+    return t.spark.read.parquet(_save_run(t)[1].rejected).select("seq", "name", "reason")
+
+
+@query("stream_embed_failures", f"""{_STREAMED}
+SELECT name, CASE WHEN head < 64 THEN 'provider gave no vector' ELSE '64 values wanted, got 16' END AS error, batch
+FROM made WHERE head < 128""")
+def stream_embed_failures(t):
+    failed = _save_run(t)[1].failed
+    return t.spark.read.option("basePath", failed).parquet(failed).select("name", "error", F.col("batch").cast("long").alias("batch"))
 
 
 @query("stream_sessions", batch.SESSIONS)

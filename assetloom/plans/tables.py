@@ -23,7 +23,9 @@ SELECT
     CASE doc_id % 6 WHEN 0 THEN 'import os' WHEN 1 THEN 'import numpy as np'
       WHEN 2 THEN 'from sklearn.linear_model import Ridge' WHEN 3 THEN 'import cv2, json'
       WHEN 4 THEN 'import math' ELSE 'import yaml' END, chr(10),
-    CASE WHEN doc_id % 17 = 3 THEN concat('KEY = "ghp_', repeat('a', 36), '"', chr(10)) ELSE '' END,
+    CASE doc_id % 17 WHEN 3 THEN concat('KEY = "ghp_', repeat('a', 36), '"', chr(10))
+      WHEN 4 THEN concat('KEY = "AIza', repeat('b', 35), '"', chr(10))
+      WHEN 5 THEN concat('KEY = "sk-', repeat('c', 48), '"', chr(10)) ELSE '' END,
     'def ', CASE WHEN doc_id % 13 = 4 THEN '(' ELSE '' END, 'fn_', cast(doc_id AS string), '(a, b):', chr(10),
     repeat(concat('    # note', chr(10)), cast((doc_id % 8) * 20 AS int)),
     CASE WHEN doc_id % 11 = 5 THEN concat('    eval("1")', chr(10)) ELSE '' END,
@@ -32,7 +34,7 @@ SELECT
   concat(CASE WHEN doc_id % 5 = 0 THEN '  🚀 ' ELSE '' END, replace(text, chr(10), ' ')) AS description,
   concat('["', lang, '","', source, '"', CASE WHEN doc_id % 10 = 0 THEN ',"core"' ELSE '' END, ']') AS tags,
   concat('{"dependencies":[',
-    CASE doc_id % 5 WHEN 0 THEN '"numpy>=1.20"' WHEN 1 THEN '"requests==2.19","numpy"' WHEN 2 THEN ''
+    CASE doc_id % 5 WHEN 0 THEN '"numpy>=1.20"' WHEN 1 THEN '"  requests==2.19","numpy"' WHEN 2 THEN ''
       WHEN 3 THEN '"pandas","scipy"' ELSE '"Flask==1.0"' END,
     '],"internal_dependencies":[',
     CASE WHEN doc_id > 0 THEN concat('"fn_', cast(cast(floor(doc_id / 2) AS bigint) AS string), '"') ELSE '' END, ']',
@@ -78,18 +80,25 @@ SELECT concat('fn_', cast(o_orderkey AS string)) AS name, cast(o_custkey AS int)
   'static message' AS message
 FROM orders""",
     "fx_format_results": """
-SELECT concat('fn_', cast(doc_id AS string)) AS name, doc_id % 4 <> 1 AS passed FROM documents""",
+SELECT concat('fn_', cast(doc_id AS string)) AS name, doc_id % 4 <> 1 AS passed FROM documents
+UNION ALL SELECT concat('fn_', cast(doc_id AS string)) AS name, true AS passed FROM documents""",
     "fx_advisories": """
 SELECT * FROM (VALUES ('requests', 'ADV-1', 'header leak'), ('flask', 'ADV-2', 'dos'), ('flask', 'ADV-3', 'xss'))
   AS t(package, advisory_id, advisory)""",
+    # Every asset has a second review that says nothing, and sorts before the first.
     "fx_reviews": """
 SELECT concat('fn_', cast(doc_id AS string)) AS name,
   CASE doc_id % 4 WHEN 0 THEN concat('Result: {"feedback":"ok","score":', cast((doc_id * 13) % 101 AS string), '} done')
     WHEN 1 THEN '{"feedback":"no score"}' WHEN 2 THEN 'no json' ELSE '{bad json}' END AS llm_output
-FROM documents""",
+FROM documents
+UNION ALL SELECT concat('fn_', cast(doc_id AS string)) AS name, 'A remark' AS llm_output FROM documents""",
+    # Cases 7 mod 20 differ in the last of 16 digits; those 8 and 9 mod 10 are equal as values, not as text.
     "fx_test_results": """
-SELECT concat('fn_', cast(user_id AS string)) AS name, event_id AS case_no, props AS expected,
-  CASE WHEN event_type = 'error' THEN cast(NULL AS string) WHEN event_type = 'click' THEN '{"k": 0}' ELSE props END AS actual,
+SELECT concat('fn_', cast(user_id AS string)) AS name, event_id AS case_no,
+  CASE event_id % 10 WHEN 7 THEN '9007199254740993' WHEN 8 THEN 'true' WHEN 9 THEN '{"k": [1, 2], "m": 3}' ELSE props END AS expected,
+  CASE WHEN event_type = 'error' THEN cast(NULL AS string) WHEN event_id % 20 = 7 THEN '9007199254740992'
+    WHEN event_id % 20 = 17 THEN '9007199254740993' WHEN event_id % 10 = 8 THEN '1.0'
+    WHEN event_id % 10 = 9 THEN '{"m":3,"k":[1,2]}' WHEN event_type = 'click' THEN '{"k": 0}' ELSE props END AS actual,
   CASE WHEN event_type = 'error' THEN 'Traceback: boom' END AS trace
 FROM events""",
     "fx_hub_records": """
@@ -108,9 +117,12 @@ FROM (SELECT f.*, cast(substring(f.name, 4) AS bigint) AS doc_id FROM fx_functio
     # Names to look up or delete: labelled documents; toxic ones stand for unknown names.
     "fx_names": """
 SELECT concat(CASE toxic WHEN 1 THEN 'gone_' ELSE 'fn_' END, cast(doc_id AS string)) AS name FROM labels""",
+    # Two verdicts for each asset; those of toxic ones disagree.
     "fx_verdicts": """
 SELECT concat('fn_', cast(doc_id AS string)) AS name, CASE quality WHEN 1 THEN 'verified' ELSE 'failed' END AS status
-FROM labels""",
+FROM labels
+UNION ALL SELECT concat('fn_', cast(doc_id AS string)) AS name,
+  CASE WHEN quality = 1 AND toxic = 0 THEN 'verified' ELSE 'failed' END AS status FROM labels""",
     "fx_rerank": """
 SELECT doc_id AS query_id,
   CASE WHEN quality = 1 THEN concat('fn_', cast(doc_id + 1 AS string)) WHEN toxic = 1 THEN '' ELSE concat('hub_', cast(doc_id AS string)) END

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +18,13 @@ SESSION_CONF = {
     # A skewed join may need one more exchange above it; splitting still wins.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Sessions of a hot user are folded before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
 _local_folders: dict[str, str] = {}
+_scope: ContextVar[str | None] = ContextVar("work_scope", default=None)
 
 
 def build_session(app_name: str = "assetloom", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -39,7 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
@@ -48,8 +55,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/assetloom/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the folder of the current ``work_scope``, else below the shared folder."""
+    return f"{_scope.get() or shared_folder(spark) + '/assetloom'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to one folder, which is deleted at the end.
+
+    Use results inside, or write them elsewhere: they read from these tables.
+    """
+    folder = f"{shared_folder(spark)}/assetloom/job-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

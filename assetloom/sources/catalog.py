@@ -35,7 +35,9 @@ def read_catalog(spark: SparkSession, base: str, version: int) -> Catalog:
 
 
 def with_defaults(functions: DataFrame) -> DataFrame:
-    return functions.withColumn("call_count", F.coalesce("call_count", F.lit(schemas.DEFAULT_CALL_COUNT)))
+    """Defaults where a value is missing, as for a column an older layout lacks."""
+    defaults = {"call_count": schemas.DEFAULT_CALL_COUNT, "status": schemas.DEFAULT_STATUS}
+    return functions.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
 def typed_view(functions: DataFrame) -> DataFrame:

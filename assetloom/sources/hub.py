@@ -65,16 +65,21 @@ def export_hub_records(functions: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def write_hub_records(records: DataFrame, folder: str, shards: int = 64) -> None:
-    """One JSON line per record in ``shards`` folders by name hash; one pass and no shuffle.
+def write_hub_records(records: DataFrame, folder: str, shards: int = 64, files_per_shard: int = 1) -> None:
+    """One JSON line per record in ``shards`` folders by name hash, ``files_per_shard`` files in each.
 
-    Test cases are spliced in as nested JSON, in their own key order.
+    Records are moved to the task that writes their file, so the number of files
+    does not grow with the number of tasks. Test cases are spliced in as nested
+    JSON, in their own key order.
     """
+    salt = F.pmod(F.xxhash64("name", F.lit(1)), F.lit(files_per_shard))
     shard = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
     plain = F.to_json(F.struct(*[c for c in records.columns if c != "test_cases"]))
     cases = F.when(F.try_parse_json("test_cases").isNotNull(), F.col("test_cases")).otherwise(F.lit("[]"))
     line = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"test_cases":'), cases, F.lit("}"))
-    records.select(line.alias("value"), shard.alias("shard")).write.partitionBy("shard").text(folder)
+    lines = records.select(line.alias("value"), shard.alias("shard"), salt.alias("salt"))
+    dealt = lines.repartition(shards * files_per_shard, "shard", "salt").drop("salt")
+    dealt.write.partitionBy("shard").text(folder)
 
 
 def build_hub_index(records: DataFrame) -> DataFrame:
@@ -85,6 +90,15 @@ def build_hub_index(records: DataFrame) -> DataFrame:
     )
 
 
+def write_hub_index(records: DataFrame, folder: str, files: int = 1) -> None:
+    """The index as JSON lines in ``files`` files, in place of an older one."""
+    build_hub_index(records).repartition(files, "name").write.mode("overwrite").json(folder)
+
+
+def read_hub_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("name string, description string, tags array<string>").json(folder)
+
+
 def sync_counts(actions: DataFrame) -> DataFrame:
     """How many records were inserted, updated, left alone or skipped."""
     return actions.agg(

@@ -2,7 +2,7 @@
 
 A micro-batch writes only the rows it changed, into a folder named by its id.
 Running a batch again overwrites the same folder, so replays change nothing,
-and the large base is rewritten only when someone compacts.
+and the large base is rewritten only by ``compact``.
 """
 
 from __future__ import annotations
@@ -39,6 +39,15 @@ class ChangeLog:
         rows = reader.parquet(self.path)
         return rows if before is None else rows.filter(F.col("batch") < before)
 
+    def compact(self, folder: str) -> ChangeLog:
+        """Write what stands now as a new base below ``folder``, with an empty log of its own.
+
+        Call it between runs of the stream: later batches go to the new log.
+        """
+        self.current().write.mode("errorifexists").parquet(f"{folder}/base")
+        base = self.base.sparkSession.read.schema(self.base.schema).parquet(f"{folder}/base")
+        return ChangeLog(f"{folder}/changes", base)
+
     def current(self, before: int | None = None) -> DataFrame:
         """The functions table as it stands after the logged batches."""
         last = latest(self.changes(before), "name", [F.col("batch")]).drop("batch")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +12,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assetloom.functions import dates
 from assetloom.operators.activity import IDLE_SECONDS, usage_delta
-from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, embedding_text
-from assetloom.operators.maintenance import apply_status, hub_actions, hub_rows, prepare_saves, saved_rows
+from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, embedding_text, failures, of_dimension
+from assetloom.operators.maintenance import apply_status, apply_usage, hub_actions, hub_rows, prepare_saves, saved_rows
 from assetloom.operators.quality import verification_status
 from assetloom.session import cut_lineage
 from assetloom.sources.hub import split_records, sync_counts
 from assetloom.streaming.changelog import ChangeLog
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame) -> DataFrame:
-    """Parquet files appearing in a folder, with event times watermarks accept."""
-    raw = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
+# The time of a micro-batch, from its id; a replay may get a later one and overwrites the first.
+Clock = Callable[[int], str]
+
+
+def system_clock(batch_id: int) -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files appearing in a folder, oldest first, with event times watermarks accept."""
+    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.parquet(folder)
     naive = dict(raw.dtypes).get("ts") == "timestamp_ntz"
     return raw.withColumn("ts", dates.utc_instant(F.col("ts"))) if naive else raw
 
@@ -41,45 +54,94 @@ def usage_stream(events: DataFrame, deltas: str, checkpoint: str, watermark: str
     return start(unique, handle, checkpoint)
 
 
-def usage_totals(spark: SparkSession, deltas: str) -> DataFrame:
-    rows = spark.read.option("basePath", deltas).parquet(deltas)
+def usage_totals(spark: SparkSession, deltas: str, after: int = -1, upto: int | None = None) -> DataFrame:
+    """Totals of the deltas of later batches than ``after``; only their folders are read."""
+    rows = spark.read.option("basePath", deltas).parquet(deltas).filter(F.col("batch") > after)
+    rows = rows if upto is None else rows.filter(F.col("batch") <= upto)
     return rows.groupBy("name").agg(F.sum("calls").alias("calls"), dates.utc_naive(F.max("last_ts")).alias("last_ts"))
 
 
+USAGE_MARK = "usage_applied_upto"
+
+
+class UsageResult(NamedTuple):
+    functions: DataFrame
+    config: DataFrame
+
+
+def apply_pending_usage(functions: DataFrame, config: DataFrame, deltas: str) -> UsageResult:
+    """Functions and config after the deltas not applied yet.
+
+    The config keeps the id of the last delta applied. Written as one version
+    with the functions, it makes applying twice count once.
+    """
+    spark = functions.sparkSession
+    mark = config.filter(F.col("key") == USAGE_MARK).agg(F.max(F.col("value").cast("long"))).first()[0]
+    mark = -1 if mark is None else mark
+    last = spark.read.option("basePath", deltas).parquet(deltas).agg(F.max("batch")).first()[0]
+    last = mark if last is None else max(mark, last)
+    applied = apply_usage(functions, usage_totals(spark, deltas, mark, last))
+    row = spark.range(1).select(F.lit(USAGE_MARK).alias("key"), F.lit(str(last)).alias("value"))
+    return UsageResult(applied, config.filter(F.col("key") != USAGE_MARK).select("key", "value").unionByName(row))
+
+
 def hub_stream(
-    records: DataFrame, log: ChangeLog, as_of: str, checkpoint: str, counts: str | None = None
+    records: DataFrame, log: ChangeLog, as_of: Clock, checkpoint: str, counts: str | None = None, rejected: str | None = None
 ) -> StreamingQuery:
-    """Merge record files as they appear; ``counts`` is a folder for one row of totals per micro-batch."""
+    """Merge record files as they appear.
+
+    ``counts`` is a folder for one row of totals per micro-batch, ``rejected``
+    one for the files that were not taken in, with the reason.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         current = log.current(before=batch_id)
         scan = split_records(batch)
         actions = cut_lineage(hub_actions(current, scan.records), "actions")
-        log.write(batch_id, hub_rows(current, actions, as_of))
+        log.write(batch_id, hub_rows(current, actions, as_of(batch_id)))
+        if rejected:
+            scan.rejected.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
         if counts:
-            rejected = scan.rejected.agg(F.count("*").alias("rejected"))
+            refused = scan.rejected.agg(F.count("*").alias("rejected"))
             totals = sync_counts(actions).withColumn("batch_id", F.lit(batch_id))
-            totals = totals.join(rejected.withColumn("batch_id", F.lit(batch_id)), "batch_id")
+            totals = totals.join(refused.withColumn("batch_id", F.lit(batch_id)), "batch_id")
             totals.write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
     return start(records, handle, checkpoint)
 
 
+class SaveFolders(NamedTuple):
+    """Where a save stream puts what is not an asset, a folder per micro-batch below each."""
+
+    embeddings: str
+    rejected: str  # seq, name, reason
+    failed: str  # name, error of the embedding
+
+
 def save_stream(
-    requests: DataFrame, log: ChangeLog, embeddings: str, verdicts: DataFrame, provider: Provider, model: str, as_of: str,
-    checkpoint: str, gate: str = "draft",
+    requests: DataFrame, log: ChangeLog, out: SaveFolders, verdicts: DataFrame, provider: Provider, model: str, dimension: int,
+    as_of: Clock, checkpoint: str, gate: str = "draft", code_chars: int | None = None,
 ) -> StreamingQuery:
     """Save, judge and embed requests; one query keeps the batches in order.
 
-    ``verdicts(name, status)`` holds the test results known so far.
+    ``verdicts(name, status)`` holds the test results known so far; requests
+    with ``skip_test`` need none. Every request ends as a stored asset, as
+    replaced by a later request for its name, or as a rejected row; every stored
+    asset has a vector or a failed row.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        saved = saved_rows(log.current(before=batch_id), prepare_saves(batch, as_of, gate).accepted)
-        saved = cut_lineage(saved, "saved")  # parse once, use three times
-        written = log.write(batch_id, apply_status(saved, verification_status(saved, verdicts), as_of))
-        vectors = embed(embedding_text(written, with_deps=False), provider)
-        as_embedding_rows(vectors, model, as_of).write.mode("overwrite").parquet(f"{embeddings}/batch={batch_id}")
+        now = as_of(batch_id)
+        prepared = prepare_saves(batch, now, gate)
+        accepted = cut_lineage(prepared.accepted, "accepted")
+        prepared.rejected.write.mode("overwrite").parquet(f"{out.rejected}/batch={batch_id}")
+        saved = cut_lineage(saved_rows(log.current(before=batch_id), accepted), "saved")
+        status = verification_status(saved, verdicts, skipped=accepted.filter("skip_test"))
+        written = log.write(batch_id, apply_status(saved, status, now))
+        texts = embedding_text(written, with_deps=False, code_chars=code_chars)
+        made = cut_lineage(of_dimension(embed(texts, provider), dimension), "embedded")
+        as_embedding_rows(made, model, now).write.mode("overwrite").parquet(f"{out.embeddings}/batch={batch_id}")
+        failures(made).write.mode("overwrite").parquet(f"{out.failed}/batch={batch_id}")
 
     return start(requests, handle, checkpoint)
 

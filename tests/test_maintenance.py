@@ -143,9 +143,9 @@ def test_upsert_keeps_one_row_per_asset(spark):
     held = [(1, "a", [1.0], "m", 1, "2024-01-01T00:00:00"), (2, "a", [2.0], "m", 1, "2024-01-01 00:00:01+00"), (3, "b", [3.0], "m", 1, NOW)]
     new = [(9, "b", [4.0, 5.0], "m2", 2, "2023-01-01T00:00:00")]
     table = spark.createDataFrame(held, schemas.EMBEDDINGS)
-    got = embeddings.upsert_embeddings(table, spark.createDataFrame(new, schemas.EMBEDDINGS))
+    got = embeddings.upsert_embeddings(table, spark.createDataFrame(new, schemas.EMBEDDINGS), one_per_asset=False)
     assert sorted((r["function_name"], r["id"]) for r in got.collect()) == [("a", 2), ("b", 9)]
-    again = embeddings.upsert_embeddings(got, spark.createDataFrame(new, schemas.EMBEDDINGS), one_per_asset=True)
+    again = embeddings.upsert_embeddings(got, spark.createDataFrame(new, schemas.EMBEDDINGS))
     assert sorted((r["function_name"], r["id"]) for r in again.collect()) == [("a", 2), ("b", 9)]
 
 
@@ -159,7 +159,13 @@ def test_stale_and_provider_failures(spark):
         return [None if "Name: c" in t else [7.0] for t in texts]
 
     fresh = embeddings.refresh_embeddings(functions, held, provider, "m", 1, AS_OF)
-    assert sorted((r["function_name"], list(r["vector"])) for r in fresh.collect()) == [("a", [1.0]), ("b", [7.0])]
+    assert sorted((r["function_name"], list(r["vector"])) for r in fresh.embeddings.collect()) == [("a", [1.0]), ("b", [7.0])]
+    assert [tuple(r) for r in fresh.failed.collect()] == [("c", "provider gave no vector")]
+    longer = embeddings.refresh_embeddings(functions, held, provider, "m", 2, AS_OF)
+    assert {r["name"]: r["error"] for r in longer.failed.collect()}["b"] == "2 values wanted, got 1"
+    assert sorted((r["function_name"], list(r["vector"])) for r in longer.embeddings.collect()) == sorted(
+        (r["function_name"], list(r["vector"])) for r in held.collect()
+    )
 
     def down(texts):
         raise RuntimeError("provider down")
@@ -224,10 +230,40 @@ def test_case_verdicts(spark):
     results = spark.createDataFrame(rows, "name string, case_no long, expected string, actual string, trace string")
     got = {r["name"]: (r["failures"], r["status"]) for r in quality.evaluate_test_results(results).collect()}
     assert got == {"a": (2, "error"), "b": (0, "success")}
-    errors = [tuple(r) for r in quality.case_errors(results).collect()]
-    assert errors == [("a", 0, 'Test 2: Expected {"k":1}, got {"k":2}; Test 3: Runtime Error - boom')]
-    parts = {r["part_no"]: r["error"] for r in quality.case_errors(results, part_cases=2).collect()}
-    assert set(parts) == {0, 1}
+    errors = sorted(tuple(r) for r in quality.case_errors(results).collect())
+    assert errors == [("a", 1, 'Test 2: Expected {"k":1}, got {"k":2}'), ("a", 2, "Test 3: Runtime Error - boom")]
+    whole = [tuple(r) for r in quality.joined_errors(results, 1000).collect()]
+    assert whole == [("a", 0, "; ".join(e[2] for e in errors))]
+    parts = {r["part_no"]: r["error"] for r in quality.joined_errors(results, 20).collect()}
+    assert [parts[i] for i in sorted(parts)] == [e[2] for e in errors]
+
+
+def test_case_values_compare_exactly(spark):
+    pairs = [("9007199254740993", "9007199254740992", False), ("9007199254740993", "9007199254740993", True),
+             ("9007199254740993", "9007199254740992.0", False), ("1", "1.0", True), ("1e2", "100", True), ("0.1", "0.10", True),
+             ("true", "1", True), ("false", "0.0", True), ("true", "0", False), ("1e-30", "0", False), ("-0", "0", True),
+             ('"1"', "1", False), ("null", "0", False), (None, "0", False), ("[1, 2]", "[1,2]", True), ("1e400", "2e400", True)]
+    rows = [("a", i, e, g, None) for i, (e, g, _) in enumerate(pairs)]
+    results = spark.createDataFrame(rows, "name string, case_no long, expected string, actual string, trace string")
+    failed = {r["case_no"] for r in quality.case_errors(results).collect()}
+    assert failed == {i for i, p in enumerate(pairs) if not p[2]}
+
+
+def test_repeated_rows_never_multiply_assets(spark):
+    table = functions_table(spark, a={"status": "pending"}, b={"status": "pending"})
+    twice = spark.createDataFrame([("a", "verified"), ("a", "failed"), ("a", "verified")], "name string, status string")
+    assert {n: r["status"] for n, r in by_name(maintenance.apply_status(table, twice, AS_OF)).items()} == {"a": "failed", "b": "pending"}
+    assert maintenance.apply_status(table, twice, AS_OF).count() == 2
+    verdicts = spark.createDataFrame([("a", "success"), ("a", "error")], "name string, status string")
+    assert quality.verification_status(table, verdicts, skipped=twice.select("name")).count() == 2
+    formats = spark.createDataFrame([("a", True), ("a", False)], "name string, passed boolean")
+    assert [r["formatted"] for r in quality.format_penalty(formats).collect()] == [False]
+
+
+def test_advisories_of_untidy_requirements(spark):
+    table = functions_table(spark, a={"metadata": '{"dependencies":["  Requests ==2.19","flask"]}'})
+    known = spark.createDataFrame([("requests", "A1", "leak")], "package string, advisory_id string, advisory string")
+    assert [r["advisory_penalty"] for r in quality.advisory_penalty(table, known).collect()] == [30]
 
 
 def test_ranks_split_hot_groups(spark):

@@ -9,10 +9,11 @@ from pathlib import Path
 
 import pytest
 
-import __spark_entry__ as driver
-from assetloom.operators import lookup, retention, search, triage
+from assetloom.operators import embeddings, lookup, maintenance, retention, search, triage
+from assetloom.plans import registry
+from assetloom.plans.catalog import hub_records, save_batch
 from assetloom.plans.registry import AS_OF, Tables
-from assetloom.session import work_path
+from assetloom.session import cut_lineage, work_path, work_scope
 from assetloom.sources import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -32,22 +33,42 @@ def stored(spark):
     return spark.read.parquet(path)
 
 
-PYTHON = {"ArrowEvalPython", "MapInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas"}
-# In the final plan; a query that writes an intermediate table may have used Python before.
+PYTHON = ("ArrowEvalPython", "MapInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas")
+# Queries with Python in any of their jobs: parsing, the provider, scoring.
 USES_PYTHON = {
     "code_facts", "security_verdict", "security_violations", "syntax_status", "required_packages", "internal_edges",
-    "internal_dependencies", "search_topk", "search_boosted", "search_batch", "search_batch_blocks", "search_popularity",
-}
+    "internal_dependencies", "save_assets", "save_rejected", "embed_refresh", "embed_failures", "search_topk", "search_boosted",
+    "search_batch", "search_batch_blocks", "search_popularity", "search_hybrid", "search_select", "search_attach_code",
+    "stream_saves", "stream_save_rejected", "stream_embed_failures",
+}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in driver.queries() if not n.startswith("stream_")))
-def test_plan_of_every_query(spark, name):
-    text = plan(driver.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if "Window" in text:
-        assert not re.search(r"Exchange SinglePartition[^\n]*\n(.*\n)?.*Window \(", text)
-    assert any(p in text for p in PYTHON) == (name in USES_PYTHON)
-    assert "BatchEvalPython" not in text
+def executed(spark, build) -> list[str]:
+    """Final plans of every job that ``build`` and reading its result run, intermediate tables included."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    build().write.format("noop").mode("overwrite").save()
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsList(before, 10_000)
+    return [seen.apply(i).physicalPlanDescription() for i in range(seen.size())]
+
+
+def exchanged(plans: list[str]) -> list[str]:
+    """Columns that each shuffle or broadcast moves."""
+    return [m for p in plans for m in re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: (.*)", p)]
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_plans_of_every_query(spark, name):
+    plans = executed(spark, lambda: registry.queries()[name](spark, SF_DIR))
+    assert plans
+    for text in plans:
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "BatchEvalPython" not in text
+        if "Window" in text:
+            assert not re.search(r"Exchange SinglePartition[^\n]*\n(.*\n)?.*Window \(", text)
+    assert any(p in text for p in PYTHON for text in plans) == (name in USES_PYTHON)
 
 
 def test_listing_reads_three_columns_and_sorts_only_the_top(stored):
@@ -66,21 +87,50 @@ def test_status_filter_reaches_the_scan(stored):
     assert "Not(EqualTo(status,deleted))" in plan(triage.broken_assets(stored))
 
 
-def test_single_search_ships_scores_not_vectors(spark, stored):
+def test_single_search_ships_neither_vectors_nor_all_names(spark, stored):
     vectors = Tables(spark, SF_DIR).fx_embeddings
-    text = plan(search.cosine_topk(vectors, stored, [0.5] * 64))
-    for exchange in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", text):
-        assert "vector" not in exchange
-    assert "TakeOrderedAndProject" in text
+    plans = executed(spark, lambda: search.cosine_topk(vectors, stored, [0.5] * 64))
+    moved = exchanged(plans)
+    assert moved and all("vector" not in m for m in moved)
+    # What is moved are candidates and their names; of the functions, only rows that met one.
+    for text in plans:
+        for join in re.findall(r"\(\d+\) (\w+Join) LeftSemi", text):
+            assert join == "BroadcastHashJoin"
 
 
-def test_batch_search_prunes_before_the_shuffle_and_moves_no_vectors(spark, stored):
+@pytest.mark.parametrize("query_bytes", [search.QUERY_BYTES, 8 * 64 * 100])
+def test_batch_search_prunes_before_the_shuffle_and_moves_no_vectors(spark, stored, query_bytes):
     t = Tables(spark, SF_DIR)
     queries = t.fx_embeddings.selectExpr("id AS query_id", "vector")
-    text = plan(search.batch_topk(t.fx_embeddings, stored, queries, 64))
-    assert "WindowGroupLimit" in text
-    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", text)
-    assert exchanges and all("vector" not in e for e in exchanges)
+    plans = executed(spark, lambda: search.batch_topk(t.fx_embeddings, stored, queries, 64, query_bytes=query_bytes))
+    assert any("WindowGroupLimit" in p for p in plans)
+    assert exchanged(plans) and all("vector" not in m for m in exchanged(plans))
+
+
+def test_merge_reads_stored_code_once(spark, stored):
+    t = Tables(spark, SF_DIR)
+    plans = executed(spark, lambda: maintenance.merge_hub(stored, hub_records(t), AS_OF))
+    scans = re.findall(r"Location: InMemoryFileIndex \[.*plan-functions.*\n(?:PushedFilters.*\n)?ReadSchema: (.*)", plans[-1])
+    assert sorted("code:string" in s for s in scans) == [False, True]
+
+
+def test_saves_are_parsed_once_whatever_the_gate(spark):
+    t = Tables(spark, SF_DIR)
+
+    def both(gate):
+        made = maintenance.prepare_saves(save_batch(t), AS_OF, gate)
+        return made.accepted.select("name").unionByName(made.rejected.select("name"))
+
+    for gate in ("draft", "strict"):
+        plans = executed(spark, lambda: both(gate))  # noqa: B023
+        assert sum(p.count("ArrowEvalPython (") for p in plans) == sum("ArrowEvalPython (" in p for p in plans) == 1
+
+
+def test_usage_and_upsert_leave_the_large_tables_in_place(spark, stored):
+    t = Tables(spark, SF_DIR)
+    few = cut_lineage(t.fx_new_embeddings.limit(5), "few")
+    plans = executed(spark, lambda: embeddings.upsert_embeddings(t.fx_embeddings, few))
+    assert sum("vector" in m for m in exchanged(plans)) <= 1  # only the new ones
 
 
 def test_small_batch_leaves_the_stored_table_in_place(spark, stored):
@@ -97,20 +147,27 @@ def test_bucketed_tables_join_without_an_exchange(spark, stored):
     for name, df, key in (("pf", stored, "name"), ("pe", t.fx_embeddings, "function_name")):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         catalog.write_bucketed(df, name, work_path(spark, name), key, 8)
-    queries = t.fx_embeddings.selectExpr("id AS query_id", "vector")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(search.batch_topk(spark.table("pe"), spark.table("pf"), queries, 64))
+        kept = spark.table("pe").join(spark.table("pf").withColumnRenamed("name", "function_name"), "function_name", "left_semi")
+        plans = executed(spark, lambda: kept)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    below = text[: text.index("MapInArrow")] if "MapInArrow" in text else text
-    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", text)
-    assert below and all("vector" not in e for e in exchanges)
+    assert "SortMergeJoin" in plans[-1] and not exchanged(plans)
     spark.sql("DROP TABLE pf")
     spark.sql("DROP TABLE pe")
 
 
+def test_work_scope_leaves_no_folder(spark):
+    with work_scope(spark) as folder:
+        cut_lineage(spark.range(3), "t").count()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert fs.exists(path)
+    assert not fs.exists(path)
+
+
 def test_library_never_uses_local_checkpoints_or_row_udfs():
-    source = "\n".join(p.read_text() for p in Path("assetloom").rglob("*.py"))
+    source = "\n".join(p.read_text() for p in Path(__file__).parents[1].joinpath("assetloom").rglob("*.py"))
     for banned in ("localCheckpoint", "crossJoin", ".rdd", "toPandas", "F.udf("):
         assert banned not in source

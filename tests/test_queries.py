@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from assetloom.plans import registry
 from tests.compare import differences, duck_connection
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, CHECKS = driver.queries(), driver.oracle_sql()
+QUERIES, CHECKS = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def test_query_without_check_runs(spark, name):
 
 
 def test_every_check_belongs_to_a_query():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(driver.oracle_sql()) <= set(driver.queries()) and set(QUERIES) <= set(driver.queries())
 
 
 def test_entry(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assetloom import schemas
 from assetloom.operators import activity, maintenance
+from assetloom.operators.embeddings import latest_embeddings
 from assetloom.session import work_path
 from assetloom.sources import hub
 from assetloom.streaming import jobs
@@ -28,7 +29,7 @@ def events(spark, *rows):
 
 @pytest.fixture
 def folders(spark):
-    return {n: work_path(spark, f"test-{n}") for n in ("in", "out", "checkpoint", "changes", "vectors")}
+    return {n: work_path(spark, f"test-{n}") for n in ("in", "out", "checkpoint", "changes", "vectors", "rejected", "failed", "base")}
 
 
 def test_usage_counts_an_event_once_across_batches(spark, folders):
@@ -91,11 +92,18 @@ def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
     expected = base
     for i, record in enumerate(files):
         (tmp_path / f"r{i}.json").write_text(json.dumps(record, indent=1))
-        jobs.hub_stream(hub.stream_hub_records(spark, str(tmp_path)), log, AS_OF, folders["checkpoint"], folders["out"]).awaitTermination()
+        records = hub.stream_hub_records(spark, str(tmp_path))
+        jobs.hub_stream(
+            records, log, lambda batch_id: AS_OF, folders["checkpoint"], folders["out"], folders["rejected"]
+        ).awaitTermination()
         one = spark.read.schema(schemas.HUB_RECORD).option("multiLine", True).json(str(tmp_path / f"r{i}.json"))
         expected = maintenance.merge_hub(expected, one, AS_OF)
     assert by_name(log.current()) == by_name(expected)
     assert json.loads(by_name(log.current())["n"]["metadata"])["quality_score"] == 12.5
+    refused = spark.read.parquet(folders["rejected"]).collect()
+    assert [(r["reason"], r["file_path"].endswith("bad.json")) for r in refused] == [("unreadable", True)]
+    compacted = log.compact(folders["base"])
+    assert by_name(compacted.current()) == by_name(expected) and compacted.changes().count() == 0
     totals = spark.read.parquet(folders["out"]).agg(F.sum("insert"), F.sum("update"), F.sum("rejected")).first()
     assert tuple(totals) == (1, 2, 1)
 
@@ -121,8 +129,9 @@ def test_save_stream(spark, folders, base):
     for batch in (first, second):
         drop_file(batch, folders["in"])
         stream = jobs.file_stream(spark, folders["in"], "*.parquet", first)
+        out = jobs.SaveFolders(folders["vectors"], folders["rejected"], folders["failed"])
         jobs.save_stream(
-            stream, log, folders["vectors"], verdicts, lambda texts: [[1.0, 2.0]] * len(texts), "m", AS_OF, folders["checkpoint"]
+            stream, log, out, verdicts, two_values, "m", 2, lambda batch_id: AS_OF, folders["checkpoint"]
         ).awaitTermination()
     rows = by_name(log.current())
     assert {n: r["status"] for n, r in rows.items()} == {
@@ -130,4 +139,45 @@ def test_save_stream(spark, folders, base):
     }
     assert rows["a"]["code"] == "new = 1" and rows["a"]["call_count"] == 4
     made = spark.read.parquet(folders["vectors"])
-    assert {r["function_name"] for r in made.collect()} == set(rows)
+    assert {r["function_name"] for r in made.collect()} == set(rows) - {"u"}
+    assert [tuple(r) for r in spark.read.parquet(folders["failed"]).select("name", "error").collect()] == [("u", "2 values wanted, got 1")]
+
+
+def two_values(texts):
+    return [[1.0] if "Name: u\n" in t else [1.0, 2.0] for t in texts]
+
+
+def test_skipped_tests_rejections_and_newest_vectors(spark, folders, base):
+    log = ChangeLog(folders["changes"], base)
+    verdicts = spark.createDataFrame([("s", "error")], "name string, status string")
+    cases = '[{"input":{},"expected":1}]'
+    key = "ghp_" + "a" * 36
+    rows = [[(1, "s", "k = 1", "d", [], [], cases, True), (2, "x", f'k = "{key}"', "d", [], [], cases, True)],
+            [(3, "s", "k = 2", "d", [], [], cases, None)]]
+    out = jobs.SaveFolders(folders["vectors"], folders["rejected"], folders["failed"])
+    status = []
+    for batch in rows:
+        drop_file(spark.createDataFrame(batch, REQUEST + ", skip_test boolean"), folders["in"])
+        like = spark.createDataFrame(batch, REQUEST + ", skip_test boolean")
+        stream = jobs.file_stream(spark, folders["in"], "*.parquet", like)
+        by_code = lambda texts: [[float(t[-1]), 0.0] for t in texts]
+        jobs.save_stream(stream, log, out, verdicts, by_code, "m", 2, lambda batch_id: AS_OF, folders["checkpoint"]).awaitTermination()
+        status.append(by_name(log.current())["s"]["status"])
+    assert status == ["verified", "failed"]
+    assert [tuple(r)[:2] for r in spark.read.parquet(folders["rejected"]).select("seq", "name").collect()] == [(2, "x")]
+    # Both vectors have one time; the later batch's is the newest.
+    newest = latest_embeddings(spark.read.option("basePath", out.embeddings).parquet(out.embeddings))
+    assert [r["vector"][0] for r in newest.collect()] == [2.0]
+
+
+def test_usage_is_applied_once(spark, folders, base):
+    config = spark.createDataFrame([("embedding_model", "m")], "key string, value string")
+    for i, calls in enumerate([(1, 2), (3,)]):
+        events(spark, *[(n, "a", 1, n) for n in calls]).groupBy("name").agg(
+            F.count("*").alias("calls"), F.max("ts").alias("last_ts")
+        ).withColumn("last_ts", F.col("last_ts").cast("timestamp")).write.parquet(f"{folders['out']}/batch={i}")
+        first = jobs.apply_pending_usage(base, config, folders["out"])
+        again = jobs.apply_pending_usage(first.functions, first.config, folders["out"])
+        base, config = again.functions, again.config
+    assert by_name(base)["a"]["call_count"] == 7
+    assert {r["key"]: r["value"] for r in config.collect()} == {"embedding_model": "m", jobs.USAGE_MARK: "1"}
