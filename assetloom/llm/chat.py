@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import Batches, small_batches, text_of
+from assetloom.llm.common import Batches, as_lists, flat_lists, small_batches, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that belongs to this vocabulary.
@@ -166,26 +166,26 @@ def format_conversations(turns: DataFrame, template: Template = Template(), voca
         for batch in small_batches(batches):
             if not batch.num_rows:
                 continue
-            rows = batch.select(["ids", "opened", "closed", "learned"]).to_pydict()
-            out, starts, masks = [], [], []
-            for i, conv in enumerate(batch.column(0).to_pylist()):
-                fresh = current != (conv,)
-                if fresh:
-                    current, position = (conv,), 0
-                ids = [begin, *rows["ids"][i]] if fresh else rows["ids"][i]
-                step = np.zeros(len(ids) + 1, np.int8)
-                if rows["learned"][i]:
-                    step[rows["opened"][i] + fresh] += 1
-                    step[rows["closed"][i] + fresh] -= 1
-                out.append(ids)
-                masks.append(np.cumsum(step[:-1], dtype=np.int8))
-                starts.append(position)
-                position += len(ids)
+            convs = batch.column(0).to_pylist()
+            before = [current, *((c,) for c in convs[:-1])]
+            fresh = np.array([(c,) != p for c, p in zip(convs, before, strict=True)])
+            ids, at = flat_lists(batch.column("ids"))
+            ids = np.insert(ids, at[:-1][fresh], begin)
+            shift = np.cumsum(fresh)
+            starts = at + np.concatenate([[0], shift])
+            step = np.zeros(len(ids) + 1, np.int8)
+            learned = batch.column("learned").to_numpy(zero_copy_only=False)
+            content = (starts[:-1] + fresh)[learned]
+            np.add.at(step, content + batch.column("opened").to_numpy()[learned], 1)
+            np.add.at(step, content + batch.column("closed").to_numpy()[learned], -1)
+            # Ids before the row: those of the conversation in this batch, or since it began in an earlier one.
+            first = np.maximum.accumulate(np.where(fresh, starts[:-1], -position))
+            token_start = starts[:-1] - first
+            current, position = (convs[-1],), int(starts[-1] - first[-1])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(starts, pa.int64()), pa.array(out, pa.list_(pa.int32())),
-                 pa.array(masks, pa.list_(pa.int8()))],
+                [*batch.columns[:3], pa.array(token_start), as_lists(ids, starts), as_lists(np.cumsum(step[:-1], dtype=np.int8), starts)],
                 ["conv_id", "turn", "role", "token_start", "input_ids", "loss_mask"],
-            )
+            )
 
     dealt = encode_turns(turns, template, vocabulary).repartition("conv_id")
     return dealt.sortWithinPartitions("conv_id", "turn", "role", "ids").mapInArrow(work, _FORMATTED)
@@ -197,7 +197,8 @@ def rendered(formatted: DataFrame, template: Template = Template(), vocabulary:
     def work(batches: Batches) -> Batches:
         own = codec(vocabulary, template)
         for batch in small_batches(batches):
-            parts = (own.segments(np.array(x, np.int64)) for x in batch.column(2).to_pylist())
+            flat, starts = flat_lists(batch.column(2))
+            parts = (own.segments(flat[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True))
             strings = ["".join(template.marks[m] + own.decode(ids) for m, ids in p) for p in parts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(strings, pa.string())], ["conv_id", "turn", "string"])
 
@@ -223,13 +224,14 @@ def read_back(formatted: DataFrame, template: Template = Template(), vocabulary:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in small_batches(batches):
-            lists = [batch.column(i).to_pylist() for i in range(3)]
-            for conv, ids, mask in zip(*lists, strict=True):
+            flat, starts = flat_lists(batch.column(1))
+            masks = flat_lists(batch.column(2))[0].astype(bool)
+            for i, conv in enumerate(batch.column(0).to_pylist()):
+                ids, mask = flat[starts[i] : starts[i + 1]], masks[starts[i] : starts[i + 1]]
                 if current is None or current[0] != conv:
                     if current is not None:
                         done.append(current)
                     current = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = np.array(ids, np.int64), np.array(mask, bool)
                 for mark, inner in own.segments(ids):
                     text = own.decode(inner)
                     current[5] += marks[mark] + len(text)

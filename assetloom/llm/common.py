@@ -38,6 +38,16 @@ def small_batches(batches: Batches, most_bytes: int = 8 << 20) -> Batches:
             yield batch.slice(start, step)
 
 
+def flat_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column without nulls, and where each row's start; the last number is their count."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def as_lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))
+
+
 def runs(keys: list[np.ndarray]) -> np.ndarray:
     """Start of each run of equal keys, and the length at the end."""
     n = len(keys[0])
