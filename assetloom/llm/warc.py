@@ -177,7 +177,9 @@ def write_archive(
         names = ["shard", "roll", "temporary", "name", "records", "bytes", "sha256"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    dealt = records.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # A task writes one shard: as much as a shard holds, however many there are.
+    dealt = records.repartitionById(len(starts) + 1, F.col("shard").cast("int"))
+    dealt = dealt.sortWithinPartitions("page_id", "digest", "url")
     wrote = dealt.mapInArrow(write, _MANIFEST)
     # Only what successful attempts report is part of the written table.
     manifest = cut_lineage(wrote, "warc-manifest")
