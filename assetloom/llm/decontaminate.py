@@ -23,91 +23,105 @@ LONG_OVERLAP = 50  # words found in place that count whatever their share
 LEAST_RUN = 5  # an overlap has at least so many words
 BLOCK_WORDS = 1 << 18  # words of test items sent to the tasks at once: at most 32 MB of tables
 _WORD = re.compile(r"\w+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_GAP = [0] * max(map(len, SEEDS))  # between texts, so that no window spans two
+_FILTER_BITS = 20
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def seed_hashes(values: np.ndarray, seed: str) -> np.ndarray:
+    """The hash of each window of word values, its ignored positions left out.
 
-
-def seed_hashes(ids: np.ndarray, seed: str) -> np.ndarray:
-    """The hash of each window of word numbers, its ignored positions left out."""
-    n = len(ids) - len(seed) + 1
+    A sum of random values times odd numbers of their own, modulo 2**64.
+    """
+    n = len(values) - len(seed) + 1
     out = np.zeros(max(0, n), np.uint64)
     for i, mark in enumerate(seed):
         if mark == "1" and n > 0:
-            out = _mixed(out + ids[i : i + n])
+            out += values[i : i + n] * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1)
     return out
 
 
+class _Table:
+    """Hashes of one seed over the items, with the item and place of each; most lookups end at the filter."""
+
+    def __init__(self, hashes: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[hashes >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of (position in ``h``, item, place in the item)."""
+        at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
+        low = np.searchsorted(self.hashes, h[at])
+        count = np.searchsorted(self.hashes, h[at], "right") - low
+        rows = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.stack([np.repeat(at, count), self.owner[rows], self.place[rows]], 1)
+
+
 class Probe:
     """The seed tables of one bounded block of test items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.items = [(key, np.array([number(w) for w in words_of(text)], np.uint64)) for key, text in items]
+        self.items = [(key, np.array([number(w) for w in words_of(text)], np.int64)) for key, text in items]
+        self.values = np.random.default_rng(7).integers(0, 2**64, len(self.vocabulary) + 1, np.uint64)
+        every = [(i, ids, np.arange(len(ids))) for i, (_, ids) in enumerate(self.items)]
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         self.tables = []
         for seed in SEEDS:
-            hashes, owner, place = [], [], []
-            for i, (_, ids) in enumerate(self.items):
-                found = seed_hashes(ids, seed)
-                hashes.append(found)
-                owner.append(np.full(len(found), i))
-                place.append(np.arange(len(found)))
-            h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            order = np.argsort(h, kind="stable")
-            pick = lambda parts, o=order: (np.concatenate(parts) if parts else np.zeros(0, int))[o]
-            self.tables.append((h[order], pick(owner), pick(place)))
+            hashes = [seed_hashes(self.values[ids], seed) for _, ids, _ in every]
+            owner = join([np.full(len(h), i) for h, (i, _, _) in zip(hashes, every, strict=True)])
+            place = join([places[: len(h)] for h, (_, _, places) in zip(hashes, every, strict=True)])
+            self.tables.append(_Table(np.concatenate([np.zeros(0, np.uint64), *hashes]), owner, place))
         # Items too short for any seed are met by their whole sequence of words.
         shortest = min(map(len, SEEDS))
-        self.short = [(i, ids) for i, (_, ids) in enumerate(self.items) if 0 < len(ids) < shortest]
-
-    def _hits(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's first word in the text), from equal seed hashes."""
-        found: set[tuple[int, int]] = set()
-        for seed, (table, owner, place) in zip(SEEDS, self.tables, strict=True):
-            h = seed_hashes(ids, seed)
-            if not len(h) or not len(table):
-                continue
-            low = np.searchsorted(table, h)
-            at = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == h)
-            if not len(at):
-                continue
-            start, count = low[at], np.searchsorted(table, h[at], "right") - low[at]
-            rows = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
-            pairs = np.stack([owner[rows], np.repeat(at, count) - place[rows]], 1)
-            found.update(map(tuple, np.unique(pairs, axis=0).tolist()))
+        self.short = [(i, ids) for i, ids, _ in every if 0 < len(ids) < shortest]
+
+    def _hits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distinct rows of (position of the item's first word if in place, item, number of the text that was hit)."""
+        values = self.values[ids]
+        found = [np.zeros((0, 3), np.int64)]
+        for seed, table in zip(SEEDS, self.tables, strict=True):
+            rows = table.find(seed_hashes(values, seed))
+            found.append(np.stack([rows[:, 0] - rows[:, 2], rows[:, 1], rows[:, 0]], 1))
         for i, own in self.short:
-            for at in np.flatnonzero(ids[: max(0, len(ids) - len(own) + 1)] == own[0]):
-                if (ids[at : at + len(own)] == own).all():
-                    found.add((i, int(at)))
-        return found
-
-    def overlaps(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item key, words of the item found, words of the item, position of the first in the text)."""
-        words = words_of(text)
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        covered: dict[int, tuple[np.ndarray, int]] = {}
-        for i, offset in self._hits(ids):
-            own = self.items[i][1]
-            a, b = max(0, -offset), min(len(own), len(ids) - offset)
-            same = own[a:b] == ids[a + offset : b + offset]
-            mask, first = covered.get(i, (np.zeros(len(own), bool), len(ids)))
+            at = np.flatnonzero(ids[: max(0, len(ids) - len(own) + 1)] == own[0])
+            at = at[(ids[at[:, None] + np.arange(len(own))] == own).all(1)]
+            found.append(np.stack([at, np.full(len(at), i), at], 1))
+        rows = np.concatenate(found)
+        rows[:, 2] = np.searchsorted(starts, rows[:, 2], "right") - 1
+        return np.unique(rows, axis=0)
+
+    def overlaps(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item key, words of the item found, words of the item, position of the first in the text)."""
+        get, flat, starts = self.vocabulary.get, [], [0]
+        for text in texts:
+            flat += [get(w, 0) for w in words_of(text)]
+            flat += _GAP
+            starts.append(len(flat))
+        ids = np.array(flat, np.int64)
+        covered: list[dict[int, tuple[np.ndarray, int]]] = [{} for _ in texts]
+        for start, i, t in self._hits(ids, np.array(starts)).tolist():
+            own, low, high = self.items[i][1], starts[t], starts[t + 1] - len(_GAP)
+            a, b = max(0, low - start), min(len(own), high - start)
+            same = own[a:b] == ids[start + a : start + b]
             held = _runs_of(same)
             if held.any():
+                mask, first = covered[t].get(i, (np.zeros(len(own), bool), high))
                 mask[a:b] |= held
-                covered[i] = (mask, min(first, a + offset + int(held.argmax())))
+                covered[t][i] = (mask, min(first, start + a + int(held.argmax())))
         return [
-            (self.items[i][0], int(mask.sum()), len(mask), first)
-            for i, (mask, first) in sorted(covered.items())
-            if mask.sum() >= min(LONG_OVERLAP, LEAST_SHARE * len(mask) - 1e-9)
+            [
+                (self.items[i][0], int(mask.sum()), len(mask), first - starts[t])
+                for i, (mask, first) in sorted(found.items())
+                if mask.sum() >= min(LONG_OVERLAP, LEAST_SHARE * len(mask) - 1e-9)
+            ]
+            for t, found in enumerate(covered)
         ]
 
 
@@ -141,7 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def work(batches: Batches, probe: Probe = probe) -> Batches:
             for batch in small_batches(batches):
-                found = [(d, *x) for d, t in zip(*map(pa.Array.to_pylist, batch.columns), strict=True) for x in probe.overlaps(t)]
+                keys, texts = (c.to_pylist() for c in batch.columns)
+                found = [(d, *x) for d, own in zip(keys, probe.overlaps(texts), strict=True) for x in own]
                 arrays = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "n_found", "n_words", "first_word"])
 
@@ -169,7 +184,7 @@ def probes(benchmark: DataFrame):
 def _clean(batches: Batches, probe: Probe, column: int) -> Batches:
     for batch in small_batches(batches):
         texts = batch.column(column).cast(pa.string()).fill_null("").to_pylist()
-        yield batch.filter(pa.array([not probe.overlaps(t) for t in texts], pa.bool_()))
+        yield batch.filter(pa.array([not own for own in probe.overlaps(texts)], pa.bool_()))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
