@@ -156,10 +156,11 @@ def hub_index(t):
 
 
 _ACTIONS = """
-SELECT h.*, CASE WHEN f.name IS NULL THEN 'insert' WHEN h.code IS DISTINCT FROM f.code
+SELECT h.*, CASE WHEN h.code IS NULL THEN 'skipped' WHEN f.name IS NULL THEN 'insert' WHEN h.code IS DISTINCT FROM f.code
   OR h.description IS DISTINCT FROM f.description THEN 'update' ELSE 'unchanged' END AS action,
   f.status AS f_status, f.test_cases AS f_tests, f.call_count AS f_calls, f.last_called_at AS f_last, f.created_at AS f_created
-FROM fx_hub_records h LEFT JOIN fx_functions f ON f.name = h.name"""
+FROM (SELECT * FROM fx_hub_records QUALIFY row_number() OVER (PARTITION BY name ORDER BY updated_at DESC) = 1) h
+LEFT JOIN fx_functions f ON f.name = h.name"""
 
 
 HUB_MERGE_SQL = f"""
@@ -168,10 +169,10 @@ SELECT name, code, description, tags, '{{"dependencies":[],"quality_score":80,"s
   CASE action WHEN 'insert' THEN 'active' ELSE f_status END AS status, f_tests AS test_cases,
   CASE action WHEN 'insert' THEN 0 ELSE f_calls END AS call_count, f_last AS last_called_at,
   CASE action WHEN 'insert' THEN '{AS_OF_ISO}' ELSE f_created END AS created_at, '{AS_OF_ISO}' AS updated_at
-FROM a WHERE action != 'unchanged'
+FROM a WHERE action IN ('insert', 'update')
 UNION ALL
 SELECT name, code, description, tags, metadata, status, test_cases, call_count, last_called_at, created_at, updated_at
-FROM fx_functions WHERE name NOT IN (SELECT name FROM a WHERE action != 'unchanged')"""
+FROM fx_functions WHERE name NOT IN (SELECT name FROM a WHERE action IN ('insert', 'update'))"""
 
 
 @query("hub_merge", HUB_MERGE_SQL)

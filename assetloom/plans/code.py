@@ -41,14 +41,20 @@ SELECT name, CASE {_ID} % 6 WHEN 2 THEN 'import_from' ELSE 'import' END AS kind,
   unnest(CASE {_ID} % 6 WHEN 0 THEN ['os'] WHEN 1 THEN ['numpy'] WHEN 2 THEN ['sklearn.linear_model']
     WHEN 3 THEN ['cv2', 'json'] WHEN 4 THEN ['math'] ELSE ['yaml'] END) AS value FROM fx_functions WHERE NOT {_BROKEN}
 UNION ALL SELECT name, 'call' AS kind, 'eval' AS value FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} % 11 = 5
-UNION ALL SELECT name, 'call' AS kind, {_PARENT} AS value FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} > 0""")
+UNION ALL SELECT name, 'call' AS kind, {_PARENT} AS value FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} > 0
+UNION ALL SELECT name, CASE {_ID} % 29 WHEN 6 THEN 'attr_call' WHEN 7 THEN 'dunder' ELSE 'import_from' END AS kind,
+  CASE {_ID} % 29 WHEN 6 THEN 'system' WHEN 7 THEN '__class__' ELSE 'subprocess' END AS value
+FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} % 29 IN (6, 7, 8)""")
 def code_facts(t):
     return facts.fact_rows(facts.with_facts(t.fx_functions)).select("name", "kind", "value")
 
 
 _MESSAGE = f"""CASE WHEN {_BROKEN} THEN {_SYNTAX}
   WHEN {_ID} % 6 = 0 THEN 'Security Block: Import of ''os'' is forbidden.'
-  WHEN {_ID} % 11 = 5 THEN 'Security Block: Direct call to ''eval'' is forbidden.' ELSE '' END"""
+  WHEN {_ID} % 29 = 8 THEN 'Security Block: Import from ''subprocess'' is forbidden.'
+  WHEN {_ID} % 11 = 5 THEN 'Security Block: Direct call to ''eval'' is forbidden.'
+  WHEN {_ID} % 29 = 6 THEN 'Security Block: Attribute call ''system'' is forbidden.'
+  WHEN {_ID} % 29 = 7 THEN 'Security Block: Access to dunder attribute ''__class__'' is forbidden.' ELSE '' END"""
 
 
 @query("security_verdict", f"SELECT name, {_MESSAGE} = '' AS is_safe, {_MESSAGE} AS message FROM fx_functions")
@@ -59,7 +65,11 @@ def security_verdict(t):
 @query("security_violations", f"""
 SELECT name, 'Security Block: Import of ''os'' is forbidden.' AS message FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} % 6 = 0
 UNION ALL SELECT name, 'Security Block: Direct call to ''eval'' is forbidden.' AS message FROM fx_functions
-WHERE NOT {_BROKEN} AND {_ID} % 11 = 5""")
+WHERE NOT {_BROKEN} AND {_ID} % 11 = 5
+UNION ALL SELECT name, CASE {_ID} % 29 WHEN 6 THEN 'Security Block: Attribute call ''system'' is forbidden.'
+  WHEN 7 THEN 'Security Block: Access to dunder attribute ''__class__'' is forbidden.'
+  ELSE 'Security Block: Import from ''subprocess'' is forbidden.' END AS message
+FROM fx_functions WHERE NOT {_BROKEN} AND {_ID} % 29 IN (6, 7, 8)""")
 def security_violations(t):
     return security.violations(facts.with_facts(t.fx_functions)).select("name", "message")
 

@@ -29,6 +29,8 @@ SELECT
     'def ', CASE WHEN doc_id % 13 = 4 THEN '(' ELSE '' END, 'fn_', cast(doc_id AS string), '(a, b):', chr(10),
     repeat(concat('    # note', chr(10)), cast((doc_id % 8) * 20 AS int)),
     CASE WHEN doc_id % 11 = 5 THEN concat('    eval("1")', chr(10)) ELSE '' END,
+    CASE doc_id % 29 WHEN 6 THEN concat('    a.system()', chr(10)) WHEN 7 THEN concat('    a.__class__', chr(10))
+      WHEN 8 THEN concat('    from subprocess import run', chr(10)) WHEN 9 THEN concat('    from . import x', chr(10)) ELSE '' END,
     CASE WHEN doc_id > 0 THEN concat('    fn_', cast(cast(floor(doc_id / 2) AS bigint) AS string), '(a, b)', chr(10)) ELSE '' END,
     '    return a + b', chr(10)) AS code,
   concat(CASE WHEN doc_id % 5 = 0 THEN '  🚀 ' ELSE '' END, replace(text, chr(10), ' ')) AS description,
@@ -101,11 +103,16 @@ SELECT concat('fn_', cast(user_id AS string)) AS name, event_id AS case_no,
     WHEN event_id % 10 = 9 THEN '{"m":3,"k":[1,2]}' WHEN event_type = 'click' THEN '{"k": 0}' ELSE props END AS actual,
   CASE WHEN event_type = 'error' THEN 'Traceback: boom' END AS trace
 FROM events""",
+    # Records without code, and an older record for every name.
     "fx_hub_records": """
 SELECT CASE WHEN doc_id % 5 = 1 THEN concat('hub_', cast(doc_id AS string)) ELSE name END AS name,
-  CASE WHEN doc_id % 3 = 0 THEN code ELSE concat('# v2', chr(10), code) END AS code,
+  CASE WHEN doc_id % 11 = 2 THEN cast(NULL AS string) WHEN doc_id % 3 = 0 THEN code ELSE concat('# v2', chr(10), code) END AS code,
   description, tags, '[]' AS dependencies, 80 AS quality_score, '2024-01-20T00:00:00' AS updated_at
-FROM (SELECT f.*, cast(substring(f.name, 4) AS bigint) AS doc_id FROM fx_functions f) x""",
+FROM (SELECT f.*, cast(substring(f.name, 4) AS bigint) AS doc_id FROM fx_functions f) x
+UNION ALL
+SELECT CASE WHEN doc_id % 5 = 1 THEN concat('hub_', cast(doc_id AS string)) ELSE name END AS name, concat('# v1', chr(10), code) AS code,
+  'older' AS description, tags, '[]' AS dependencies, 10 AS quality_score, '2024-01-19T23:59:59' AS updated_at
+FROM (SELECT f.*, cast(substring(f.name, 4) AS bigint) AS doc_id FROM fx_functions f) y""",
     "fx_save_requests": """
 SELECT doc_id AS seq,
   concat(CASE WHEN doc_id % 3 = 0 THEN ' fn__' WHEN doc_id % 3 = 1 THEN 'fn_' ELSE 'new_🚀_' END,
