@@ -45,9 +45,11 @@ def _one_line(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record: an HTTP response, or a revisit that holds only its headers."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(
+    page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, refers_to: int | None, date: str
+) -> bytes:
+    """One WARC record: an HTTP response, or a revisit that holds only its headers (``payload`` is not read then)."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = [
@@ -154,22 +156,24 @@ def write_archive(
     spark, rows = pages.sparkSession, _rows(pages)
     light = cut_lineage(rows.select("page_id", "n", "digest"), "warc-digests")
     again, starts = references(light, least_payload), shard_starts(light, shard_bytes)
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("refers_to")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     met = rows.join(again, (F.col("digest") == F.col("d")) & (F.col("n") >= least_payload), "left")
-    records = met.select(_shard_of(starts).alias("shard"), "page_id", "url", "html", "digest", refers)
+    # Payloads of revisits stay behind: a large group of copies moves one body.
+    body = F.when(refers.isNull(), F.col("html")).alias("html")
+    records = met.select(_shard_of(starts).alias("shard"), "page_id", "url", body, "n", "digest", refers.alias("refers_to"))
 
     def write(batches: Batches) -> Batches:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(f"{base}/_temporary-files", recursive=True)
         attempt, now, done = uuid.uuid4().hex, None, []
         for batch in small_batches(batches):
-            for shard, page_id, url, page, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, page_id, url, page, n, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now.shard != shard or now.bytes >= file_bytes:
                     roll = now.roll + 1 if now is not None and now.shard == shard else 0
                     if now is not None:
                         done.append(now.close())
                     now = _Roll(fs, base, shard, roll, attempt)
-                now.add(record(page_id, url, page.encode(), digest, refers, date))
+                now.add(record(page_id, url, (page or "").encode(), n, digest, refers, date))
         if now is not None:
             done.append(now.close())
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]

@@ -333,7 +333,7 @@ def test_warc_empty_table(spark):
 
 
 def test_warc_reader_refuses_damage():
-    good = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, warc.DATE)
+    good = warc.record(1, "u", b"payload", 7, hashlib.sha256(b"payload").hexdigest(), None, warc.DATE)
     assert warc.parse(good)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
