@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import json
 from assetloom.functions.text import strip
-from assetloom.operators.ranking import ranked
+from assetloom.operators.ranking import ranked, running_total
 from assetloom.session import Rounds, cut_lineage
 
 # Import roots that need no package.
@@ -81,25 +81,37 @@ def _known(df: DataFrame, column: str, functions: DataFrame) -> DataFrame:
     return df.join(functions.select(F.col("name").alias(column)), column, "left_semi")
 
 
+def _not_better(step: DataFrame, earlier: DataFrame, condition: Column | None = None) -> DataFrame:
+    """``(root, node)`` of written candidates that earlier rounds make useless.
+
+    Earlier rounds are met on their own columns only. Where the candidates are
+    few, as in most rounds, they are copied to the scan and nothing else moves.
+    """
+    held = earlier.select(*[F.col(c).alias(f"_{c}") for c in earlier.columns])
+    same = (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node"))
+    met = held.join(step, same if condition is None else same & condition)
+    return met.select("root", "node").distinct()
+
+
 def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
     """``(root, node, depth)`` for everything reachable from each known root.
 
-    Semi-naive rounds: only newly reached pairs are expanded, and each round is
-    a written table, so a lost executor never replays earlier rounds. Rounds
-    end when none is new, so cycles are harmless.
+    Each round writes what the last new pairs lead to, so a lost executor never
+    replays earlier rounds; pairs met before are left out when the next round
+    starts, and rounds end when none is new, so cycles are harmless.
     """
     spark = roots.sparkSession
     edges = cut_lineage(_known(edges.select("src", "dst").distinct(), "dst", functions), "edges")
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
     rounds = Rounds(spark, "closure")
-    frontier, new = rounds.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    while new:
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(
-            "root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")
-        )
-        seen = rounds.all().select("root", "node")
-        frontier, new = rounds.add(step.distinct().join(seen, ["root", "node"], "left_anti"))
-    return rounds.all()
+    step, found = rounds.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    while found:
+        depth = rounds.number - 1
+        earlier = rounds.before(depth).select("root", "node")
+        new = step.join(_not_better(step, earlier), ["root", "node"], "left_anti") if depth else step
+        reached = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
+        step, found = rounds.add(reached.distinct().withColumn("depth", F.lit(depth + 1)))
+    return rounds.all().groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
 def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
@@ -118,15 +130,15 @@ def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> Da
     start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
     start = start.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("label"))
     rounds = Rounds(spark, "labels")
-    frontier, new = rounds.add(start)
-    while new:
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(
+    step, found = rounds.add(start)
+    while found:
+        earlier = rounds.before(rounds.number - 1) if rounds.number > 1 else None
+        useless = None if earlier is None else _not_better(step, earlier, F.col("_label") <= F.col("label"))
+        new = step if useless is None else step.join(useless, ["root", "node"], "left_anti")
+        longer = new.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), F.array_append("label", F.col("ord")).alias("label")
         )
-        step = step.groupBy("root", "node").agg(F.min("label").alias("label"))
-        held = rounds.all().select(F.col("root").alias("r"), F.col("node").alias("n"), F.col("label").alias("held"))
-        no_better = (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")) & (F.col("held") <= F.col("label"))
-        frontier, new = rounds.add(step.join(held, no_better, "left_anti"))
+        step, found = rounds.add(longer.groupBy("root", "node").agg(F.min("label").alias("label")))
     least = rounds.all().groupBy("root", "node").agg(F.min("label").alias("label"))
     closed = least.withColumn("label", F.array_append("label", F.lit(2**31 - 1)))
     return ranked(closed, ["root"], ["label"], "bundles").select("root", "node", F.col("rank").alias("position"))
@@ -139,19 +151,21 @@ def bundle_rows(order: DataFrame, functions: DataFrame) -> DataFrame:
     return order.join(code, "node").select("root", "position", "node", section.alias("section"))
 
 
-def bundle_code(order: DataFrame, functions: DataFrame, roots: DataFrame, part_assets: int = 1000) -> DataFrame:
+def bundle_code(order: DataFrame, functions: DataFrame, roots: DataFrame, part_bytes: int | None = None) -> DataFrame:
     """Bundle text per root: sections joined by a blank line, ``Not found.`` if none.
 
-    A bundle of more than ``part_assets`` assets spans several rows; joining
-    its parts in order by a blank line gives the whole text.
+    For readers that want text; ``bundle_rows`` is the form for any size. A
+    bundle's text is one row, or with ``part_bytes`` rows of about that size,
+    which joined in order by a blank line give the whole.
     """
-    part = F.floor((F.col("position") - 1) / F.lit(part_assets)).cast("int")
+    rows = bundle_rows(order, functions)
+    if part_bytes is None:
+        rows = rows.withColumn("part_no", F.lit(0).cast("long"))
+    else:
+        sized = running_total(rows.withColumn("size", F.octet_length("section") + 2), ["root"], ["position"], "size", "sections")
+        rows = sized.withColumn("part_no", F.floor(F.col("before") / part_bytes).cast("long"))
     sections = F.transform(F.array_sort(F.collect_list(F.struct("position", "section"))), lambda s: s["section"])
-    texts = (
-        bundle_rows(order, functions)
-        .groupBy("root", part.alias("part_no"))
-        .agg(F.array_join(sections, "\n\n").alias("code"))
-    )
+    texts = rows.groupBy("root", "part_no").agg(F.array_join(sections, "\n\n").alias("code"))
     asked = roots.select(F.col("name").alias("root")).distinct()
     return asked.join(texts, "root", "left").select(
         "root", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("code", F.lit("Not found.")).alias("code")

@@ -100,5 +100,9 @@ class Rounds:
         self.number, self.schema = self.number + 1, df.schema
         return self.spark.read.schema(df.schema).parquet(target), seen.get["rows"]
 
+    def before(self, number: int) -> DataFrame:
+        """The rounds before ``number``; later folders are not read."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={i}" for i in range(number)])
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).drop("round")

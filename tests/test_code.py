@@ -129,6 +129,18 @@ def _depth_first(children: dict[str, list[str]], root: str) -> list[str]:
     return order
 
 
+def _depths(children: dict[str, list[str]]) -> dict[tuple[str, str], int]:
+    """Least number of edges from each root, by plain breadth-first search."""
+    out = {}
+    for root in children:
+        front, depth = [root], 0
+        while front:
+            out.update({(root, n): depth for n in front})
+            front = [d for d in {d for n in front for d in children[n]} if d in children and (root, d) not in out]
+            depth += 1
+    return out
+
+
 def _graph(rng: random.Random, nodes: int) -> dict[str, list[str]]:
     names = [f"n{i}" for i in range(nodes)]
     return {n: rng.choices(names + ["missing"], k=rng.randint(0, 3)) for n in names}
@@ -148,11 +160,12 @@ def test_bundles_equal_recursion_on_graphs_with_cycles(spark, seed):
         got.setdefault(r["root"], []).append(r["node"])
     expected = {n: _depth_first(children, n) for n in children}
     assert got == expected
-    reached = {(r["root"], r["node"]) for r in deps.bundle_closure(edges, roots, functions).collect()}
-    assert reached == {(n, m) for n, nodes in expected.items() for m in nodes}
-    for size in (1000, 2):
+    closure = deps.bundle_closure(edges, roots, functions).collect()
+    assert {(r["root"], r["node"]) for r in closure} == {(n, m) for n, nodes in expected.items() for m in nodes}
+    assert {(r["root"], r["node"]): r["depth"] for r in closure} == _depths(children) and len(closure) == len(_depths(children))
+    for size in (None, 50):
         texts: dict[str, list] = {}
-        for r in deps.bundle_code(order, functions, roots, part_assets=size).orderBy("root", "part_no").collect():
+        for r in deps.bundle_code(order, functions, roots, part_bytes=size).orderBy("root", "part_no").collect():
             texts.setdefault(r["root"], []).append(r["code"])
         whole = {root: "\n\n".join(parts) for root, parts in texts.items()}
         printed = {n: "\n\n".join(f"# --- {m} ---\ncode {m}" for m in nodes) for n, nodes in expected.items()}

@@ -181,3 +181,33 @@ def test_usage_is_applied_once(spark, folders, base):
         base, config = again.functions, again.config
     assert by_name(base)["a"]["call_count"] == 7
     assert {r["key"]: r["value"] for r in config.collect()} == {"embedding_model": "m", jobs.USAGE_MARK: "1"}
+
+
+def test_record_files_and_index_do_not_grow_with_tasks(spark, folders):
+    rows = [(f"n{i}", "code", None if i % 2 else f"d{i}", ["t"] if i % 3 else None) for i in range(60)]
+    records = spark.createDataFrame(rows, "name string, code string, description string, tags array<string>").repartition(20)
+    hub.write_hub_records(records.withColumn("test_cases", F.lit("[]")), folders["out"], shards=3, files_per_shard=2)
+    files = spark.read.text(folders["out"]).select(F.col("_metadata.file_path").alias("f")).distinct().count()
+    assert 3 <= files <= 6
+    for part in (records, records.filter("name < 'n3'")):
+        hub.write_hub_index(part, folders["in"])
+        index = hub.read_hub_index(spark, folders["in"])
+        assert sorted(map(str, index.collect())) == sorted(map(str, hub.build_hub_index(part).collect()))
+
+
+def test_rate_windows_close_in_append_mode(spark, folders):
+    rows = [(i, "a", 1, i) for i in range(15)]
+    drop_file(events(spark, *rows), folders["in"])
+    like = events(spark, *rows)
+
+    def run():
+        stream = jobs.rate_stream(jobs.file_stream(spark, folders["in"], "*.parquet", like), "1 minute", 10)
+        handle = lambda df, i: df.write.mode("overwrite").parquet(f"{folders['out']}/batch={i}")
+        jobs.start(stream, handle, folders["checkpoint"]).awaitTermination()
+
+    run()
+    drop_file(events(spark, (90, "a", 2, 100_000)), folders["in"])
+    run()
+    drop_file(events(spark, *[(100 + i, "a", 3, i) for i in range(15)]), folders["in"])  # far too late: never flagged
+    run()
+    assert [(r["user_id"], r["calls"]) for r in spark.read.parquet(folders["out"]).collect()] == [(1, 15)]
