@@ -22,7 +22,3 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; a zero vector has none, so the result is NULL."""
     return F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
-def literal_vector(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])

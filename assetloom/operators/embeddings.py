@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom import schemas
-from assetloom.functions import dates, json
+from assetloom.functions import dates, json, vectors
 from assetloom.functions.text import list_literal
 from assetloom.operators.lookup import matching
 from assetloom.operators.ranking import latest
@@ -74,21 +74,21 @@ def embed(texts: DataFrame, provider: Provider) -> DataFrame:
     return made.select("name", F.col("_made.vector").alias("vector"), F.col("_made.error").alias("error"))
 
 
-def of_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
+def of_dimension(made: DataFrame, dimension: int) -> DataFrame:
     """Vectors of another length turned into failures: stored, they would be stale at once."""
     wrong = F.col("vector").isNotNull() & (F.size("vector") != dimension)
     text = F.concat(F.lit(f"{dimension} values wanted, got "), F.size("vector"))
-    return vectors.select(
+    return made.select(
         "name", F.when(~wrong, F.col("vector")).alias("vector"), F.when(wrong, text).otherwise(F.col("error")).alias("error")
     )
 
 
-def failures(vectors: DataFrame) -> DataFrame:
-    return vectors.filter("vector IS NULL").select("name", "error")
+def failures(made: DataFrame) -> DataFrame:
+    return made.filter("vector IS NULL").select("name", "error")
 
 
-def as_embedding_rows(vectors: DataFrame, model: str, as_of: str) -> DataFrame:
-    return vectors.filter("vector IS NOT NULL").select(
+def as_embedding_rows(made: DataFrame, model: str, as_of: str) -> DataFrame:
+    return made.filter("vector IS NOT NULL").select(
         F.xxhash64("name").alias("id"),
         F.col("name").alias("function_name"),
         "vector",
@@ -120,6 +120,14 @@ def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool
     return kept.select(*columns).unionByName(fresh)
 
 
+def embedding_drift(embeddings: DataFrame, new: DataFrame) -> DataFrame:
+    """Cosine of each asset's stored and new vector; NULL where either is zero or their lengths differ."""
+    held = embeddings.select("function_name", F.col("vector").alias("held"))
+    met = held.join(new.select("function_name", "vector"), "function_name")
+    same = F.size("held") == F.size("vector")
+    return met.select("function_name", F.when(same, vectors.cosine(F.col("held"), F.col("vector"))).alias("score"))
+
+
 class RefreshResult(NamedTuple):
     embeddings: DataFrame
     failed: DataFrame

@@ -401,6 +401,14 @@ def embeddings_upsert(t):
     return _embedding_columns(embeddings.upsert_embeddings(t.fx_held_embeddings, t.fx_new_embeddings, one_per_asset=False))
 
 
+@query("embedding_drift", """
+SELECT e.function_name, round(list_cosine_similarity(CAST(e.vector AS DOUBLE[]), CAST(n.vector AS DOUBLE[])), 6) AS score
+FROM fx_embeddings e JOIN fx_new_embeddings n ON n.function_name = e.function_name""")
+def embedding_drift(t):
+    drift = embeddings.embedding_drift(t.fx_embeddings, t.fx_new_embeddings)
+    return drift.select("function_name", F.round("score", 6).alias("score"))
+
+
 @query("embed_refresh", f"""
 WITH stale AS ({_STALE}),
 fresh AS (SELECT name, md5({_text_sql(True)}) AS digest FROM fx_functions WHERE name IN (SELECT name FROM stale))
