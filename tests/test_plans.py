@@ -9,7 +9,7 @@ from pathlib import Path
 
 import pytest
 
-from assetloom.operators import embeddings, lookup, maintenance, retention, search, triage
+from assetloom.operators import deps, embeddings, lookup, maintenance, retention, search, triage
 from assetloom.plans import registry
 from assetloom.plans.catalog import hub_records, save_batch
 from assetloom.plans.registry import AS_OF, Tables
@@ -126,6 +126,14 @@ def test_saves_are_parsed_once_whatever_the_gate(spark):
         assert sum(p.count("ArrowEvalPython (") for p in plans) == sum("ArrowEvalPython (" in p for p in plans) == 1
 
 
+def test_bundle_rounds_move_only_candidates(spark):
+    t = Tables(spark, SF_DIR)
+    edges, roots = deps.declared_edges(t.fx_functions), t.fx_functions.select("name")
+    for build in (deps.bundle_closure, deps.bundle_order):
+        moved = exchanged(executed(spark, lambda: build(edges, roots, t.fx_functions)))  # noqa: B023
+        assert moved and not any("_root" in m or "_label" in m for m in moved)
+
+
 def test_usage_and_upsert_leave_the_large_tables_in_place(spark, stored):
     t = Tables(spark, SF_DIR)
     few = cut_lineage(t.fx_new_embeddings.limit(5), "few")
