@@ -30,7 +30,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
-def small_batches(batches: Batches, most_bytes: int = 8 << 20) -> Batches:
+def small_batches(batches: Batches, most_bytes: int = 2 << 20) -> Batches:
     """The same rows in slices of about ``most_bytes``, so that long texts do not pile up in Python."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
@@ -78,7 +78,3 @@ def whole_runs(batches: Batches, keys: list[str]) -> Iterable[pa.Table]:
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
-
-
-def arrow_map(df: DataFrame, work: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
