@@ -110,7 +110,7 @@ class Probe:
             own, low, high = self.items[i][1], starts[t], starts[t + 1] - len(_GAP)
             a, b = max(0, low - start), min(len(own), high - start)
             same = own[a:b] == ids[start + a : start + b]
-            held = _runs_of(same)
+            held = same if _enough(same.sum(), len(own)) else _runs_of(same)
             if held.any():
                 mask, first = covered[t].get(i, (np.zeros(len(own), bool), high))
                 mask[a:b] |= held
@@ -119,18 +119,24 @@ class Probe:
             [
                 (self.items[i][0], int(mask.sum()), len(mask), first - starts[t])
                 for i, (mask, first) in sorted(found.items())
-                if mask.sum() >= min(LONG_OVERLAP, LEAST_SHARE * len(mask) - 1e-9)
+                if mask.sum() >= LONG_OVERLAP or _enough(mask.sum(), len(mask))
             ]
             for t, found in enumerate(covered)
         ]
 
 
+def _enough(found: int, size: int) -> bool:
+    return found >= LEAST_SHARE * size - 1e-9
+
+
 def _runs_of(same: np.ndarray) -> np.ndarray:
     """Equal words of stretches in which at most every fifth word differs and ``LEAST_RUN`` are equal.
 
     Around an equal word, equal ones are counted among the nine words nearest to
     it, or the fewer that there are at an end; this lets single changed words
-    pass and cuts stretches of chance equality.
+    pass and cuts stretches of chance equality. It bounds what counts towards
+    ``LONG_OVERLAP`` and what several alignments add up to; an alignment that
+    holds the share by itself counts whole, wherever its changed words are.
     """
     least = min(LEAST_RUN, len(same))
     sums = np.concatenate([[0], np.cumsum(same)])

@@ -434,3 +434,24 @@ def test_decontamination_finds_changed_passages(spark, monkeypatch):
         assert sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 7]
     assert decontaminate.contaminated(documents(spark, rows), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 50, 59])
+def test_decontamination_counts_changed_words_wherever_they_are(size):
+    rng = random.Random(size)
+    item = words(rng, size)
+    probe = decontaminate.Probe([(1, item)])
+    texts = []
+    for _ in range(200):
+        own = item.split()
+        for at in rng.sample(range(size), size // 5):
+            own[at] = "changed"
+        texts.append(f"{words(rng, 30)} {' '.join(own)} {words(rng, 30)}")
+    own = item.split()
+    own[4:8] = own[12:16] = ["changed"] * 4
+    texts.append(" ".join(own))
+    assert all(brute.holds_item(x, [item]) for x in texts)
+    assert [len(found) for found in probe.overlaps(texts)] == [1] * len(texts)
+    few = item.split()
+    few[: size // 5 + 1] = ["changed"] * (size // 5 + 1)
+    assert probe.overlaps([" ".join(few)]) == [[]]
