@@ -16,15 +16,23 @@ from pyspark.sql import functions as F
 
 from assetloom.llm.common import Batches, small_batches, text_of
 
-# Fixed seeds of eight words each, over 8 to 12 positions ("1": compared, "0": ignored).
-SEEDS = ("11111111", "111101111", "1101101111", "11101110011", "110110101101")
+# Fixed seeds ("1": compared, "0": ignored): of eight words for all items, and lighter ones for short items. Each is
+# (seed, least and most words of the items it is for). The light seeds leave one whole in any item of 5 to 24 words
+# with up to a fifth of its words changed.
+MOST_WORDS = 1 << 62
+SEEDS = (
+    *((x, 8, MOST_WORDS) for x in ("11111111", "111101111", "1101101111", "11101110011", "110110101101")),
+    *((x, 5, 9) for x in ("1111", "11011", "11101", "10111")),
+    *((x, 10, 39) for x in ("11111", "111011", "11001011")),
+)
 LEAST_SHARE = 0.8  # of the words of a test item found in place
 LONG_OVERLAP = 50  # words found in place that count whatever their share
 LEAST_RUN = 5  # an overlap has at least so many words
 BLOCK_WORDS = 1 << 18  # words of test items sent to the tasks at once: at most 32 MB of tables
 _WORD = re.compile(r"\w+")
-_GAP = [0] * max(map(len, SEEDS))  # between texts, so that no window spans two
+_GAP = [0] * max(len(x) for x, _, _ in SEEDS)  # between texts, so that no window spans two
 _FILTER_BITS = 20
+_COMPARED_AT_ONCE = 1 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -73,20 +81,26 @@ class Probe:
         every = [(i, ids, np.arange(len(ids))) for i, (_, ids) in enumerate(self.items)]
         join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         self.tables = []
-        for seed in SEEDS:
-            hashes = [seed_hashes(self.values[ids], seed) for _, ids, _ in every]
-            owner = join([np.full(len(h), i) for h, (i, _, _) in zip(hashes, every, strict=True)])
-            place = join([places[: len(h)] for h, (_, _, places) in zip(hashes, every, strict=True)])
+        for seed, least, most in SEEDS:
+            some = [x for x in every if least <= len(x[1]) <= most]
+            hashes = [seed_hashes(self.values[ids], seed) for _, ids, _ in some]
+            owner = join([np.full(len(h), i) for h, (i, _, _) in zip(hashes, some, strict=True)])
+            place = join([places[: len(h)] for h, (_, _, places) in zip(hashes, some, strict=True)])
             self.tables.append(_Table(np.concatenate([np.zeros(0, np.uint64), *hashes]), owner, place))
         # Items too short for any seed are met by their whole sequence of words.
-        shortest = min(map(len, SEEDS))
+        shortest = min(least for _, least, _ in SEEDS)
         self.short = [(i, ids) for i, ids, _ in every if 0 < len(ids) < shortest]
+        self.lengths = np.array([len(ids) for _, ids, _ in every], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.flat = join([ids for _, ids, _ in every])
 
     def _hits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Distinct rows of (position of the item's first word if in place, item, number of the text that was hit)."""
         values = self.values[ids]
         found = [np.zeros((0, 3), np.int64)]
-        for seed, table in zip(SEEDS, self.tables, strict=True):
+        for (seed, _, _), table in zip(SEEDS, self.tables, strict=True):
+            if not len(table.hashes):
+                continue
             rows = table.find(seed_hashes(values, seed))
             found.append(np.stack([rows[:, 0] - rows[:, 2], rows[:, 1], rows[:, 0]], 1))
         for i, own in self.short:
@@ -95,7 +109,29 @@ class Probe:
             found.append(np.stack([at, np.full(len(at), i), at], 1))
         rows = np.concatenate(found)
         rows[:, 2] = np.searchsorted(starts, rows[:, 2], "right") - 1
-        return np.unique(rows, axis=0)
+        # One number a row sorts faster than three.
+        most, n = int(self.lengths.max(initial=0)), len(self.items)
+        keys = np.unique(((rows[:, 0] + most) * len(starts) + rows[:, 2]) * n + rows[:, 1])
+        rows = np.stack([keys // n // len(starts) - most, keys % n, keys // n % len(starts)], 1) if n else rows
+        return rows[self._worth(ids, starts, rows)]
+
+    def _worth(self, ids: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether a hit has the equal words that any overlap has; most hits of light seeds have not."""
+        start, i, t = rows.T
+        first = np.maximum(start, starts[t])
+        size = np.minimum(start + self.lengths[i], starts[t + 1] - len(_GAP)) - first
+        same = np.zeros(len(rows), np.int64)
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + _COMPARED_AT_ONCE, "right")))
+            n, base = size[at:to], ends[at:to] - size[at:to]
+            step = np.arange(n.sum()) - np.repeat(base - base[0], n)
+            text = ids[np.repeat(first[at:to], n) + step]
+            own = self.flat[np.repeat(self.offsets[i[at:to]] + first[at:to] - start[at:to], n) + step]
+            same[at:to] = np.add.reduceat(text == own, base - base[0], dtype=np.int64)
+            at = to
+        return same >= np.minimum(LEAST_RUN, np.ceil(LEAST_SHARE * self.lengths[i] - 1e-9))
 
     def overlaps(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item key, words of the item found, words of the item, position of the first in the text)."""
@@ -152,7 +188,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row is given when at least 0.8 of the item's words, or 50 of them, stand
     in the document in the item's order, changed words allowed between them. Each
     document is judged whole. Words are runs of letters, digits and underscores,
-    lower-cased. Null texts and items without words hold nothing. Repeated rows
+    lower-cased. Null texts and items without words hold nothing. An item of up to
+    24 words is found wherever its changed words are; one of 25 or more at the
+    full fifth of changes only where eight words of a seed (five up to 39 words)
+    stand unchanged. A passage with words added or left out counts by its dense
+    stretches, so one that has changed words close together as well can be
+    missed. Repeated rows
     give repeated results. Test items are met in blocks of bounded size, so the
     benchmark may grow: each block is one pass over the documents.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -455,3 +456,18 @@ def test_decontamination_counts_changed_words_wherever_they_are(size):
     few = item.split()
     few[: size // 5 + 1] = ["changed"] * (size // 5 + 1)
     assert probe.overlaps([" ".join(few)]) == [[]]
+
+
+@pytest.mark.parametrize("size", [*range(1, 17), 19])
+def test_decontamination_finds_short_items_with_any_fifth_changed(size):
+    item = [f"w{i}" for i in range(size)]
+    probe = decontaminate.Probe([(1, " ".join(item)), (2, "an item of quite other words that is not in any text"), (3, "")])
+    texts = []
+    for places in itertools.combinations(range(size), size // 5):
+        own = ["changed" if i in places else w for i, w in enumerate(item)]
+        texts.append(f"before it {' '.join(own)} and after")
+    found = probe.overlaps(texts)
+    assert found == [[(1, size - size // 5, size, 2 + min(i for i in range(size) if x.split()[2 + i] != "changed"))] for x in texts]
+    if size > 1:
+        cut = ["changed" if i <= size // 5 else w for i, w in enumerate(item)]
+        assert probe.overlaps([" ".join(cut)]) == [[]]
