@@ -163,7 +163,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Repeated rows are reduced to one. Rows without an id stay only where their
     component has no id at all.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return least_rows(docs, near_duplicates(docs))
+
+
+def least_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows that ``keep_one`` keeps, from the components ``near_duplicates`` gives."""
+    found = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.groupBy("component").agg(F.first("component_id").alias("__id"), F.min("body").alias("__body"))
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of()) == F.col("__body"))
     kept = docs.join(first.select("__id", "__body"), own)

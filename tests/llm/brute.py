@@ -41,6 +41,18 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def five_words(text: str | None) -> frozenset:
+    words = WORD.findall((text or "").translate(UPPER))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def five_word_groups(docs: list[tuple[int, str | None]]) -> dict:
+    sets = {i: five_words(t) for i, t in docs}
+    ids = list(sets)
+    alike = lambda a, b: a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b))
+    return components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if alike(sets[a], sets[b])])
+
+
 def near_groups(docs: list[tuple[int, str | None]]) -> dict:
     prints = {i: fingerprint(t) for i, t in docs}
     ids = list(prints)
