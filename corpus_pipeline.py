@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetloom.llm import decontaminate, line_dedup, mixing, near_text, quality
+from assetloom.llm import decontaminate, line_dedup, mixing, quality, simhash
 from assetloom.llm.common import table
 from assetloom.session import cut_lineage
 
@@ -27,8 +27,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles similar by 0.8 or more."""
-    return near_text.keep_one(docs)
+    """One document of each group of near copies: fingerprints of three-word shingles, linked at two differing bits or fewer."""
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", reject_low_quality),
     ("line dedup", drop_shared_lines),
-    ("MinHash near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing to target weights", mix_sources),
 ]
@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# A fitted discriminant and minima of hashed shingles have no SQL form.
+# A fitted discriminant and fingerprints of hashed shingles have no SQL form.
 ORACLE_SQL = None
