@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import chat, decontaminate, embedding_dedup, exact_dedup, fill_middle, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
+from assetloom.llm import chat, decontaminate, embedding_dedup, exact_dedup, fill_middle, html_text, importance, line_dedup, mixing, quality, simhash, url_filter, warc
 from assetloom.llm.common import table
 from assetloom.session import cut_lineage, work_path
 
@@ -92,6 +92,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
         op9_embedding_dedup,
         op10_decontaminate,
         op11_fill_middle,
+        op12_importance,
         op13_exact_dedup,
     )
 }
@@ -189,6 +195,49 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGIN
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
               ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256 FROM p""",
+    # CRC-32 is linear: each byte gives what it becomes once the bytes behind it follow, 256 stands for the start value.
+    "op12_importance": f"""
+WITH RECURSIVE texts AS (
+  SELECT 's' AS side, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 't' AS side, NULL AS doc_id, coalesce(text, '') AS text FROM benchmark),
+w AS (SELECT side, doc_id, row_number() OVER () AS row_no,
+             regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts),
+runs AS (
+  SELECT row_no, unnest(words) AS f FROM w
+  UNION ALL SELECT row_no, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS f FROM w
+  UNION ALL SELECT row_no, unnest(list_transform(range(1, len(words) - 1),
+                                                 lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS f FROM w),
+per_doc AS (SELECT row_no, f, count(*) AS n FROM runs GROUP BY row_no, f),
+own AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM per_doc),
+steps AS (
+  SELECT 0 AS k, b, CASE WHEN b = 256 THEN 4294967295 ELSE b END::BIGINT AS v FROM range(257) AS r(b)
+  UNION ALL SELECT k + 1 AS k, b, xor(v >> 1, (v & 1) * 3988292384) AS v FROM steps
+  WHERE k < (SELECT 4 * max(length(h)) FROM own)),
+parts AS (SELECT k / 8 AS d, b, v FROM steps WHERE k % 8 = 0 AND k > 0),
+bytes AS (
+  SELECT f, length(h) // 2 AS d, 256 AS b FROM own
+  UNION ALL SELECT f, length(h) // 2 - i AS d, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT AS b
+  FROM (SELECT f, h, unnest(range(length(h) // 2)) AS i FROM own)),
+hashed AS (SELECT f, xor(bit_xor(v), 4294967295) % 10000 AS bucket FROM bytes JOIN parts USING (d, b) GROUP BY f),
+totals AS (
+  SELECT bucket, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t
+  FROM per_doc JOIN hashed USING (f) JOIN w USING (row_no) GROUP BY bucket),
+sums AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM totals),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce(all_s, 0) + 10000)
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(all_t, 0) + 10000))))::BIGINT AS gain FROM totals, sums),
+weighed AS (
+  SELECT row_no, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM per_doc JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY row_no),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM w LEFT JOIN weighed USING (row_no) WHERE side = 's'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END::BIGINT AS rank FROM placed""",
     "op13_exact_dedup": """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
