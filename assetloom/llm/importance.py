@@ -81,8 +81,9 @@ class Head:
         state = np.array([zlib.crc32(w) for w in words], np.uint32)
         spaced = np.array([zlib.crc32(b" " + w) for w in words], np.uint32)
         length = np.array([len(w) for w in words], np.int32)
-        first = np.repeat(state[:PAIRED], len(state[:PAIRED])).reshape(-1, len(state[:PAIRED]))
-        pairs = _moved(first, np.broadcast_to(length[:PAIRED] + 1, first.shape)) ^ spaced[:PAIRED]
+        n = min(PAIRED, len(words))
+        first = np.broadcast_to(state[:n, None], (n, n))
+        pairs = _moved(first, np.broadcast_to(length[:n] + 1, (n, n))) ^ spaced[:n]
         return Head({w: i for i, w in enumerate(words)}, state, spaced, length, pairs, (pairs % BUCKETS).astype(np.uint16))
 
 
@@ -163,7 +164,8 @@ def feature_buckets(work: _Work, head: Head) -> list[tuple[np.ndarray, np.ndarra
     # A carried pair is needed for the run of three that goes on from it.
     last = np.flatnonzero(inside >= 1)
     pair, bucket = np.zeros(n, np.uint32), np.zeros(n, np.int64)
-    paired = (number[last] >= 0) & (number[last] < PAIRED) & (number[last - 1] >= 0) & (number[last - 1] < PAIRED)
+    short = lambda at: (number[at] >= 0) & (number[at] < len(head.pair_state))
+    paired = short(last) & short(last - 1)
     both, rest = last[paired], last[~paired]
     pair[both] = head.pair_state[number[both - 1], number[both]]
     bucket[both] = head.pair_bucket[number[both - 1], number[both]]

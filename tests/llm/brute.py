@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -41,18 +43,6 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def five_words(text: str | None) -> frozenset:
-    words = WORD.findall((text or "").translate(UPPER))
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
-def five_word_groups(docs: list[tuple[int, str | None]]) -> dict:
-    sets = {i: five_words(t) for i, t in docs}
-    ids = list(sets)
-    alike = lambda a, b: a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b))
-    return components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if alike(sets[a], sets[b])])
-
-
 def near_groups(docs: list[tuple[int, str | None]]) -> dict:
     prints = {i: fingerprint(t) for i, t in docs}
     ids = list(prints)
@@ -116,3 +106,60 @@ def holds_item(text: str | None, items: list[str]) -> bool:
             if sum(a == b for a, b in zip(own, words[at:], strict=False)) >= 0.8 * len(own):
                 return True
     return False
+
+
+def filled_in_middle(doc_id: int | None, text: str | None) -> tuple[int, str, int | None, int | None, str]:
+    """(units, form, characters of prefix and middle, output)."""
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(units), "plain", None, None, text
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def n_grams(text: str | None) -> list[str]:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
+    return [" ".join(words[i : i + run]) for run in (1, 2, 3) for i in range(len(words) - run + 1)]
+
+
+def resampled(docs: list[tuple[int | None, str | None]], target: list[str | None]) -> list[tuple]:
+    """(id, features, weight, score, rank) in the order of ``docs``."""
+    bucket = lambda f: zlib.crc32(f.encode()) % 10_000
+    s, t = Counter(), Counter()
+    for _, text in docs:
+        s.update(map(bucket, n_grams(text)))
+    for text in target:
+        t.update(map(bucket, n_grams(text)))
+    all_s, all_t = s.total(), t.total()
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (all_s + 10_000) / ((s[b] + 1) * (all_t + 10_000))))
+    out = []
+    for doc_id, text in docs:
+        features = n_grams(text)
+        h = int(hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain(bucket(f)) for f in features)
+        out.append([doc_id, len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None])
+    able = [r for r in out if r[1] >= 3 * 20 - 3]
+    order = sorted(able, key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, row in enumerate(order[: 5 * len(able) // 100], 1):
+        row[4] = rank
+    return [tuple(r) for r in out]
+
+
+def exact_groups(docs: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """(id, id that stays, group size, whether this row stays), copies of one id told apart by their order."""
+    bare = lambda t: (t or "").translate({ord(c): None for c in BLANKS})
+    groups = defaultdict(list)
+    for at, (doc_id, text) in enumerate(docs):
+        groups[bare(text)].append((-len(text or ""), doc_id is None, doc_id or 0, at))
+    best = {k: min(v) for k, v in groups.items()}
+    out = []
+    for at, (doc_id, text) in enumerate(docs):
+        _, none, keep, first = best[bare(text)]
+        out.append((doc_id, None if none else keep, len(groups[bare(text)]), at == first))
+    return out

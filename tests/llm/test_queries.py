@@ -76,11 +76,6 @@ def test_pipeline_equals_plain_version(spark):
         assert math.isclose(got[d].target, target)
 
 
-def test_pipeline_equals_plain_version_by_five_words(spark, monkeypatch):
-    monkeypatch.setattr(brute, "near_groups", brute.five_word_groups)
-    test_pipeline_equals_plain_version(spark)
-
-
 @pytest.mark.parametrize("step", [s for s in corpus_pipeline.STAGES[:-1]], ids=lambda s: s[0])
 def test_stages_take_odd_rows(spark, step):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string, h1 int, taken int"
