@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import BLANKS, ascii_lower, text_of
+from assetloom.llm.common import BLANKS, ascii_lower, fresh, text_of
 from assetloom.session import cut_lineage
 
 # A document without an id stands below all others and counts as one.
@@ -82,26 +82,27 @@ def _dense(words: Column) -> Column:
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``__kept`` (the text of kept lines), ``__n_lines`` and ``__n_dropped``.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, into: str = "lines") -> DataFrame:
+    """``docs`` and a struct column ``into``: ``kept`` (the text of kept lines), ``n_lines`` and ``n_dropped``.
 
-    Null texts are read as one empty line. All other columns stay, whatever their names.
+    Null texts are read as one empty line. A column already named ``into`` is
+    replaced, all others stay, whatever their names.
     """
     doc, body = _row_key()
-    own = bitmaps.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("words").alias("__words"))
-    met = docs.join(own, (doc == F.col("__doc")) & (body == F.col("__body")), "left")
-    met = met.withColumn("__dense", _dense(F.col("__words")))
-    block = lambda i: F.coalesce(F.get(F.col("__dense"), F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
+    doc_of, body_of, words_of, dense = (fresh(docs, f"{into}_{x}") for x in ("doc", "body", "words", "dense"))
+    own = bitmaps.select(F.col("doc").alias(doc_of), F.col("body").alias(body_of), F.col("words").alias(words_of))
+    met = docs.join(own, (doc == F.col(doc_of)) & (body == F.col(body_of)), "left")
+    words = F.col(words_of)
+    met = met.withColumn(dense, _dense(words))
+    block = lambda i: F.coalesce(F.get(F.col(dense), F.floor(i / 64).cast("int")), F.lit(-1).cast("long"))
     stays = F.filter(_lines(), lambda line, i: F.getbit(block(i), i % 64) == 1)
-    lost = F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + 64 - F.bit_count(w["keep"]))
-    counted = met.withColumns(
-        {
-            "__n_lines": F.size(_lines()).cast("long"),
-            "__n_dropped": F.coalesce(lost, F.lit(0).cast("long")),
-            "__kept": F.when(F.col("__words").isNull(), text_of()).otherwise(F.array_join(stays, "\n")),
-        }
+    lost = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + 64 - F.bit_count(w["keep"]))
+    out = F.struct(
+        F.when(words.isNull(), text_of()).otherwise(F.array_join(stays, "\n")).alias("kept"),
+        F.size(_lines()).cast("long").alias("n_lines"),
+        F.coalesce(lost, F.lit(0).cast("long")).alias("n_dropped"),
     )
-    return counted.drop("__doc", "__body", "__words", "__dense")
+    return met.withColumn(into, out).drop(doc_of, body_of, words_of, dense)
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
@@ -109,7 +110,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
 
     A document of nothing but shared lines stays, with an empty text.
     """
-    out = apply_bitmaps(docs, line_bitmaps(docs, least_chars, least_docs)).withColumn("text", F.col("__kept"))
+    own = fresh(docs, "lines")
+    out = apply_bitmaps(docs, line_bitmaps(docs, least_chars, least_docs), own).withColumn("text", F.col(f"{own}.kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)

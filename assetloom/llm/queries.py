@@ -68,9 +68,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
     return out.select(
         "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2("__kept", 256).alias("kept_sha256"),
+        "lines.n_lines",
+        "lines.n_dropped",
+        F.sha2("lines.kept", 256).alias("kept_sha256"),
     )
 
 

@@ -362,9 +362,20 @@ def test_line_dedup_equals_plain_version(spark):
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, "É" * 25 + "\nx"), (104, "É" * 25), (105, "é" * 25), (106, "É" * 25)]
     docs = documents(spark, rows, "doc_id long, text string, pos string, kept string, h1 string")
     out = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
-    got = {x["doc_id"]: (x["__n_lines"], x["__n_dropped"], x["__kept"]) for x in out.collect()}
+    got = {x["doc_id"]: (x["lines"]["n_lines"], x["lines"]["n_dropped"], x["lines"]["kept"]) for x in out.collect()}
     assert got == brute.line_dedup(rows)
-    assert out.columns[:5] == docs.columns
+    assert out.columns == [*docs.columns, "lines"]
+
+
+def test_helper_columns_never_clash(spark):
+    names = ["lines", "lines_doc", "lines_body", "lines_words", "lines_dense", "kept_id", "kept_body", "body", "fp", "__id", "__doc"]
+    line = "a line that is long enough to count"
+    rows = [(i, line, *range(len(names))) for i in (1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and {r.doc_id: (r.text, r.lines) for r in out.collect()} == {1: ("", 0), 2: ("", 0), 3: (line, 0)}
+    kept = simhash.keep_one(docs).collect()
+    assert [tuple(r) for r in kept] == [rows[0]]
 
 
 def test_line_dedup_repeated_and_missing_ids(spark):
