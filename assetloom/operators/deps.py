@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ BASE_ENVIRONMENTS = {
 
 _NO_STRINGS = "array<string>"
 
+# Calls of a bundle that one task walks.
+MOST_CALLS = 1 << 17
+
 
 def required_packages(facts: DataFrame) -> DataFrame:
     """Sorted distinct packages per asset; an asset that does not parse needs none."""
@@ -81,74 +85,124 @@ def _known(df: DataFrame, column: str, functions: DataFrame) -> DataFrame:
     return df.join(functions.select(F.col("name").alias(column)), column, "left_semi")
 
 
-def _not_better(step: DataFrame, earlier: DataFrame, condition: Column | None = None) -> DataFrame:
-    """``(root, node)`` of written candidates that earlier rounds make useless.
+def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(root, node, depth)`` for everything reachable from each known root, with the least number of calls to it.
+
+    Round ``k`` holds the strides, pairs a walk of just ``2**k`` calls apart, and
+    all that is less than ``2**k`` calls from its root. Put before a stride, the
+    first give all that is less than ``2**(k + 1)`` away, and a stride before a
+    stride the next ones. A least way passes every depth below its own, so
+    rounds end where nothing lies at the last depth covered: their number grows
+    with the logarithm of the longest least way, cycles included. Each round is
+    a written table, one join of it with its own strides.
+    """
+    known = _known(edges.filter("src != dst").select("src", "dst").distinct(), "dst", functions)
+    start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
+    rounds = Rounds(roots.sparkSession, "closure")
+    first = start.select(F.lit(True).alias("from_root"), "root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    strides = known.select(F.lit(False).alias("from_root"), F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
+    last, rim = rounds.add(first.unionByName(strides), "from_root")
+    stride = 1
+    while rim:
+        found, strides = rounds.all().filter("from_root"), last.filter("NOT from_root")
+        ahead = strides.select(F.col("root").alias("node"), F.col("node").alias("_to"))
+        longer = found.unionByName(strides).join(ahead, "node").groupBy("from_root", "root", F.col("_to").alias("node"))
+        longer = longer.agg((F.min("depth") + stride).alias("depth"))
+        stride *= 2
+        new = longer.join(found.select("from_root", "root", "node"), ["from_root", "root", "node"], "left_anti")
+        last, rim = rounds.add(new, f"from_root AND depth = {stride - 1}")
+    return rounds.all().filter("from_root").drop("from_root")
+
+
+def _post_order(bundle: pa.Table) -> pa.Table:
+    """One bundle's calls, walked depth first from its root; an asset comes after all it led to first."""
+    name = {n: i for i, n in enumerate(dict.fromkeys(bundle.column("src").to_pylist() + bundle.column("dst").to_pylist()))}
+    names, calls = list(name), [[] for _ in name]
+    for src, _, dst in sorted(zip(*(bundle.column(c).to_pylist() for c in ("src", "ord", "dst")))):
+        if dst is not None:
+            calls[name[src]].append(name[dst])
+    root = bundle.column("root")[0].as_py()
+    seen, order, way = {name[root]}, [], [(name[root], iter(calls[name[root]]))]
+    while way:
+        node, ahead = way[-1]
+        new = next((m for m in ahead if m not in seen), None)
+        if new is None:
+            order.append(names[node])
+            way.pop()
+        else:
+            seen.add(new)
+            way.append((new, iter(calls[new])))
+    columns = [pa.array([root] * len(order)), pa.array(order), pa.array(range(1, len(order) + 1), pa.int64())]
+    return pa.Table.from_arrays(columns, ["root", "node", "position"])
+
+
+def bundle_order(
+    edges: DataFrame, roots: DataFrame, functions: DataFrame, most_calls: int = MOST_CALLS, closure: DataFrame | None = None
+) -> DataFrame:
+    """``(root, node, position)``: each bundle's depth-first post-order, from 1.
 
-    Earlier rounds are met on their own columns only. Where the candidates are
-    few, as in most rounds, they are copied to the scan and nothing else moves.
+    The closure tells which calls belong to which bundle. A bundle of up to
+    ``most_calls`` calls is walked in the task they meet in, names and positions
+    only, so state is constant per asset. Larger ones are ordered in rounds
+    without gathering them, see ``_order_by_labels``.
     """
-    held = earlier.select(*[F.col(c).alias(f"_{c}") for c in earlier.columns])
-    same = (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node"))
-    met = held.join(step, same if condition is None else same & condition)
-    return met.select("root", "node").distinct()
+    edges = _known(edges.select("src", "dst", "ord"), "dst", functions)
+    edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "edges")
+    pairs = bundle_closure(edges, roots, functions) if closure is None else closure
+    calls = edges.select(F.col("src").alias("node"), "ord", "dst")
+    out = calls.groupBy("node").agg(F.count(F.lit(1)).alias("calls"))
+    sizes = pairs.join(out, "node", "left").groupBy("root").agg(F.sum(F.coalesce("calls", F.lit(0))).alias("calls"))
+    large = cut_lineage(sizes.filter(F.col("calls") > most_calls).select("root"), "large-bundles")
+    own = pairs.select("root", "node").join(large, "root", "left_anti").join(calls, "node", "left")
+    small = own.select("root", F.col("node").alias("src"), "ord", "dst").groupBy("root")
+    walked = cut_lineage(small.applyInArrow(_post_order, "root string, node string, position long"), "bundle-order")
+    return walked if large.isEmpty() else walked.unionByName(_order_by_labels(edges, large))
 
 
-def bundle_closure(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
-    """``(root, node, depth)`` for everything reachable from each known root.
+def _not_better(step: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``(root, node)`` of written candidates that an earlier label makes useless.
 
-    Each round writes what the last new pairs lead to, so a lost executor never
-    replays earlier rounds; pairs met before are left out when the next round
-    starts, and rounds end when none is new, so cycles are harmless.
+    Earlier rounds are met on their own columns only. Where the candidates are
+    few, as in most rounds, they are copied to the scan and nothing else moves.
     """
-    spark = roots.sparkSession
-    edges = cut_lineage(_known(edges.select("src", "dst").distinct(), "dst", functions), "edges")
-    start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
-    rounds = Rounds(spark, "closure")
-    step, found = rounds.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
-    while found:
-        depth = rounds.number - 1
-        earlier = rounds.before(depth).select("root", "node")
-        new = step.join(_not_better(step, earlier), ["root", "node"], "left_anti") if depth else step
-        reached = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
-        step, found = rounds.add(reached.distinct().withColumn("depth", F.lit(depth + 1)))
-    return rounds.all().groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    held = earlier.select(*[F.col(c).alias(f"_{c}") for c in earlier.columns])
+    same = (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_node"))
+    return held.join(step, same & (F.col("_label") <= F.col("label"))).select("root", "node").distinct()
 
 
-def bundle_order(edges: DataFrame, roots: DataFrame, functions: DataFrame) -> DataFrame:
-    """``(root, node, position)``: each bundle's depth-first post-order, from 1.
+def _order_by_labels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The post-order of bundles too large for one task, from written ``edges`` between known assets.
 
-    A node's label is the list of child positions on the path a depth-first
+    An asset's label is the list of child positions on the path a depth-first
     walk takes to it. That path is the least one, compared element by element,
     so labels come from rounds of "extend by a child, keep the least": a walk
-    that returns to a node on its own path only lengthens that node's label and
-    is dropped. Children sort before parents by closing every label with a
-    value no child position reaches. No bundle is gathered in one task.
+    that returns to an asset on its own path only lengthens that asset's label
+    and is dropped. Children sort before parents by closing every label with a
+    value no child position reaches. Labels are as long as their paths.
     """
-    spark = roots.sparkSession
-    edges = _known(edges.select("src", "dst", "ord"), "dst", functions)
-    edges = cut_lineage(edges.groupBy("src", "dst").agg(F.min("ord").alias("ord")), "edges")
-    start = _known(roots.select(F.col("name").alias("root")).distinct(), "root", functions)
-    start = start.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("label"))
-    rounds = Rounds(spark, "labels")
-    step, found = rounds.add(start)
+    rounds = Rounds(roots.sparkSession, "labels")
+    step, found = rounds.add(roots.select("root", F.col("root").alias("node"), F.array().cast("array<int>").alias("label")))
     while found:
         earlier = rounds.before(rounds.number - 1) if rounds.number > 1 else None
-        useless = None if earlier is None else _not_better(step, earlier, F.col("_label") <= F.col("label"))
-        new = step if useless is None else step.join(useless, ["root", "node"], "left_anti")
+        new = step if earlier is None else step.join(_not_better(step, earlier), ["root", "node"], "left_anti")
         longer = new.join(edges, F.col("node") == F.col("src")).select(
             "root", F.col("dst").alias("node"), F.array_append("label", F.col("ord")).alias("label")
         )
         step, found = rounds.add(longer.groupBy("root", "node").agg(F.min("label").alias("label")))
     least = rounds.all().groupBy("root", "node").agg(F.min("label").alias("label"))
     closed = least.withColumn("label", F.array_append("label", F.lit(2**31 - 1)))
-    return ranked(closed, ["root"], ["label"], "bundles").select("root", "node", F.col("rank").alias("position"))
+    ranks = ranked(closed, ["root"], ["label"], "bundles")
+    return ranks.select("root", "node", F.col("rank").cast("long").alias("position"))
+
+
+def _sections(functions: DataFrame) -> DataFrame:
+    section = F.concat(F.lit("# --- "), F.col("name"), F.lit(" ---\n"), F.coalesce("code", F.lit("None")))
+    return functions.select(F.col("name").alias("node"), section.alias("section"))
 
 
 def bundle_rows(order: DataFrame, functions: DataFrame) -> DataFrame:
     """One row per asset of a bundle, with its printed section."""
-    code = functions.select(F.col("name").alias("node"), "code")
-    section = F.concat(F.lit("# --- "), F.col("node"), F.lit(" ---\n"), F.coalesce("code", F.lit("None")))
-    return order.join(code, "node").select("root", "position", "node", section.alias("section"))
+    return order.join(_sections(functions), "node").select("root", "position", "node", "section")
 
 
 def bundle_code(order: DataFrame, functions: DataFrame, roots: DataFrame, part_bytes: int | None = None) -> DataFrame:
@@ -156,14 +210,16 @@ def bundle_code(order: DataFrame, functions: DataFrame, roots: DataFrame, part_b
 
     For readers that want text; ``bundle_rows`` is the form for any size. A
     bundle's text is one row, or with ``part_bytes`` rows of about that size,
-    which joined in order by a blank line give the whole.
+    which joined in order by a blank line give the whole. Parts are cut from the
+    sections' lengths; texts move once, to their part.
     """
-    rows = bundle_rows(order, functions)
     if part_bytes is None:
-        rows = rows.withColumn("part_no", F.lit(0).cast("long"))
+        placed = order.withColumn("part_no", F.lit(0).cast("long"))
     else:
-        sized = running_total(rows.withColumn("size", F.octet_length("section") + 2), ["root"], ["position"], "size", "sections")
-        rows = sized.withColumn("part_no", F.floor(F.col("before") / part_bytes).cast("long"))
+        sizes = _sections(functions).select("node", (F.octet_length("section") + 2).alias("size"))
+        sized = running_total(order.join(sizes, "node"), ["root"], ["position"], "size", "sections")
+        placed = sized.withColumn("part_no", F.floor(F.col("before") / part_bytes).cast("long"))
+    rows = placed.select("root", "position", "node", "part_no").join(_sections(functions), "node")
     sections = F.transform(F.array_sort(F.collect_list(F.struct("position", "section"))), lambda s: s["section"])
     texts = rows.groupBy("root", "part_no").agg(F.array_join(sections, "\n\n").alias("code"))
     asked = roots.select(F.col("name").alias("root")).distinct()

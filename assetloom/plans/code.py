@@ -100,30 +100,29 @@ def internal_dependencies(t):
     return deps.internal_dependencies(edges, t.fx_functions).withColumn("calls", F.array_join("calls", "|"))
 
 
+# Every asset of the view calls one other at most, so a walk is a path; it ends where a ring closes.
 _WALK = f"""
-WITH RECURSIVE walk AS (
-  SELECT {_ID} AS root_id, {_ID} AS node_id, 0 AS depth FROM fx_functions
-  UNION ALL SELECT root_id, CAST(floor(node_id / 2) AS BIGINT) AS node_id, depth + 1 AS depth FROM walk WHERE node_id > 0)"""
+WITH RECURSIVE next AS (
+  SELECT name, json_extract_string(metadata, '$.internal_dependencies[0]') AS called FROM fx_linked),
+walk AS (
+  SELECT name AS root, name AS node, 0 AS depth FROM next WHERE name IN (SELECT name FROM fx_bundles)
+  UNION ALL SELECT w.root, k.name AS node, w.depth + 1 AS depth
+  FROM walk w JOIN next n ON n.name = w.node JOIN next k ON k.name = n.called WHERE k.name <> w.root AND w.depth < 1000)"""
 
 
-@query("bundle_closure", f"""{_WALK}
-SELECT concat('fn_', CAST(root_id AS VARCHAR)) AS root, concat('fn_', CAST(node_id AS VARCHAR)) AS node, depth FROM walk""")
+@query("bundle_closure", f"{_WALK} SELECT root, node, depth FROM walk")
 def bundle_closure(t):
-    roots = t.fx_functions.select("name")
-    return deps.bundle_closure(deps.declared_edges(t.fx_functions), roots, t.fx_functions)
+    return deps.bundle_closure(deps.declared_edges(t.fx_linked), t.fx_bundles, t.fx_linked)
 
 
 @query("bundle_code", f"""{_WALK},
-sections AS (SELECT root_id, depth, concat('# --- ', name, ' ---', chr(10), code) AS section
-  FROM walk JOIN fx_functions ON name = concat('fn_', CAST(node_id AS VARCHAR)))
-SELECT concat('fn_', CAST(root_id AS VARCHAR)) AS root, 0 AS part_no,
-  string_agg(section, concat(chr(10), chr(10)) ORDER BY depth DESC) AS code FROM sections GROUP BY root_id
+sections AS (SELECT root, depth, concat('# --- ', name, ' ---', chr(10), code) AS section FROM walk JOIN fx_linked ON name = node)
+SELECT root, 0 AS part_no, string_agg(section, concat(chr(10), chr(10)) ORDER BY depth DESC) AS code FROM sections GROUP BY root
 UNION ALL
-SELECT name AS root, 0 AS part_no, 'Not found.' AS code FROM fx_names WHERE name NOT IN (SELECT name FROM fx_functions)""")
+SELECT name AS root, 0 AS part_no, 'Not found.' AS code FROM fx_bundles WHERE name NOT IN (SELECT name FROM fx_linked)""")
 def bundle_code(t):
-    roots = t.fx_functions.select("name").union(t.fx_names)
-    order = deps.bundle_order(deps.declared_edges(t.fx_functions), roots, t.fx_functions)
-    return deps.bundle_code(order, t.fx_functions, roots)
+    order = deps.bundle_order(deps.declared_edges(t.fx_linked), t.fx_bundles, t.fx_linked)
+    return deps.bundle_code(order, t.fx_linked, t.fx_bundles, part_bytes=1 << 20)
 
 
 _DEPS = duck.meta_strings("metadata", "dependencies")

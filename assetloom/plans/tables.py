@@ -48,6 +48,19 @@ SELECT
   CASE WHEN doc_id % 4 = 0 THEN concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), ' 12:00:00') END AS last_called_at,
   concat('2023-12-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), 'T08:30:00') AS created_at,
   concat('2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), 'T08:30:00') AS updated_at
+FROM documents""",
+    # Beside the assets, chains and cycles of 200 that call the next one.
+    "fx_linked": """
+SELECT name, code, metadata FROM fx_functions
+UNION ALL SELECT concat('chain_', cast(doc_id AS string)) AS name, concat('step(', cast(doc_id AS string), ')') AS code,
+  concat('{"internal_dependencies":[', CASE WHEN doc_id % 200 < 199 THEN concat('"chain_', cast(doc_id + 1 AS string), '"') ELSE '' END, ']}')
+    AS metadata FROM documents
+UNION ALL SELECT concat('ring_', cast(doc_id AS string)) AS name, concat('turn(', cast(doc_id AS string), ')') AS code,
+  concat('{"internal_dependencies":["ring_', cast(doc_id + CASE WHEN doc_id % 200 < 199 THEN 1 ELSE -199 END AS string), '"]}') AS metadata
+FROM documents""",
+    "fx_bundles": """
+SELECT name FROM fx_names
+UNION SELECT concat(CASE doc_id % 200 WHEN 0 THEN 'chain_' WHEN 100 THEN 'ring_' ELSE 'gone_' END, cast(doc_id AS string)) AS name
 FROM documents""",
     "fx_embeddings": """
 SELECT cast(vec_id AS bigint) AS id, concat('fn_', cast(vec_id AS string)) AS function_name, embedding AS vector,

@@ -92,11 +92,11 @@ class Rounds:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.path, self.number, self.schema = spark, work_path(spark, label), 0, None
 
-    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Write the next round; give it back with the row count the write saw."""
+    def add(self, df: DataFrame, counted: str = "true") -> tuple[DataFrame, int]:
+        """Write the next round; give it back with the number of ``counted`` rows the write saw."""
         seen = Observation()
         target = f"{self.path}/round={self.number}"
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(target)
+        df.observe(seen, F.count_if(F.expr(counted)).alias("rows")).write.parquet(target)
         self.number, self.schema = self.number + 1, df.schema
         return self.spark.read.schema(df.schema).parquet(target), seen.get["rows"]
 

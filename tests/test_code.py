@@ -154,12 +154,13 @@ def test_bundles_equal_recursion_on_graphs_with_cycles(spark, seed):
     )
     functions = spark.createDataFrame([(n, f"code {n}") for n in children], "name string, code string")
     roots = functions.select("name").union(spark.createDataFrame([("missing",)], "name string"))
-    order = deps.bundle_order(edges, roots, functions)
-    got: dict[str, list] = {}
-    for r in order.orderBy("root", "position").collect():
-        got.setdefault(r["root"], []).append(r["node"])
     expected = {n: _depth_first(children, n) for n in children}
-    assert got == expected
+    for most in (0, 20, deps.MOST_CALLS):  # in rounds, some of each, in one task
+        order = deps.bundle_order(edges, roots, functions, most_calls=most)
+        got: dict[str, list] = {}
+        for r in order.orderBy("root", "position").collect():
+            got.setdefault(r["root"], []).append(r["node"])
+        assert got == expected
     closure = deps.bundle_closure(edges, roots, functions).collect()
     assert {(r["root"], r["node"]) for r in closure} == {(n, m) for n, nodes in expected.items() for m in nodes}
     assert {(r["root"], r["node"]): r["depth"] for r in closure} == _depths(children) and len(closure) == len(_depths(children))
@@ -172,6 +173,20 @@ def test_bundles_equal_recursion_on_graphs_with_cycles(spark, seed):
         assert whole == {**printed, "missing": "Not found."}
 
 
+@pytest.mark.parametrize("ring", [False, True])
+def test_closure_rounds_grow_with_the_logarithm(spark, monkeypatch, ring):
+    rounds = []
+    add = deps.Rounds.add
+    monkeypatch.setattr(deps.Rounds, "add", lambda *given: rounds.append(1) or add(*given))
+    n = 200
+    links = [(f"f{i:03d}", f"f{(i + 1) % n:03d}", 0) for i in range(n if ring else n - 1)]
+    functions = spark.createDataFrame([(f"f{i:03d}", "") for i in range(n)], "name string, code string")
+    edges = spark.createDataFrame(links, "src string, dst string, ord int")
+    got = {(r["root"], r["node"]): r["depth"] for r in deps.bundle_closure(edges, functions, functions).collect()}
+    assert len(rounds) <= 10
+    assert got == {(f"f{i:03d}", f"f{(i + d) % n:03d}"): d for i in range(n) for d in range(n if ring else n - i)}
+
+
 def test_env_fingerprint(spark):
     import hashlib
 

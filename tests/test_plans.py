@@ -33,9 +33,10 @@ def stored(spark):
     return spark.read.parquet(path)
 
 
-PYTHON = ("ArrowEvalPython", "MapInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas")
-# Queries with Python in any of their jobs: parsing, the provider, scoring.
+PYTHON = ("ArrowEvalPython", "MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas")
+# Queries with Python in any of their jobs: parsing, the provider, scoring, walks of bundles.
 USES_PYTHON = {
+    "bundle_code",
     "code_facts", "security_verdict", "security_violations", "syntax_status", "required_packages", "internal_edges",
     "internal_dependencies", "save_assets", "save_rejected", "embed_refresh", "embed_failures", "search_topk", "search_boosted",
     "search_batch", "search_batch_blocks", "search_popularity", "search_hybrid", "search_select", "search_attach_code",
@@ -52,6 +53,7 @@ def executed(spark, build) -> list[str]:
     build().write.format("noop").mode("overwrite").save()
     bus.waitUntilEmpty(30_000)
     seen = store.executionsList(before, 10_000)
+    assert seen.size() == store.executionsCount() - before > 0
     return [seen.apply(i).physicalPlanDescription() for i in range(seen.size())]
 
 
@@ -126,12 +128,18 @@ def test_saves_are_parsed_once_whatever_the_gate(spark):
         assert sum(p.count("ArrowEvalPython (") for p in plans) == sum("ArrowEvalPython (" in p for p in plans) == 1
 
 
-def test_bundle_rounds_move_only_candidates(spark):
+def test_label_rounds_move_only_candidates(spark):
     t = Tables(spark, SF_DIR)
     edges, roots = deps.declared_edges(t.fx_functions), t.fx_functions.select("name")
-    for build in (deps.bundle_closure, deps.bundle_order):
-        moved = exchanged(executed(spark, lambda: build(edges, roots, t.fx_functions)))  # noqa: B023
-        assert moved and not any("_root" in m or "_label" in m for m in moved)
+    moved = exchanged(executed(spark, lambda: deps.bundle_order(edges, roots, t.fx_functions, most_calls=0)))
+    assert any("label" in m for m in moved) and not any(re.search(r"(?<!\w)_(root|label)#", m) for m in moved)
+
+
+def test_bundle_texts_move_once(spark):
+    t = Tables(spark, SF_DIR)
+    order = cut_lineage(t.fx_functions.selectExpr("name AS root", "name AS node", "1L AS position"), "order")
+    plans = executed(spark, lambda: deps.bundle_code(order, t.fx_functions, t.fx_functions, part_bytes=1000))
+    assert sum("section" in m or "code" in m for m in exchanged(plans)) <= 3  # to the part, its text, to the asked roots
 
 
 def test_usage_and_upsert_leave_the_large_tables_in_place(spark, stored):
