@@ -20,8 +20,10 @@ SEARCH_LIMIT = 10
 BOOSTED_LIMIT = 5
 POPULARITY_WEIGHT = 0.1
 
-# Queries copied to the executors at once; a larger table takes several passes.
+# Queries copied to the executors through the driver; a larger table is dealt to tasks in blocks of this size.
 QUERY_BYTES = 64 * 1024 * 1024
+# Rows of a shard that meet a block of queries at once.
+PIECE_ROWS = 16_384
 # Cells of a score matrix held at once inside a task.
 SCORE_CELLS = 4_000_000
 # Size of the vectors a task scores together.
@@ -53,6 +55,11 @@ def _order() -> list[Column]:
     return [F.round("score", vectors.SCORE_DIGITS).desc_nulls_last(), F.col("function_name")]
 
 
+def _place() -> Column:
+    """Where a hit stands in that order, least first."""
+    return F.struct((-F.round("score", vectors.SCORE_DIGITS)).alias("s"), F.col("function_name").alias("n"))
+
+
 def _with_payload(hits: DataFrame, functions: DataFrame) -> DataFrame:
     payload = functions.select(F.col("name").alias("function_name"), "status", "description", "tags", "metadata")
     return hits.join(payload, "function_name")
@@ -61,14 +68,30 @@ def _with_payload(hits: DataFrame, functions: DataFrame) -> DataFrame:
 def cosine_topk(embeddings: DataFrame, functions: DataFrame, query: list[float], k: int = SEARCH_LIMIT) -> DataFrame:
     """Best ``k`` assets for one query vector.
 
-    Each task gives its few best rows; whether their assets exist is asked for
-    these alone, and the payload is joined to ``k`` rows.
+    Each task gives its few best rows, and these alone meet the functions, in
+    one pass that tells which assets exist and gives what is shown of them. A
+    task's list may end before the ``k``-th asset is certain, if rows of no
+    asset took its places; then the lists are made longer.
     """
+    ids, unit = _one_query(query)
+    named, kept = embeddings.filter("function_name IS NOT NULL"), k + SPARE
+    while True:
+        found = _hits(named, ids, unit, kept, np.full(len(ids), -np.inf), "candidates")
+        top = cut_lineage(_with_payload(found, functions).orderBy(*_order()).limit(k), "hits")
+        end = found.filter("last").agg(F.min(_place())).first()[0]
+        if end is not None:
+            n, worst = top.agg(F.count(F.lit(1)), F.max(_place())).first()
+        if end is None or (n == k and tuple(worst) <= tuple(end)):
+            return top.drop("query_id", "last")
+        kept *= 4
+
+
+def _one_query(query: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Its id and unit vector; none for a zero vector."""
     vector = np.asarray(query, dtype=np.float64).reshape(1, -1)
     length = np.linalg.norm(vector)
     ids = np.zeros(1 if length > 0 else 0, np.int64)
-    unit = vector[: len(ids)] / (length if length > 0 else 1)
-    return _with_payload(_block_topk(embeddings, functions, ids, unit, k).drop("query_id", "rank"), functions)
+    return ids, vector[: len(ids)] / (length if length > 0 else 1)
 
 
 def boosted(hits: DataFrame, boost: float = VERIFIED_BOOST) -> DataFrame:
@@ -154,8 +177,10 @@ class _BestHits:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW_HITS)], schema=_ARROW_HITS)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names and unit vectors in pieces of up to ``BLOCK_BYTES``, so that each product is worth its overhead."""
+def _gathered(
+    batches: Iterator[pa.RecordBatch], dim: int, least_bytes: int = BLOCK_BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Names and unit vectors in pieces of at least ``least_bytes``, so that each product is worth its overhead."""
     names, rows, held = [], [], 0
     for batch in batches:
         unit, kept = _unit_rows(batch.column("vector"), dim)
@@ -163,7 +188,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.
             names.append(np.asarray(batch.column("function_name").take(pa.array(kept)).to_pylist()))
             rows.append(unit)
             held += unit.nbytes
-        if held >= BLOCK_BYTES:
+        if held >= least_bytes:
             yield np.concatenate(names), np.concatenate(rows)
             names, rows, held = [], [], 0
     if rows:
@@ -176,8 +201,8 @@ def _topk(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _hits(embeddings: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> DataFrame:
-    """Up to ``k`` rows per query from each task; ``last`` marks the end of a list that is full."""
+def _hits(embeddings: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray, label: str) -> DataFrame:
+    """Up to ``k`` rows per query from each task, written; ``last`` marks the end of a list that is full."""
     shared = embeddings.sparkSession.sparkContext.broadcast((ids, queries, floors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +212,10 @@ def _hits(embeddings: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, f
             best.add(names, rows)
         yield best.to_arrow(own_ids)
 
-    return embeddings.select("function_name", "vector").mapInArrow(score, _HITS)
+    try:
+        return cut_lineage(embeddings.select("function_name", "vector").mapInArrow(score, _HITS), label)
+    finally:
+        shared.destroy()
 
 
 def _existing(hits: DataFrame, functions: DataFrame) -> DataFrame:
@@ -207,18 +235,17 @@ def _block_topk(embeddings: DataFrame, functions: DataFrame, ids: np.ndarray, qu
     named = embeddings.filter("function_name IS NOT NULL")
     floors = np.full(len(ids), -np.inf)
     if len(ids) >= FLOORS_FROM:
-        sample = cut_lineage(_hits(named.limit(FLOOR_ROWS), ids, queries, k + SPARE, floors), "floors")
+        sample = _hits(named.limit(FLOOR_ROWS), ids, queries, k + SPARE, floors, "floors")
         kth = _topk(_existing(sample, functions), k).filter(F.col("rank") == k).select("query_id", "score").toArrow()
         order = np.argsort(ids)
         place = order[np.searchsorted(ids[order], kth.column("query_id").to_numpy())]
         floors[place] = kth.column("score").to_numpy() - 2 / _SCALE
     kept, done, todo = k + SPARE, None, np.arange(len(ids))
-    rank = F.struct((-F.round("score", vectors.SCORE_DIGITS)).alias("s"), F.col("function_name").alias("n"))
     while True:
-        found = cut_lineage(_hits(named, ids[todo], queries[todo], kept, floors[todo]), "candidates")
+        found = _hits(named, ids[todo], queries[todo], kept, floors[todo], "candidates")
         top = cut_lineage(_topk(_existing(found, functions), k), "hits")
-        ends = found.filter("last").groupBy("query_id").agg(F.min(rank).alias("end"))
-        reached = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max(rank).alias("worst"))
+        ends = found.filter("last").groupBy("query_id").agg(F.min(_place()).alias("end"))
+        reached = top.groupBy("query_id").agg(F.count("*").alias("n"), F.max(_place()).alias("worst"))
         open_ = (F.coalesce("n", F.lit(0)) < k) | (F.col("end") < F.col("worst"))
         short = ends.join(reached, "query_id", "left").filter(open_).select("query_id").toArrow().column(0).to_numpy()
         sure = top.join(top.sparkSession.createDataFrame([(int(q),) for q in short], "query_id bigint"), "query_id", "left_anti")
@@ -229,6 +256,41 @@ def _block_topk(embeddings: DataFrame, functions: DataFrame, ids: np.ndarray, qu
         todo, kept = todo[np.isin(ids[todo], short)], kept * 4
 
 
+def _dealt_topk(
+    embeddings: DataFrame, functions: DataFrame, queries: DataFrame, blocks: int, dimension: int, k: int, shard_bytes: int
+) -> DataFrame:
+    """``_block_topk`` for a query table that is dealt to tasks, as the vectors are.
+
+    Every block of queries meets every shard of vectors in a task of its own,
+    which gives its ``k`` best rows per query; the row-number filter keeps the
+    best of these. Vectors move here, so those of no asset are left out before,
+    and a list of ``k`` is always long enough. Only counts reach the driver.
+    """
+    shards = max(1, -(-embeddings.count() * 8 * dimension // shard_bytes))
+    # Many rows may share a name or a vector; their places do not.
+    placed = embeddings.select("function_name", "vector", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    known = functions.select(F.col("name").alias("function_name")).distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    vectors_ = placed.join(known, "function_name", "left_semi").withColumn("block", every(blocks))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", every(shards))
+
+    def score(shard: pa.Table, block: pa.Table) -> pa.Table:
+        matrix, kept = _unit_rows(_one_chunk(block.column("vector")), dimension)
+        best = _BestHits(matrix, k)
+        # Small pieces: the floors that the first ones set spare most of the others.
+        for names, rows in _gathered(shard.to_batches(max_chunksize=PIECE_ROWS), dimension, 1):
+            best.add(names, rows)
+        ids = block.column("query_id").to_numpy()[kept]
+        return pa.Table.from_batches([best.to_arrow(ids)])
+
+    met = vectors_.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    return _topk(met.applyInArrow(score, _HITS), k).drop("last")
+
+
+def _one_chunk(column: pa.ChunkedArray) -> pa.ListArray:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
 def batch_topk(
     embeddings: DataFrame,
     functions: DataFrame,
@@ -236,22 +298,21 @@ def batch_topk(
     dimension: int,
     k: int = SEARCH_LIMIT,
     query_bytes: int = QUERY_BYTES,
+    shard_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Best ``k`` assets per row of ``queries(query_id, vector)``: ``query_id, function_name, score, rank``.
 
-    Queries go to the vectors, in blocks of about ``query_bytes`` by hash; each
-    block is one pass over the embeddings. Query ids are unique.
+    A query table of up to ``query_bytes`` is copied to the vectors, which are
+    read in one pass and never moved. A larger one is dealt in blocks of that
+    size by hash, and meets the vectors in shards. Query ids are unique.
     """
     wanted = queries.select("query_id", "vector")
     blocks = max(1, -(-wanted.count() * 8 * dimension // query_bytes))
-    done = None
-    for block in range(blocks):
-        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        table = own.toArrow()
-        matrix, kept = _unit_rows(table.column("vector").combine_chunks(), dimension)
-        part = _block_topk(embeddings, functions, table.column("query_id").to_numpy()[kept], matrix, k)
-        done = part if done is None else done.unionByName(part)
-    return done
+    if blocks > 1:
+        return _dealt_topk(embeddings, functions, wanted, blocks, dimension, k, shard_bytes)
+    table = wanted.toArrow()
+    matrix, kept = _unit_rows(_one_chunk(table.column("vector")), dimension)
+    return _block_topk(embeddings, functions, table.column("query_id").to_numpy()[kept], matrix, k)
 
 
 def boosted_ranks(hits: DataFrame, functions: DataFrame, boost: float = VERIFIED_BOOST) -> DataFrame:

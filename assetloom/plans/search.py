@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from assetloom.operators import search
 from assetloom.plans.registry import DIMENSION, Tables, query
-from assetloom.session import cut_lineage
+from assetloom.session import cut_lineage, work_path
+from assetloom.sources import cells
 
 _SCORE = "list_cosine_similarity(CAST(e.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[]))"
 
@@ -50,6 +51,15 @@ def search_boosted(t):
     return rounded(search.boosted_search(t.fx_embeddings, t.fx_functions, first_vector(t)))
 
 
+@query("search_pruned", f"SELECT function_name, description, tags, metadata, round(raw, 6) AS score FROM ({_best(_FIRST, 10)})")
+def search_pruned(t):
+    """The same search over vectors stored in cells, most of which it need not read."""
+    folder = work_path(t.spark, "cells")
+    cells.write_cells(t.fx_embeddings, folder, DIMENSION, cells=64)
+    hits = cells.pruned_topk(t.spark, folder, t.fx_functions, first_vector(t)).hits
+    return rounded(hits).select("function_name", "description", "tags", "metadata", "score")
+
+
 def batch(t: Tables) -> DataFrame:
     return search.batch_search(t.fx_embeddings, t.fx_functions, query_table(t), DIMENSION)
 

@@ -39,7 +39,7 @@ USES_PYTHON = {
     "bundle_code",
     "code_facts", "security_verdict", "security_violations", "syntax_status", "required_packages", "internal_edges",
     "internal_dependencies", "save_assets", "save_rejected", "embed_refresh", "embed_failures", "search_topk", "search_boosted",
-    "search_batch", "search_batch_blocks", "search_popularity", "search_hybrid", "search_select", "search_attach_code",
+    "search_batch", "search_batch_blocks", "search_popularity", "search_hybrid", "search_select", "search_attach_code", "search_pruned",
     "stream_saves", "stream_save_rejected", "stream_embed_failures",
 }
 
@@ -100,15 +100,29 @@ def test_single_search_ships_neither_vectors_nor_all_names(spark, stored):
             assert join == "BroadcastHashJoin"
 
 
-@pytest.mark.parametrize("query_bytes", [search.QUERY_BYTES, 8 * 64 * 100])
-def test_batch_search_prunes_before_the_shuffle_and_moves_no_vectors(spark, stored, query_bytes):
+def test_batch_search_prunes_before_the_shuffle_and_moves_no_vectors(spark, stored):
     t = Tables(spark, SF_DIR)
     queries = t.fx_embeddings.selectExpr("id AS query_id", "vector")
-    plans = executed(spark, lambda: search.batch_topk(t.fx_embeddings, stored, queries, 64, query_bytes=query_bytes))
+    plans = executed(spark, lambda: search.batch_topk(t.fx_embeddings, stored, queries, 64))
     assert any("WindowGroupLimit" in p for p in plans)
     assert exchanged(plans) and all("vector" not in m for m in exchanged(plans))
 
 
+def test_dealt_search_brings_only_counts_to_the_driver(spark, stored, monkeypatch):
+    t = Tables(spark, SF_DIR)
+    queries = t.fx_embeddings.selectExpr("id AS query_id", "vector")
+
+    def refused(*_):
+        raise AssertionError("rows reach the driver")
+
+    for name in ("toArrow", "collect", "toLocalIterator", "take"):
+        monkeypatch.setattr(type(queries), name, refused)
+    plans = executed(spark, lambda: search.batch_topk(t.fx_embeddings, stored, queries, 64, query_bytes=8 * 64 * 50, shard_bytes=8 * 64 * 70))
+    monkeypatch.undo()
+    assert "FlatMapCoGroupsInArrow" in plans[-1] and "WindowGroupLimit" in plans[-1]
+    assert not any("vector" in m for p in plans for m in re.findall(r"\(\d+\) BroadcastExchange\nInput \[\d+\]: (.*)", p))
+
+
 def test_merge_reads_stored_code_once(spark, stored):
     t = Tables(spark, SF_DIR)
     plans = executed(spark, lambda: maintenance.merge_hub(stored, hub_records(t), AS_OF))
