@@ -132,11 +132,12 @@ def last_records(records: DataFrame) -> DataFrame:
 
 
 def hub_actions(functions: DataFrame, records: DataFrame) -> DataFrame:
-    """The last record per name and what a merge does with it.
+    """The last record per name and what a merge does with it."""
+    return record_actions(functions, last_records(records))
 
-    Only a different code or description counts as a change.
-    """
-    last = last_records(records)
+
+def record_actions(functions: DataFrame, last: DataFrame) -> DataFrame:
+    """What a merge does with each of ``last_records``. Only a different code or description counts as a change."""
     stored = matching(functions, last).select(
         "name", F.lit(True).alias("stored"), F.col("code").alias("old_code"), F.col("description").alias("old_description")
     )

@@ -53,7 +53,7 @@ def stream_usage(t):
 def stream_hub(t):
     folder = work_path(t.spark, "records")
     write_hub_records(hub_records(t).withColumn("test_cases", F.lit("[]")), folder, shards=3)
-    log = ChangeLog(work_path(t.spark, "changes"), cut_lineage(t.fx_functions, "base"))
+    log = ChangeLog.over(work_path(t.spark, "changes"), t.fx_functions, parts=8)
     records = stream_hub_records(t.spark, folder, one_per_file=False)
     jobs.hub_stream(records, log, lambda batch_id: AS_OF, work_path(t.spark, "checkpoint")).awaitTermination()
     return log.current()
@@ -73,7 +73,7 @@ def _save_run(t: Tables) -> tuple[ChangeLog, jobs.SaveFolders]:
     for i in range(BATCHES):
         # One file per micro-batch, in the order of their times.
         batch.filter(F.col("seq") % BATCHES == i).coalesce(1).write.mode("append").parquet(requests)
-    log = ChangeLog(work_path(t.spark, "changes"), cut_lineage(t.fx_functions, "base"))
+    log = ChangeLog.over(work_path(t.spark, "changes"), t.fx_functions, parts=8)
     out = jobs.SaveFolders(*(work_path(t.spark, n) for n in ("vectors", "rejected", "failed")))
     verdicts = t.fx_verdicts.withColumn("status", F.when(F.col("status") == "verified", "success").otherwise("error"))
     stream = jobs.file_stream(t.spark, requests, "*.parquet", batch, files_per_batch=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,9 +99,12 @@ def read_hub_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("name string, description string, tags array<string>").json(folder)
 
 
+def action_counts() -> list[Column]:
+    """Counters of what a merge did: an aggregate, or metrics to observe while the actions are written."""
+    kinds = [F.count_if(F.col("action") == a).alias(a) for a in ("insert", "update", "unchanged", "skipped")]
+    return [*kinds, F.count(F.lit(1)).alias("total")]
+
+
 def sync_counts(actions: DataFrame) -> DataFrame:
     """How many records were inserted, updated, left alone or skipped."""
-    return actions.agg(
-        *[F.count_if(F.col("action") == a).alias(a) for a in ("insert", "update", "unchanged", "skipped")],
-        F.count("*").alias("total"),
-    )
+    return actions.agg(*action_counts())

@@ -2,53 +2,96 @@
 
 A micro-batch writes only the rows it changed, into a folder named by its id.
 Running a batch again overwrites the same folder, so replays change nothing,
-and the large base is rewritten only by ``compact``.
+and the large base is rewritten only by ``compact``. Base and changes lie in
+parts by name hash: a batch reads the parts its names fall into, no others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.operators.maintenance import replace_rows
-from assetloom.operators.ranking import latest
+from assetloom.operators.ranking import latest_stored
 
 _BEFORE_FIRST = -1
+# Parts of a log unless it is told otherwise; a batch of few names reads few of them.
+PARTS = 64
 
 
 @dataclass(frozen=True)
 class ChangeLog:
+    """``base`` and the changes below ``path``, both with a column ``part``; made by ``ChangeLog.over``."""
+
     path: str
     base: DataFrame
+    parts: int
+
+    @staticmethod
+    def over(path: str, functions: DataFrame, parts: int = PARTS) -> ChangeLog:
+        """Lay ``functions`` out as the base of a new log below ``path``.
+
+        Adaptive execution splits a part that is too large for one file. An
+        empty first entry of changes keeps reading from meeting a missing folder.
+        """
+        spark, target = functions.sparkSession, f"{path}/base"
+        laid = functions.withColumn("part", part_of(F.col("name"), parts))
+        laid.hint("rebalance", "part").write.mode("errorifexists").partitionBy("part").parquet(target)
+        log = ChangeLog(path, spark.read.schema(laid.schema).parquet(target), parts)
+        log._put(_BEFORE_FIRST, log.base.limit(0))
+        return log
+
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.path}/changes/batch={batch_id}"
 
-    def __post_init__(self) -> None:
-        """An empty first entry, so that reading never meets a missing folder."""
-        self.base.limit(0).write.mode("ignore").parquet(f"{self.path}/batch={_BEFORE_FIRST}")
+    def _put(self, batch_id: int, rows: DataFrame) -> None:
+        # An empty batch leaves no part folder, but its own.
+        dealt = rows.withColumn("part", part_of(F.col("name"), self.parts)).repartition("part")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(self._folder(batch_id))
 
     def write(self, batch_id: int, rows: DataFrame) -> DataFrame:
-        rows = rows.select(*self.base.columns)
-        target = f"{self.path}/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(target)
-        return rows.sparkSession.read.schema(self.base.schema).parquet(target)
+        """Log the rows a batch changed; give them back as they are stored."""
+        self._put(batch_id, rows.select(*self._columns()))
+        reader = self.base.sparkSession.read.schema(self.base.schema).option("basePath", self._folder(batch_id))
+        return reader.parquet(self._folder(batch_id)).select(*self._columns())
+
+    def _columns(self) -> list[str]:
+        return [c for c in self.base.columns if c != "part"]
 
-    def changes(self, before: int | None = None) -> DataFrame:
-        """Every logged row with its ``batch``; earlier batches only when asked."""
-        reader = self.base.sparkSession.read.schema(self.base.schema).option("basePath", self.path)
-        rows = reader.parquet(self.path)
-        return rows if before is None else rows.filter(F.col("batch") < before)
+    def touched(self, names: DataFrame) -> list[int]:
+        """The parts that hold any of ``names``; ``parts`` numbers at most."""
+        found = names.select(part_of(F.col("name"), self.parts).alias("part")).distinct()
+        return sorted(r.part for r in found.collect())
+
+    def changes(self, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """Every logged row with its ``batch``; only earlier batches and only some parts when asked."""
+        schema = self.base.select(*self._columns(), F.lit(0).alias("batch"), F.lit(0).alias("part")).schema
+        folder = f"{self.path}/changes"
+        rows = self.base.sparkSession.read.schema(schema).option("basePath", folder).parquet(folder)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        return rows if parts is None else rows.filter(F.col("part").isin(parts))
 
     def compact(self, folder: str) -> ChangeLog:
-        """Write what stands now as a new base below ``folder``, with an empty log of its own.
+        """Write what stands now as a new log below ``folder``, without changes.
 
         Call it between runs of the stream: later batches go to the new log.
         """
-        self.current().write.mode("errorifexists").parquet(f"{folder}/base")
-        base = self.base.sparkSession.read.schema(self.base.schema).parquet(f"{folder}/base")
-        return ChangeLog(f"{folder}/changes", base)
-
-    def current(self, before: int | None = None) -> DataFrame:
-        """The functions table as it stands after the logged batches."""
-        last = latest(self.changes(before), "name", [F.col("batch")]).drop("batch")
-        return replace_rows(self.base, last)
+        return ChangeLog.over(folder, self.current(), self.parts)
+
+    def current(self, before: int | None = None, names: DataFrame | None = None) -> DataFrame:
+        """The functions table as it stands after the logged batches.
+
+        With ``names``, only the parts these fall into are read: rows of all of
+        ``names`` and of some others. Of the changes of one asset the last batch
+        is found from names and batches; only then are whole rows read.
+        """
+        parts = None if names is None else self.touched(names)
+        last = latest_stored(self.changes(before, parts), "true", "name", "batch").drop("batch", "part")
+        base = self.base if parts is None else self.base.filter(F.col("part").isin(parts))
+        return replace_rows(base, last)
+
+
+def part_of(name: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")

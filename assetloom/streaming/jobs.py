@@ -6,17 +6,17 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from assetloom.functions import dates
 from assetloom.operators.activity import IDLE_SECONDS, usage_delta
 from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, embedding_text, failures, of_dimension
-from assetloom.operators.maintenance import apply_status, apply_usage, hub_actions, hub_rows, prepare_saves, saved_rows
+from assetloom.operators.maintenance import apply_status, apply_usage, hub_rows, last_records, prepare_saves, record_actions, saved_rows
 from assetloom.operators.quality import verification_status
 from assetloom.session import cut_lineage
-from assetloom.sources.hub import split_records, sync_counts
+from assetloom.sources.hub import CORRUPT, action_counts, split_records
 from assetloom.streaming.changelog import ChangeLog
 
 
@@ -88,26 +88,69 @@ def apply_pending_usage(functions: DataFrame, config: DataFrame, deltas: str) ->
 def hub_stream(
     records: DataFrame, log: ChangeLog, as_of: Clock, checkpoint: str, counts: str | None = None, rejected: str | None = None
 ) -> StreamingQuery:
-    """Merge record files as they appear.
+    """Merge record files as they appear, reading the parts of the catalogue that hold their names.
 
     ``counts`` is a folder for one row of totals per micro-batch, ``rejected``
-    one for the files that were not taken in, with the reason.
+    one for the files that were not taken in, with the reason. Totals are seen
+    by the writes themselves; ``SyncCounters`` reads those of the scan.
     """
+    spark = records.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        current = log.current(before=batch_id)
-        scan = split_records(batch)
-        actions = cut_lineage(hub_actions(current, scan.records), "actions")
+        # Written once: the files are parsed, and the scan's own counters added up, a single time.
+        scan = split_records(cut_lineage(batch, "scanned"))
+        last = last_records(scan.records)
+        current = log.current(before=batch_id, names=last)
+        seen = Observation()
+        actions = cut_lineage(record_actions(current, last).observe(seen, *action_counts()), "actions")
         log.write(batch_id, hub_rows(current, actions, as_of(batch_id)))
-        if rejected:
-            scan.rejected.write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        totals = seen.get
+        if rejected or counts:
+            refused = Observation()
+            kept = scan.rejected.observe(refused, F.count(F.lit(1)).alias("rejected"))
+            target = f"{rejected}/batch={batch_id}" if rejected else None
+            kept.write.mode("overwrite").parquet(target) if target else kept.write.format("noop").mode("overwrite").save()
+            totals |= refused.get
         if counts:
-            refused = scan.rejected.agg(F.count("*").alias("rejected"))
-            totals = sync_counts(actions).withColumn("batch_id", F.lit(batch_id))
-            totals = totals.join(refused.withColumn("batch_id", F.lit(batch_id)), "batch_id")
-            totals.write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+            row = spark.createDataFrame([(batch_id, *(totals[c] for c in COUNTERS))], "batch_id long, " + " long, ".join(COUNTERS) + " long")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
 
-    return start(records, handle, checkpoint)
+    return start(counted_scan(records), handle, checkpoint)
+
+
+COUNTERS = ["insert", "update", "unchanged", "skipped", "total", "rejected"]
+SCAN_METRICS = "record_scan"
+
+
+def counted_scan(records: DataFrame) -> DataFrame:
+    """A record stream whose progress tells how many records a micro-batch read and how many were unreadable."""
+    return records.observe(
+        SCAN_METRICS, F.count(F.lit(1)).alias("read"), F.count_if(F.col(CORRUPT).isNotNull()).alias("unreadable")
+    )
+
+
+class SyncCounters(StreamingQueryListener):
+    """Scan counters of every running sync, by run and micro-batch, as the queries report their progress."""
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(SCAN_METRICS)
+        if row is not None:
+            self.batches[(str(event.progress.runId), event.progress.batchId)] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def total(self) -> dict[str, int]:
+        return {c: sum(b[c] for b in self.batches.values()) for c in ("read", "unreadable")}
 
 
 class SaveFolders(NamedTuple):
@@ -135,7 +178,7 @@ def save_stream(
         prepared = prepare_saves(batch, now, gate)
         accepted = cut_lineage(prepared.accepted, "accepted")
         prepared.rejected.write.mode("overwrite").parquet(f"{out.rejected}/batch={batch_id}")
-        saved = cut_lineage(saved_rows(log.current(before=batch_id), accepted), "saved")
+        saved = cut_lineage(saved_rows(log.current(before=batch_id, names=accepted), accepted), "saved")
         status = verification_status(saved, verdicts, skipped=accepted.filter("skip_test"))
         written = log.write(batch_id, apply_status(saved, status, now))
         texts = embedding_text(written, with_deps=False, code_chars=code_chars)

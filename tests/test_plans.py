@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import json
 import re
 from pathlib import Path
 
@@ -14,7 +15,9 @@ from assetloom.plans import registry
 from assetloom.plans.catalog import hub_records, save_batch
 from assetloom.plans.registry import AS_OF, Tables
 from assetloom.session import cut_lineage, work_path, work_scope
-from assetloom.sources import catalog
+from assetloom.sources import catalog, hub
+from assetloom.streaming import jobs
+from assetloom.streaming.changelog import ChangeLog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -201,3 +204,22 @@ def test_library_never_uses_local_checkpoints_or_row_udfs():
     source = "\n".join(p.read_text() for p in Path(__file__).parents[1].joinpath("assetloom").rglob("*.py"))
     for banned in ("localCheckpoint", "crossJoin", ".rdd", "toPandas", "F.udf("):
         assert banned not in source
+
+
+def test_micro_batches_read_only_the_parts_of_their_names(spark, stored, tmp_path):
+    log = ChangeLog.over(work_path(spark, "log"), stored, parts=16)
+    records, checkpoint = hub.stream_hub_records(spark, str(tmp_path), one_per_file=False), work_path(spark, "checkpoint")
+
+    def run(name):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name, "code": "x = 1"}))
+        jobs.hub_stream(records, log, lambda _: AS_OF, checkpoint).awaitTermination()
+        return spark.range(0)
+
+    run("fn_5")
+    plans = executed(spark, lambda: run("fn_3"))
+    part = log.touched(stored.filter("name = 'fn_3'"))
+    scans = [s for p in plans for s in re.findall(rf"Location: InMemoryFileIndex \[[^\n]*{log.path}/(?:base|changes)[^\n]*\n([^\n]*)", p)]
+    assert len(part) == 1 and len(scans) >= 3
+    assert all(re.match(rf"PartitionFilters: .*\(part#\d+ = {part[0]}\)", s) for s in scans), scans
+    assert log.current().filter("name = 'fn_3'").first()["code"] == "x = 1"
+    assert log.current().count() == stored.count()

@@ -82,7 +82,7 @@ def base(spark):
 
 
 def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
-    log = ChangeLog(folders["changes"], base)
+    log = ChangeLog.over(folders["changes"], base, parts=4)
     (tmp_path / "bad.json").write_text("{")
     files = [
         {"name": "a", "code": "x = 2", "description": "one"},
@@ -109,7 +109,7 @@ def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
 
 
 def test_replayed_batch_changes_nothing(spark, folders, base):
-    log = ChangeLog(folders["changes"], base)
+    log = ChangeLog.over(folders["changes"], base, parts=4)
     changed = base.withColumn("code", F.lit("x = 9"))
     log.write(0, changed)
     once = by_name(log.current())
@@ -119,7 +119,7 @@ def test_replayed_batch_changes_nothing(spark, folders, base):
 
 
 def test_save_stream(spark, folders, base):
-    log = ChangeLog(folders["changes"], base)
+    log = ChangeLog.over(folders["changes"], base, parts=4)
     verdicts = spark.createDataFrame([("t", "success"), ("f", "error")], "name string, status string")
     cases = '[{"input":{},"expected":1}]'
     first = request(spark, ("a", "new = 1", "d"), ("t", "k = 1", "d"), ("bad", "def (", "d")).withColumn(
@@ -148,7 +148,7 @@ def two_values(texts):
 
 
 def test_skipped_tests_rejections_and_newest_vectors(spark, folders, base):
-    log = ChangeLog(folders["changes"], base)
+    log = ChangeLog.over(folders["changes"], base, parts=4)
     verdicts = spark.createDataFrame([("s", "error")], "name string, status string")
     cases = '[{"input":{},"expected":1}]'
     key = "ghp_" + "a" * 36
@@ -211,3 +211,32 @@ def test_rate_windows_close_in_append_mode(spark, folders):
     drop_file(events(spark, *[(100 + i, "a", 3, i) for i in range(15)]), folders["in"])  # far too late: never flagged
     run()
     assert [(r["user_id"], r["calls"]) for r in spark.read.parquet(folders["out"]).collect()] == [(1, 15)]
+
+
+def test_counters_of_three_batches_equal_the_batch_form(spark, folders, base, tmp_path):
+    files = [
+        [{"name": "a", "code": "x = 2", "description": "one"}, {"name": "n", "code": "z = 1"}, {"name": "n", "code": "z = 0"}],
+        [{"name": "a", "code": "x = 2", "description": "one"}, {"name": "m", "code": None}, {"name": ""}],
+        [{"name": "n", "code": "z = 5"}, {"name": "k", "code": "y = 1"}],
+    ]
+    log = ChangeLog.over(folders["changes"], base, parts=4)
+    listener = jobs.SyncCounters()
+    spark.streams.addListener(listener)
+    try:
+        stored, expected = base, []
+        for i, rows in enumerate(files):
+            lines = "".join(json.dumps(r) + "\n" for r in rows) + ("{broken\n" if i == 1 else "")
+            (tmp_path / f"r{i}.json").write_text(lines)
+            records = hub.stream_hub_records(spark, str(tmp_path), one_per_file=False)
+            jobs.hub_stream(records, log, lambda batch_id: AS_OF, folders["checkpoint"], folders["out"]).awaitTermination()
+            one = hub.split_records(spark.read.schema(hub.HUB_LINES).option("columnNameOfCorruptRecord", hub.CORRUPT)
+                                    .json(str(tmp_path / f"r{i}.json")).withColumn("file_path", F.lit("")))
+            counted = hub.sync_counts(maintenance.hub_actions(stored, one.records)).first()
+            expected.append((i, *counted, one.rejected.count()))
+            stored = maintenance.merge_hub(stored, one.records, AS_OF)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    got = spark.read.parquet(folders["out"]).select("batch_id", *jobs.COUNTERS).orderBy("batch_id")
+    assert [tuple(r) for r in got.collect()] == expected
+    assert listener.total() == {"read": 9, "unreadable": 1} and by_name(log.current()) == by_name(stored)
