@@ -13,7 +13,7 @@ from assetloom import schemas
 from assetloom.functions import dates, json, vectors
 from assetloom.functions.text import list_literal
 from assetloom.operators.lookup import matching
-from assetloom.operators.ranking import latest
+from assetloom.operators.ranking import latest, latest_stored
 from assetloom.session import cut_lineage
 
 # Fixed value: characters of code in a text to embed that is to equal those of older catalogues.
@@ -98,25 +98,38 @@ def as_embedding_rows(made: DataFrame, model: str, as_of: str) -> DataFrame:
     )
 
 
-def latest_embeddings(embeddings: DataFrame) -> DataFrame:
-    """One row per asset: the last encoded, of equals the last ``batch`` (where streams write one), then the highest id."""
+def _newest(embeddings: DataFrame) -> list[Column]:
     batch = [F.col("batch")] if "batch" in embeddings.columns else []
-    return latest(embeddings, "function_name", [dates.parse_any(F.col("encoded_at")), *batch, F.col("id")])
+    return [dates.parse_any(F.col("encoded_at")), *batch, F.col("id")]
 
 
-def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool = True) -> DataFrame:
+def latest_embeddings(embeddings: DataFrame, layout: str | None = None) -> DataFrame:
+    """One row per asset: the last encoded, of equals the last ``batch`` (where streams write one), then the highest id.
+
+    Winners are found without the vectors, by their places in the files of a
+    ``written`` table; anything else is written first. In a table ``bucketed``
+    by asset all rows of one lie in one bucket, and fold where they are read.
+    """
+    if layout == "bucketed":
+        return latest(embeddings, "function_name", _newest(embeddings))
+    stored = embeddings if layout == "written" else cut_lineage(embeddings, "embeddings")
+    return latest_stored(stored, "true", "function_name", _newest(embeddings))
+
+
+def upsert_embeddings(embeddings: DataFrame, new: DataFrame, one_per_asset: bool = True, layout: str | None = None) -> DataFrame:
     """Insert or replace by asset name.
 
     ``one_per_asset`` says the stored table already holds one row per asset, as
     every table written here does. Stored vectors then pass through an
     anti-join on the (usually small) new names and need no shuffle of their own.
-    Tables of other origin are folded first when it is false.
+    Tables of other origin are reduced first when it is false; ``layout`` is as
+    for ``latest_embeddings``. New rows are written once, as making them may be
+    costly.
     """
     columns = schemas.EMBEDDINGS.names
-    fresh = latest_embeddings(new).select(*columns)
-    # Folding before the join: an asset with very many rows is one row by then.
-    held = embeddings.select(*columns) if one_per_asset else latest_embeddings(embeddings.select(*columns))
-    kept = held.join(fresh.select("function_name"), "function_name", "left_anti")
+    fresh = latest_embeddings(new.select(*columns))
+    held = embeddings if one_per_asset else latest_embeddings(embeddings, layout)
+    kept = held.select(*columns).join(fresh.select("function_name"), "function_name", "left_anti")
     return kept.select(*columns).unionByName(fresh)
 
 

@@ -16,7 +16,7 @@ from assetloom.functions import dates
 from assetloom.operators.cleaning import default_description, sanitize
 from assetloom.operators.facts import with_facts
 from assetloom.operators.lookup import matching
-from assetloom.operators.ranking import latest, latest_stored
+from assetloom.operators.ranking import latest_stored
 from assetloom.operators.security import SecurityRules, first_secret, verdict_message
 from assetloom.session import cut_lineage
 
@@ -123,11 +123,16 @@ def apply_usage(functions: DataFrame, delta: DataFrame) -> DataFrame:
     ).select(*COLUMNS)
 
 
-def last_records(records: DataFrame) -> DataFrame:
-    """One record per name: the last updated, then the last file path."""
-    order = [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))]
+def last_records(records: DataFrame, written: bool = False) -> DataFrame:
+    """One record per name: the last updated, then the last file path.
+
+    Records are parsed once, into a table, unless they are ``written`` already;
+    names and times alone tell the last ones.
+    """
     with_path = records if "file_path" in records.columns else records.withColumn("file_path", F.lit(""))
-    last = latest(with_path, "name", order).withColumn("description", F.coalesce("description", F.lit("")))
+    stored = with_path if written else cut_lineage(with_path, "parsed-records")
+    last = latest_stored(stored, "true", "name", [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))])
+    last = last.withColumn("description", F.coalesce("description", F.lit("")))
     return cut_lineage(last.drop("file_path"), "records")
 
 

@@ -48,7 +48,7 @@ def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.groupBy(key).agg(winner).select(*[key if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def latest_stored(stored: DataFrame, condition: str, key: str, order: str) -> DataFrame:
+def latest_stored(stored: DataFrame, condition: str, key: str, order: str | list) -> DataFrame:
     """Of the rows of a written table that meet ``condition``, the last per key; of equal ones any, but one.
 
     The winner is found from key, order and place in the files alone; only then
@@ -56,6 +56,6 @@ def latest_stored(stored: DataFrame, condition: str, key: str, order: str) -> Da
     """
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     numbered = stored.filter(condition).select(*stored.columns, *place)
-    best = numbered.groupBy(key).agg(F.max(F.struct(order, "_file", "_row")).alias("_best"))
+    best = numbered.groupBy(key).agg(F.max(F.struct(*([order] if isinstance(order, str) else order), "_file", "_row")).alias("_best"))
     winner = best.select("_best._file", "_best._row")
     return numbered.join(winner, ["_file", "_row"], "left_semi").select(*stored.columns)

@@ -11,7 +11,7 @@ from assetloom.functions import text
 from assetloom.operators import cleaning, embeddings, lookup, maintenance, retention, triage
 from assetloom.plans import duck
 from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
-from assetloom.session import work_path
+from assetloom.session import cut_lineage, work_path
 from assetloom.sources import catalog, hub
 
 
@@ -47,11 +47,14 @@ def fragile_vectors(texts: list[str]) -> list[list[float] | None]:
 # --- scans and lookups ------------------------------------------------------
 
 @query("catalog_snapshot", """
-SELECT name, code, description, tags, metadata, status, test_cases, call_count, last_called_at, created_at, updated_at
+SELECT name, code, description, tags, metadata, nullif(status, 'failed') AS status, test_cases, nullif(call_count, 3) AS call_count,
+  last_called_at, created_at, updated_at
 FROM fx_functions""")
 def catalog_snapshot(t):
+    """A stored NULL is no missing column: it reads as NULL."""
     base = work_path(t.spark, "catalog")
-    catalog.write_snapshot(t.fx_functions, base, "functions", 1)
+    nulls = {"status": F.nullif("status", F.lit("failed")), "call_count": F.nullif("call_count", F.lit(3))}
+    catalog.write_snapshot(t.fx_functions.withColumns(nulls), base, "functions", 1)
     catalog.write_snapshot(t.fx_embeddings, base, "embeddings", 1)
     catalog.write_snapshot(t.fx_config, base, "config", 1)
     return catalog.read_catalog(t.spark, base, 1).functions
@@ -392,13 +395,35 @@ def embeddings_stale(t):
 _HELD_ORDER = "CAST(replace(replace(encoded_at, '+00', ''), 'T', ' ') AS TIMESTAMP)"
 
 
-@query("embeddings_upsert", f"""
+_UPSERT = f"""
 WITH held AS (SELECT * FROM fx_held_embeddings WHERE function_name NOT IN (SELECT function_name FROM fx_new_embeddings)
   QUALIFY row_number() OVER (PARTITION BY function_name ORDER BY {_HELD_ORDER} DESC, id DESC) = 1)
 SELECT id, function_name, model_name, dimension, encoded_at, {_V0} FROM held
-UNION ALL SELECT id, function_name, model_name, dimension, encoded_at, {_V0} FROM fx_new_embeddings""")
+UNION ALL SELECT id, function_name, model_name, dimension, encoded_at, {_V0} FROM fx_new_embeddings"""
+
+
+@query("embeddings_upsert", _UPSERT)
 def embeddings_upsert(t):
-    return _embedding_columns(embeddings.upsert_embeddings(t.fx_held_embeddings, t.fx_new_embeddings, one_per_asset=False))
+    held = cut_lineage(t.fx_held_embeddings, "held")
+    return _embedding_columns(embeddings.upsert_embeddings(held, t.fx_new_embeddings, one_per_asset=False, layout="written"))
+
+
+def bucketed_version(t: Tables) -> catalog.Catalog:
+    base = work_path(t.spark, "catalog")
+    catalog.write_bucketed_snapshot(catalog.Catalog(t.fx_functions, t.fx_held_embeddings, t.fx_config), base, 1, buckets=8)
+    return catalog.read_catalog(t.spark, base, 1)
+
+
+@query("bucketed_upsert", _UPSERT)
+def bucketed_upsert(t):
+    held = bucketed_version(t).embeddings
+    return _embedding_columns(embeddings.upsert_embeddings(held, t.fx_new_embeddings, one_per_asset=False, layout="bucketed"))
+
+
+@query("bucketed_stale", _STALE.replace("fx_embeddings", "fx_held_embeddings"))
+def bucketed_stale(t):
+    stored = bucketed_version(t)
+    return embeddings.stale_embeddings(stored.functions, stored.embeddings, "model-a", 64)
 
 
 @query("embedding_drift", """

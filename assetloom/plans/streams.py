@@ -105,7 +105,7 @@ SELECT name, status, updated_at, -1 AS vector_batch FROM fx_functions WHERE name
 def stream_saves(t):
     """Statuses and vectors of saved requests over three micro-batches; the newest vector of an asset counts."""
     log, out = _save_run(t)
-    vectors = latest_embeddings(t.spark.read.option("basePath", out.embeddings).parquet(out.embeddings))
+    vectors = latest_embeddings(t.spark.read.option("basePath", out.embeddings).parquet(out.embeddings), layout="written")
     made = vectors.select(F.col("function_name").alias("name"), F.col("batch").cast("long").alias("made_in"))
     found = F.coalesce("made_in", F.lit(-1).cast("long")).alias("vector_batch")
     return log.current().join(made, "name", "left").select("name", "status", "updated_at", found)

@@ -59,6 +59,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{_scope.get() or shared_folder(spark) + '/assetloom'}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 @contextmanager
 def work_scope(spark: SparkSession) -> Iterator[str]:
     """Intermediate tables made inside go to one folder, which is deleted at the end.

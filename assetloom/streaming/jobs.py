@@ -99,7 +99,7 @@ def hub_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Written once: the files are parsed, and the scan's own counters added up, a single time.
         scan = split_records(cut_lineage(batch, "scanned"))
-        last = last_records(scan.records)
+        last = last_records(scan.records, written=True)
         current = log.current(before=batch_id, names=last)
         seen = Observation()
         actions = cut_lineage(record_actions(current, last).observe(seen, *action_counts()), "actions")

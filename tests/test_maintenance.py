@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom import schemas
-from assetloom.operators import embeddings, maintenance, quality, retention, triage
+from assetloom.operators import embeddings, lookup, maintenance, quality, retention, triage
 from assetloom.operators.ranking import ranked
 from assetloom.session import work_path
 from assetloom.sources import catalog, hub
@@ -139,6 +139,17 @@ def test_old_layout_reads_with_defaults(spark, stored):
     assert tables.embeddings.first()["function_name"] is None
 
 
+def test_stored_nulls_are_no_missing_columns(spark, stored):
+    base = work_path(spark, "test-catalog")
+    nulls = stored.withColumns({"status": F.lit(None).cast("string"), "call_count": F.lit(None).cast("int")})
+    catalog.write_snapshot(nulls, base, "functions", 1)
+    catalog.write_snapshot(spark.createDataFrame([], schemas.EMBEDDINGS), base, "embeddings", 1)
+    catalog.write_snapshot(spark.createDataFrame([], schemas.CONFIG), base, "config", 1)
+    functions = catalog.read_catalog(spark, base, 1).functions
+    assert {(r["status"], r["call_count"]) for r in functions.collect()} == {(None, None)}
+    assert lookup.publishable(functions).count() == 0
+
+
 def test_upsert_keeps_one_row_per_asset(spark):
     held = [(1, "a", [1.0], "m", 1, "2024-01-01T00:00:00"), (2, "a", [2.0], "m", 1, "2024-01-01 00:00:01+00"), (3, "b", [3.0], "m", 1, NOW)]
     new = [(9, "b", [4.0, 5.0], "m2", 2, "2023-01-01T00:00:00")]

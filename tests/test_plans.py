@@ -164,6 +164,9 @@ def test_usage_and_upsert_leave_the_large_tables_in_place(spark, stored):
     few = cut_lineage(t.fx_new_embeddings.limit(5), "few")
     plans = executed(spark, lambda: embeddings.upsert_embeddings(t.fx_embeddings, few))
     assert sum("vector" in m for m in exchanged(plans)) <= 1  # only the new ones
+    held = cut_lineage(t.fx_held_embeddings, "held")
+    plans = executed(spark, lambda: embeddings.upsert_embeddings(held, few, one_per_asset=False, layout="written"))
+    assert not any("vector" in m for m in exchanged(plans))
 
 
 def test_small_batch_leaves_the_stored_table_in_place(spark, stored):
@@ -175,20 +178,26 @@ def test_small_batch_leaves_the_stored_table_in_place(spark, stored):
     assert not re.findall(r"\(\d+\) Exchange\n", text)
 
 
-def test_bucketed_tables_join_without_an_exchange(spark, stored):
-    t = Tables(spark, SF_DIR)
-    for name, df, key in (("pf", stored, "name"), ("pe", t.fx_embeddings, "function_name")):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        catalog.write_bucketed(df, name, work_path(spark, name), key, 8)
+def test_bucketed_versions_need_no_exchange(spark, stored):
+    t, base = Tables(spark, SF_DIR), work_path(spark, "bucketed")
+    catalog.write_bucketed_snapshot(catalog.Catalog(stored, t.fx_held_embeddings, t.fx_config), base, 1, buckets=8)
+    # As in another session, which knows the files but no table.
+    for name in ("functions", "embeddings"):
+        spark.sql(f"DROP TABLE {catalog._table_name(catalog.version_path(base, name, 1))}")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        kept = spark.table("pe").join(spark.table("pf").withColumnRenamed("name", "function_name"), "function_name", "left_semi")
-        plans = executed(spark, lambda: kept)
+        read = catalog.read_catalog(spark, base, 1)
+        stale = executed(spark, lambda: embeddings.stale_embeddings(read.functions, read.embeddings, "model-a", 64))
+        assert "SortMergeJoin" in stale[-1] and not exchanged(stale)
+        names = cut_lineage(t.fx_names, "names")
+        gone = executed(spark, lambda: maintenance.delete_assets(read.functions, read.embeddings, names)[1])
+        assert "SortMergeJoin" in gone[-1] and exchanged(gone) and not any("vector" in m for m in exchanged(gone))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plans[-1] and not exchanged(plans)
-    spark.sql("DROP TABLE pf")
-    spark.sql("DROP TABLE pe")
+    few = cut_lineage(t.fx_new_embeddings, "new")
+    put = executed(spark, lambda: embeddings.upsert_embeddings(read.embeddings, few, one_per_asset=False, layout="bucketed"))
+    assert not any("vector" in m for m in exchanged(put))
+    assert read.embeddings.count() == t.fx_held_embeddings.count() and read.functions.count() == stored.count()
 
 
 def test_work_scope_leaves_no_folder(spark):
