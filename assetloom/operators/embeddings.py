@@ -141,24 +141,61 @@ def embedding_drift(embeddings: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("function_name", F.when(same, vectors.cosine(F.col("held"), F.col("vector"))).alias("score"))
 
 
+# Vectors by model and SHA-256 of the text they were made from.
+VECTOR_STORE = "model_name string, digest string, vector array<float>"
+
+
+class EmbedResult(NamedTuple):
+    made: DataFrame  # name, vector, error
+    store: DataFrame
+
+
+def embed_reusing(texts: DataFrame, store: DataFrame, provider: Provider, model: str, dimension: int) -> EmbedResult:
+    """``embed`` for ``texts(name, text)`` that asks the provider for texts new to it alone, and once for equal ones.
+
+    ``store`` holds the vectors this ``model`` and others have made; the one
+    given back has the new ones too. Failures are not kept, so they are tried
+    again next time. Texts meet the store as digests; a text that a large share
+    of all assets have is folded before it moves, and its digest's rows are left
+    to the adaptive splits of the last join.
+    """
+    whole = texts.select("name", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = cut_lineage(whole.select("name", F.sha2("text", 256).alias("digest"), "text"), "texts")
+    distinct = keyed.groupBy("digest").agg(F.any_value("text").alias("text"))
+    held = store.filter(F.col("model_name") == model).select("digest", "vector")
+    known = matching(held, keyed.select("digest").distinct(), "digest", "digest")
+    new = distinct.join(held.select("digest"), "digest", "left_anti").select(F.col("digest").alias("name"), "text")
+    fresh = cut_lineage(of_dimension(embed(new, provider), dimension), "embedded").withColumnRenamed("name", "digest")
+    every = known.withColumn("error", F.lit(None).cast("string")).unionByName(fresh)
+    made = keyed.select("name", "digest").join(every, "digest").select("name", "vector", "error")
+    kept = fresh.filter("vector IS NOT NULL").select(F.lit(model).alias("model_name"), "digest", "vector")
+    return EmbedResult(made, store.select("model_name", "digest", "vector").unionByName(kept))
+
+
 class RefreshResult(NamedTuple):
     embeddings: DataFrame
     failed: DataFrame
+    store: DataFrame | None = None
 
 
 def refresh_embeddings(
     functions: DataFrame, embeddings: DataFrame, provider: Provider, model: str, dimension: int, as_of: str,
-    one_per_asset: bool = True, code_chars: int | None = None,
+    one_per_asset: bool = True, code_chars: int | None = None, store: DataFrame | None = None,
 ) -> RefreshResult:
     """Re-embed what is stale: the whole new embeddings table, and ``(name, error)`` for each asset that failed.
 
-    A failed asset keeps the row it has, and stays stale.
+    A failed asset keeps the row it has, and stays stale. With a ``store`` of
+    vectors by text, texts embedded before are not embedded again, and the
+    store is given back with the new ones.
     """
     stale = cut_lineage(stale_embeddings(functions, embeddings, model, dimension), "stale")
     texts = embedding_text(matching(functions, stale), code_chars=code_chars)
     # Written once: the new rows are read three times, and embedding is the costly part.
-    made = cut_lineage(of_dimension(embed(texts, provider), dimension), "embedded")
-    return RefreshResult(upsert_embeddings(embeddings, as_embedding_rows(made, model, as_of), one_per_asset), failures(made))
+    if store is None:
+        made = cut_lineage(of_dimension(embed(texts, provider), dimension), "embedded")
+    else:
+        made, store = embed_reusing(texts, store, provider, model, dimension)
+    return RefreshResult(upsert_embeddings(embeddings, as_embedding_rows(made, model, as_of), one_per_asset), failures(made), store)
 
 
 def model_version_check(config: DataFrame, model: str) -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from assetloom.functions import json
 
 
-def matching(stored: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
-    """Stored rows whose key is among ``names``.
+def matching(stored: DataFrame, names: DataFrame, key: str = "name", named: str = "name") -> DataFrame:
+    """Stored rows whose ``key`` is among the column ``named`` of ``names``.
 
     An outer join from a small batch to a large table cannot copy the batch, as
     the batch is the side to keep; this semi-join can, so the large table stays
     where it is and only matching rows go on to the outer join.
     """
-    wanted = names.select(F.col("name").alias(key)) if key != "name" else names.select("name")
-    return stored.join(wanted, key, "left_semi")
+    return stored.join(names.select(F.col(named).alias(key)), key, "left_semi")
 
 
 def list_assets(functions: DataFrame, limit: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from assetloom.operators import cleaning, embeddings, lookup, maintenance, reten
 from assetloom.plans import duck
 from assetloom.plans.registry import AS_OF, AS_OF_ISO, Tables, query
 from assetloom.session import cut_lineage, work_path
-from assetloom.sources import catalog, hub
+from assetloom.sources import catalog, hub, record_files
 
 
 
@@ -44,6 +44,10 @@ def fragile_vectors(texts: list[str]) -> list[list[float] | None]:
     return [None if v[0] < 64 else v[:16] if v[0] < 128 else v for v in made]
 
 
+def no_vectors(texts: list[str]) -> list[list[float] | None]:
+    return [None] * len(texts)
+
+
 # --- scans and lookups ------------------------------------------------------
 
 @query("catalog_snapshot", """
@@ -152,6 +156,15 @@ def hub_round_trip(t):
     return records.drop("file_path").withColumns({c: F.array_join(c, "|") for c in ("tags", "dependencies")})
 
 
+@query("hub_files", HUB_EXPORT_SQL)
+def hub_files(t):
+    """The same through one file per asset."""
+    folder = work_path(t.spark, "record-files")
+    record_files.write_record_files(hub.export_hub_records(t.fx_functions, AS_OF), folder)
+    records = record_files.read_record_files(t.spark, folder).records
+    return records.drop("file_path").withColumns({c: F.array_join(c, "|") for c in ("tags", "dependencies")})
+
+
 @query("hub_index", f"""
 SELECT name, description, {duck.joined(duck.strings('tags'))} AS tags FROM fx_hub_records""")
 def hub_index(t):
@@ -434,19 +447,33 @@ def embedding_drift(t):
     return drift.select("function_name", F.round("score", 6).alias("score"))
 
 
-@query("embed_refresh", f"""
+_REFRESHED = f"""
 WITH stale AS ({_STALE}),
 fresh AS (SELECT name, md5({_text_sql(True)}) AS digest FROM fx_functions WHERE name IN (SELECT name FROM stale))
 SELECT function_name, model_name, dimension, encoded_at, {_V0} FROM fx_embeddings
 WHERE function_name NOT IN (SELECT name FROM stale)
 UNION ALL
 SELECT name AS function_name, 'model-a' AS model_name, 64 AS dimension, '{AS_OF_ISO}' AS encoded_at,
-  CAST(CAST(concat('0x', substring(digest, 1, 2)) AS INTEGER) AS DOUBLE) AS first_value FROM fresh""")
+  CAST(CAST(concat('0x', substring(digest, 1, 2)) AS INTEGER) AS DOUBLE) AS first_value FROM fresh"""
+
+
+@query("embed_refresh", _REFRESHED)
 def embed_refresh(t):
     refreshed = embeddings.refresh_embeddings(t.fx_functions, t.fx_embeddings, digest_vectors, "model-a", 64, AS_OF)
     return _embedding_columns(refreshed.embeddings).drop("id")
 
 
+@query("embed_reused", _REFRESHED)
+def embed_reused(t):
+    """The same once a first run has stored its vectors: the second makes none itself."""
+    none = t.spark.createDataFrame([], embeddings.VECTOR_STORE)
+    stored = embeddings.refresh_embeddings(t.fx_functions, t.fx_embeddings, digest_vectors, "model-a", 64, AS_OF, store=none).store
+    again = embeddings.refresh_embeddings(
+        t.fx_functions, t.fx_embeddings, no_vectors, "model-a", 64, AS_OF, store=cut_lineage(stored, "vector-store")
+    )
+    return _embedding_columns(again.embeddings).drop("id")
+
+
 @query("embed_failures", f"""
 WITH stale AS ({_STALE}),
 d AS (SELECT name, CAST(concat('0x', substring(md5({_text_sql(True)}), 1, 2)) AS INTEGER) AS head FROM fx_functions)

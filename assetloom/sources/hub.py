@@ -65,19 +65,22 @@ def export_hub_records(functions: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def record_lines(records: DataFrame) -> Column:
+    """The JSON text of each record. Test cases are spliced in as nested JSON, in their own key order."""
+    plain = F.to_json(F.struct(*[c for c in records.columns if c != "test_cases"]))
+    cases = F.when(F.try_parse_json("test_cases").isNotNull(), F.col("test_cases")).otherwise(F.lit("[]"))
+    return F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"test_cases":'), cases, F.lit("}"))
+
+
 def write_hub_records(records: DataFrame, folder: str, shards: int = 64, files_per_shard: int = 1) -> None:
     """One JSON line per record in ``shards`` folders by name hash, ``files_per_shard`` files in each.
 
     Records are moved to the task that writes their file, so the number of files
-    does not grow with the number of tasks. Test cases are spliced in as nested
-    JSON, in their own key order.
+    does not grow with the number of tasks.
     """
     salt = F.pmod(F.xxhash64("name", F.lit(1)), F.lit(files_per_shard))
     shard = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
-    plain = F.to_json(F.struct(*[c for c in records.columns if c != "test_cases"]))
-    cases = F.when(F.try_parse_json("test_cases").isNotNull(), F.col("test_cases")).otherwise(F.lit("[]"))
-    line = F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"test_cases":'), cases, F.lit("}"))
-    lines = records.select(line.alias("value"), shard.alias("shard"), salt.alias("salt"))
+    lines = records.select(record_lines(records).alias("value"), shard.alias("shard"), salt.alias("salt"))
     dealt = lines.repartition(shards * files_per_shard, "shard", "salt").drop("salt")
     dealt.write.partitionBy("shard").text(folder)
 

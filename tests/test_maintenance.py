@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from assetloom import schemas
 from assetloom.operators import embeddings, lookup, maintenance, quality, retention, triage
 from assetloom.operators.ranking import ranked
-from assetloom.session import work_path
-from assetloom.sources import catalog, hub
+from assetloom.session import cut_lineage, work_path
+from assetloom.sources import catalog, hub, record_files
 
 AS_OF = "2024-02-01 00:00:00"
 NOW = "2024-02-01T00:00:00"
@@ -281,3 +282,60 @@ def test_ranks_split_hot_groups(spark):
     rows = [("hot", (i * 7919) % 3000) for i in range(3000)] + [("cold", i) for i in range(50)]
     got = ranked(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"], "test-ranks")
     assert got.filter("rank != v + 1").count() == 0 and got.count() == 3050
+
+
+def test_equal_texts_are_embedded_once_and_failures_again(spark, tmp_path):
+    def provider(texts):
+        for t in texts:
+            (tmp_path / uuid.uuid4().hex).write_text(t)
+        return [None if t == "bad" else [float(len(t)), 1.0] for t in texts]
+
+    def asked():
+        texts = sorted(p.read_text() for p in tmp_path.iterdir())
+        for p in tmp_path.iterdir():
+            p.unlink()
+        return texts
+
+    texts = "name string, text string"
+    first = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", "bad"), ("d", None), ("e", ""), ("f", "three")], texts)
+    made = embeddings.embed_reusing(first, spark.createDataFrame([], embeddings.VECTOR_STORE), provider, "m", 2)
+    got = {r["name"]: (r["vector"], r["error"]) for r in made.made.collect()}
+    assert got["a"] == got["b"] == ([3.0, 1.0], None) and got["c"] == (None, "provider gave no vector") and got["d"] == got["e"]
+    assert asked() == ["", "bad", "one", "three"]
+    store = cut_lineage(made.store, "store")
+    assert store.count() == 3
+    second = spark.createDataFrame([("a", "one"), ("c", "bad"), ("g", "sixsix"), ("f", "three")], texts)
+    again = embeddings.embed_reusing(second, store, provider, "m", 2)
+    assert {r["name"]: r["vector"] for r in again.made.collect()} == {"a": [3.0, 1.0], "c": None, "g": [6.0, 1.0], "f": [5.0, 1.0]}
+    assert asked() == ["bad", "sixsix"] and again.store.count() == 4
+    other = embeddings.embed_reusing(second, store, provider, "other", 2)
+    assert other.made.count() == 4 and len(asked()) == 4
+
+
+def test_one_file_per_asset(spark, tmp_path):
+    names = ["a", "b/c", "d e", "\u00e9\U0001f680", "long" * 100, "long" * 99 + "x"]
+    rows = [(n, f"code {n}", None, ["t"], [], '[{"input":{"k":1},"expected":2}]', 50.0, NOW) for n in names]
+    schema = "name string, code string, description string, tags array<string>, dependencies array<string>, test_cases string, quality_score double, updated_at string"
+    records, folder = spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "records")
+    for written in (records, records.filter("name != 'a'")):
+        record_files.write_record_files(written, folder)
+        files = [p for p in (tmp_path / "records").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+        assert len(files) == written.count() and not any(p.name.startswith("_pending") for p in (tmp_path / "records").iterdir())
+        read = record_files.read_record_files(spark, folder).records.drop("file_path")
+        assert sorted(map(str, read.select(*written.columns).collect())) == sorted(map(str, written.collect()))
+    assert hub.read_hub_records(spark, folder).records.count() == len(names) - 1  # the built-in scan reads them too
+    (tmp_path / "records" / "bad.json").write_text("{")
+    assert [r["reason"] for r in record_files.read_record_files(spark, folder).rejected.collect()] == ["unreadable"]
+
+
+def test_failed_exports_leave_nothing(spark, tmp_path):
+    folder = str(tmp_path / "records")
+    schema = "name string, code string, test_cases string"
+    good = spark.createDataFrame([("a", "x", "[]")], schema)
+    record_files.write_record_files(good, folder)
+    bad = spark.createDataFrame([(f"n{i}", "x", "[]") for i in range(8)], schema).repartition(4)
+    broken = bad.withColumn("code", F.expr("if(name = 'n5', raise_error('no code'), code)"))
+    with pytest.raises(Exception, match="no code"):
+        record_files.write_record_files(broken, folder)
+    assert [r["name"] for r in record_files.read_record_files(spark, folder).records.collect()] == ["a"]
+    assert not [p for p in (tmp_path / "records").iterdir() if p.name.startswith("_pending")]

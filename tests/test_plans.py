@@ -41,7 +41,7 @@ PYTHON = ("ArrowEvalPython", "MapInArrow", "FlatMapGroupsInArrow", "FlatMapCoGro
 USES_PYTHON = {
     "bundle_code",
     "code_facts", "security_verdict", "security_violations", "syntax_status", "required_packages", "internal_edges",
-    "internal_dependencies", "save_assets", "save_rejected", "embed_refresh", "embed_failures", "search_topk", "search_boosted",
+    "internal_dependencies", "save_assets", "save_rejected", "embed_refresh", "embed_reused", "embed_failures", "search_topk", "search_boosted",
     "search_batch", "search_batch_blocks", "search_popularity", "search_hybrid", "search_select", "search_attach_code", "search_pruned",
     "stream_saves", "stream_save_rejected", "stream_embed_failures",
 }
