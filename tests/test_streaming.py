@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from assetloom.operators import activity, maintenance
 from assetloom.operators.embeddings import latest_embeddings
 from assetloom.session import work_path
 from assetloom.sources import hub
-from assetloom.streaming import jobs
+from assetloom.streaming import jobs, sessions
 from assetloom.streaming.changelog import ChangeLog
 from tests.test_maintenance import AS_OF, REQUEST, by_name, functions_table, request
 
@@ -240,3 +241,35 @@ def test_counters_of_three_batches_equal_the_batch_form(spark, folders, base, tm
     got = spark.read.parquet(folders["out"]).select("batch_id", *jobs.COUNTERS).orderBy("batch_id")
     assert [tuple(r) for r in got.collect()] == expected
     assert listener.total() == {"read": 9, "unreadable": 1} and by_name(log.current()) == by_name(stored)
+
+
+def test_state_holds_open_sessions_only(spark, folders):
+    """Sessions go out once, whatever the order of files; state shrinks to what may still grow."""
+    rows = [(i, "a", i % 3, i * 100 % 5000) for i in range(60)] + [(70, "a", 1, 20_000), (71, "a", 1, 20_600), (72, "a", 2, 30_000)]
+    like = events(spark, *rows)
+    late = events(spark, (90, "a", 1, 7), (91, "a", 5, 8))
+    flush = events(spark, (99, "a", 9, 1_000_000))
+    for part in (events(spark, *rows[40:60]), events(spark, *rows[:40]), events(spark, *rows[60:]), flush, late):
+        drop_file(part, folders["in"])
+        stream = jobs.file_stream(spark, folders["in"], "*.parquet", like, files_per_batch=1)
+        handle = lambda df, i: df.write.mode("overwrite").parquet(f"{folders['out']}/batch={i}")
+        with sessions.state_beyond_the_heap(spark):
+            jobs.start(sessions.session_state_stream(stream, 600, "2 hours"), handle, folders["checkpoint"]).awaitTermination()
+    got = spark.read.parquet(folders["out"]).select("user_id", "session_start", "session_end", "events")
+    as_ntz = got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+    expected = activity.activity_sessions(like, 600).select(*got.columns)
+    assert sorted(map(tuple, as_ntz.collect())) == sorted(map(tuple, expected.collect()))
+    state = spark.read.format("statestore").option("path", folders["checkpoint"]).option("stateVarName", "open").load()
+    assert [r["key"]["user_id"] for r in state.collect()] == [9]
+
+
+def test_sessions_join_in_any_order():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        at = rng.integers(0, 200, size=rng.integers(0, 30))
+        held = (np.zeros(0, np.int64),) * 3
+        for part in np.array_split(at, 3):
+            new = (part, part, np.ones(len(part), np.int64))
+            held = sessions.merged(*(np.concatenate(p) for p in zip(held, new)), 7)
+        groups = [g.tolist() for g in np.split(np.sort(at), np.flatnonzero(np.diff(np.sort(at)) > 7) + 1) if len(g)]
+        assert list(zip(*(x.tolist() for x in held))) == [(g[0], g[-1], len(g)) for g in groups]
