@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from assetloom.llm.common import Batches, as_lists, flat_lists, small_batches, t
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 1 << 14  # longer segments are encoded in pieces, cut at a space where there is one
+PIECE = 1 << 14  # longer segments are encoded in pieces
+# A word never goes on here, whatever comes before and behind.
+_CUT = re.compile(r"(?<=\S) ")
 
 
 @dataclass(frozen=True)
@@ -95,14 +98,19 @@ class Codec:
         self.template, self.first = template, max(ranks.values()) + 1
 
     def encode(self, text: str) -> list[int]:
+        """The ids of the whole text. A long one is cut where a blank follows a mark, as words always are there."""
         ids, at = [], 0
         while len(text) - at > PIECE:
-            cut = text.rfind(" ", at + 1, at + PIECE)
-            cut = at + PIECE if cut < 0 else cut
-            ids += self.base.encode_ordinary(text[at:cut])
+            cut = next((m.start() for m in _CUT.finditer(text, at + PIECE // 2)), len(text))
+            ids += self.base.encode_ordinary(text[at:cut]) if cut - at <= 2 * PIECE else self._stretch(text, at, cut)
             at = cut
         return ids + self.base.encode_ordinary(text[at:])
 
+    def _stretch(self, text: str, start: int, end: int) -> list[int]:
+        """Text without a place to cut: its words one by one, as long runs overflow the tokenizer's own stack."""
+        words = (m[0] for m in regex.finditer(PATTERN, text, pos=start, endpos=end))
+        return [i for word in words for i in self.base._encode_single_piece(word)]
+
     def decode(self, ids: np.ndarray) -> str:
         return self.base.decode_bytes(ids.tolist()).decode()
 

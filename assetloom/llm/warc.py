@@ -1,7 +1,7 @@
 """WARC archives by a deterministic sharded writer, and their reader.
 
-Records are dealt to shards by ranges of their id, cut where the bytes before
-reach a shard's size; each shard rolls to a new file at a compressed size. Both
+Records are dealt to shards by ranges of their id, digest and url, cut where the
+bytes before reach a shard's size; each shard rolls to a new file at a compressed size. Both
 depend on the records alone, so a rerun writes the same bytes. Tasks write under
 temporary names and report what they wrote; the reports of successful attempts
 form the manifest, from which files are renamed and which is written last.
@@ -19,14 +19,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import Batches, small_batches, text_of
 from assetloom.session import cut_lineage
 
 LEAST_PAYLOAD = 100  # bytes from which equal payloads are stored once
-SHARD_BYTES = 1 << 26  # payload bytes of a shard
+SHARD_BYTES, MOST_SHARDS = 1 << 26, 1 << 16  # bytes of a shard; more of them where there would be more shards
+HEAD_BYTES = 700  # of a record without its payload, about
+FILES_PER_TASK = 64  # renamed by one task
 FILE_BYTES = 1 << 24  # compressed bytes at which a file is closed
 DATE = "2024-02-01T00:00:00Z"  # a parameter, so that reruns agree
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -87,32 +89,53 @@ def references(light: DataFrame, least_payload: int) -> DataFrame:
     return cut_lineage(found.select("d", "least"), "warc-repeated")
 
 
-def shard_starts(light: DataFrame, shard_bytes: int) -> np.ndarray:
-    """First id of each shard after the first, from running sums of payload bytes in id order.
+def _key() -> Column:
+    """Page id (none first), digest, hash of the url and a number among equal rows, as text that sorts like them.
+
+    A missing or much repeated id is so cut by its digests and urls, and rows
+    alike in all of these, which are alike in the archive, by their numbers.
+    """
+    biased = F.col("page_id").bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    digits = lambda n, width: F.lpad(F.hex(n), width, "0")
+    return F.concat(
+        F.when(F.col("page_id").isNull(), "0").otherwise(F.concat(F.lit("1"), digits(biased, 16))),
+        F.lit("-"),
+        F.substring("digest", 1, 16),
+        digits(F.xxhash64("url"), 16),
+        digits(F.pmod(F.monotonically_increasing_id(), F.lit(256)), 2),
+    )
+
+
+def shard_starts(light: DataFrame, shard_bytes: int | None) -> list[str]:
+    """The key of each shard's first record after the first shard, from running sums of bytes in key order.
 
     Sums are taken within range slices and shifted by the slices before. One
-    number per shard reaches the driver: 8 bytes for ``shard_bytes`` of input.
+    key per shard reaches the driver, for ``MOST_SHARDS`` at most.
     """
-    ids = light.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.sum("n").alias("n"))
-    sliced = cut_lineage(ids.repartitionByRange("page_id").withColumn("slice", F.spark_partition_id()), "warc-slices")
+    keys = light.groupBy("key").agg(F.sum(F.col("n") + HEAD_BYTES).alias("n"))
+    sliced = cut_lineage(keys.repartitionByRange("key").withColumn("slice", F.spark_partition_id()), "warc-slices")
+    if shard_bytes is None:
+        total = sliced.agg(F.sum("n")).first()[0] or 0
+        shard_bytes = max(SHARD_BYTES, -(-total // MOST_SHARDS))
     before = Window.partitionBy("one").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sliced.groupBy("slice").agg(F.sum("n").alias("total")).withColumn("one", F.lit(1))
     shift = sums.select("slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
-    within = Window.partitionBy("slice").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("slice").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(shift, "slice")
     shard = F.floor((F.col("ahead") + F.col("shift")) / shard_bytes)
-    starts = placed.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("first")).where("shard > 0")
-    return np.sort(starts.select("first").toArrow().column(0).to_numpy())
+    starts = placed.groupBy(shard.alias("shard")).agg(F.min("key").alias("first")).where("shard > 0")
+    return sorted(starts.select("first").toArrow().column(0).to_pylist())
 
 
-def _shard_of(starts: np.ndarray):
-    """The shard of a record's id; rows without an id are in the first."""
+def _shard_of(starts: list[str]):
+    """The shard of a record's key."""
+    first = np.array(starts, "U")
 
     @F.pandas_udf("long")
-    def shard(page_id):
-        return pd.Series(np.searchsorted(starts, page_id.to_numpy(), "right"))
+    def shard(key):
+        return pd.Series(np.searchsorted(first, key.to_numpy().astype("U"), "right"))
 
-    return shard(F.coalesce("page_id", F.lit(-(2**63))))
+    return shard("key")
 
 
 class _Roll:
@@ -138,7 +161,7 @@ class _Roll:
 def write_archive(
     pages: DataFrame,
     folder: str,
-    shard_bytes: int = SHARD_BYTES,
+    shard_bytes: int | None = None,
     file_bytes: int = FILE_BYTES,
     least_payload: int = LEAST_PAYLOAD,
     date: str = DATE,
@@ -148,13 +171,14 @@ def write_archive(
     Of equal payloads of ``least_payload`` bytes or more, the one with the
     smallest id is stored and the others are revisits that refer to it. Repeated
     rows of that id are all stored; a row without an id refers to one with an id.
-    Within a shard, records are in order of id, then digest, url. Rows without an
-    id come first, in the first shard. ``folder`` is reached from all executors
+    Within a shard, records are in order of id, then digest, url; rows without an
+    id come first. Shards hold ``shard_bytes``, or ``SHARD_BYTES`` and more where
+    there would be over ``MOST_SHARDS`` of them. ``folder`` is reached from all executors
     by any file system that Arrow knows. A lost task is run again under another
     temporary name. An empty table gives an archive without files.
     """
-    spark, rows = pages.sparkSession, _rows(pages)
-    light = cut_lineage(rows.select("page_id", "n", "digest"), "warc-digests")
+    spark, rows = pages.sparkSession, _rows(pages).withColumn("key", _key())
+    light = cut_lineage(rows.select("page_id", "n", "digest", "key"), "warc-digests")
     again, starts = references(light, least_payload), shard_starts(light, shard_bytes)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     met = rows.join(again, (F.col("digest") == F.col("d")) & (F.col("n") >= least_payload), "left")
@@ -199,7 +223,9 @@ def write_archive(
                     raise OSError(f"{row['name']} was not committed")
             yield batch
 
-    committed = manifest.mapInArrow(rename, _MANIFEST).drop("temporary")
+    # Numbered, as adaptive execution would leave so few bytes to one task.
+    tasks = -(-manifest.count() // FILES_PER_TASK) or 1
+    committed = manifest.repartition(tasks, "name").mapInArrow(rename, _MANIFEST).drop("temporary")
     committed.write.json(f"{folder}/_manifest")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     if fs.get_file_info(f"{base}/_temporary-files").type == pyarrow.fs.FileType.Directory:
@@ -276,9 +302,9 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                     yield _batch(held)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    # A file is one task's work, however small its row of the manifest.
-    files = read_manifest(spark, folder).select("name").repartition("name")
-    return files.mapInArrow(work, schema)
+    files = read_manifest(spark, folder).select("name")
+    # As many tasks as files: a file is one task's work, however small its row of the manifest.
+    return files.repartition(max(1, files.count()), "name").mapInArrow(work, schema)
 
 
 def _batch(held: list[dict]) -> pa.RecordBatch:

@@ -12,6 +12,7 @@ import re
 import numpy as np
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assetloom.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
@@ -71,6 +72,16 @@ def test_chat_empty_table(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], CHAT))).count() == 0
 
 
+def test_chat_long_segments_are_encoded_as_wholes():
+    own, rng = chat.codec(chat.VOCABULARY, chat.Template()), random.Random(1)
+    parts = ["word", " ", "  ", "\n", "don't", "\u3042\u3044", "\n  ", "9", "!?", "x" * 9000]
+    texts = ["q" * 50_000, " " * 50_000 + "x", "a b" * 9000 + " " * 60_000 + "c", "\u3042" * 60_000]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(100, 9000))) for _ in range(20)]
+    assert all(own.encode(t) == own.base.encode_ordinary(t) for t in texts)
+    for text in (" " * 1_000_000, "\n" * 300_000 + "end"):  # more than the tokenizer itself can take
+        assert own.decode(np.array(own.encode(text))) == text
+
+
 def test_escaping_is_reversible():
     t, rng = chat.Template(), random.Random(3)
     parts = ["<", "s>", "/", "\\", "[", "INST]", "|", "<s>", "</s>", "[/INST]", "\\\\", "im_start|>", "x"]
@@ -336,6 +347,20 @@ def test_warc_round_trip_and_reruns(spark):
             assert (r.payload if r.record_type == "response" else stored[r.refers_to]) == payload
 
 
+def test_warc_splits_missing_ids_and_equal_rows(spark):
+    rng = random.Random(6)
+    rows = [(None, None, words(rng, 80), "k") for _ in range(300)] + [(7, "u", "short", "k")] * 300 + [(i, "v", words(rng, 80), "k") for i in range(100, 200)]
+    folder = work_path(spark, "test-warc")
+    manifest = warc.write_archive(spark.createDataFrame(rows, PAGES).repartition(5), folder, shard_bytes=20_000).collect()
+    per_shard = {}
+    for r in manifest:
+        per_shard[r.shard] = per_shard.get(r.shard, 0) + r.records
+    assert sum(per_shard.values()) == 700 and max(per_shard.values()) <= 20_000 // warc.HEAD_BYTES + 1
+    read = warc.read_archive(spark, folder)
+    assert read.count() == 700 and read.select(F.spark_partition_id().alias("p")).distinct().count() > len(manifest) // 2
+    assert read.where("page_id IS NULL").count() == 300 and read.where("page_id = 7").count() == 300
+
+
 def test_warc_empty_table(spark):
     folder = work_path(spark, "test-warc")
     warc.write_archive(spark.createDataFrame([], PAGES), folder)
