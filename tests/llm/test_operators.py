@@ -355,7 +355,7 @@ def test_warc_splits_missing_ids_and_equal_rows(spark):
     per_shard = {}
     for r in manifest:
         per_shard[r.shard] = per_shard.get(r.shard, 0) + r.records
-    assert sum(per_shard.values()) == 700 and max(per_shard.values()) <= 20_000 // warc.HEAD_BYTES + 1
+    assert sum(per_shard.values()) == 700 and max(per_shard.values()) <= 1.5 * 20_000 / warc.HEAD_BYTES
     read = warc.read_archive(spark, folder)
     assert read.count() == 700 and read.select(F.spark_partition_id().alias("p")).distinct().count() > len(manifest) // 2
     assert read.where("page_id IS NULL").count() == 300 and read.where("page_id = 7").count() == 300
