@@ -48,23 +48,29 @@ SCOPES = frozenset("ul ol dl table article section main aside nav header footer
 
 @dataclass(frozen=True)
 class Costs:
-    """Log-odds for content, and the strength of ties. Parameters of the labelling."""
+    """Log-odds for content, and the strength of ties. Parameters of the labelling.
 
-    base: float = -0.5
+    What a container says is soft: a short or linked block inside an article is
+    in doubt by itself, and its ties to the blocks around it decide.
+    """
+
+    base: float = -1.0
     word: float = 0.35  # per logarithm of the words
     sentence: float = 0.5  # ends as a sentence does
     linked: float = -3.0  # share of characters inside links
     inside: dict[str, float] = field(default_factory=lambda: dict(
-        article=4.0, main=3.0, p=0.7, h1=0.7, h2=0.5, h3=0.5, blockquote=0.7, pre=0.7, figcaption=0.3,
-        nav=-9.0, footer=-9.0, aside=-9.0, form=-9.0, menu=-9.0, dialog=-9.0, button=-9.0, select=-9.0,
+        article=0.3, main=0.3, p=0.7, h1=0.7, h2=0.7, h3=0.7, h4=0.7, h5=0.7, h6=0.7, blockquote=0.7,
+        pre=1.0, figcaption=0.7, li=1.0, dt=1.0, dd=1.0, td=1.0, th=1.0, caption=0.7,
+        nav=-6.0, footer=-6.0, aside=-6.0, form=-6.0, menu=-6.0, dialog=-6.0, button=-6.0, select=-6.0,
         script=-99.0, style=-99.0, template=-99.0, noscript=-99.0, svg=-99.0, head=-99.0, title=-99.0, textarea=-99.0,
         iframe=-99.0, object=-99.0, canvas=-99.0, xmp=-99.0, noembed=-99.0, noframes=-99.0,
     ))
-    page_header: float = -9.0  # a header that no article or main encloses
+    page_header: float = -6.0  # a header that no article or main encloses
     named_content: float = 2.5
-    named_other: float = -9.0
-    neighbour: float = 0.6
-    sibling: float = 0.4
+    named_other: float = -6.0
+    neighbour: float = 1.2
+    sibling: float = 0.8
+    fade: float = 0.1  # of a neighbour's tie for each step by which they are farther apart than siblings
 
 
 COSTS = Costs()
@@ -200,7 +206,7 @@ def ties(found: list[tuple[str, float, _Node]], costs: Costs = COSTS) -> list[tu
     out, last = [], {}
     for i, (_, _, node) in enumerate(found):
         if i:
-            out.append((i - 1, i, costs.neighbour / (1 + _distance(found[i - 1][2], node))))
+            out.append((i - 1, i, costs.neighbour * costs.fade ** max(0, _distance(found[i - 1][2], node) - 2)))
         holder = id(node.parent)
         if holder in last and last[holder] < i - 1:
             out.append((last[holder], i, costs.sibling))
@@ -283,8 +289,9 @@ def main_text(page: str, costs: Costs = COSTS) -> str:
 def extract(pages: DataFrame, costs: Costs = COSTS) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row; nothing is shuffled.
 
-    A null or empty page, and one without content, gives the empty text. White
-    space inside a block becomes one space. A page cut off anywhere is read as
+    A null or empty page, one without content, and an empty table give no text
+    and no rows; long pages are read whole. White space inside a block becomes
+    one space. A page cut off anywhere is read as
     far as it goes; a tag cut off is left out. Repeated rows give repeated results.
     """
 

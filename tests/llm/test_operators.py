@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import html
 import itertools
@@ -239,13 +240,36 @@ def test_html_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def _article(page):
+    article = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article).replace("<br>", " "))
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in parts]
+    return "\n".join(p for p in parts if p)
+
+
 def test_html_equals_article_of_given_pages(spark):
     pages = spark.read.parquet(TABLE.format("pages"))
     for r in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
-        parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article).replace("<br>", " "))
-        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in parts]
-        assert r.text == "\n".join(p for p in parts if p)
+        assert r.text == _article(r.html)
+
+
+def test_html_cut_decides_blocks_in_doubt(spark):
+    """Without ties some blocks are labelled wrongly; the cut mends them all."""
+    alone = dataclasses.replace(html_text.COSTS, neighbour=0.0, sibling=0.0)
+    changed, wrong = 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+        found = html_text.blocks(r.html)
+        scores = [x for _, x, _ in found]
+        changed += sum(k != (x > 0) for k, x in zip(html_text.minimum_cut(scores, html_text.ties(found)), scores, strict=True))
+        assert html_text.main_text(r.html) == _article(r.html)
+        wrong += html_text.main_text(r.html, alone) != _article(r.html)
+    assert changed > 0 and wrong > 0
+    page = "<article><p>A sentence that is long enough to be content.</p><p>Ok</p><p>Another sentence, as long as the first.</p></article>"
+    assert html_text.main_text(page).split("\n")[1] == "Ok" and "Ok" not in html_text.main_text(page, alone)
+    table = "<article><p>Its parts are these, one below the other.</p><ul><li>tea</li><li>milk</li></ul><table><tr><td>1</td><td>2</td></tr></table></article>"
+    assert html_text.main_text(table).split("\n")[1:] == ["tea", "milk", "1", "2"]
+    far = "<div><p>Ok</p></div><article><section><p>A sentence that is long enough to be content.</p></section></article>"
+    assert "Ok" not in html_text.main_text(far)
 
 
 # --- SimHash ------------------------------------------------------------------------------------------------------
