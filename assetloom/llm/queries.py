@@ -45,7 +45,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,8 @@ CHECKS: dict[str, str] = {
     "op4_mixing": """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5)
+           / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3) + 1] AS w,
@@ -143,16 +145,23 @@ o AS (SELECT *, coalesce(sum(cap) OVER before, 0) AS fixed, sum(w) OVER () - coa
       FROM n WINDOW before AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT min_by((total - fixed)::DOUBLE / open, cap / w) AS share FROM o WHERE (total - fixed) / open <= cap / w),
 p AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(cap, w * share) ELSE 0 END AS target FROM o, l),
-q AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.source,
-             CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END::BIGINT AS whole, u
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, greatest(round(target)::BIGINT - whole * source_size, 0) AS missing FROM q),
-k AS (SELECT *, CASE WHEN missing = 0 THEN 1.0 ELSE
-                (u / (1 - u)) / ((1.0 * missing / source_size) / (1 - 1.0 * missing / source_size)) END AS odds FROM r),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size
+t AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM p),
+m AS (SELECT *, greatest(round(target)::BIGINT - whole * source_size, 0) AS missing FROM t),
+-- The longest documents are certain as long as the rate that the others would have makes the next of them so.
+g AS (SELECT source, size, sum(size)::DOUBLE AS words, sum(size * sqrt(size)) AS heavy FROM d WHERE size > 0 GROUP BY source, size),
+c AS (SELECT m.source, size, coalesce(sum(words) OVER longer, 0) AS certain,
+             (missing - coalesce(sum(words) OVER longer, 0))
+               / (sum(heavy) OVER (PARTITION BY m.source) - coalesce(sum(heavy) OVER longer, 0)) AS rate
+      FROM g JOIN m ON g.source IS NOT DISTINCT FROM m.source
+      WINDOW longer AS (PARTITION BY m.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rates AS (SELECT source, max_by(rate, size) AS rate FROM c WHERE rate * sqrt(size) < 1 GROUP BY source),
+q AS (SELECT d.doc_id, d.size, m.source_size, m.target, m.source, m.whole, m.missing, u, coalesce(r.rate * sqrt(d.size), 1) AS p
+      FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source LEFT JOIN rates r ON r.source IS NOT DISTINCT FROM m.source),
+k AS (SELECT *, CASE WHEN p <= 0 THEN 1.0 WHEN p >= 1 THEN 0.0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS odds FROM q),
+x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY CASE WHEN p <= 0 THEN 1.0 ELSE odds / (1 + odds) END, doc_id, size
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS upto FROM k)
 SELECT doc_id, size, source_size, target,
-       least(whole * size + greatest(0, least(size, missing - upto)), 3 * size)::BIGINT AS taken FROM c""",
+       least(whole * size + greatest(0, least(size, missing - upto)), 3 * size)::BIGINT AS taken FROM x""",
     "op8_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, {_BLANKS}), '{_UPPER}', '{_LOWER}') AS key

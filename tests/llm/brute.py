@@ -82,16 +82,30 @@ def targets(sizes: dict) -> dict:
 def taken(docs: list[tuple[int, str | None, str | None]]) -> dict[int, tuple]:
     """doc -> (size, source size, target, taken)."""
     size = {d: len(WORD.findall(t or "")) for d, t, _ in docs}
+    text = {d: t or "" for d, t, _ in docs}
     sizes = Counter()
     for d, _, s in docs:
         sizes[s] += size[d]
     goal, out = targets(dict(sizes)), {}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     for source, n in sizes.items():
         own = [d for d, _, s in docs if s == source]
         whole = int(goal[source] // n) if n else 0
         missing = max(0, round(goal[source]) - whole * n)
-        u = {d: (int(hashlib.md5(str(d).encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for d in own}
-        for d in sorted(own, key=lambda d: (u[d], d)):
+        certain: set = set()
+        while True:
+            heavy = sum(size[d] ** 1.5 for d in own if d not in certain)
+            rate = (missing - sum(size[d] for d in certain)) / heavy if heavy else 0.0
+            more = {d for d in own if d in certain or rate * size[d] ** 0.5 >= 1}
+            if more == certain:
+                break
+            certain = more
+
+        def rank(d, certain=certain, rate=rate):
+            u, p = (int(md5(f"{d} {md5(text[d])}")[:13], 16) + 0.5) / 16**13, rate * size[d] ** 0.5
+            return 0.0 if d in certain else (u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf
+
+        for d in sorted(own, key=lambda d: (rank(d), d)):
             extra = min(size[d], missing)
             missing -= extra
             out[d] = (size[d], n, goal[source], whole * size[d] + extra)

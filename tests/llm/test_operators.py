@@ -200,6 +200,41 @@ def test_mixing_weights_repeats_and_empty(spark):
     assert all(abs(per[s] - goal[s]) <= 1 for s in per)
 
 
+def test_mixing_rates_give_the_missing_words(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([1, 3, 50, 2000]) for _ in range(200)]
+    docs = documents(spark, [(i, words(rng, n), "en", "s", 0) for i, n in enumerate(sizes)])
+    rows = mixing.measured(docs).cache()
+    for missing in (10, 5000, sum(sizes) // 2, sum(sizes) - 3, sum(sizes)):
+        plan = mixing.inclusion_rates(rows, spark.createDataFrame([("s", missing)], "s string, missing long")).first()
+        p = [min(1.0, plan.rate * n**0.5) for n in sizes]
+        assert math.isclose(sum(x * n for x, n in zip(p, sizes, strict=True)), missing, rel_tol=1e-9)
+        assert plan.certain == sum(n for x, n in zip(p, sizes, strict=True) if x >= 1)
+    rows.unpersist()
+
+
+def test_mixing_gives_the_documents(spark):
+    rng = random.Random(9)
+    schema = "doc_id long, text string, source string, n_chars long, copy int, mix_id int, body int"
+    rows = [(i, words(rng, rng.randint(0, 90)), rng.choice(["b", "b", "b", "a", None, "tiny"]), 0, 1, 2, 3) for i in range(150)]
+    rows += [(None, words(rng, 30), "b", 0, 1, 2, 3) for _ in range(30)] + [rows[3]] * 2 + [(7, "other text of one id", "a", 0, 1, 2, 3)]
+    rows += [(1000, words(rng, 60_000), "a", 0, 1, 2, 3), (1001, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    digest = mixing.mix(docs).collect()
+    assert len(digest) == len(rows)
+    copies = mixing.mixed_documents(docs)
+    assert copies.columns == [*docs.columns, "copy_"]
+    got, want, texts = {}, {}, {(r[0], r[1] or "") for r in rows}
+    for r in copies.collect():
+        assert any(d == r.doc_id and t.startswith(r.text) for d, t in texts) and r.n_chars == len(r.text)
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(brute.WORD.findall(r.text))
+    for r in digest:
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+        assert r.taken <= 3 * r["size"]
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 # --- HTML ---------------------------------------------------------------------------------------------------------
 
 
