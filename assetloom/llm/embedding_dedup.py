@@ -1,9 +1,12 @@
 """Embedding near-dedup: a navigable small-world graph per shard, searched by every vector.
 
 Equal vectors are one class. Classes are dealt to shards of bounded size, each a
-graph, and to query blocks of bounded size; each pair of a block and a shard is
-one task. Beams are widened while full of links, and for a whole block until an
-audit against brute force passes. Cosines are verified in double precision.
+graph, and within these to query blocks of bounded size; each pair of a block
+and a shard is one task. Beams are widened while full of links, and for a whole
+block until an audit against brute force passes. Every link should be found from
+both its ends: where the numbers found from one shard in another and back differ,
+both searches are run again with wider beams. Cosines are verified in double
+precision.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ class Search:
     least: float = 0.9  # cosine of a link
     beam: int = 32  # at first; fourfold at each widening
     widest: int = 1 << 14  # beyond this beam a query is compared with the whole shard
-    audited: int = 64  # queries of a block and shard compared with brute force, besides as many with links
-    recall: float = 0.98  # of links, asked for by the audit
+    audited: int = 64  # queries of a block and shard compared with brute force at least, besides as many with links
+    audited_share: int = 64  # one in so many queries of a large block
+    recall: float = 0.98  # of links, asked for by the audits
     slack: float = 1e-4  # the search in single precision keeps what double precision may accept
     shard_values: int = 12_800_000  # vector components in a shard: 50 MB
     block_values: int = 1_280_000
@@ -70,12 +74,18 @@ def _least_of_component(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarr
             return label
 
 
-def _search(search: Search):
+_FOUND = ["dim", "home", "shard", "a", "b", "n"]
+
+
+def _search(search: Search, beam: int):
     def work(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        """Per query the copies linked to it in this shard, and links that tie together what is linked here."""
-        empty = pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "n")})
+        """Per query the copies linked to it in this shard, links that tie together what is linked here, and how many were found.
+
+        The last is a row without ``a``: links to greater nodes in ``b``, to lesser ones in ``n``.
+        """
         if not queries.num_rows or not shard.num_rows:
-            return empty
+            return pa.schema([(c, pa.int32() if c == "dim" else pa.int64()) for c in _FOUND]).empty_table()
+        place = [queries.column(c)[0] for c in ("dim", "home", "shard")]
         shard = shard.sort_by("position")
         exact, mine = _unit(_matrix(shard.column("embedding"))), _unit(_matrix(queries.column("embedding")))
         unit, q = exact.astype(np.float32), mine.astype(np.float32)
@@ -83,7 +93,7 @@ def _search(search: Search):
         flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
         lengths = flat.value_lengths().to_numpy()
         graph = Graph.from_links(unit, flat.flatten().to_numpy(), np.cumsum(lengths) - lengths)
-        low, width = search.least - search.slack, search.beam
+        low, width = search.least - search.slack, beam
         while True:
             left, right = graph.within(q, low, width, search.widest)
             if width >= min(search.widest, len(unit)) or _audit(q, unit, left, low, search):
@@ -102,28 +112,39 @@ def _search(search: Search):
         least = _least_of_component(len(names), left, len(own) + right)
         tied = np.flatnonzero(least != np.arange(len(names)))
         a, b = np.concatenate([own[some], names[tied]]), names[least[tied]]
+        up = int((own[left] < node[right]).sum())
         nulls = lambda n: pa.nulls(n, pa.int64())
-        return pa.table(
-            {
-                "a": pa.array(a),
-                "b": pa.chunked_array([nulls(len(some)), pa.array(b)]),
-                "n": pa.chunked_array([pa.array(linked[some]), nulls(len(b))]),
-            }
-        ).combine_chunks()
+        one = lambda n: pa.array([n], pa.int64())
+        rows = [
+            pa.chunked_array([pa.array(a, pa.int64()), one(None)]),
+            pa.chunked_array([nulls(len(some)), pa.array(b, pa.int64()), one(up)]),
+            pa.chunked_array([pa.array(linked[some], pa.int64()), nulls(len(b)), one(len(left) - up)]),
+        ]
+        where = [pa.array([v.as_py()] * (len(a) + 1), v.type) for v in place]
+        return pa.Table.from_arrays([*where, *rows], _FOUND).combine_chunks()
 
     return work
 
 
 def _audit(q: np.ndarray, unit: np.ndarray, left: np.ndarray, low: float, search: Search) -> bool:
     """Whether evenly spread queries, and ones with links, found their links as brute force does."""
-    spread = np.linspace(0, len(q) - 1, min(search.audited, len(q))).astype(int)
+    audited = max(search.audited, len(q) // search.audited_share)
+    spread = np.linspace(0, len(q) - 1, min(audited, len(q))).astype(int)
     with_links = np.unique(left)
-    picked = with_links[np.linspace(0, len(with_links) - 1, min(search.audited, len(with_links))).astype(int)]
+    picked = with_links[np.linspace(0, len(with_links) - 1, min(audited, len(with_links))).astype(int)]
     some = np.unique(np.concatenate([spread, picked]))
     true = (q[some] @ unit.T >= low).sum()
     return np.bincount(left, minlength=len(q))[some].sum() >= search.recall * true
 
 
+def _uneven(found: DataFrame, recall: float) -> DataFrame:
+    """``(dim, home, shard)`` of searches whose links were not found alike from their other ends."""
+    sums = found.where("a is null").groupBy("dim", "home", "shard").agg(F.sum("b").alias("up"), F.sum("n").alias("down"))
+    back = sums.select("dim", F.col("home").alias("shard"), F.col("shard").alias("home"), F.col("up").alias("back_up"), F.col("down").alias("back_down"))
+    differ = lambda x, y: F.abs(F.col(x) - F.col(y)) > (1 - recall) * F.greatest(x, y)
+    return sums.join(back, ["dim", "home", "shard"]).where(differ("up", "back_down") | differ("down", "back_up")).select("dim", "home", "shard")
+
+
 def linked_vectors(vectors: DataFrame, search: Search = Search()) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
@@ -132,7 +153,8 @@ def linked_vectors(vectors: DataFrame, search: Search = Search()) -> DataFrame:
     included; ``kept`` marks rows that have their component's id. Vectors that
     are null, empty or zero, or hold nulls or non-finite values, link with
     nothing, as do vectors of different length. Rows without an id take part; a
-    component without any id has none. Links between classes are counted, and
+    component without any id has none. Other columns are not read, and a table
+    without rows gives none. Links between classes are counted, and
     tied together within a task, so a large group never gives all its pairs.
     """
     wide = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
@@ -151,21 +173,38 @@ def linked_vectors(vectors: DataFrame, search: Search = Search()) -> DataFrame:
     sizes = sizes.select(
         F.col("dim").alias("d"), F.greatest(parts(search.shard_values), F.lit(search.least_shards)).alias("shards"), parts(search.block_values).alias("blocks")
     )
-    dealt = classes.join(cut_lineage(sizes, "embedding-sizes"), F.col("dim") == F.col("d")).withColumns(
-        {"place": F.xxhash64("node"), "own_shard": F.pmod(F.xxhash64("node", F.lit(1)), "shards"), "own_block": F.pmod(F.xxhash64("node", F.lit(2)), "blocks")}
+    sizes = cut_lineage(sizes, "embedding-sizes")
+    dealt = classes.join(sizes, F.col("dim") == F.col("d")).withColumns(
+        {
+            "place": F.xxhash64("node"),
+            "home": F.pmod(F.xxhash64("node", F.lit(1)), "shards"),
+            "block": F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("blocks") / F.col("shards"))),
+        }
     )
     graph_schema = f"dim int, shard long, node long, copies long, embedding {wide}, position int, links array<int>"
-    graphs = dealt.select("dim", F.col("own_shard").alias("shard"), "node", "copies", "embedding", "place")
+    graphs = dealt.select("dim", F.col("home").alias("shard"), "node", "copies", "embedding", "place")
     graphs = cut_lineage(graphs.groupBy("dim", "shard").applyInArrow(_build, graph_schema), "embedding-graphs")
 
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard")
-    queries = dealt.select("dim", everywhere, F.col("own_block").alias("block"), "node", "embedding")
-    blocks = cut_lineage(sizes, "embedding-blocks")
-    for_each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
-    indexes = graphs.join(blocks, F.col("dim") == F.col("d")).select("dim", "shard", for_each, "node", "copies", "embedding", "position", "links")
-    keys = ["dim", "shard", "block"]
-    found = queries.groupBy(*keys).cogroup(indexes.groupBy(*keys)).applyInArrow(_search(search), "a long, b long, n long")
-    found = cut_lineage(found, "embedding-links")
+    keys = ["dim", "home", "block", "shard"]
+    own_blocks = cut_lineage(dealt.select("dim", "home", "block").distinct(), "embedding-blocks")
+    every = own_blocks.select("dim", "home").distinct()
+    searches = every.join(every.select("dim", F.col("home").alias("shard")), "dim")
+
+    def run(wanted: DataFrame, beam: int) -> DataFrame:
+        """The searches of the blocks of ``home`` in ``shard``: each block goes there, and the shard to each block."""
+        queries = dealt.select("dim", "home", "block", "node", "embedding").join(wanted, ["dim", "home"])
+        indexes = graphs.join(own_blocks.join(wanted, ["dim", "home"]), ["dim", "shard"])
+        met = queries.groupBy(*keys).cogroup(indexes.groupBy(*keys))
+        return cut_lineage(met.applyInArrow(_search(search, beam), "dim int, home long, shard long, a long, b long, n long"), "embedding-links")
+
+    found, beam = run(searches, search.beam), search.beam
+    while beam < search.widest:
+        uneven = cut_lineage(_uneven(found, search.recall), "embedding-uneven")
+        if uneven.isEmpty():
+            break
+        beam = min(16 * beam, search.widest)
+        found = found.join(uneven, ["dim", "home", "shard"], "left_anti").unionByName(run(uneven, beam))
+    found = found.where("a is not null")
 
     counts = found.where("b is null").groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("linked"))
     placed = connected_components(found.where("b is not null").select("a", "b"), "embedding-components")

@@ -509,6 +509,26 @@ def test_embedding_group_wider_than_the_beam(spark):
     assert {r.n_links for r in out} == {899} and {r.component_id for r in out} == {0}
 
 
+def test_embedding_links_missed_from_one_end_are_searched_again(spark):
+    schema = "dim int, home long, shard long, a long, b long, n long"
+    # Rows without a: links to greater nodes, and to lesser ones. 0 and 1 agree; 2 found one link in 0 that 0 did not find.
+    rows = [(8, 0, 1, None, 5, 3), (8, 1, 0, None, 3, 5), (8, 2, 0, None, 1, 0), (8, 0, 2, None, 0, 0), (8, 1, 1, None, 4, 4),
+            (8, 2, 2, None, 4, 3), (8, 1, 2, None, 1000, 0), (8, 2, 1, None, 0, 995), (8, 0, 1, 7, None, 9)]
+    found = embedding_dedup._uneven(spark.createDataFrame(rows, schema), 0.98)
+    assert sorted(map(tuple, found.collect())) == [(8, 0, 2), (8, 2, 0), (8, 2, 2)]
+
+
+def test_embedding_rare_links_are_found(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 12))
+    x[2000:2040] = x[:40] + rng.normal(size=(40, 12)) * 0.05
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum() - len(x)
+    got = embedding_dedup.linked_vectors(vectors, embedding_dedup.Search(beam=4, audited=4, audited_share=10**6)).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * true > 80
+
+
 def test_embedding_empty_table(spark):
     assert embedding_dedup.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
