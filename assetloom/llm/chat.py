@@ -165,7 +165,8 @@ def format_conversations(turns: DataFrame, template: Template = Template(), voca
     roles, marks excluded. Nulls: a null role or text is empty, a null turn comes
     first, null ids form one conversation. Equal turns are ordered by role, then
     by ids; repeated rows stay. Only one row's ids and one sum are held, so a
-    conversation may have any number of turns.
+    conversation may have any number of turns. Long texts are encoded as wholes;
+    other columns are not read, and an empty table gives no rows.
     """
 
     def work(batches: Batches) -> Batches:

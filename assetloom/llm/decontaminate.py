@@ -8,6 +8,7 @@ hits; around each, the overlap is compared word by word, changed words allowed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import Batches, small_batches, text_of
+from assetloom.session import cut_lineage
 
 # Fixed seeds ("1": compared, "0": ignored): of eight words for all items, and lighter ones for short items. Each is
 # (seed, least and most words of the items it is for). The light seeds leave one whole in any item of 5 to 24 words
@@ -194,11 +196,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stand unchanged. A passage with words added or left out counts by its dense
     stretches, so one that has changed words close together as well can be
     missed. Repeated rows
-    give repeated results. Test items are met in blocks of bounded size, so the
-    benchmark may grow: each block is one pass over the documents.
+    give repeated results, and other columns are not read. Texts are met whole,
+    several to a lookup. Test items are met in blocks of bounded size, one pass
+    over the documents each: the join of hashes is one against a copied table
+    whose size is bounded, so texts never move. Tasks and the driver hold one
+    block at a time, and where there are more than one each pass is written.
     """
-    out = None
-    for probe in probes(benchmark):
+    schema = "doc_id long, item_id long, n_found long, n_words long, first_word long"
+    rows = docs.select(F.col("doc_id").cast("long"), text_of())
+    out, several = None, False
+    for probe, last in probes(benchmark):
 
         def work(batches: Batches, probe: Probe = probe) -> Batches:
             for batch in small_batches(batches):
@@ -207,25 +214,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 arrays = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "n_found", "n_words", "first_word"])
 
-        schema = "doc_id long, item_id long, n_found long, n_words long, first_word long"
-        rows = docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(work, schema)
-        out = rows if out is None else out.union(rows)
+        several = several or not last
+        met = rows.mapInArrow(work, schema)
+        met = cut_lineage(met, "contaminated") if several else met
+        out = met if out is None else out.union(met)
     return out
 
 
-def probes(benchmark: DataFrame):
-    """The test items in blocks of at most ``BLOCK_WORDS`` words (one item at least), read as a stream."""
+def probes(benchmark: DataFrame) -> Iterator[tuple[Probe, bool]]:
+    """The test items in blocks of at most ``BLOCK_WORDS`` words (one item at least), and whether a block is the last.
+
+    They are read as a stream, a block ahead.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text")).orderBy("item_id", "text")
-    block, size, any_block = [], 0, False
+    block, size = [], 0
     for item in items.toLocalIterator():
         n = len(words_of(item.text))
         if block and size + n > BLOCK_WORDS:
-            yield Probe(block)
-            block, size, any_block = [], 0, True
+            yield Probe(block), False
+            block, size = [], 0
         block.append((item.item_id, item.text))
         size += n
-    if block or not any_block:
-        yield Probe(block)
+    yield Probe(block), True
 
 
 def _clean(batches: Batches, probe: Probe, column: int) -> Batches:
@@ -235,9 +245,13 @@ def _clean(batches: Batches, probe: Probe, column: int) -> Batches:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns kept and nothing shuffled."""
-    out = docs
-    for probe in probes(benchmark):
-        column = docs.columns.index("text")
+    """The rows of ``docs`` that hold no test item, all columns kept, whatever their names.
+
+    Nothing is shuffled. Where the items take several blocks, what each pass
+    keeps is written and read by the next, so no task holds more than a block.
+    """
+    out, column = docs, docs.columns.index("text")
+    for probe, last in probes(benchmark):
         out = out.mapInArrow(lambda batches, p=probe: _clean(batches, p, column), docs.schema)
+        out = out if last else cut_lineage(out, "without-items")
     return out

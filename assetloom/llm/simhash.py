@@ -145,6 +145,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the least fingerprint and ``component_id`` the least ``doc_id`` reachable,
     null if no document there has an id. ``body`` tells texts of one id apart.
     Copies meet as one fingerprint, so a large group costs one row per table.
+    Texts are read whole however long, other columns not at all; an empty table
+    gives no rows.
     """
     prints = cut_lineage(with_fingerprints(docs), "simhash-docs")
     fps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")

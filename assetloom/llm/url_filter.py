@@ -154,7 +154,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], blocked: tuple[Glob, .
     glob of ``blocked`` matches its host and path, else allowed. Null URLs and
     those without ``://`` have an empty host and path, which no rule fits unless
     it is written so. Rules are a parameter of bounded size and travel with the
-    task; repeated rows give repeated results.
+    task; repeated rows give repeated results. URLs are judged whole however
+    long, other columns are not read, and an empty table gives no rows.
     """
 
     def work(batches: Batches) -> Batches:

@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow.fs
@@ -106,6 +107,41 @@ def test_quality_held_out_accuracy(spark):
     assert sum((r.score >= 0.3) == r.quality for r in rows) >= 0.97 * len(rows)
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark):
+    rng = random.Random(4)
+    texts = [words(rng, rng.randint(5, 120)) + rng.choice([".", "!!! $$", "\nX Y Z\n"]) * rng.randint(1, 9) for _ in range(300)]
+    docs = documents(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int("!" not in t or i % 7 == 0)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    x = quality.with_statistics(docs)
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_statistics(x, model).collect()}
+    v = np.array([quality.statistics(t.encode()) for t in texts])
+    own = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([int("!" not in texts[i] or i % 7 == 0) for i in own])
+    center, scale = v[own].mean(0), np.sqrt(np.maximum(v[own].var(0), 1e-6))
+    length = np.expm1(v[:, :1])
+    z = np.arcsinh((v[:, 1:] - center[1:]) / scale[1:] * length / (length + quality.EVIDENCE))
+    cov = [np.cov(z[own][y == k].T, bias=True) for k in (0, 1)]
+    common = (cov[0] * (y == 0).sum() + cov[1] * (y == 1).sum()) / len(y)
+    density = []
+    for k in (0, 1):
+        c = 0.8 * cov[k] + 0.2 * common
+        c = 0.95 * c + (0.05 * np.trace(c) / len(c) + 1e-9) * np.eye(len(c))
+        away = z - z[own][y == k].mean(0)
+        density.append(-0.5 * (np.einsum("ij,ij->i", away, np.linalg.solve(c, away.T).T) + np.linalg.slogdet(c)[1]))
+    logit = density[1] - density[0] + np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1))
+    plain = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+    assert np.allclose([got[i] for i in range(300)], plain, atol=1e-7)
+
+
+def test_quality_fits_to_a_bounded_sample(spark):
+    docs = documents(spark, [(i, "good words here. " * 9 if i % 2 else "!!! $$$ " * 9) for i in range(2000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    model = quality.train(docs, labels, most=200)
+    scores = quality.score_statistics(quality.with_statistics(docs), model).collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in scores)
+
+
 def test_quality_odd_rows_and_missing_classes(spark):
     docs = documents(spark, [(1, None), (2, ""), (None, "a b"), (1, None), (3, "word " * 200_000)])
     none = spark.createDataFrame([], "doc_id long, quality int")
