@@ -114,13 +114,16 @@ def search_select(t):
 
 @query("search_attach_code", f"""
 WITH p AS ({_SELECTED})
-SELECT p.query_id, p.selected_name, CASE WHEN f.name IS NULL THEN 'error' ELSE 'success' END AS status, f.code,
+SELECT p.query_id, p.selected_name, CASE WHEN f.name IS NULL THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN f.status = 'verified' THEN concat('# shared', chr(10), f.code) ELSE f.code END AS code,
   CASE WHEN f.name IS NULL THEN concat('Could not retrieve code for ''', p.selected_name, '''') END AS message
 FROM p LEFT JOIN fx_functions f ON f.name = p.selected_name AND f.status != 'deleted'""")
 def search_attach_code(t):
+    """The shared store's text of a published asset differs from the own one, so the row tells which was taken."""
     functions = t.fx_functions
     selected = search.select_candidate(hybrid(t), t.fx_rerank)
-    return search.attach_code(selected, functions.filter("status = 'verified'"), functions.filter("status != 'deleted'"))
+    shared = functions.filter("status = 'verified'").withColumn("code", F.concat(F.lit("# shared\n"), "code"))
+    return search.attach_code(selected, shared, functions.filter("status != 'deleted'"))
 
 
 _POPULAR = "raw * (1 + 0.1 * ln(1 + call_count))"
