@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.session import cut_lineage
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"  # U+0020 and U+0009 to U+000D
 
@@ -32,6 +34,26 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``kept``, one of those alike in both, in its columns.
+
+    ``rows`` and ``kept`` hold ``(doc_id, body)``, of every row and of those that
+    stay, each once; ``body`` is the ``xxhash64`` of the text. Most rows stay as
+    they are: documents meet the keys that go, or that occur more than once, and
+    where these are few no text moves.
+    """
+    doc, body = fresh(docs, "kept_id"), fresh(docs, "kept_body")
+    keys = rows.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
+    stays = kept.select(F.col("doc_id").alias("own"), F.col("body").alias("text"), F.lit(True).alias("stays"))
+    met = keys.join(stays, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("body") == F.col("text")), "left")
+    odd = met.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias(doc), F.col("body").alias(body), "stays")
+    odd = cut_lineage(odd, "odd-keys")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(body))
+    most = docs.join(odd.select(doc, body), same, "left_anti")
+    again = docs.join(odd.where("stays").select(doc, body), same).dropDuplicates([doc, body])
+    return most.select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else left. ``lower`` does just that on pure ASCII and is faster."""
     pure = F.octet_length(text) == F.char_length(text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import Batches, fresh, text_of
+from assetloom.llm.common import Batches, keep_rows, text_of
 from assetloom.session import cut_lineage
 
 # Slots of a shard, and rows that one task looks up, on average at most.
@@ -261,7 +261,7 @@ def place_rows(rows: DataFrame, index: Index) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``place_rows`` for every row of ``docs``.
 
-    The table is read in two instalments, by a bit of a hash of the id: the
+    The table is read in two instalments, by a bit of a hash of id and place: the
     second meets what the first has left in the index. Of equal texts (blanks
     aside) the row with the most code points in the original stays, then that of
     the least id; rows without an id come last, and of rows alike in all of this
@@ -277,8 +277,5 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, in its columns, whatever their names."""
-    own = duplicates(docs).where("kept").select("doc_id", "body")
-    doc, body = fresh(docs, "kept_id"), fresh(docs, "kept_body")
-    own = own.select(F.col("doc_id").alias(doc), F.col("body").alias(body))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(body))
-    return docs.join(own, same).dropDuplicates([doc, body]).select(*docs.columns)
+    placed = cut_lineage(duplicates(docs).select("doc_id", "body", "kept"), "placed-rows")
+    return keep_rows(docs, placed, placed.where("kept").select("doc_id", "body"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import Batches, fresh, runs, small_batches, text_of, whole_runs
+from assetloom.llm.common import Batches, keep_rows, runs, small_batches, text_of, whole_runs
 from assetloom.llm.components import connected_components
 from assetloom.session import cut_lineage
 
@@ -170,8 +170,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def least_rows(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """The rows that ``keep_one`` keeps, from the components ``near_duplicates`` gives."""
-    doc, body = fresh(docs, "kept_id"), fresh(docs, "kept_body")
-    found = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("component").agg(F.first("component_id").alias(doc), F.min("body").alias(body))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(body))
-    return docs.join(first.select(doc, body), own).dropDuplicates([doc, body]).select(*docs.columns)
+    rows = cut_lineage(placed.select("doc_id", "body", "component", "component_id"), "simhash-placed")
+    found = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("component").agg(F.first("component_id").alias("doc_id"), F.min("body").alias("body"))
+    return keep_rows(docs, rows, first)
