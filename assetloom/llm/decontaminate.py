@@ -1,36 +1,39 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks over windows of words ignore some positions, so a changed word need
-not hide a copied passage. Test windows and text windows with equal hashes give
-hits; around each, the overlap is compared word by word, changed words allowed.
+not hide a copied passage. Test windows and text windows with equal hashes are
+joined; around each hit, the overlap is compared word by word, changed words
+allowed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.llm.common import Batches, small_batches, text_of
+from assetloom.llm.common import Batches, fresh, small_batches, text_of
 from assetloom.session import cut_lineage
 
-# Fixed seeds ("1": compared, "0": ignored): of eight words for all items, and lighter ones for short items. Each is
-# (seed, least and most words of the items it is for). The light seeds leave one whole in any item of 5 to 24 words
-# with up to a fifth of its words changed.
+# Fixed seeds ("1": compared, "0": ignored) with the least and most words of the items they are for. In an item of any
+# length, however a fifth of its words are changed, one seed at one place is left whole (tests/llm prove it).
 MOST_WORDS = 1 << 62
 SEEDS = (
-    *((x, 8, MOST_WORDS) for x in ("11111111", "111101111", "1101101111", "11101110011", "110110101101")),
-    *((x, 5, 9) for x in ("1111", "11011", "11101", "10111")),
-    *((x, 10, 39) for x in ("11111", "111011", "11001011")),
+    *(("1" * n, n, n) for n in range(1, 5)),
+    *((x, 5, 10) for x in ("1111", "11011", "11101", "10111")),
+    *((x, 11, 20) for x in ("1111011", "10011111", "101111001", "1001001111", "1110100011")),
+    *((x, 21, MOST_WORDS) for x in ("11111011", "101101111", "1110100111", "10001011111", "10101010111", "11101100011")),
 )
 LEAST_SHARE = 0.8  # of the words of a test item found in place
 LONG_OVERLAP = 50  # words found in place that count whatever their share
 LEAST_RUN = 5  # an overlap has at least so many words
-BLOCK_WORDS = 1 << 18  # words of test items sent to the tasks at once: at most 32 MB of tables
+BLOCK_WORDS = 1 << 18  # words of test items that a task holds at once: at most 48 MB of tables
+MOST_FILTER_BITS = 28  # a filter of 32 MB at most goes to the tasks
 _WORD = re.compile(r"\w+")
 _GAP = [0] * max(len(x) for x, _, _ in SEEDS)  # between texts, so that no window spans two
 _FILTER_BITS = 20
@@ -89,9 +92,6 @@ class Probe:
             owner = join([np.full(len(h), i) for h, (i, _, _) in zip(hashes, some, strict=True)])
             place = join([places[: len(h)] for h, (_, _, places) in zip(hashes, some, strict=True)])
             self.tables.append(_Table(np.concatenate([np.zeros(0, np.uint64), *hashes]), owner, place))
-        # Items too short for any seed are met by their whole sequence of words.
-        shortest = min(least for _, least, _ in SEEDS)
-        self.short = [(i, ids) for i, ids, _ in every if 0 < len(ids) < shortest]
         self.lengths = np.array([len(ids) for _, ids, _ in every], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.flat = join([ids for _, ids, _ in every])
@@ -105,10 +105,6 @@ class Probe:
                 continue
             rows = table.find(seed_hashes(values, seed))
             found.append(np.stack([rows[:, 0] - rows[:, 2], rows[:, 1], rows[:, 0]], 1))
-        for i, own in self.short:
-            at = np.flatnonzero(ids[: max(0, len(ids) - len(own) + 1)] == own[0])
-            at = at[(ids[at[:, None] + np.arange(len(own))] == own).all(1)]
-            found.append(np.stack([at, np.full(len(at), i), at], 1))
         rows = np.concatenate(found)
         rows[:, 2] = np.searchsorted(starts, rows[:, 2], "right") - 1
         # One number a row sorts faster than three.
@@ -184,58 +180,145 @@ def _runs_of(same: np.ndarray) -> np.ndarray:
     return same & dense
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The test items, written and numbered, with the words they count for; items of long words count by bytes."""
+    words = F.greatest(F.regexp_count("text", F.lit(r"(?U)\w+")).cast("long"), F.octet_length("text").cast("long") / 32)
+    own = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text"))
+    own = own.select("item_id", "text", words.alias("words"), F.monotonically_increasing_id().alias("number"))
+    return cut_lineage(own.where("text != ''"), "test-items")
+
+
+def _one_block(items: DataFrame) -> Probe | None:
+    """The tables of all items where they fit one block, to be copied to the tasks."""
+    if (items.agg(F.sum("words")).first()[0] or 0) > BLOCK_WORDS:
+        return None
+    return Probe([(x.item_id, x.text) for x in items.orderBy("item_id", "text").collect()])
+
+
+class _WordValues(dict):
+    """A 64-bit value for each word, alike in all tasks."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _seed_rows(batches: Batches) -> Batches:
+    for batch in small_batches(batches):
+        numbers, texts = (c.to_pylist() for c in batch.columns)
+        values = _WordValues()
+        for number, text in zip(numbers, texts, strict=True):
+            own = np.array([values[w] for w in words_of(text)], np.uint64)
+            hashes = [seed_hashes(own, seed) for seed, least, most in SEEDS if least <= len(own) <= most]
+            distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])).view(np.int64)
+            columns = [pa.array(distinct), pa.array(np.full(len(distinct), number))]
+            yield pa.RecordBatch.from_arrays(columns, ["seed_hash", "number"])
+
+
+def _filter_of(seeds: DataFrame) -> np.ndarray:
+    """A bit for each leading part that a hash has: 16 bits or more for a hash, until the filter is as large as it may be."""
+    bits = min(MOST_FILTER_BITS, max(_FILTER_BITS, (16 * seeds.count()).bit_length()))
+    at = F.shiftrightunsigned("seed_hash", 64 - bits) + 1
+    parts = seeds.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, own in parts.collect():
+        out[(part - 1) * len(own) : part * len(own)] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def _hits(batches: Batches, bits: np.ndarray) -> Batches:
+    """``(doc_id, body, seed_hash)``: hashes of a text's windows that pass the filter, each once."""
+    shift = np.uint64(64 - (len(bits).bit_length() + 2))
+    for batch in small_batches(batches):
+        values, flat, starts = _WordValues(), [], [0]
+        for text in batch.column(2).to_pylist():
+            flat += [values[w] for w in words_of(text)]
+            flat += _GAP
+            starts.append(len(flat))
+        flat = np.array(flat, np.uint64)
+        found = [np.zeros((0, 2), np.int64)]
+        for seed in dict.fromkeys(x for x, _, _ in SEEDS):
+            hashes = seed_hashes(flat, seed)
+            place = hashes >> shift
+            at = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            found.append(np.stack([np.searchsorted(starts, at, "right") - 1, hashes[at].view(np.int64)], 1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        of = pa.array(rows[:, 0])
+        columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(rows[:, 1].copy())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "body", "seed_hash"])
+
+
+_FOUND = ["item_id", "n_found", "n_words", "first_word"]
+_FOUND_SCHEMA = "doc_id long, body long, " + ", ".join(f"{c} long" for c in _FOUND)
+
+
+def _found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "body", *_FOUND])
+
+
+def _verify(batches: Batches) -> Batches:
+    """Texts with the items they may hold: the overlaps, compared word by word."""
+    for batch in small_batches(batches):
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for doc_id, body, text, items in rows:
+            own = Probe([(x["item_id"], x["text"]) for x in items]).overlaps([text])[0]
+            yield _found_batch([(doc_id, body, *x) for x in own])
+
+
+def _copied(batches: Batches, probe: Probe) -> Batches:
+    for batch in small_batches(batches):
+        ids, bodies, texts = (c.to_pylist() for c in batch.columns)
+        found = zip(ids, bodies, probe.overlaps(texts), strict=True)
+        yield _found_batch([(d, b, *x) for d, b, own in found for x in own])
+
+
+def _joined(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """Overlaps by a shuffled join of hashes, for items of any number.
+
+    Only hashes that pass a filter of bounded size meet those of the items. The
+    items a text may hold are gathered in blocks, by a hash of their number, so
+    that a list holds about ``BLOCK_WORDS`` words at most; texts that met no item
+    drop out by the join of keys.
+    """
+    seeds = cut_lineage(items.select("number", "text").mapInArrow(_seed_rows, "seed_hash long, number long"), "item-seeds")
+    hits = keyed.mapInArrow(partial(_hits, bits=_filter_of(seeds)), "doc_id long, body long, seed_hash long")
+    pairs = cut_lineage(hits.join(seeds, "seed_hash").select("doc_id", "body", "number").distinct(), "texts-and-items")
+    blocks = items.agg(F.ceil(F.sum("words") / BLOCK_WORDS)).first()[0]
+    block = F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block")
+    gathered = pairs.join(items, "number").groupBy(F.col("doc_id").alias("doc"), F.col("body").alias("hash"), block)
+    lists = cut_lineage(gathered.agg(F.collect_list(F.struct("item_id", "text")).alias("items")).drop("block"), "texts-items")
+    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("body") == F.col("hash"))
+    return keyed.join(lists, same).select("doc_id", "body", "text", "items").mapInArrow(_verify, _FOUND_SCHEMA)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("body"), text_of().alias("text"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_found, n_words, first_word)``: documents that hold a test item.
 
     A row is given when at least 0.8 of the item's words, or 50 of them, stand
     in the document in the item's order, changed words allowed between them. Each
     document is judged whole. Words are runs of letters, digits and underscores,
-    lower-cased. Null texts and items without words hold nothing. An item of up to
-    24 words is found wherever its changed words are; one of 25 or more at the
-    full fifth of changes only where eight words of a seed (five up to 39 words)
-    stand unchanged. A passage with words added or left out counts by its dense
-    stretches, so one that has changed words close together as well can be
-    missed. Repeated rows
-    give repeated results, and other columns are not read. Texts are met whole,
-    several to a lookup. Test items are met in blocks of bounded size, one pass
-    over the documents each: the join of hashes is one against a copied table
-    whose size is bounded, so texts never move. Tasks and the driver hold one
-    block at a time, and where there are more than one each pass is written.
+    lower-cased. Null texts and items without words hold nothing. An item in
+    place is found wherever its changed words are, up to a fifth of them. A
+    passage with words added or left out counts by its dense stretches, so one
+    that has changed words close together as well can be missed. Repeated rows
+    give repeated results, a null id stays null, other columns are not read, and
+    a table without rows gives none. Texts are met whole whatever their length,
+    several to a lookup.
+
+    Items of up to ``BLOCK_WORDS`` words in all are copied to the tasks, so
+    neither texts nor hashes move. More items meet the texts by a shuffled join
+    of hashes, with the same rows; nothing of them reaches the driver.
     """
-    schema = "doc_id long, item_id long, n_found long, n_words long, first_word long"
-    rows = docs.select(F.col("doc_id").cast("long"), text_of())
-    out, several = None, False
-    for probe, last in probes(benchmark):
-
-        def work(batches: Batches, probe: Probe = probe) -> Batches:
-            for batch in small_batches(batches):
-                keys, texts = (c.to_pylist() for c in batch.columns)
-                found = [(d, *x) for d, own in zip(keys, probe.overlaps(texts), strict=True) for x in own]
-                arrays = [pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "n_found", "n_words", "first_word"])
-
-        several = several or not last
-        met = rows.mapInArrow(work, schema)
-        met = cut_lineage(met, "contaminated") if several else met
-        out = met if out is None else out.union(met)
-    return out
-
-
-def probes(benchmark: DataFrame) -> Iterator[tuple[Probe, bool]]:
-    """The test items in blocks of at most ``BLOCK_WORDS`` words (one item at least), and whether a block is the last.
-
-    They are read as a stream, a block ahead.
-    """
-    items = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text")).orderBy("item_id", "text")
-    block, size = [], 0
-    for item in items.toLocalIterator():
-        n = len(words_of(item.text))
-        if block and size + n > BLOCK_WORDS:
-            yield Probe(block), False
-            block, size = [], 0
-        block.append((item.item_id, item.text))
-        size += n
-    yield Probe(block), True
+    items = _items(benchmark)
+    probe = _one_block(items)
+    keyed = _keyed(docs)
+    found = keyed.mapInArrow(partial(_copied, probe=probe), _FOUND_SCHEMA) if probe else _joined(keyed, items)
+    return found.select("doc_id", *_FOUND)
 
 
 def _clean(batches: Batches, probe: Probe, column: int) -> Batches:
@@ -247,11 +330,14 @@ def _clean(batches: Batches, probe: Probe, column: int) -> Batches:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item, all columns kept, whatever their names.
 
-    Nothing is shuffled. Where the items take several blocks, what each pass
-    keeps is written and read by the next, so no task holds more than a block.
+    Found as in ``contaminated``. Nothing is shuffled where the items are copied;
+    otherwise the rows meet the ids and text hashes of those that go.
     """
-    out, column = docs, docs.columns.index("text")
-    for probe, last in probes(benchmark):
-        out = out.mapInArrow(lambda batches, p=probe: _clean(batches, p, column), docs.schema)
-        out = out if last else cut_lineage(out, "without-items")
-    return out
+    items = _items(benchmark)
+    probe = _one_block(items)
+    if probe:
+        return docs.mapInArrow(partial(_clean, probe=probe, column=docs.columns.index("text")), docs.schema)
+    doc, body = fresh(docs, "gone_id"), fresh(docs, "gone_body")
+    gone = _joined(_keyed(docs), items).select(F.col("doc_id").alias(doc), F.col("body").alias(body)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_of()) == F.col(body))
+    return docs.join(cut_lineage(gone, "gone-keys"), same, "left_anti")

@@ -122,6 +122,23 @@ def holds_item(text: str | None, items: list[str]) -> bool:
     return False
 
 
+def least_changes(seeds: list[str], size: int) -> list[int]:
+    """For 0 to ``size`` words, how many must be changed so that no seed is left whole at any place."""
+    span = max(map(len, seeds))
+    best, out = {0: 0}, [0]  # the last words, 1 for a changed one: the least changes that lead there
+    for n in range(1, size + 1):
+        after: dict[int, int] = {}
+        for past, changes in best.items():
+            for changed in (0, 1):
+                now = past << 1 | changed
+                if all(n < len(seed) or now & int(seed, 2) for seed in seeds):
+                    key = now & ((1 << (span - 1)) - 1)
+                    after[key] = min(after.get(key, size), changes + changed)
+        best = after
+        out.append(min(best.values()))
+    return out
+
+
 def filled_in_middle(doc_id: int | None, text: str | None) -> tuple[int, str, int | None, int | None, str]:
     """(units, form, characters of prefix and middle, output)."""
     text = text or ""

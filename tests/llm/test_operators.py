@@ -631,3 +631,43 @@ def test_decontamination_finds_short_items_with_any_fifth_changed(size):
     if size > 1:
         cut = ["changed" if i <= size // 5 else w for i, w in enumerate(item)]
         assert probe.overlaps([" ".join(cut)]) == [[]]
+
+
+def test_seeds_leave_one_whole_in_items_of_any_length():
+    ranges = dict.fromkeys((least, most) for _, least, most in decontaminate.SEEDS)
+    assert [a for a, _ in ranges][0] == 1 and all(a[1] + 1 == b[0] for a, b in itertools.pairwise(ranges))
+    for least, most in ranges:
+        top = min(most, 300)
+        seeds = [x for x, *own in decontaminate.SEEDS if own == [least, most]]
+        needed = brute.least_changes(seeds, top)
+        assert all(needed[n] > n // 5 for n in range(least, top + 1))
+        # Any longer item has a stretch of 100 words for every 20 changes, and what is left over is one of the lengths above.
+        assert most == top or needed[100] >= 20
+
+
+@pytest.mark.parametrize("block", [1 << 18, 500])
+def test_decontamination_equals_plain_search_for_random_changes(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = random.Random(5)
+    items = [(i, words(rng, n)) for i, n in enumerate([*range(1, 60, 2), 80, 100, 150, 200])]
+    items += [(100, items[20][1]), (100, items[20][1]), (None, items[20][1]), (101, "a"), (102, "\u00e9t\u00e9 \u0130x")]
+    rows = [(None, None), (-1, ""), (-2, "a"), (-3, "x " * 3000 + "\u00c9T\u00c9, \u0130x")]
+    for i, item in items[:34]:
+        for times in range(3):
+            own = item.split()
+            # Of a long item, 50 words would count by themselves: there, none too many are changed.
+            for at in rng.sample(range(len(own)), len(own) // 5 + (times // 2 if len(own) < 60 else 0)):
+                own[at] = "changed"
+            rows.append((i * 10 + times, f"{words(rng, 20)} {' '.join(own)} {words(rng, 20)}"))
+    rows += [(7, rows[-3][1]), (7, rows[-3][1]), (None, rows[-3][1])]
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, body long")
+    expected = sorted(
+        ((d, i) for d, text in rows for i, item in items if brute.holds_item(text, [item])), key=lambda x: [(v is None, v or 0) for v in x]
+    )
+    found = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()]
+    assert sorted(found, key=lambda x: [(v is None, v or 0) for v in x]) == expected
+    clashing = docs.selectExpr("*", "1 gone_id", "2 AS body", "3 doc", "4 gone_body")
+    clean = decontaminate.remove_contaminated(clashing, bench)
+    assert clean.columns == clashing.columns
+    assert sorted(r.text or "" for r in clean.collect()) == sorted(t or "" for _, t in rows if not brute.holds_item(t, [x for _, x in items]))
