@@ -38,6 +38,7 @@ _WORD = re.compile(r"\w+")
 _GAP = [0] * max(len(x) for x, _, _ in SEEDS)  # between texts, so that no window spans two
 _FILTER_BITS = 20
 _COMPARED_AT_ONCE = 1 << 20
+_WORDS_KNOWN = 1 << 18
 
 
 def words_of(text: str) -> list[str]:
@@ -196,51 +197,65 @@ def _one_block(items: DataFrame) -> Probe | None:
 
 
 class _WordValues(dict):
-    """A 64-bit value for each word, alike in all tasks."""
+    """A 64-bit value for each word, alike in all tasks; a bounded number is remembered."""
 
     def __missing__(self, word: str) -> int:
+        if len(self) >= _WORDS_KNOWN:
+            self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
 def _seed_rows(batches: Batches) -> Batches:
+    values = _WordValues()
     for batch in small_batches(batches):
         numbers, texts = (c.to_pylist() for c in batch.columns)
-        values = _WordValues()
         for number, text in zip(numbers, texts, strict=True):
             own = np.array([values[w] for w in words_of(text)], np.uint64)
-            hashes = [seed_hashes(own, seed) for seed, least, most in SEEDS if least <= len(own) <= most]
-            distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])).view(np.int64)
-            columns = [pa.array(distinct), pa.array(np.full(len(distinct), number))]
-            yield pa.RecordBatch.from_arrays(columns, ["seed_hash", "number"])
+            for i, (seed, least, most) in enumerate(SEEDS):
+                if least <= len(own) <= most:
+                    distinct = np.unique(seed_hashes(own, seed)).view(np.int64)
+                    columns = [np.full(len(distinct), i), distinct, np.full(len(distinct), number)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seed", "seed_hash", "number"])
 
 
 def _filter_of(seeds: DataFrame) -> np.ndarray:
-    """A bit for each leading part that a hash has: 16 bits or more for a hash, until the filter is as large as it may be."""
-    bits = min(MOST_FILTER_BITS, max(_FILTER_BITS, (16 * seeds.count()).bit_length()))
-    at = F.shiftrightunsigned("seed_hash", 64 - bits) + 1
-    parts = seeds.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    """Two bits for each hash, named by its first and its next bits, of 64 or more for each until the filter is as large as it may be."""
+    bits = min(MOST_FILTER_BITS, max(_FILTER_BITS, (64 * seeds.count()).bit_length()))
+    places = [F.shiftrightunsigned(h, 64 - bits) + 1 for h in (F.col("seed_hash"), F.shiftleft("seed_hash", bits))]
+    at = F.col("at")
+    parts = seeds.select(F.explode(F.array(*places)).alias("at")).groupBy(F.bitmap_bucket_number(at).alias("part"))
+    parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for part, own in parts.collect():
         out[(part - 1) * len(own) : part * len(own)] = np.frombuffer(own, np.uint8)
     return out
 
 
-def _hits(batches: Batches, bits: np.ndarray) -> Batches:
+def _passing(hashes: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Where hashes stand whose two bits are both set."""
+    bits = len(filled).bit_length() + 2
+    at = np.arange(len(hashes))
+    for skipped in (0, bits):
+        place = (hashes[at] << np.uint64(skipped)) >> np.uint64(64 - bits)
+        at = at[((filled[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).view(bool)]
+    return at
+
+
+def _hits(batches: Batches, filled: np.ndarray, used: list[str]) -> Batches:
     """``(doc_id, body, seed_hash)``: hashes of a text's windows that pass the filter, each once."""
-    shift = np.uint64(64 - (len(bits).bit_length() + 2))
+    values = _WordValues()
     for batch in small_batches(batches):
-        values, flat, starts = _WordValues(), [], [0]
+        flat, starts = [], [0]
         for text in batch.column(2).to_pylist():
             flat += [values[w] for w in words_of(text)]
             flat += _GAP
             starts.append(len(flat))
         flat = np.array(flat, np.uint64)
         found = [np.zeros((0, 2), np.int64)]
-        for seed in dict.fromkeys(x for x, _, _ in SEEDS):
+        for seed in used:
             hashes = seed_hashes(flat, seed)
-            place = hashes >> shift
-            at = np.flatnonzero((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+            at = _passing(hashes, filled)
             found.append(np.stack([np.searchsorted(starts, at, "right") - 1, hashes[at].view(np.int64)], 1))
         rows = np.unique(np.concatenate(found), axis=0)
         of = pa.array(rows[:, 0])
@@ -281,8 +296,10 @@ def _joined(keyed: DataFrame, items: DataFrame) -> DataFrame:
     that a list holds about ``BLOCK_WORDS`` words at most; texts that met no item
     drop out by the join of keys.
     """
-    seeds = cut_lineage(items.select("number", "text").mapInArrow(_seed_rows, "seed_hash long, number long"), "item-seeds")
-    hits = keyed.mapInArrow(partial(_hits, bits=_filter_of(seeds)), "doc_id long, body long, seed_hash long")
+    made = items.select("number", "text").mapInArrow(_seed_rows, "seed long, seed_hash long, number long")
+    seeds = cut_lineage(made, "item-seeds")
+    used = list(dict.fromkeys(SEEDS[x.seed][0] for x in seeds.select("seed").distinct().collect()))
+    hits = keyed.mapInArrow(partial(_hits, filled=_filter_of(seeds), used=used), "doc_id long, body long, seed_hash long")
     pairs = cut_lineage(hits.join(seeds, "seed_hash").select("doc_id", "body", "number").distinct(), "texts-and-items")
     blocks = items.agg(F.ceil(F.sum("words") / BLOCK_WORDS)).first()[0]
     block = F.pmod(F.xxhash64("number"), F.lit(blocks)).alias("block")
