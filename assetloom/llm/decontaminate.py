@@ -329,7 +329,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Items of up to ``BLOCK_WORDS`` words in all are copied to the tasks, so
     neither texts nor hashes move. More items meet the texts by a shuffled join
-    of hashes, with the same rows; nothing of them reaches the driver.
+    of hashes, with the same rows; only the filter passes the driver.
     """
     items = _items(benchmark)
     probe = _one_block(items)
