@@ -47,8 +47,8 @@ class ChangeLog:
         return f"{self.path}/changes/batch={batch_id}"
 
     def _put(self, batch_id: int, rows: DataFrame) -> None:
-        # An empty batch leaves no part folder, but its own.
-        dealt = rows.withColumn("part", part_of(F.col("name"), self.parts)).repartition("part")
+        # An empty batch leaves no part folder, but its own. As in the base, a part too large for one task is split.
+        dealt = rows.withColumn("part", part_of(F.col("name"), self.parts)).hint("rebalance", "part")
         dealt.write.mode("overwrite").partitionBy("part").parquet(self._folder(batch_id))
 
     def write(self, batch_id: int, rows: DataFrame) -> DataFrame:

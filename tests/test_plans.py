@@ -9,6 +9,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from assetloom.operators import deps, embeddings, lookup, maintenance, retention, search, triage
 from assetloom.plans import registry
@@ -232,3 +233,42 @@ def test_micro_batches_read_only_the_parts_of_their_names(spark, stored, tmp_pat
     assert all(re.match(rf"PartitionFilters: .*\(part#\d+ = {part[0]}\)", s) for s in scans), scans
     assert log.current().filter("name = 'fn_3'").first()["code"] == "x = 1"
     assert log.current().count() == stored.count()
+
+
+@pytest.mark.parametrize("name", ["stream_saves", "stream_save_rejected", "stream_embed_failures"])
+def test_requests_are_written_by_many_tasks(spark, name):
+    plans = executed(spark, lambda: registry.queries()[name](spark, SF_DIR))
+    assert not any(re.search(r"\(\d+\) Coalesce\b", p) for p in plans)
+
+
+@pytest.fixture
+def small_partitions(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    yield
+    spark.conf.set(key, before)
+
+
+def _files(spark, folder: str) -> int:
+    return len({r.f for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).selectExpr("path AS f").collect()})
+
+
+def test_a_large_shard_is_split_into_files(spark, small_partitions):
+    records = spark.range(0, 400, 1, 8).selectExpr(
+        "concat('n', id) AS name", "concat_ws('', transform(sequence(1, 20), i -> sha2(cast(id * 100 + i AS string), 512))) AS code", "'[]' AS test_cases"
+    )
+    folder = work_path(spark, "shards")
+    hub.write_hub_records(records, folder, shards=2)
+    assert _files(spark, folder) > 8
+    assert sorted(r.name for r in hub.read_hub_records(spark, folder, one_per_file=False).records.select("name").collect()) == sorted(
+        f"n{i}" for i in range(400)
+    )
+
+
+def test_a_large_part_of_changes_is_split_into_files(spark, stored, small_partitions):
+    log = ChangeLog.over(work_path(spark, "split-log"), stored, parts=2)
+    changed = stored.withColumn("code", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sha2(F.concat("name", i.cast("string")), 512))))
+    log.write(0, changed.repartition(8))
+    assert _files(spark, f"{log.path}/changes/batch=0") > 8
+    assert sorted(log.current().select("name", "code").collect()) == sorted(changed.select("name", "code").collect())
