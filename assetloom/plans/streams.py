@@ -67,19 +67,21 @@ def _batch_time(batch_id: int) -> str:
 
 
 def _save_run(t: Tables) -> tuple[ChangeLog, jobs.SaveFolders]:
-    """The requests in three micro-batches by ``seq % 3``; every fifth skips its tests, some embeddings fail."""
+    """The requests in three micro-batches by ``seq % 3``; every fifth skips its tests, some embeddings fail.
+
+    The files of a micro-batch appear together, as many as the tasks that write
+    them, and the stream works them off before those of the next.
+    """
     requests = work_path(t.spark, "requests")
     batch = save_batch(t).withColumn("skip_test", F.col("seq") % 5 == 0)
-    for i in range(BATCHES):
-        # One file per micro-batch, in the order of their times.
-        batch.filter(F.col("seq") % BATCHES == i).coalesce(1).write.mode("append").parquet(requests)
     log = ChangeLog.over(work_path(t.spark, "changes"), t.fx_functions, parts=8)
     out = jobs.SaveFolders(*(work_path(t.spark, n) for n in ("vectors", "rejected", "failed")))
     verdicts = t.fx_verdicts.withColumn("status", F.when(F.col("status") == "verified", "success").otherwise("error"))
-    stream = jobs.file_stream(t.spark, requests, "*.parquet", batch, files_per_batch=1)
-    jobs.save_stream(
-        stream, log, out, verdicts, fragile_vectors, "model-a", 64, _batch_time, work_path(t.spark, "checkpoint")
-    ).awaitTermination()
+    checkpoint = work_path(t.spark, "checkpoint")
+    for i in range(BATCHES):
+        batch.filter(F.col("seq") % BATCHES == i).write.mode("append").parquet(requests)
+        stream = jobs.file_stream(t.spark, requests, "*.parquet", batch)
+        jobs.save_stream(stream, log, out, verdicts, fragile_vectors, "model-a", 64, _batch_time, checkpoint).awaitTermination()
     return log, out
 
 
