@@ -88,7 +88,7 @@ WHERE query_id NOT IN (SELECT query_id FROM r WHERE status = 'verified')"""
 
 
 def hybrid(t: Tables) -> DataFrame:
-    local = cut_lineage(batch(t), "hits")  # used as both stores' answers
+    local = cut_lineage(batch(t).drop("description"), "hits")  # used as both stores' answers, without texts
     hits = local.select("query_id", "function_name", "score", "rank")
     shared = local.filter("status = 'verified'").select(*hits.columns)
     return search.hybrid_candidates(shared, hits)
