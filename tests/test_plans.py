@@ -117,7 +117,7 @@ def test_descriptions_move_once_and_never_by_query(spark, stored):
     assert texts and not any("query_id" in m for m in texts)
 
 
-@pytest.mark.parametrize("name", ["search_hybrid"])
+@pytest.mark.parametrize("name", ["search_hybrid", "search_select"])
 def test_hybrid_search_moves_no_descriptions(spark, name):
     moved = exchanged(executed(spark, lambda: registry.queries()[name](spark, SF_DIR)))
     assert moved and not [m for m in moved if "description" in m]
