@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ COMPATIBLE_CODE_CHARS = 500
 
 # A provider turns a list of texts into one vector (or None) per text.
 Provider = Callable[[list[str]], list[list[float] | None]]
+# Texts handed to a provider at once, by number and size, as they and their vectors are Python objects by then.
+PROVIDER_TEXTS, PROVIDER_BYTES = 500, 2 * 1024 * 1024
 
 
 def embedding_text(functions: DataFrame, with_deps: bool = True, code_chars: int | None = None) -> DataFrame:
@@ -50,17 +54,33 @@ def stale_embeddings(functions: DataFrame, embeddings: DataFrame, model: str, di
     return joined.select("name", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """The rows in order, in runs of bounded number and size; a text larger than that comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        fitting = np.searchsorted(ends, (ends[start - 1] if start else 0) + PROVIDER_BYTES, side="right")
+        end = max(start + 1, min(start + PROVIDER_TEXTS, int(fitting)))
+        yield texts.slice(start, end - start)
+        start = end
+
+
 def _embedded(text: Column, provider: Provider) -> Column:
     kind = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
+    none = "provider gave no vector"
 
-    def run(texts: pa.Array) -> pa.Array:
+    def made(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         try:
-            made = provider(rows)
+            found = provider(rows)
         except Exception as e:
             return pa.array([{"vector": None, "error": str(e)}] * len(rows), type=kind)
-        none = "provider gave no vector"
-        return pa.array([{"vector": v, "error": None if v is not None else none} for v in made], type=kind)
+        if len(found) != len(rows):
+            raise ValueError(f"provider gave {len(found)} vectors for {len(rows)} texts")
+        return pa.array([{"vector": v, "error": None if v is not None else none} for v in found], type=kind)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], type=kind), *map(made, _pieces(texts))])
 
     return F.arrow_udf(run, "struct<vector:array<float>,error:string>").asNondeterministic()(text)
 
@@ -68,7 +88,8 @@ def _embedded(text: Column, provider: Provider) -> Column:
 def embed(texts: DataFrame, provider: Provider) -> DataFrame:
     """Vectors for ``texts(name, text)``; a failure is a NULL vector and its error text.
 
-    The provider gets one Arrow batch at a time on the executors.
+    The provider runs on the executors and gets up to 500 texts and 2 MiB at a
+    time, whatever the size of an Arrow batch; what it raises counts for these.
     """
     made = texts.withColumn("_made", _embedded(F.col("text"), provider))
     return made.select("name", F.col("_made.vector").alias("vector"), F.col("_made.error").alias("error"))

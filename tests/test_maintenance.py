@@ -186,6 +186,22 @@ def test_stale_and_provider_failures(spark):
     assert all(r["vector"] is None and r["error"] == "provider down" for r in failed)
 
 
+def test_provider_gets_bounded_pieces_of_a_batch(spark):
+    """One Arrow batch of many and of long texts: each keeps its own vector, whatever the pieces."""
+    sizes = [i % 7 for i in range(1200)] + [300_000] * 30 + [3_000_000, 5]
+    texts = [("x" * n) if n != 6 else None for n in sizes]
+    df = spark.createDataFrame(list(enumerate(texts)), "name int, text string").coalesce(1)
+
+    def provider(batch):
+        whole = sum(len(t or "") for t in batch)
+        return [[len(batch), whole, -1 if t is None else len(t)] for t in batch]
+
+    got = {r["name"]: r["vector"] for r in embeddings.embed(df, provider).collect()}
+    assert [got[i][2] for i in range(len(sizes))] == [-1 if t is None else len(t) for t in texts]
+    assert max(v[0] for v in got.values()) <= 500
+    assert all(v[1] <= 2 * 1024 * 1024 or v[0] == 1 for v in got.values())
+
+
 def test_retention_dates(spark):
     meta = '{"quality_score": 10}'
     functions = functions_table(
