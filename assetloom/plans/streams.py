@@ -131,15 +131,24 @@ def stream_sessions(t):
     return _complete(t, jobs.session_stream(_events(t), IDLE_SECONDS), "sessions")
 
 
+# Rows of a file of the session stream at least, where there is more than one a micro-batch.
+FILE_ROWS = 10_000
+
+
 @query("stream_sessions_closed", f"SELECT * FROM ({batch.SESSIONS}) WHERE session_end < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def stream_sessions_closed(t):
     """Sessions as they close, by state kept per user: the earlier events, the later ones, then the first ones again, far too late."""
     folder, out = work_path(t.spark, "events"), work_path(t.spark, "closed")
-    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    events = t.events.select("user_id", "ts")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
     before = lambda share: F.col("ts") < F.lit(first + (last - first) * share)
-    for part in (before(0.5), ~before(0.5), before(0.25)):
-        t.events.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.file_stream(t.spark, folder, "*.parquet", t.events, files_per_batch=1)
+    parts = before(0.5), ~before(0.5), before(0.25)
+    # Each part is as many files as a micro-batch takes; files of thousands of rows are never empty, so none is missing.
+    least = min(events.agg(*[F.count_if(part) for part in parts]).first())
+    files = max(1, min(t.spark.sparkContext.defaultParallelism, least // FILE_ROWS))
+    for part in parts:
+        events.filter(part).repartition(files).write.mode("append").parquet(folder)
+    stream = jobs.file_stream(t.spark, folder, "*.parquet", events, files_per_batch=files)
     with sessions.state_beyond_the_heap(t.spark):
         closed = sessions.session_state_stream(stream, IDLE_SECONDS)
         write = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -1,15 +1,19 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from assetloom import schemas
 from assetloom.operators import activity, maintenance
 from assetloom.operators.embeddings import latest_embeddings
+from assetloom.plans import streams
+from assetloom.plans.registry import Tables
 from assetloom.session import work_path
 from assetloom.sources import hub
 from assetloom.streaming import jobs, sessions
@@ -273,3 +277,58 @@ def test_sessions_join_in_any_order():
             held = sessions.merged(*(np.concatenate(p) for p in zip(held, new)), 7)
         groups = [g.tolist() for g in np.split(np.sort(at), np.flatnonzero(np.diff(np.sort(at)) > 7) + 1) if len(g)]
         assert list(zip(*(x.tolist() for x in held))) == [(g[0], g[-1], len(g)) for g in groups]
+
+
+class _Handle:
+    """State and timers of one user, with every call on them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return self.value
+            if name in ("update", "clear"):
+                self.value = args[0] if args else None
+            elif name in ("registerTimer", "deleteTimer"):
+                (self.timers.add if name == "registerTimer" else self.timers.remove)(args[0])
+
+        return (lambda *_: self) if name == "getValueState" else call
+
+
+def test_a_user_costs_few_calls_to_the_state():
+    """One reading, one writing and at most one timer moved; the timer is always at the first end."""
+    rng, handle = np.random.default_rng(8), _Handle()
+    processor, seen, got = sessions.SessionProcessor(10), [], []
+    processor.init(handle)
+    for batch in range(40):
+        times = TimerValues(0, batch * 20_000)
+        at = (rng.integers(max(0, batch * 20 - 5), batch * 20 + 40, size=rng.integers(0, 4))).tolist()
+        at = [a for a in at if a * 1000 >= batch * 20_000]
+        seen += at
+        handle.calls.clear()
+        if at:
+            rows = iter([Row(user_id=1, ts=datetime.fromtimestamp(a, UTC)) for a in at])
+            got += processor.handleInputRows((1,), rows, times)
+            assert len(handle.calls) <= 4 and set(handle.calls) <= {"get", "update", "clear", "registerTimer", "deleteTimer"}
+        for due in [t for t in handle.timers if t <= batch * 20_000]:
+            got += processor.handleExpiredTimer((1,), times, ExpiredTimerInfo(due))
+            handle.timers.remove(due)
+        ends = [last // 1000 + 10_000 + 1 for last in (handle.value or ([], [], []))[1]]
+        assert handle.timers == ({min(ends)} if ends else set())
+    groups = [g.tolist() for g in np.split(np.sort(seen), np.flatnonzero(np.diff(np.sort(seen)) > 10) + 1)]
+    closed = [(g[0] * 10**6, (g[-1] + 10) * 10**6, len(g)) for g in groups]
+    assert sorted((r["session_start"], r["session_end"], r["events"]) for r in got) == closed[: len(got)] and len(got) >= len(closed) - 5
+
+
+def test_closed_sessions_from_micro_batches_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    t, batches = Tables(spark, "/root/testdata/sf0.01"), []
+    real = jobs.file_stream
+    monkeypatch.setattr(jobs, "file_stream", lambda *a, files_per_batch: batches.append(files_per_batch) or real(*a, files_per_batch=files_per_batch))
+    got = streams.stream_sessions_closed(t)
+    end = t.events.agg(F.max("ts")).first()[0] - timedelta(hours=2)
+    expected = activity.activity_sessions(t.events).select(*got.columns).filter(F.col("session_end") < F.lit(end))
+    assert batches == [4] and got.count() == expected.count() > 0 and not got.exceptAll(expected).count()
