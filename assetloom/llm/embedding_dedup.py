@@ -33,11 +33,12 @@ class Search:
     recall: float = 0.98  # of links, asked for by the audits
     slack: float = 1e-4  # the search in single precision keeps what double precision may accept
     shard_values: int = 12_800_000  # vector components in a shard: 50 MB
-    block_values: int = 1_280_000
+    block_values: int = 3_840_000  # each block takes a copy of every graph
     least_shards: int = 4
 
 
 _PAIRS = 1 << 15  # verified at once
+_TASKS = 4096  # to which searches are dealt by hash, eight for each where there are few, so that they seldom meet
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -183,9 +184,13 @@ def linked_vectors(vectors: DataFrame, search: Search = Search()) -> DataFrame:
     )
     graph_schema = f"dim int, shard long, node long, copies long, embedding {wide}, position int, links array<int>"
     graphs = dealt.select("dim", F.col("home").alias("shard"), "node", "copies", "embedding", "place")
+    # More ranges than shards, so that no two large shards share one; adaptive execution would put several into a task.
+    shards, pairs = sizes.agg(F.sum("shards"), F.sum(F.col("shards") * F.greatest("shards", "blocks"))).first()
+    graphs = graphs.repartitionByRange(4 * (shards or 1), "dim", "shard")
     graphs = cut_lineage(graphs.groupBy("dim", "shard").applyInArrow(_build, graph_schema), "embedding-graphs")
 
     keys = ["dim", "home", "block", "shard"]
+    tasks = min(8 * (pairs or 1), _TASKS)
     own_blocks = cut_lineage(dealt.select("dim", "home", "block").distinct(), "embedding-blocks")
     every = own_blocks.select("dim", "home").distinct()
     searches = every.join(every.select("dim", F.col("home").alias("shard")), "dim")
@@ -194,7 +199,7 @@ def linked_vectors(vectors: DataFrame, search: Search = Search()) -> DataFrame:
         """The searches of the blocks of ``home`` in ``shard``: each block goes there, and the shard to each block."""
         queries = dealt.select("dim", "home", "block", "node", "embedding").join(wanted, ["dim", "home"])
         indexes = graphs.join(own_blocks.join(wanted, ["dim", "home"]), ["dim", "shard"])
-        met = queries.groupBy(*keys).cogroup(indexes.groupBy(*keys))
+        met = queries.repartition(tasks, *keys).groupBy(*keys).cogroup(indexes.repartition(tasks, *keys).groupBy(*keys))
         return cut_lineage(met.applyInArrow(_search(search, beam), "dim int, home long, shard long, a long, b long, n long"), "embedding-links")
 
     found, beam = run(searches, search.beam), search.beam

@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assetloom.llm import chat, decontaminate, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
+from assetloom.llm import chat, decontaminate, embedding_dedup, hnsw, html_text, line_dedup, mixing, quality, simhash, url_filter, warc
 from assetloom.llm.components import connected_components
 from assetloom.session import work_path
 from tests.llm import brute
@@ -565,6 +565,34 @@ def test_embedding_rare_links_are_found(spark):
     assert sum(r.n_links for r in got) >= 0.98 * true > 80
 
 
+def test_embedding_graphs_and_searches_have_tasks_of_their_own(spark, monkeypatch):
+    written = {}
+    kept = embedding_dedup.cut_lineage
+    monkeypatch.setattr(embedding_dedup, "cut_lineage", lambda df, label: written.setdefault(label, kept(df, label)))
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    embedding_dedup.linked_vectors(vectors, embedding_dedup.Search(least_shards=5)).collect()
+    # Rows of a file come from one task. 5 shards, and 25 searches of which a few may meet by hash.
+    tasks = {label: written[label].groupBy(F.input_file_name()).count().count() for label in ("embedding-graphs", "embedding-links")}
+    assert tasks["embedding-graphs"] == 5 and tasks["embedding-links"] > 15
+
+
+def test_embedding_search_scores_a_node_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, scored = hnsw.Graph(x), []
+    pairs = hnsw.Graph._pair_scores
+    monkeypatch.setattr(hnsw.Graph, "_pair_scores", lambda self, q, asked, node: scored.append(asked * len(x) + node) or pairs(self, q, asked, node))
+    start = graph._enter(x[:50], 0)
+    scored.clear()
+    found, score = graph._beam(x[:50], graph.layers[0], start, 32)
+    every = np.concatenate(scored)
+    assert len(np.unique(every)) == len(every) and not np.isin(np.arange(50)[:, None] * len(x) + start, every).any()
+    best = np.sort(x[:50] @ x.T, 1)[:, -10:]
+    assert np.isclose(np.sort(score, 1)[:, -10:], best, atol=1e-5).mean() > 0.98 and (found >= 0).all()
+
+
 def test_embedding_empty_table(spark):
     assert embedding_dedup.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
