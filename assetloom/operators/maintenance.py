@@ -131,7 +131,8 @@ def last_records(records: DataFrame, written: bool = False) -> DataFrame:
     """
     with_path = records if "file_path" in records.columns else records.withColumn("file_path", F.lit(""))
     stored = with_path if written else cut_lineage(with_path, "parsed-records")
-    last = latest_stored(stored, "true", "name", [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))])
+    order = [dates.parse_any(F.col("updated_at")), F.coalesce("file_path", F.lit(""))]
+    last = latest_stored(stored, "true", "name", order, label="last-places")
     last = last.withColumn("description", F.coalesce("description", F.lit("")))
     return cut_lineage(last.drop("file_path"), "records")
 
@@ -141,20 +142,28 @@ def hub_actions(functions: DataFrame, records: DataFrame) -> DataFrame:
     return record_actions(functions, last_records(records))
 
 
+def _digest(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
 def record_actions(functions: DataFrame, last: DataFrame) -> DataFrame:
-    """What a merge does with each of ``last_records``. Only a different code or description counts as a change."""
-    stored = matching(functions, last).select(
-        "name", F.lit(True).alias("stored"), F.col("code").alias("old_code"), F.col("description").alias("old_description")
-    )
-    joined = last.join(stored, "name", "left")
-    same = F.col("code").eqNullSafe(F.col("old_code")) & F.col("description").eqNullSafe(F.col("old_description"))
+    """What a merge does with each of ``last_records``. Only a different code or description counts as a change.
+
+    Texts are compared by their SHA-256, so that stored texts are not moved, nor
+    those of the records where only ``name`` and ``action`` are asked for.
+    """
+    old = functions.select("name", F.lit(True).alias("stored"), _digest("code").alias("old_code"), _digest("description").alias("old_description"))
+    stored = matching(old, last)
+    known = last.withColumns({"new_code": _digest("code"), "new_description": _digest("description")})
+    joined = known.join(stored, "name", "left")
+    same = F.col("new_code").eqNullSafe(F.col("old_code")) & F.col("new_description").eqNullSafe(F.col("old_description"))
     action = (
         F.when(F.coalesce("stored", F.lit(False)) & same, "unchanged")
-        .when(F.col("code").isNull(), "skipped")
+        .when(F.col("new_code").isNull(), "skipped")
         .when(F.col("stored"), "update")
         .otherwise("insert")
     )
-    return joined.withColumn("action", action).drop("stored", "old_code", "old_description")
+    return joined.withColumn("action", action).drop("stored", "old_code", "old_description", "new_code", "new_description")
 
 
 def _fresh(records: DataFrame, as_of: str) -> DataFrame:
@@ -184,9 +193,17 @@ def _inserted(fresh: DataFrame) -> DataFrame:
     )
 
 
+CHANGED = "action IN ('insert', 'update')"
+
+
 def hub_rows(functions: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
     """Full rows to store for inserts and updates."""
-    fresh = _fresh(actions.filter("action IN ('insert', 'update')"), as_of)
+    return changed_rows(functions, actions.filter(CHANGED), as_of)
+
+
+def changed_rows(functions: DataFrame, changed: DataFrame, as_of: str) -> DataFrame:
+    """Full rows to store for records that are known to be inserts or updates."""
+    fresh = _fresh(changed, as_of)
     kept = matching(functions, fresh).select(
         "name", "status", "test_cases", "call_count", "last_called_at", "created_at", F.lit(1).alias("stored")
     )

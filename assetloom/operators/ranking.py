@@ -48,14 +48,42 @@ def latest(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.groupBy(key).agg(winner).select(*[key if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def latest_stored(stored: DataFrame, condition: str, key: str, order: str | list) -> DataFrame:
+PLACE = ["_file", "_row"]
+_BITS = 32768  # of one of Spark's bitmaps
+_COPIED = 16384  # bitmaps copied to all tasks: 64 MiB, for up to 500 million rows
+
+
+def placed(stored: DataFrame) -> DataFrame:
+    """The rows of a written table with their place in its files."""
+    return stored.select(*stored.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def at_places(numbered: DataFrame, places: DataFrame, label: str, there: bool = True) -> DataFrame:
+    """The ``placed`` rows whose place is among ``places``, or those whose place is not; whole rows stay where they are.
+
+    Places become bitmaps, a bit a row, which are written first. Bitmaps too
+    many to be copied to all tasks meet the rows by a shuffle.
+    """
+    number, position = F.col("_row") + 1, F.pmod(F.col("_row"), F.lit(_BITS))
+    bits = places.groupBy("_file", F.bitmap_bucket_number(number).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"))
+    bits = cut_lineage(bits.withColumnsRenamed({"_file": "_in", "_bucket": "_at"}), label)
+    bits = F.broadcast(bits) if bits.count() <= _COPIED else bits
+    met = numbered.join(bits, (F.col("_file") == F.col("_in")) & (F.bitmap_bucket_number(number) == F.col("_at")), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    named = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    return met.filter(named if there else ~named).select(*numbered.columns)
+
+
+def latest_stored(stored: DataFrame, condition: str, key: str, order: str | list, label: str | None = None) -> DataFrame:
     """Of the rows of a written table that meet ``condition``, the last per key; of equal ones any, but one.
 
     The winner is found from key, order and place in the files alone; only then
-    are whole rows read, and met by a semi-join.
+    are whole rows read, and met by a semi-join. With a ``label`` they are found
+    by ``at_places``, so that whole rows do not move.
     """
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    numbered = stored.filter(condition).select(*stored.columns, *place)
-    best = numbered.groupBy(key).agg(F.max(F.struct(*([order] if isinstance(order, str) else order), "_file", "_row")).alias("_best"))
+    numbered = placed(stored.filter(condition))
+    best = numbered.groupBy(key).agg(F.max(F.struct(*([order] if isinstance(order, str) else order), *PLACE)).alias("_best"))
     winner = best.select("_best._file", "_best._row")
-    return numbered.join(winner, ["_file", "_row"], "left_semi").select(*stored.columns)
+    if label is not None:
+        return at_places(numbered, winner, label).select(*stored.columns)
+    return numbered.join(winner, PLACE, "left_semi").select(*stored.columns)

@@ -76,8 +76,44 @@ def work_scope(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scope.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, folder)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# Shuffle files go with the query that made them; written tables are packed more tightly.
+_SPARING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+
+
+@contextmanager
+def sparing_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries run and streams started inside take less disk.
+
+    Otherwise shuffle files stay until the driver collects its garbage. Do not
+    run one DataFrame twice inside: its shuffles would have to be made again.
+    """
+    before = {key: spark.conf.get(key, None) for key in _SPARING}
+    for key, value in _SPARING.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@contextmanager
+def written(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` as ``cut_lineage`` gives it, deleted at the end."""
+    path = work_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(df.sparkSession, path)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -72,18 +72,19 @@ def record_lines(records: DataFrame) -> Column:
     return F.concat(F.regexp_replace(plain, r"\}$", ""), F.lit(',"test_cases":'), cases, F.lit("}"))
 
 
-def write_hub_records(records: DataFrame, folder: str, shards: int = 64, files_per_shard: int = 1) -> None:
+def write_hub_records(records: DataFrame, folder: str, shards: int = 64, files_per_shard: int = 1, compression: str = "none") -> None:
     """One JSON line per record in ``shards`` folders by name hash, ``files_per_shard`` files in each.
 
     Records are moved to the task that writes their file, so the number of files
     does not grow with the number of tasks. Adaptive execution splits a shard
-    that is too large for one task, into more files.
+    that is too large for one task, into more files. Compressed files are read
+    as wholes, each by one task.
     """
     salt = F.pmod(F.xxhash64("name", F.lit(1)), F.lit(files_per_shard))
     shard = F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")
     lines = records.select(record_lines(records).alias("value"), shard.alias("shard"), salt.alias("salt"))
     dealt = lines.hint("rebalance", "shard", "salt").drop("salt")
-    dealt.write.partitionBy("shard").text(folder)
+    dealt.write.partitionBy("shard").text(folder, compression=compression)
 
 
 def build_hub_index(records: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.operators.maintenance import replace_rows
-from assetloom.operators.ranking import latest_stored
+from assetloom.operators.maintenance import COLUMNS
+from assetloom.operators.ranking import PLACE, at_places, latest_stored, placed
 
 _BEFORE_FIRST = -1
 # Parts of a log unless it is told otherwise; a batch of few names reads few of them.
@@ -85,12 +85,16 @@ class ChangeLog:
 
         With ``names``, only the parts these fall into are read: rows of all of
         ``names`` and of some others. Of the changes of one asset the last batch
-        is found from names and batches; only then are whole rows read.
+        is found from names and batches, and replaced rows of the base from
+        names; only then are whole rows read, and none of them moves.
         """
         parts = None if names is None else self.touched(names)
-        last = latest_stored(self.changes(before, parts), "true", "name", "batch").drop("batch", "part")
-        base = self.base if parts is None else self.base.filter(F.col("part").isin(parts))
-        return replace_rows(base, last)
+        changes = self.changes(before, parts)
+        last = latest_stored(changes, "true", "name", "batch", label="change-places").drop("batch", "part")
+        base = placed(self.base if parts is None else self.base.filter(F.col("part").isin(parts)))
+        gone = base.select("name", *PLACE).join(changes.select("name"), "name", "left_semi")
+        kept = at_places(base, gone.select(*PLACE), "gone-places", there=False)
+        return kept.select(*COLUMNS).unionByName(last.select(*COLUMNS))
 
 
 def part_of(name: Column, parts: int) -> Column:

@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from assetloom.functions import dates
 from assetloom.operators.activity import IDLE_SECONDS, usage_delta
 from assetloom.operators.embeddings import Provider, as_embedding_rows, embed, embedding_text, failures, of_dimension
-from assetloom.operators.maintenance import apply_status, apply_usage, hub_rows, last_records, prepare_saves, record_actions, saved_rows
+from assetloom.operators.maintenance import CHANGED, apply_status, apply_usage, changed_rows, last_records, prepare_saves, record_actions, saved_rows
 from assetloom.operators.quality import verification_status
-from assetloom.session import cut_lineage
+from assetloom.operators.ranking import PLACE, at_places, placed
+from assetloom.session import cut_lineage, delete_path, work_path, work_scope, written
 from assetloom.sources.hub import CORRUPT, action_counts, split_records
 from assetloom.streaming.changelog import ChangeLog
 
@@ -92,25 +93,38 @@ def hub_stream(
 
     ``counts`` is a folder for one row of totals per micro-batch, ``rejected``
     one for the files that were not taken in, with the reason. Totals are seen
-    by the writes themselves; ``SyncCounters`` reads those of the scan.
+    by the writes themselves; ``SyncCounters`` reads those of the scan. What a
+    micro-batch writes on the way goes with it; large ones run inside
+    ``sparing_disk``.
     """
     spark = records.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Written once: the files are parsed, and the scan's own counters added up, a single time.
-        scan = split_records(cut_lineage(batch, "scanned"))
-        last = last_records(scan.records, written=True)
-        current = log.current(before=batch_id, names=last)
-        seen = Observation()
-        actions = cut_lineage(record_actions(current, last).observe(seen, *action_counts()), "actions")
-        log.write(batch_id, hub_rows(current, actions, as_of(batch_id)))
-        totals = seen.get
-        if rejected or counts:
-            refused = Observation()
-            kept = scan.rejected.observe(refused, F.count(F.lit(1)).alias("rejected"))
-            target = f"{rejected}/batch={batch_id}" if rejected else None
-            kept.write.mode("overwrite").parquet(target) if target else kept.write.format("noop").mode("overwrite").save()
-            totals |= refused.get
+        totals, rows = {}, work_path(spark, "changed")
+        with work_scope(spark):
+            # Written once: the files are parsed, and the scan's own counters added up, a single time.
+            with written(batch, "scanned") as scanned:
+                scan = split_records(scanned)
+                last = last_records(scan.records, written=True)  # a table of its own
+                if rejected or counts:
+                    refused = Observation()
+                    kept = scan.rejected.observe(refused, F.count(F.lit(1)).alias("rejected"))
+                    target = f"{rejected}/batch={batch_id}" if rejected else None
+                    kept.write.mode("overwrite").parquet(target) if target else kept.write.format("noop").mode("overwrite").save()
+                    totals |= refused.get
+            current = log.current(before=batch_id, names=last)
+            seen = Observation()
+            actions = cut_lineage(record_actions(current, last).select("name", "action").observe(seen, *action_counts()), "actions")
+            totals |= seen.get
+            # Only changed records move, once to meet what they keep and once to the part they are written to.
+            found = placed(last)
+            places = found.select("name", *PLACE).join(actions.filter(CHANGED), "name", "left_semi").select(*PLACE)
+            stored = changed_rows(current, at_places(found, places, "changed-places").drop(*PLACE), as_of(batch_id))
+            stored.write.parquet(rows)
+        try:
+            log.write(batch_id, spark.read.schema(stored.schema).parquet(rows))
+        finally:
+            delete_path(spark, rows)
         if counts:
             row = spark.createDataFrame([(batch_id, *(totals[c] for c in COUNTERS))], "batch_id long, " + " long, ".join(COUNTERS) + " long")
             row.coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")

@@ -6,16 +6,17 @@ import contextlib
 import io
 import json
 import re
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from assetloom.operators import deps, embeddings, lookup, maintenance, retention, search, triage
+from assetloom.operators import deps, embeddings, lookup, maintenance, ranking, retention, search, triage
 from assetloom.plans import registry
 from assetloom.plans.catalog import hub_records, save_batch
 from assetloom.plans.registry import AS_OF, Tables
-from assetloom.session import cut_lineage, work_path, work_scope
+from assetloom.session import cut_lineage, sparing_disk, work_path, work_scope
 from assetloom.sources import catalog, hub
 from assetloom.streaming import jobs
 from assetloom.streaming.changelog import ChangeLog
@@ -291,3 +292,52 @@ def test_a_large_part_of_changes_is_split_into_files(spark, stored, small_partit
     log.write(0, changed.repartition(8))
     assert _files(spark, f"{log.path}/changes/batch=0") > 8
     assert sorted(log.current().select("name", "code").collect()) == sorted(changed.select("name", "code").collect())
+
+
+def test_a_merge_moves_no_stored_texts(spark, stored):
+    log = ChangeLog.over(work_path(spark, "light-log"), stored, parts=4)
+    log.write(0, stored.filter("call_count > 2").withColumn("code", F.lit("x = 1")))
+    last = stored.select("name", "code", "description")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = [exchanged([plan(df)]) for df in (log.current(), maintenance.record_actions(stored, last).select("name", "action"))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(moved) and not any(re.search(r"[\[ ](code|description)#", m) for m in sum(moved, [])), moved
+
+
+@pytest.mark.parametrize("copied", [10**6, 0])
+def test_rows_are_found_by_their_places(spark, monkeypatch, copied):
+    monkeypatch.setattr(ranking, "_COPIED", copied)
+    path = work_path(spark, "numbers")
+    spark.range(0, 70_000, 1, 1).write.parquet(path)
+    spark.range(70_000, 70_300, 1, 3).write.mode("append").parquet(path)
+    rows = ranking.placed(spark.read.parquet(path))
+    wanted = F.col("id").isin(0, 7, 8, 32_767, 32_768, 65_535, 65_536, 69_999) | (F.col("id") % 1000 == 77) | (F.col("id") >= 70_250)
+    places = rows.filter(wanted).select("_file", "_row")
+    there, rest = (ranking.at_places(rows, places, "numbers-places", there=t) for t in (True, False))
+    expected = {r.id for r in spark.range(70_300).filter(wanted).collect()}
+    assert sorted(r.id for r in there.collect()) == sorted(expected)
+    assert sorted(r.id for r in rest.collect()) == sorted(set(range(70_300)) - expected)
+
+
+def test_shuffles_of_a_sparing_query_go_with_it(spark):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    spark.range(10).count()
+    for _ in range(20):  # those of earlier tests go when the driver collects its garbage
+        spark._jvm.System.gc()
+        before = files()
+        time.sleep(0.3)
+        if files() == before:
+            break
+    with sparing_disk(spark):
+        spark.range(0, 20_000, 1, 8).repartition(8, "id").write.parquet(work_path(spark, "sparing"))
+        assert spark.conf.get("spark.sql.parquet.compression.codec") == "zstd"
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.3)
+    assert files() <= before
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"

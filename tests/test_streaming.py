@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from assetloom.operators import activity, maintenance
 from assetloom.operators.embeddings import latest_embeddings
 from assetloom.plans import streams
 from assetloom.plans.registry import Tables
-from assetloom.session import work_path
+from assetloom.session import shared_folder, work_path
 from assetloom.sources import hub
 from assetloom.streaming import jobs, sessions
 from assetloom.streaming.changelog import ChangeLog
@@ -113,6 +114,22 @@ def test_hub_stream_equals_batch_merges(spark, folders, base, tmp_path):
     assert tuple(totals) == (1, 2, 1)
 
 
+def test_a_merged_batch_leaves_nothing_but_its_log(spark, folders, base, tmp_path):
+    top = Path(shared_folder(spark).removeprefix("file://"), "assetloom")
+    log = ChangeLog.over(folders["changes"], base, parts=4)
+    records = [{"name": "a", "code": "x = 2"}, {"name": "a", "code": "x = 3", "updated_at": "2024-03-01T00:00:00"}, {"name": "n", "code": "z = 1"}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, records)))
+    before = {p.name for p in top.iterdir()}
+    stream = hub.stream_hub_records(spark, str(tmp_path), one_per_file=False)
+    jobs.hub_stream(stream, log, lambda batch_id: AS_OF, folders["checkpoint"]).awaitTermination()
+    named = {Path(f).name for f in folders.values()}
+    left = [p for p in top.iterdir() if p.name not in before | named and any(f.name.startswith("part-") for f in p.rglob("*"))]
+    assert left == []
+    got = log.current()
+    assert {n: r["code"] for n, r in by_name(got).items()} == {"a": "x = 3", "n": "z = 1"}
+    assert by_name(got)["a"]["call_count"] == 4
+
+
 def test_replayed_batch_changes_nothing(spark, folders, base):
     log = ChangeLog.over(folders["changes"], base, parts=4)
     changed = base.withColumn("code", F.lit("x = 9"))
